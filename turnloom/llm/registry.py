@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chat, near_dup, packing, token_counts
+from turnloom.llm import chat, near_dup, packing, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,20 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.CumulativeLink:
+    """Grades: 0 poor, 1 usable but toxic, 2 good."""
+    grade = F.col("quality") * (F.lit(2) - F.coalesce("toxic", F.lit(0)))
+    return quality.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), grade, n_grades=3, usable=~toxicity.held_out())
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +55,8 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_toxicity": op5_toxicity,
+    "op8_quality_classifier": op8_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 

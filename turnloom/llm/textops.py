@@ -23,6 +23,8 @@ _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: For words without punctuation: all ASCII but letters and digits.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,11 +75,11 @@ def slices(offsets: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of a range of texts: byte starts and ends, 64-bit hashes, and `first[i]:first[i + 1]` for text i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR):
         base, n = int(offsets[0]), len(offsets) - 1
         buf = data[base : int(offsets[-1])]
         self.buf, self.off = buf, offsets - base
-        inside = ~SEPARATOR[buf]
+        inside = ~separator[buf]
         starts, ends = inside.copy(), inside.copy()
         if len(buf):
             starts[1:] &= ~inside[:-1]
