@@ -79,6 +79,7 @@ class Words:
         base, n = int(offsets[0]), len(offsets) - 1
         buf = data[base : int(offsets[-1])]
         self.buf, self.off = buf, offsets - base
+        self._total: np.ndarray | None = None
         inside = ~separator[buf]
         starts, ends = inside.copy(), inside.copy()
         if len(buf):
@@ -93,13 +94,16 @@ class Words:
         self.first = np.searchsorted(self.start, self.off, side="left")
         self.text_of = np.repeat(np.arange(n), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, head: int | None = None) -> np.ndarray:
+        """Of whole words, or of their first `head` bytes (of the whole word where it is shorter)."""
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
-        total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.buf] * powers(len(self.buf), _P), out=total[1:])
-        own = (total[self.end] - total[self.start]) * powers(len(self.buf), _P_INV)[self.start]
-        return mix(own + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        if self._total is None:
+            self._total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[self.buf] * powers(len(self.buf), _P), out=self._total[1:])
+        end = self.end if head is None else np.minimum(self.end, self.start + head)
+        own = (self._total[end] - self._total[self.start]) * powers(len(self.buf), _P_INV)[self.start]
+        return mix(own + (end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

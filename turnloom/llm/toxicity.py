@@ -1,6 +1,6 @@
 """Operator 5: toxicity by a factorization machine over hashed terms.
 
-Terms are the lower-cased runs of letters and digits of the whole text, hashed; a term counts once. From a bounded sample of labelled
+Terms are the lower-cased runs of letters and digits of the whole text and their beginnings, hashed; a term counts once. From a bounded sample of labelled
 rows Spark counts each term's rows by label and keeps the terms most associated with the label; the machine is then fitted on those
 terms: a bias, a weight for each term, and a vector for each term whose products weigh pairs of terms. Scoring reads whole texts in
 Arrow batches with the fitted arrays, whose size is fixed by the parameters.
@@ -20,22 +20,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.labelled import id_crc32, labelled_sample
-from turnloom.llm.textops import NOT_ALNUM, Words, slices, utf8_of
+from turnloom.llm.textops import NOT_ALNUM, Words, mix, slices, utf8_of
 
 BITS = 18
 MAX_ROWS = 20_000
-MAX_TERMS = 512
+MAX_TERMS = 1_024
+HEADS = (4, 5, 6, 7, 8)
 #: Least log-likelihood ratio (twice the gain in log-likelihood) of a term with the label.
 LEAST_G = 20.0
 RANK = 8
+_SHIFT, _MASK = np.uint64(64 - BITS), (1 << BITS) - 1
 
 
 def _term_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed terms of each text: (text, bucket), sorted."""
+    """Distinct hashed terms of each text: (text, bucket), sorted. Terms are words, and word beginnings of HEADS bytes with how many distinct words have them (1, 2 or 4 at least)."""
     words = Words(data, offsets, NOT_ALNUM)
-    bucket = (words.hashes() >> np.uint64(64 - BITS)).astype(np.int64)
-    pair = np.unique(words.text_of.astype(np.int64) << BITS | bucket)
-    return pair >> BITS, pair & ((1 << BITS) - 1)
+    size = words.end - words.start
+    whole = words.hashes()
+    order = np.lexsort((whole, words.text_of))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (whole[order][1:] != whole[order][:-1]) | (words.text_of[order][1:] != words.text_of[order][:-1])
+    one = order[new]
+    text = words.text_of.astype(np.int64)
+    terms = [text[one] << BITS | (whole[one] >> _SHIFT).astype(np.int64)]
+    for k in HEADS:
+        own = one[size[one] > k]
+        head = words.hashes(k)[own]
+        pair, count = np.unique(text[own] << BITS | (head >> _SHIFT).astype(np.int64), return_counts=True)
+        for level in (1, 2, 4):
+            at = pair[count >= level]
+            bucket = mix((at & _MASK).astype(np.uint64) + np.uint64(level * 1_000_003 + k * 7_919)) >> _SHIFT
+            terms.append(at >> BITS << BITS | bucket.astype(np.int64))
+    found = np.unique(np.concatenate(terms))
+    return found >> BITS, found & _MASK
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +97,8 @@ def _slotted(batches: Iterator[pa.RecordBatch], slots: np.ndarray) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(slot[slot >= 0], pa.int32()))], names=["label", "slots"])
 
 
-def _train(labels: np.ndarray, slots: np.ndarray, first: np.ndarray, n_terms: int, epochs: int = 30, batch: int = 256, rate: float = 0.05, decay: float = 1e-3, shrink: float = 2e-3) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the mean log loss, with weights of little use shrunk to 0; text i has slots[first[i] : first[i + 1]]."""
+def _train(labels: np.ndarray, slots: np.ndarray, first: np.ndarray, n_terms: int, epochs: int = 30, batch: int = 256, rate: float = 0.05, decay: float = 1e-5) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adam on the mean log loss; text i has slots[first[i] : first[i + 1]]."""
     rng = np.random.Generator(np.random.PCG64(5))
     bias = np.array([np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))])
     w, v = np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, RANK))
@@ -104,7 +121,6 @@ def _train(labels: np.ndarray, slots: np.ndarray, first: np.ndarray, n_terms: in
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-            w -= np.clip(w, -rate * shrink * 10, rate * shrink * 10)
     return float(bias[0]), w, v
 
 
@@ -146,11 +162,9 @@ def _scorer(machine):
         for batch in batches:
             data, offsets = utf8_of(batch.column(1))
             for i, j in slices(offsets):
-                words = Words(data, offsets[i : j + 1], NOT_ALNUM)
-                slot = fitted.slots[(words.hashes() >> np.uint64(64 - BITS)).astype(np.int64)]
-                has = slot >= 0
-                pair = np.unique(words.text_of[has].astype(np.int64) << BITS | slot[has])
-                z = fitted.logits(pair >> BITS, pair & ((1 << BITS) - 1), j - i)
+                owner, bucket = _term_rows(data, offsets[i : j + 1])
+                slot = fitted.slots[bucket]
+                z = fitted.logits(owner[slot >= 0], slot[slot >= 0], j - i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], names=["doc_id", "score"])
 
     return score
