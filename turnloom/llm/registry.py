@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chat, near_dup, packing, quality, token_counts, toxicity
+from turnloom.llm import chat, language_model, media, near_dup, packing, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -47,6 +47,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +65,8 @@ QUERIES: dict[str, Query] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_toxicity": op5_toxicity,
     "op8_quality_classifier": op8_quality_classifier,
+    "op6_media_columns": op6_media_columns,
+    "op9_lm_scoring": op9_lm_scoring,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
