@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chat, decontaminate, language_model, media, near_dup, packing, quality, token_counts, toxicity
+from turnloom.llm import chat, decontaminate, language_model, licences, media, near_dup, packing, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +18,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PATH = "coalesce(source, '') || '/' || coalesce(lang, '') || '/' || coalesce(cast(doc_id AS {text}), '')"
+
+
+def op1_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths are source/lang/doc_id."""
+    files = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(PATH.format(text="string")).alias("path"), "text")
+    return licences.licence_scan(files).withColumnRenamed("id", "doc_id")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -33,8 +42,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(probe)))
 
 
+def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
+    return toxicity.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), usable=~toxicity.held_out())
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.score(_table(spark, sf_dir, "documents"), toxicity_machine(spark, sf_dir))
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.CumulativeLink:
@@ -63,7 +76,15 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
+    "pipeline": pipeline,
+    "op1_licence_scans": op1_licence_scans,
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_chat_formatting": op4_chat_formatting,
@@ -76,6 +97,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_licence_scans": licences.oracle_sql("documents", PATH.format(text="varchar")),
     "op4_chat_formatting": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

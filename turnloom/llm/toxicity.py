@@ -181,10 +181,6 @@ def held_out():
     return id_crc32("doc_id") % 4 == 2
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    return score(docs, fit(docs, labels, usable=~held_out()), threshold)
-
-
 def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
