@@ -1,6 +1,6 @@
 """Operator 1: licence scans with DataFrame functions only.
 
-Texts are cut into segments (lines and sentences). Segments and licence templates are sparse TF-IDF vectors over lower-cased words, with the
+Texts are cut into segments (lines and sentences). Segments and licence templates are sparse TF-IDF vectors over lower-cased words but function words, with the
 templates' document frequencies; a segment's licence is its nearest template's if the cosine is at least `least`. A text that is mostly
 licence segments is a licence file and stands for its directory; others with such a segment have a licence header. All other texts inherit from the
 nearest directory above them that has a licence file, found by joining the directories' ancestors with the licence files' directories.
@@ -48,8 +48,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
-# Words that most English texts hold, chosen last as trigger words.
-COMMON = frozenset("a an and any are as at be by can for from if in is it may not of on or that the this to use with without you 0 2 3 4 version work general public free terms either later".split())
+# Function words, which are left out of the vectors.
+FUNCTION_WORDS = tuple("a an and any are as at be by can for from if in into is it may not of on or that the this to under use with without you".split())
+# Words chosen last as trigger words.
+FREQUENT = frozenset("0 2 3 4 version work general public free terms either later file person code".split())
 
 TERM_BREAK = "[^a-z0-9]+"
 SEGMENT_END = "([.;!?])[ \\t]+"
@@ -57,7 +59,7 @@ SEGMENT_END = "([.;!?])[ \\t]+"
 
 def template_weights() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(template, licence, term, weight) with vectors of length 1; idf by term; the idf of a term in no template. Of the fixed values alone."""
-    terms = [Counter(t for t in re.split(TERM_BREAK, text.lower()) if t) for _, text in TEMPLATES]
+    terms = [Counter(t for t in re.split(TERM_BREAK, text.lower()) if t and t not in FUNCTION_WORDS) for _, text in TEMPLATES]
     df = Counter(t for c in terms for t in c)
     idf = {t: math.log((1 + len(terms)) / (1 + n)) + 1 for t, n in df.items()}
     out = []
@@ -71,7 +73,7 @@ def trigger_words(weights: list[tuple[int, str, str, float]], least: float) -> l
     """Words without which no template can be reached: what is left of each template is shorter than least."""
     chosen: set[str] = set()
     for k in {w[0] for w in weights}:
-        own = sorted(((w, t) for n, _, t, w in weights if n == k), key=lambda x: (x[1] in COMMON, -x[0]))
+        own = sorted(((w, t) for n, _, t, w in weights if n == k), key=lambda x: (x[1] in FREQUENT, -x[0]))
         while sum(w * w for w, t in own if t not in chosen) >= least * least * 0.999:
             chosen.add(next(t for w, t in own if t not in chosen))
     return sorted(chosen)
@@ -92,7 +94,7 @@ def segment_matches(files: DataFrame, least: float) -> DataFrame:
         files.where(F.col("text").rlike(holds))
         .select("id", F.posexplode(parts).alias("place", "segment"))
         .where(F.col("segment").rlike(holds))
-        .select("id", "place", F.char_length("segment").alias("chars"), F.explode(F.filter(F.split(F.lower("segment"), TERM_BREAK), lambda t: t != "")).alias("term"))
+        .select("id", "place", F.char_length("segment").alias("chars"), F.explode(F.filter(F.split(F.lower("segment"), TERM_BREAK), lambda t: (t != "") & ~t.isin(*FUNCTION_WORDS))).alias("term"))
     )
     counted = segments.groupBy("id", "place", "chars", "term").agg(F.count("*").alias("tf"))
     # the template tables are fixed values of some hundred rows
@@ -144,7 +146,7 @@ placed AS (SELECT doc_id, path, CASE WHEN contains(path, '/') THEN regexp_replac
 cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.;!?])[ \t]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM files),
 segments AS (SELECT doc_id, unnest(range(len(parts))) AS place, unnest(parts) AS segment FROM cut),
 terms AS (SELECT doc_id, place, length(segment) AS chars, unnest(string_split_regex(lower(segment), '[^a-z0-9]+')) AS term FROM segments),
-counted AS (SELECT doc_id, place, chars, term, count(*) AS tf FROM terms WHERE term <> '' GROUP BY ALL),
+counted AS (SELECT doc_id, place, chars, term, count(*) AS tf FROM terms WHERE term <> '' AND term NOT IN {FUNCTION_WORDS!r} GROUP BY ALL),
 valued AS (SELECT c.*, tf * coalesce(idf, {unseen!r}e0) AS value FROM counted c LEFT JOIN idf USING (term)),
 norms AS (SELECT doc_id, place, chars, sqrt(sum(value * value)) AS norm FROM valued GROUP BY ALL),
 dots AS (SELECT doc_id, place, template, licence, sum(value * weight) AS dot FROM valued JOIN weights USING (term) GROUP BY ALL),
