@@ -39,7 +39,7 @@ def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = utf8_of(batch.column(0))
+        data, offsets = utf8_of(batch.column(0), lower=True)
         found = np.zeros(1 << BITS, dtype=np.int64)
         for i, j in slices(offsets):
             bucket, text, _ = word_buckets(data, offsets[i : j + 1])
@@ -83,7 +83,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int) -> tuple[np.ndarr
     shared = spark.sparkContext.broadcast(idf)
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        data, offsets = utf8_of(batch.column("text"))
+        data, offsets = utf8_of(batch.column("text"), lower=True)
         bucket, _, first = word_buckets(data, offsets)
         for k, number in enumerate(batch.column("place").to_pylist()):
             yield number, *tf_idf(bucket[first[k] : first[k + 1]], shared.value)
@@ -147,7 +147,7 @@ def build_index(items: DataFrame, idf: np.ndarray, rank: int, least_cosine: floa
     slot = np.full(1 << BITS, -1, dtype=np.int32)
     slot[buckets] = np.arange(len(buckets))
     block = items.orderBy("place").toArrow()
-    data, offsets = utf8_of(block.column("text").combine_chunks() if block.num_rows else pa.array([], pa.string()))
+    data, offsets = utf8_of(block.column("text").combine_chunks() if block.num_rows else pa.array([], pa.string()), lower=True)
     bucket, _, first = word_buckets(data, offsets)
     words = [bucket[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     by_class: dict[int, list[int]] = {}
@@ -221,7 +221,7 @@ def search(index: Index, bucket: np.ndarray, text: np.ndarray, first: np.ndarray
 
 
 def matches_in(texts: pa.Array, index: Index) -> list[tuple[int, int, float, float, float]]:
-    data, offsets = utf8_of(texts)
+    data, offsets = utf8_of(texts, lower=True)
     out = []
     for i, j in slices(offsets):
         bucket, text, first = word_buckets(data, offsets[i : j + 1])

@@ -49,13 +49,15 @@ def powers(n: int, base: int) -> np.ndarray:
     return _powers(size, base)[:n]
 
 
-def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and int64 offsets (n + 1) of a string column; null counts as empty."""
+def utf8_of(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and int64 offsets (n + 1) of a string column; null counts as empty. lower: letters beyond A-Z are lower-cased, too."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
     column = pc.fill_null(column, "")
+    if lower:
+        column = pc.utf8_lower(column)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
