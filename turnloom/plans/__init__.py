@@ -1,0 +1,6 @@
+"""Queries over the driver's tables, one module for each family of operators."""
+
+from turnloom.plans import base, scoring
+from turnloom.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "base", "scoring"]
