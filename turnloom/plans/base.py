@@ -94,7 +94,7 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Support vectors: absolute values of the embeddings, 64 cells each; a position's session is its label.
 SUPPORTS = """
 supports AS (
-  SELECT vec_id AS position, CAST(label AS BIGINT) AS session, vec_id % 4 AS step, vec_id % 3 AS head, list_transform(embedding, v -> abs(CAST(v AS DOUBLE))) AS x FROM embeddings
+  SELECT vec_id AS position, CAST(label AS BIGINT) AS session, vec_id % 4 AS step, vec_id % 3 AS head, [abs(CAST(v AS DOUBLE)) for v in embedding] AS x FROM embeddings
 ), cells AS (
   SELECT position, session, step, head, unnest(range(64)) AS cell, unnest(x) AS v FROM supports
 ), masses AS (SELECT position, sum(v) AS m FROM cells GROUP BY position),
