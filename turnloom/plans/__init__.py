@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one module for each family of operators."""
 
-from turnloom.plans import base, distributions, scoring
+from turnloom.plans import base, distributions, histories, scoring, statistics
 from turnloom.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "base", "distributions", "scoring"]
+__all__ = ["QUERIES", "SQL", "base", "distributions", "histories", "scoring", "statistics"]
