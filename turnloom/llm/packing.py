@@ -3,7 +3,8 @@
 Documents become token ids plus an end id; only documents over the sequence length are cut, into full pieces behind a shorter first
 one. Full pieces are sequences of their own. The other pieces go, dealt out by a hash of their key, to tasks; each task keeps a
 fixed number of open bins, their free spaces marked in a bitset, puts each piece where it leaves least space, and closes the fullest
-bin when it must open another beyond the number. A task holds its open bins only, whatever it reads.
+bin when it must open another beyond the number. A task holds its open bins only, whatever it reads. Pieces come in runs, longest first
+within a run, and a run has not many more pieces than there are open bins: so long pieces still have their bins open when the short ones come.
 
 Defined cases: a null or empty text is one piece with the end id; an empty table gives no rows; repeated rows (equal ids) stay
 separate pieces; ties between bins of equal space go to the bin opened last; further columns are ignored.
@@ -99,18 +100,21 @@ def _packer(capacity: int, open_bins: int):
 
 
 def best_fit_packing(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, open_bins: int = 1024, pieces_per_task: int = 400_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, open_bins: int = 4096, pieces_per_task: int = 400_000, run_pieces: int = 6_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
-    pieces_per_task sets the number of packing tasks from a count of the pieces; each task may leave up to open_bins bins part empty.
+    pieces_per_task sets the number of packing tasks from a count of the pieces; a task may leave up to open_bins bins part empty.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = materialise(source.mapInArrow(_cutter(tokenizer_path, end_id, capacity), PIECE_SCHEMA), "pieces")
     part = pieces.where(F.col("length") < capacity)
-    tasks = max(1, -(-part.count() // pieces_per_task))
-    order = F.xxhash64("doc_id", "piece")
-    dealt = part.repartition(tasks, order).sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
+    n = part.count()
+    tasks = max(1, -(-n // pieces_per_task))
+    runs = max(1, -(-n // (tasks * run_pieces)))
+    key = F.xxhash64("doc_id", "piece")
+    run = F.pmod(F.shiftright(key, 20), F.lit(runs))
+    dealt = part.repartition(tasks, key).sortWithinPartitions(run, F.desc("length"), "doc_id", "piece", "ids_crc32")
     packed = dealt.mapInArrow(_packer(capacity, open_bins), PIECE_SCHEMA + ", bin long, offset long")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # even numbers: task and bin of packed pieces; odd numbers: full pieces, by partition and row
