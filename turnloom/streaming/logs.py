@@ -63,7 +63,7 @@ def session_gate(turns: DataFrame, key: str, n_turns: int) -> DataFrame:
             yield pd.DataFrame({key: [k[0]], "turns": [n_turns]})
 
     grouped = turns.select(key, "turn").groupBy(key)
-    return grouped.applyInPandasWithState(gate, f"{key} long, turns long", "seen long, sent boolean", "append", GroupStateTimeout.NoTimeout)
+    return grouped.applyInPandasWithState(gate, f"{key} {turns.schema[key].dataType.simpleString()}, turns long", "seen long, sent boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def tumbling_counts(events: DataFrame, time: str, width: str, by: list[str], late: str = "1 day") -> DataFrame:
