@@ -215,3 +215,26 @@ def g9_token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     piece = lambda start, end: F.substring(F.col("text"), (start + 1).cast("int"), (end - start).cast("int"))
     start = F.col("turn") * 3
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", piece(start, start + 8).alias("piece"), piece(start + 4, start + 12).alias("overlapping"))
+
+
+@query(
+    "b19_settings_rules",
+    """WITH s AS (SELECT event_id AS run, user_id % 12 AS votes, value / 100 AS temperature, event_type AS dtype FROM events)
+SELECT run, rule FROM (SELECT run, 'votes out of range' AS rule FROM s WHERE votes NOT BETWEEN 1 AND 10 UNION ALL SELECT run, 'temperature out of range' FROM s WHERE temperature < 0 OR temperature > 0.9 UNION ALL SELECT run, 'unknown type' FROM s WHERE dtype NOT IN ('click', 'view'))""",
+)
+def b19_settings_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of runs against ranges and enumerations; a row for each rule that is broken."""
+    settings = table(spark, sf_dir, "events").select(F.col("event_id").alias("run"), (F.col("user_id") % 12).alias("votes"), (F.col("value") / 100).alias("temperature"), F.col("event_type").alias("dtype"))
+    broken = {"votes out of range": ~F.col("votes").between(1, 10), "temperature out of range": ~F.col("temperature").between(0.0, 0.9), "unknown type": ~F.col("dtype").isin("click", "view")}
+    found = F.array_compact(F.array(*[F.when(bad, rule) for rule, bad in broken.items()]))
+    return settings.select("run", F.explode(found).alias("rule"))
+
+
+@query("b23_settings_identity", """SELECT sha256('{"dtype": "' || event_type || '", "votes": ' || user_id || '}') AS identity, count(*) AS runs FROM events GROUP BY identity""")
+def b23_settings_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that older runs had are dropped before the settings are digested."""
+    settings = table(spark, sf_dir, "events").select(F.struct(F.col("event_type").alias("dtype"), F.col("user_id").alias("votes"), F.col("value").alias("old_scale"), F.col("ts").alias("old_start")).alias("s"))
+    kept = F.col("s").dropFields("old_scale", "old_start")
+    counted = settings.groupBy(kept.alias("s")).agg(F.count("*").alias("runs"))
+    canonical = digest.json_object({"dtype": digest.json_text(F.col("s.dtype")), "votes": F.col("s.votes").cast("string")})
+    return counted.select(digest.digest(canonical).alias("identity"), "runs")
