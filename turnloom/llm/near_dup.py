@@ -2,14 +2,14 @@
 
 1. A task computes each text's set of word shingles, a digest of the set, its minima under many universal hashes, and band keys.
 2. Texts of equal sets are one class, found by a grouped minimum over the digest; only classes go on.
-3. Classes that share a band key are candidates. Each is first compared with a leader of its bucket, in a few rounds with different
-   leaders, skipping pairs that the links found so far already connect. What is left is every pair in a bucket that lies in different
+3. Classes that share a band key are candidates. Each is first compared with a leader of its bucket; more rounds with other leaders
+   skip pairs that the links found so far already connect. What is left is every pair in a bucket that lies in different
    components, compared in blocks of signatures; so no pair that could join two components is left out.
 4. Signatures sort out pairs far under the threshold; all others are confirmed on the full sets, read again from the texts.
 5. Components by alternating large-star and small-star.
 
-With 32 bands of 8 minima, a pair of similarity 0.85 shares no band with probability 4e-5, one of 0.9 with 2e-8; a pair's estimate
-falls below `estimate` with probability 1e-6 or less.
+With 32 bands of 8 minima, a pair of similarity 0.85 shares no band with probability 4e-5, one of 0.9 with 2e-8; its estimate from
+512 minima falls below `estimate` with probability 4e-6 or less.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer words than a shingle has one
 shingle, all its words; equal texts (repeated rows included) are linked; a row without id is linked with nothing; ties of leaders go to the least id; an empty table gives no rows;
@@ -66,7 +66,7 @@ def text_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.nda
     return unique_sets(values, owner, len(offsets) - 1)
 
 
-def _sketcher(words: int, bands: int, rows: int):
+def _sketcher(words: int, bands: int, rows: int, hashes: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_of(batch.column(1))
@@ -74,10 +74,10 @@ def _sketcher(words: int, bands: int, rows: int):
                 flat, first = text_sets(data, offsets[i : j + 1], words)
                 sizes = np.diff(first)
                 full = np.flatnonzero(sizes)
-                keys, small = np.zeros((0, bands), dtype=np.int64), np.zeros((0, bands * rows), dtype=np.uint8)
+                keys, small = np.zeros((0, bands), dtype=np.int64), np.zeros((0, hashes), dtype=np.uint8)
                 if len(full):
-                    least = minima(flat, np.append(first[full], first[-1]), bands * rows)
-                    keys, small = band_keys(least, bands, rows), (least >> np.uint32(24)).astype(np.uint8) ^ least.astype(np.uint8)
+                    least = minima(flat, np.append(first[full], first[-1]), hashes)
+                    keys, small = band_keys(least[:, : bands * rows], bands, rows), (least >> np.uint32(24)).astype(np.uint8) ^ least.astype(np.uint8)
                 digest, signature, at = [], [], 0
                 for k in range(j - i):
                     digest.append(hashlib.blake2b(flat[first[k] : first[k + 1]].tobytes(), digest_size=16).digest())
@@ -103,15 +103,19 @@ def _alike(batches: Iterator[pa.RecordBatch], estimate: float) -> Iterator[pa.Re
 
 def _block_pairs(estimate: float, least: int, most: int):
     def compare(left, right):
+        """Pairs whose first common band is this bucket's, so that each is found in one bucket; of two rows outside the largest component, from the greater id."""
         import pandas as pd
 
-        one = np.frombuffer(b"".join(left["signature_"]), dtype=np.uint8).reshape(len(left), -1) if len(left) else None
-        two = np.frombuffer(b"".join(right["signature"]), dtype=np.uint8).reshape(len(right), -1) if len(right) else None
         found = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})]
-        if one is not None and two is not None:
-            ids, sizes, component = right["rep"].to_numpy(), right["n"].to_numpy(), right["component"].to_numpy()
+        if len(left) and len(right):
+            key = left["key_"].iloc[0]
+            one, two = (np.frombuffer(b"".join(x), dtype=np.uint8).reshape(len(x), -1) for x in (left["signature_"], right["signature"]))
+            bands_one, bands_two = np.stack(left["bands_"]), np.stack(right["bands"])
+            ids, sizes, component, outside = (right[c].to_numpy() for c in ("rep", "n", "component", "outside"))
             for i, (rep, n, own) in enumerate(zip(left["rep_"], left["n_"], left["component_"], strict=True)):
-                near = np.flatnonzero((component != own) & (most * sizes >= least * n) & (most * n >= least * sizes))
+                near = np.flatnonzero((component != own) & (most * sizes >= least * n) & (most * n >= least * sizes) & (~outside | (ids < rep)))
+                shared = bands_two[near] == bands_one[i]
+                near = near[bands_one[i][shared.argmax(axis=1)] == key]
                 near = near[(two[near] == one[i]).mean(axis=1) >= estimate]
                 if len(near):
                     found.append(pd.DataFrame({"a": np.maximum(ids[near], rep), "b": np.minimum(ids[near], rep)}))
@@ -148,25 +152,31 @@ def _confirmer(words: int, least: int, most: int):
 class NearDuplicates:
     """least / most is the similarity from which two texts are linked, as a fraction of whole numbers."""
 
-    def __init__(self, docs: DataFrame, words: int = 5, least: int = 85, most: int = 100, bands: int = 32, rows: int = 8, estimate: float | None = None, leader_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text"):
-        self.words, self.least, self.most, self.bands, self.rows = words, least, most, bands, rows
+    def __init__(self, docs: DataFrame, words: int = 5, least: int = 85, most: int = 100, bands: int = 32, rows: int = 8, hashes: int = 512, estimate: float | None = None, leader_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text"):
+        self.words, self.least, self.most, self.bands, self.rows, self.hashes = words, least, most, bands, rows, hashes
         share = least / most
-        self.estimate = share - 5 * (share * (1 - share) / (bands * rows)) ** 0.5 if estimate is None else estimate
+        self.estimate = share - 4.5 * (share * (1 - share) / hashes) ** 0.5 if estimate is None else estimate
         self.leader_rounds = leader_rounds
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def _sketches(self) -> DataFrame:
-        return self.docs.mapInArrow(_sketcher(self.words, self.bands, self.rows), SKETCH_SCHEMA)
+        return self.docs.mapInArrow(_sketcher(self.words, self.bands, self.rows, self.hashes), SKETCH_SCHEMA)
 
-    def _confirmed(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    def _candidates(self, classes: DataFrame, bucketed: DataFrame) -> DataFrame:
+        """(rep, n, bands, signature, text) of the classes that share a band key: all that later steps read. The texts are dealt out by id once."""
+        wanted = classes.join(bucketed.select("rep").distinct().hint("merge"), "rep")
+        texts = self.docs.dropna(subset=["doc_id"]).select(F.col("doc_id").alias("rep"), "text")
+        return materialise(texts.join(wanted.hint("merge"), "rep").dropDuplicates(["rep"]), "candidates")
+
+    def _confirmed(self, pairs: DataFrame, candidates: DataFrame) -> DataFrame:
         """Links among distinct pairs (a > b): by signature, then on full sets."""
-        signed = classes.select("rep", "signature")
+        signed = candidates.select("rep", "signature")
         near = pairs.join(signed.select(F.col("rep").alias("a"), F.col("signature").alias("signature_a")), "a").join(signed.select(F.col("rep").alias("b"), F.col("signature").alias("signature_b")), "b")
         estimate = self.estimate
         near = materialise(near.select("a", "b", "signature_a", "signature_b").mapInArrow(lambda it: _alike(it, estimate), "a long, b long"), "near-pairs")
         salted = near.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(16)).alias("salt"))
-        wanted = salted.select(F.col("a").alias("doc_id"), "a", "b", "salt").unionByName(salted.select(F.col("b").alias("doc_id"), F.lit(None).cast("long").alias("a"), "b", "salt").distinct())
-        texts = wanted.join(self.docs.dropna(subset=["doc_id"]), "doc_id").select("b", "salt", "a", "text")
+        wanted = salted.select(F.col("a").alias("rep"), "a", "b", "salt").unionByName(salted.select(F.col("b").alias("rep"), F.lit(None).cast("long").alias("a"), "b", "salt").distinct())
+        texts = wanted.join(candidates.select("rep", "text"), "rep").select("b", "salt", "a", "text")
         dealt = texts.repartition(F.col("b"), F.col("salt")).sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
         return materialise(dealt.mapInArrow(_confirmer(self.words, self.least, self.most), "a long, b long").distinct(), "confirmed")
 
@@ -180,11 +190,15 @@ class NearDuplicates:
         """(node, component) of every class that is linked with another."""
         keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
         shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "shared-keys")
-        bucketed = materialise(keyed.join(shared, "key"), "buckets")
+        bucketed = materialise(keyed.join(shared.hint("merge"), "key"), "buckets")
+        candidates = self._candidates(classes, bucketed)
         found = components = tried = None
         for turn in range(self.leader_rounds):
-            rank = F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long"), "rep", "n") if components is None else F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "component")
             members = bucketed if components is None else self._open_buckets(bucketed, components)
+            if components is not None and members.isEmpty():
+                return components
+            order = F.col("rep") if components is None else F.xxhash64("rep", F.lit(turn))
+            rank = F.struct(order.alias("at"), *[c for c in ("rep", "n", "component") if c in members.columns])
             leaders = materialise(members.groupBy("key").agg(F.min(rank).alias("lead")), "leaders")
             pairs = members.join(leaders, "key").where(F.col("rep") != F.col("lead.rep"))
             if components is not None:
@@ -195,13 +209,14 @@ class NearDuplicates:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = materialise(pairs, "leader-pairs")
             tried = pairs if tried is None else tried.unionByName(pairs)
-            links = self._confirmed(pairs, classes)
+            links = self._confirmed(pairs, candidates)
             found = links if found is None else found.unionByName(links)
             components = materialise(connected_components(found), "components")
-        rest = self._confirmed(materialise(self._rest(self._open_buckets(bucketed, components), classes).join(tried, ["a", "b"], "left_anti"), "rest-pairs"), classes)
-        if rest.isEmpty():
+        members = self._open_buckets(bucketed, components)
+        if members.isEmpty():
             return components
-        return connected_components(found.unionByName(rest))
+        rest = self._confirmed(materialise(self._rest(members, candidates).join(tried, ["a", "b"], "left_anti"), "rest-pairs"), candidates)
+        return components if rest.isEmpty() else connected_components(found.unionByName(rest))
 
     def _open_buckets(self, bucketed: DataFrame, components: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component."""
@@ -209,18 +224,18 @@ class NearDuplicates:
         several = materialise(known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "open-keys")
         return materialise(known.join(several, "key"), "open-buckets")
 
-    def _rest(self, members: DataFrame, classes: DataFrame) -> DataFrame:
+    def _rest(self, members: DataFrame, candidates: DataFrame) -> DataFrame:
         """Pairs of one bucket in different components that may pass: members outside the bucket's largest component against all, in blocks."""
         sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
         largest = materialise(sizes.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most")), "bucket-sizes")
         blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-        joined = members.join(largest, "key").join(classes.select("rep", "signature"), "rep")
-        joined = joined.withColumns({"n_right": blocks(F.col("all")), "n_left": blocks(F.col("all") - F.col("most"))})
+        joined = members.join(largest, "key").join(candidates.select("rep", "bands", "signature"), "rep")
+        joined = joined.withColumns({"n_right": blocks(F.col("all")), "n_left": blocks(F.col("all") - F.col("most")), "outside": F.col("component") != F.col("largest")})
         own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = joined.where("component <> largest").withColumn("l", own("n_left")).withColumn("r", every("n_right"))
+        left = joined.where("outside").withColumn("l", own("n_left")).withColumn("r", every("n_right"))
         right = joined.withColumn("r", own("n_right")).withColumn("l", every("n_left"))
-        columns = ["key", "l", "r", "rep", "n", "component", "signature"]
+        columns = ["key", "l", "r", "rep", "n", "component", "outside", "bands", "signature"]
         # new names on one side, as both come from one table
         left = left.select(*[F.col(c).alias(f"{c}_") for c in columns]).groupBy("key_", "l_", "r_")
         pairs = left.cogroup(right.select(*columns).groupBy("key", "l", "r"))
