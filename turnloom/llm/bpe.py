@@ -62,9 +62,9 @@ class ByteBpe:
         count = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
         begin = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, np.fromiter((x for c in coded for x in c), dtype=np.uint32, count=int(count.sum()))])
-        keys, begin, count = (np.concatenate(x) for x in ((self.keys, keys), (self.begin, begin), (self.count, count)))
-        order = np.argsort(keys)
-        self.keys, self.begin, self.count = keys[order], begin[order], count[order]
+        # both key lists ascend
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
 
     def _pieces(self, text: str, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the pieces in the joined text, and the code points."""
