@@ -244,6 +244,22 @@ def test_decontamination(spark, make):
     assert sorted((r.doc_id, r.item_id) for r in blocks) == got
 
 
+def test_decontamination_large_benchmark(spark, make):
+    """More passages than the rank of a space: exact copies and copies with two other words are all found, each as its own passage only."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    words = np.array([f"w{k:x}q" for k in range(3000)])
+    passages = [" ".join(rng.choice(words, 24)) for _ in range(1500)]
+    rows = []
+    for k in range(0, 1500, 5):
+        own = passages[k].split()
+        if k % 2:
+            own[3], own[12] = "changed", "words"
+        rows.append((k, " ".join([*rng.choice(words, 10), *own, *rng.choice(words, 10)])))
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").coalesce(2)
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(make(rows), items).collect())
+    assert got == [(k, k) for k in range(0, 1500, 5)]
+
+
 def test_decontamination_empty(spark, make):
     items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     assert decontaminate.contaminated(make([]), items).count() == 0

@@ -2,8 +2,8 @@
 
 1. Document frequencies of hashed words are counted over the whole corpus.
 2. The TF-IDF rows of the benchmark's passages get a randomised SVD: tasks multiply their rows with a random matrix and add up their shares
-   of the product with the basis; the right singular vectors are the latent space. A large benchmark is taken in blocks of at most
-   `block_items` passages, and each block's arrays are what tasks get.
+   of the product with the basis; the right singular vectors are the latent space. A large benchmark is taken in blocks, so small that a
+   block's space holds all of its passages: no part of a passage's weight is lost. Tasks get the arrays of `PER_PASS` blocks at once.
 3. Each text is searched in overlapping windows, longer than the passages they are for. A window whose words that occur in such
    passages weigh too little for any accepted match is passed over; the others are projected, and passages of at least `least_cosine`
    are candidates.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.textops import NOT_ALNUM, Words, slices, utf8_of
 
 BITS = 18
+PER_PASS = 8
 _SHIFT = np.uint64(64 - BITS)
 MATCH_SCHEMA = "doc_id long, item_id long, cosine double, common_share double, answer_share double"
 
@@ -162,8 +163,8 @@ def build_index(items: DataFrame, idf: np.ndarray, rank: int, least_cosine: floa
             b, w = tf_idf(words[k], idf)
             q = w @ vectors[slot[b]]
             latent.append(q / max(float(np.linalg.norm(q)), 1e-12))
-        inside = np.zeros(1 << BITS, dtype=bool)
-        inside[np.concatenate([words[k] for k in own])] = True
+        inside = np.zeros(len(buckets) + 1, dtype=bool)
+        inside[slot[np.concatenate([words[k] for k in own])]] = True
         stride = max(2, longest // 4)
         groups.append(Group(np.array(own), np.stack(latent).astype(np.float32), inside, least_common * min(float(idf[words[k]].sum()) for k in own), longest + stride, stride))
     return Index(idf, slot, vectors, words, block.column("item_id").to_numpy() if block.num_rows else np.zeros(0, dtype=np.int64), groups, least_cosine, least_common, least_answer)
@@ -193,8 +194,10 @@ def search(index: Index, bucket: np.ndarray, text: np.ndarray, first: np.ndarray
     weight = index.idf[bucket]
     length = np.diff(first)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    place = index.slot[bucket]
     for g in index.groups:
-        inside = np.concatenate([[0], np.cumsum(np.where(g.in_passages[bucket], weight, 0))])
+        # slot -1 is the last one, of no passage
+        inside = np.concatenate([[0], np.cumsum(np.where(g.in_passages[place], weight, 0))])
         n = np.where(length > 0, 1 + np.maximum(0, -(-(length - g.window) // g.stride)), 0)
         owner = np.repeat(np.arange(len(length)), n)
         begin = first[owner] + g.stride * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
@@ -220,40 +223,44 @@ def search(index: Index, bucket: np.ndarray, text: np.ndarray, first: np.ndarray
     return out
 
 
-def matches_in(texts: pa.Array, index: Index) -> list[tuple[int, int, float, float, float]]:
+def matches_in(texts: pa.Array, some: list[Index]) -> list[tuple[int, int, float, float, float]]:
+    """(text, item id, cosine, common share, answer share) of accepted matches."""
     data, offsets = utf8_of(texts, lower=True)
     out = []
     for i, j in slices(offsets):
         bucket, text, first = word_buckets(data, offsets[i : j + 1])
-        out += [(i + t, *rest) for t, *rest in search(index, bucket, text, first)]
+        out += [(i + t, int(index.item_ids[k]), *rest) for index in some for t, k, *rest in search(index, bucket, text, first)]
     return out
 
 
-def indices(docs: DataFrame, benchmark: DataFrame, rank: int = 256, block_items: int = 4096, least_cosine: float = 0.4, least_common: float = 0.7, least_answer: float = 0.5) -> Iterator[Index]:
-    """An index for each block of the benchmark."""
+def indices(docs: DataFrame, benchmark: DataFrame, rank: int = 256, block_items: int = 4096, least_cosine: float = 0.4, least_common: float = 0.7, least_answer: float = 0.5) -> Iterator[list[Index]]:
+    """Indices of the benchmark's blocks, at most PER_PASS at once. A block that the hash gives more than `rank` passages gets a larger space."""
     idf = inverse_frequencies(docs)
-    n = benchmark.count()
-    blocks = max(1, -(-n // (block_items // 2)))
+    n, most = benchmark.count(), min(rank, block_items)
+    blocks = 1 if n <= most else -(-n // max(1, 3 * most // 4))
     keyed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("place", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)))
-    for k in range(blocks):
-        items = keyed.where(F.col("block") == k).drop("block").persist()
-        yield build_index(items, idf, rank, least_cosine, least_common, least_answer)
-        items.unpersist()
+    for begin in range(0, blocks, PER_PASS):
+        out = []
+        for k in range(begin, min(begin + PER_PASS, blocks)):
+            items = keyed.where(F.col("block") == k).drop("block").persist()
+            out.append(build_index(items, idf, max(rank, items.select("text").distinct().count()), least_cosine, least_common, least_answer))
+            items.unpersist()
+        yield out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, cosine, common_share, answer_share) of every accepted match of a text with a passage."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for index in indices(docs, benchmark, **options):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for some in indices(docs, benchmark, **options):
+        shared = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = matches_in(batch.column(1), shared.value)
-                rows, items = np.array([f[0] for f in found], dtype=np.int64), np.array([f[1] for f in found], dtype=np.int64)
+                rows = np.array([f[0] for f in found], dtype=np.int64)
                 values = [pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(shared.value.item_ids[items], pa.int64()), *values], names=["doc_id", "item_id", "cosine", "common_share", "answer_share"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([f[1] for f in found], pa.int64()), *values], names=["doc_id", "item_id", "cosine", "common_share", "answer_share"])
 
         part = own.mapInArrow(run, MATCH_SCHEMA)
         out = part if out is None else out.unionByName(part)
@@ -263,8 +270,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def keep_unmatched(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that match no passage, with all their columns."""
     place, out = docs.schema.fieldNames().index("text"), docs
-    for index in indices(docs, benchmark, **options):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for some in indices(docs, benchmark, **options):
+        shared = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
