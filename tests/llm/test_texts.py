@@ -260,6 +260,32 @@ def test_decontamination_large_benchmark(spark, make):
     assert got == [(k, k) for k in range(0, 1500, 5)]
 
 
+def test_decontamination_diluted_and_hidden_copies(spark, make):
+    """A short passage amid repeated rare words; and a reordered copy, alike in all words, before or after a complete one."""
+    words = re.findall(r"\w+", ITEM)
+    reordered = " ".join(words[10:] + words[:10])
+    short = "seven copper lanterns"
+    gap = " ".join(f"gap{k}" for k in range(200))
+    changed = ITEM.replace("granite", "wooden").replace("mill", "tower")
+    rows = [(1, f"{'zyx ' * 40}{short}{' zyx' * 40}"), (2, f"{reordered} {gap} {changed}"), (3, f"{changed} {gap} {reordered}"), (4, f"{reordered} {gap}"), (5, gap)]
+    items = spark.createDataFrame([(10, ITEM), (11, short)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(make(rows), items).collect())
+    assert got == [(1, 11), (2, 10), (3, 10)]
+
+
+def test_least_product():
+    """No text with the least common weight has a smaller product."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    idf = rng.uniform(0.05, 6, 50)
+    for _ in range(200):
+        item = rng.integers(0, 50, 20)
+        least = decontaminate.least_product(item, idf, 0.7)
+        order, some = rng.permutation(20), 0
+        while idf[item[order[:some]]].sum() < 0.7 * idf[item].sum():
+            some += 1
+        assert np.bincount(item, minlength=50) * idf @ (np.bincount(item[order[:some]], minlength=50) * idf) >= least - 1e-9
+
+
 def test_decontamination_empty(spark, make):
     items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     assert decontaminate.contaminated(make([]), items).count() == 0

@@ -5,10 +5,12 @@
    of the product with the basis; the right singular vectors are the latent space. A large benchmark is taken in blocks, so small that a
    block's space holds all of its passages: no part of a passage's weight is lost. Tasks get the arrays of `PER_PASS` blocks at once.
 3. Each text is searched in overlapping windows, longer than the passages they are for. A window whose words that occur in such
-   passages weigh too little for any accepted match is passed over; the others are projected, and passages of at least `least_cosine`
-   are candidates.
-4. A candidate is accepted if the longest common subsequence of words, weighted by inverse document frequency, has `least_common` of
-   the passage's weight, and `least_answer` of the weight of its last quarter, where the answer stands.
+   passages weigh too little for any accepted match is passed over; the others are projected. Their product with a passage, which other
+   words of the window cannot lessen, must reach the least that a text with `least_common` of the passage's weight can have.
+   All such windows are candidates, greatest product first, until one is accepted.
+4. A candidate is accepted if the window's words of the passage have a cosine of `least_cosine` with it and the longest common
+   subsequence of words, weighted by inverse document frequency, has `least_common` of the passage's weight, and `least_answer` of the
+   weight of its last quarter, where the answer stands.
 
 Defined cases: null, empty and blank texts match nothing, nor do such passages; repeated passages match each; repeated rows give
 repeated matches; an empty corpus or benchmark gives no rows; further columns are ignored.
@@ -68,6 +70,22 @@ def tf_idf(bucket: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return own, weight / max(float(np.linalg.norm(weight)), 1e-12)
 
 
+def least_product(bucket: np.ndarray, idf: np.ndarray, least_common: float) -> float:
+    """Least product of a passage's term weights with those of any text that holds `least_common` of the passage's weight."""
+    own, count = np.unique(bucket, return_counts=True)
+    value = np.sort(count * idf[own])
+    before = np.cumsum(value) - value
+    return float((value * np.clip(least_common * value.sum() - before, 0, value)).sum())
+
+
+def own_cosine(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
+    """Cosine of a passage with those words of a text that are the passage's, each counted at most as often as there."""
+    own, count = np.unique(item, return_counts=True)
+    found = np.minimum(count, np.bincount(np.searchsorted(own, text[np.isin(text, own)]), minlength=len(own)))
+    a, b = count * idf[own], found * idf[own]
+    return float(a @ b / max(float(np.linalg.norm(a) * np.linalg.norm(b)), 1e-12))
+
+
 def _random_rows(bucket: np.ndarray, columns: int) -> np.ndarray:
     """Rows of the random matrix, the same in every task."""
     return np.stack([np.random.Generator(np.random.PCG64(int(b))).normal(size=columns) for b in bucket]) if len(bucket) else np.zeros((0, columns))
@@ -123,7 +141,9 @@ class Group:
 
     items: np.ndarray
     latent: np.ndarray
+    least_product: np.ndarray
     in_passages: np.ndarray
+    most_times: np.ndarray
     least_weight: float
     window: int
     stride: int
@@ -132,6 +152,7 @@ class Group:
 @dataclass
 class Index:
     idf: np.ndarray
+    buckets: np.ndarray
     slot: np.ndarray
     vectors: np.ndarray
     words: list[np.ndarray]
@@ -158,16 +179,16 @@ def build_index(items: DataFrame, idf: np.ndarray, rank: int, least_cosine: floa
             by_class.setdefault(-(-len(own) // step) * step, []).append(k)
     groups = []
     for longest, own in sorted(by_class.items()):
-        latent = []
+        latent, most = [], np.zeros(len(buckets) + 1, dtype=np.int32)
         for k in own:
-            b, w = tf_idf(words[k], idf)
-            q = w @ vectors[slot[b]]
-            latent.append(q / max(float(np.linalg.norm(q)), 1e-12))
-        inside = np.zeros(len(buckets) + 1, dtype=bool)
-        inside[slot[np.concatenate([words[k] for k in own])]] = True
+            b, count = np.unique(words[k], return_counts=True)
+            latent.append((count * idf[b]) @ vectors[slot[b]])
+            most[slot[b]] = np.maximum(most[slot[b]], count)
+        # a little less, as products are of single precision
+        least = np.array([0.999 * least_product(words[k], idf, least_common) for k in own])
         stride = max(2, longest // 4)
-        groups.append(Group(np.array(own), np.stack(latent).astype(np.float32), inside, least_common * min(float(idf[words[k]].sum()) for k in own), longest + stride, stride))
-    return Index(idf, slot, vectors, words, block.column("item_id").to_numpy() if block.num_rows else np.zeros(0, dtype=np.int64), groups, least_cosine, least_common, least_answer)
+        groups.append(Group(np.array(own), np.stack(latent).astype(np.float32), least, most > 0, most, least_common * min(float(idf[words[k]].sum()) for k in own), longest + stride, stride))
+    return Index(idf, buckets, slot, vectors, words, block.column("item_id").to_numpy() if block.num_rows else np.zeros(0, dtype=np.int64), groups, least_cosine, least_common, least_answer)
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -193,8 +214,9 @@ def search(index: Index, bucket: np.ndarray, text: np.ndarray, first: np.ndarray
     """(text, item, cosine, common share, answer share) of accepted matches in a range of texts."""
     weight = index.idf[bucket]
     length = np.diff(first)
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    windows: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
     place = index.slot[bucket]
+    slot_idf = np.append(index.idf[index.buckets], 0)
     for g in index.groups:
         # slot -1 is the last one, of no passage
         inside = np.concatenate([[0], np.cumsum(np.where(g.in_passages[place], weight, 0))])
@@ -205,21 +227,26 @@ def search(index: Index, bucket: np.ndarray, text: np.ndarray, first: np.ndarray
         heavy = np.flatnonzero(inside[end] - inside[begin] >= g.least_weight - 1e-9)
         for w in heavy.tolist():
             a, b = int(begin[w]), int(end[w])
-            own, value = tf_idf(bucket[a:b], index.idf)
-            known = index.slot[own] >= 0
-            cosine = g.latent @ (value[known].astype(np.float32) @ index.vectors[index.slot[own[known]]])
-            for k in np.flatnonzero(cosine >= index.least_cosine).tolist():
+            own, count = np.unique(place[a:b], return_counts=True)
+            value = np.minimum(count, g.most_times[own]) * slot_idf[own]
+            product = g.latent @ (value[own >= 0].astype(np.float32) @ index.vectors[own[own >= 0]])
+            for k in np.flatnonzero(product >= g.least_product).tolist():
                 key = (int(owner[w]), int(g.items[k]))
-                best[key] = max(best.get(key, (-1.0, 0, 0)), (float(cosine[k]), max(a - g.stride, int(first[owner[w]])), min(b + g.stride, int(first[owner[w] + 1]))))
+                windows.setdefault(key, []).append((-float(product[k]), max(a - g.stride, int(first[owner[w]])), min(b + g.stride, int(first[owner[w] + 1]))))
     out = []
-    for (t, k), (cosine, a, b) in sorted(best.items()):
+    for (t, k), candidates in sorted(windows.items()):
         item = index.words[k]
         w = index.idf[item]
-        common = common_subsequence(item, bucket[a:b], w)
         answer = np.arange(len(item)) >= len(item) - max(1, len(item) // 4)
-        share, of_answer = float(w[common].sum() / w.sum()), float(w[common][answer[common]].sum() / w[answer].sum())
-        if share >= index.least_common and of_answer >= index.least_answer:
-            out.append((t, k, cosine, share, of_answer))
+        for _, a, b in sorted(candidates):
+            cosine = own_cosine(item, bucket[a:b], index.idf)
+            if cosine < index.least_cosine:
+                continue
+            common = common_subsequence(item, bucket[a:b], w)
+            share, of_answer = float(w[common].sum() / w.sum()), float(w[common][answer[common]].sum() / w[answer].sum())
+            if share >= index.least_common and of_answer >= index.least_answer:
+                out.append((t, k, cosine, share, of_answer))
+                break
     return out
 
 
