@@ -86,6 +86,58 @@ def test_licences(spark):
     assert licences.licence_scan(spark.createDataFrame([], "id long, path string, text string")).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2024 Ada Example
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL_NOTICE = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version {}
+of the License, or (at your option) any later version.
+"""
+ISC_NOTICE = """Permission to use, copy, modify, and/or distribute this
+software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this
+permission notice appear in all copies.
+"""
+
+
+def test_wrapped_licences(spark):
+    """Files and headers as they are in real trees, wrapped at the usual width."""
+    code = "".join(f"value_{k} = compute(value_{k - 1})\n" for k in range(200))
+    marked = lambda mark, text: "".join(f"{mark} {line}\n" for line in text.splitlines())
+    rows = [
+        (1, "m/LICENSE", MIT_FILE),
+        (2, "m/src/x.py", code),
+        (3, "g/three.py", marked("#", GPL_NOTICE.format(3)) + code),
+        (4, "g/two.c", "/*\n" + marked(" *", GPL_NOTICE.format(2)) + " */\n" + code),
+        (5, "g/isc.c", "/*\n" + ISC_NOTICE + "*/\n" + code),
+        (6, "g/mit.js", marked("//", MIT_FILE) + "\n" + code),
+        (7, "g/other.py", "# permission software copyright notice conditions\n" + code),
+    ]
+    got = {r.id: (r.licence, r.origin) for r in licences.licence_scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    header = {3: "GPL-3.0", 4: "GPL-2.0", 5: "ISC", 6: "MIT"}
+    assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 7: (None, "none"), **{k: (v, "header") for k, v in header.items()}}
+
+
 def test_trigger_words_cover_every_template():
     weights, _, _ = licences.template_weights()
     chosen = set(licences.trigger_words(weights, 0.75))

@@ -5,7 +5,10 @@ templates' document frequencies; a segment's licence is its nearest template's i
 licence segments is a licence file and stands for its directory; others with such a segment have a licence header. All other texts inherit from the
 nearest directory above them that has a licence file, found by joining the directories' ancestors with the licence files' directories.
 
-Only segments that hold one of a few weighty words of the templates are compared: the words are so many that the rest of any template is
+Besides, blocks are compared with full notices and licence files, which are wrapped over several lines: paragraphs, the comment lines at the start of a
+text, and the whole text. A whole text that reaches a template is a licence file. Comment marks are no words, so they need not be dropped.
+
+Only segments and blocks that hold one of a few weighty words of the templates are compared: the words are so many that the rest of any template is
 shorter than `least`, so a segment without them cannot reach it.
 
 Defined cases: null, empty and wordless texts have no segments; a null path is the empty path, in the root directory; several licences in one
@@ -48,22 +51,84 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
+_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without "
+    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_AS_IS = (
+    "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
+    "law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+)
+
+
+def _gnu(thing: str, name: str, version: str) -> tuple[str, str]:
+    """First paragraph, and all, of the notice that a GNU licence asks for."""
+    first = f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    rest = f" This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this {thing}. If not, see https://www.gnu.org/licenses/."
+    return first, first + rest
+
+
+# Full notices and short licence files, compared with blocks.
+BLOCK_TEMPLATES: tuple[tuple[str, str], ...] = (
+    ("MIT", _GRANT),
+    ("MIT", f"MIT License {_GRANT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}"),
+    ("ISC", _ISC),
+    ("ISC", f"ISC License {_ISC} {_ISC_AS_IS}"),
+    ("BSD-2-Clause", _BSD + _BSD_AS_IS),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_AS_IS),
+    ("Apache-2.0", _APACHE),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", _UNLICENSE),
+    *((licence, text) for licence, *notice in (
+        ("GPL-2.0", "program", "General Public License", "2"),
+        ("GPL-3.0", "program", "General Public License", "3"),
+        ("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "library", "Lesser General Public License", "3"),
+        ("AGPL-3.0", "program", "Affero General Public License", "3"),
+    ) for text in _gnu(*notice)),
+)
+
 # Function words, which are left out of the vectors.
 FUNCTION_WORDS = tuple("a an and any are as at be by can for from if in into is it may not of on or that the this to under use with without you".split())
 # Words chosen last as trigger words.
 FREQUENT = frozenset("0 2 3 4 version work general public free terms either later file person code".split())
 
 TERM_BREAK = "[^a-z0-9]+"
+COMMENT = "^\\s*(?:#|//|/\\*|\\*|--|;|%|<!--|$)"
+PARAGRAPH_END = "\n[^\\p{L}\\p{N}\n]*(?=\n)"
 SEGMENT_END = "([.;!?])[ \\t]+"
 
 
-def template_weights() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+def template_weights(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(template, licence, term, weight) with vectors of length 1; idf by term; the idf of a term in no template. Of the fixed values alone."""
-    terms = [Counter(t for t in re.split(TERM_BREAK, text.lower()) if t and t not in FUNCTION_WORDS) for _, text in TEMPLATES]
+    terms = [Counter(t for t in re.split(TERM_BREAK, text.lower()) if t and t not in FUNCTION_WORDS) for _, text in templates]
     df = Counter(t for c in terms for t in c)
     idf = {t: math.log((1 + len(terms)) / (1 + n)) + 1 for t, n in df.items()}
     out = []
-    for k, ((licence, _), c) in enumerate(zip(TEMPLATES, terms, strict=True)):
+    for k, ((licence, _), c) in enumerate(zip(templates, terms, strict=True)):
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
         out += [(k, licence, t, n * idf[t] / norm) for t, n in sorted(c.items())]
     return out, idf, math.log(1 + len(terms)) + 1
@@ -84,18 +149,34 @@ def _values(spark, rows: list[tuple], names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)} AS t({names})")
 
 
+def _holds(templates: tuple[tuple[str, str], ...], least: float) -> str:
+    return rf"(?i)(?<![a-z0-9])(?:{'|'.join(trigger_words(template_weights(templates)[0], least))})(?![a-z0-9])"
+
+
 def segment_matches(files: DataFrame, least: float) -> DataFrame:
-    """(id, licence, cosine, chars) of each segment that reaches a template; files: (id, text)."""
-    spark = files.sparkSession
-    weights, idf, unseen = template_weights()
-    holds = rf"(?i)(?<![a-z0-9])(?:{'|'.join(trigger_words(weights, least))})(?![a-z0-9])"
+    """(id, place, licence, cosine, chars) of each segment that reaches a template; files: (id, text)."""
+    holds = _holds(TEMPLATES, least)
     parts = F.split(F.regexp_replace("text", SEGMENT_END, "$1\n"), "\n")
-    segments = (
-        files.where(F.col("text").rlike(holds))
-        .select("id", F.posexplode(parts).alias("place", "segment"))
-        .where(F.col("segment").rlike(holds))
-        .select("id", "place", F.char_length("segment").alias("chars"), F.explode(F.filter(F.split(F.lower("segment"), TERM_BREAK), lambda t: (t != "") & ~t.isin(*FUNCTION_WORDS))).alias("term"))
-    )
+    segments = files.where(F.col("text").rlike(holds)).select("id", F.posexplode(parts).alias("place", "segment")).where(F.col("segment").rlike(holds))
+    return _nearest(segments, TEMPLATES, least)
+
+
+def block_matches(files: DataFrame, least: float) -> DataFrame:
+    """(id, place, licence, cosine, chars) of each block that reaches a full template: the whole text (place 0), the comment lines at its start (1), and its paragraphs."""
+    holds = _holds(BLOCK_TEMPLATES, least)
+    lines = F.split("text", "\n")
+    code = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), F.lit(False))
+    comments = F.array_join(F.slice(lines, F.lit(1), F.when(code > 0, code - 1).otherwise(F.size(lines)).cast("int")), "\n")
+    blocks = F.concat(F.array(F.col("text"), comments), F.split("text", PARAGRAPH_END))
+    segments = files.where(F.col("text").rlike(holds)).select("id", F.posexplode(blocks).alias("place", "segment")).where(F.col("segment").rlike(holds))
+    return _nearest(segments, BLOCK_TEMPLATES, least)
+
+
+def _nearest(segments: DataFrame, templates: tuple[tuple[str, str], ...], least: float) -> DataFrame:
+    """(id, place, licence, cosine, chars) of each of the segments (id, place, segment) that reaches a template."""
+    spark = segments.sparkSession
+    weights, idf, unseen = template_weights(templates)
+    segments = segments.select("id", "place", F.char_length("segment").alias("chars"), F.explode(F.filter(F.split(F.lower("segment"), TERM_BREAK), lambda t: (t != "") & ~t.isin(*FUNCTION_WORDS))).alias("term"))
     counted = segments.groupBy("id", "place", "chars", "term").agg(F.count("*").alias("tf"))
     # the template tables are fixed values of some hundred rows
     known = F.broadcast(_values(spark, sorted(idf.items()), "term, idf"))
@@ -105,7 +186,7 @@ def segment_matches(files: DataFrame, least: float) -> DataFrame:
     dots = valued.join(of_templates, "term").groupBy("id", "place", "template", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
     cosines = dots.join(norms, ["id", "place"]).select("id", "place", "chars", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= least)
     best = F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("best")
-    return cosines.groupBy("id", "place", "chars").agg(best).select("id", "chars", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("cosine"))
+    return cosines.groupBy("id", "place", "chars").agg(best).select("id", "place", "chars", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("cosine"))
 
 
 def licence_scan(files: DataFrame, least: float = 0.75, file_share: float = 0.25) -> DataFrame:
@@ -113,10 +194,13 @@ def licence_scan(files: DataFrame, least: float = 0.75, file_share: float = 0.25
     files = files.select("id", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
     placed = files.select("id", "path", directory.alias("dir"), F.char_length("text").alias("text_chars"))
-    matched = segment_matches(files.select("id", "text").distinct(), least)
+    texts = files.select("id", "text").distinct()
+    lines = segment_matches(texts, least).withColumn("is_text", F.lit(False))
+    blocks = block_matches(texts, least).withColumns({"is_text": F.col("place") == 0, "chars": F.lit(0)})
+    matched = lines.unionByName(blocks)
     best = F.min(F.struct((-F.col("cosine")).alias("less"), "licence"))
-    by_file = matched.groupBy("id").agg(best.alias("best"), F.sum("chars").alias("licence_chars")).select("id", F.col("best.licence").alias("own"), (-F.col("best.less")).alias("own_cosine"), "licence_chars")
-    own = placed.join(by_file, "id", "left").withColumn("is_file", F.coalesce(F.col("licence_chars") >= F.col("text_chars") * file_share, F.lit(False)))
+    by_file = matched.groupBy("id").agg(best.alias("best"), F.sum("chars").alias("licence_chars"), F.max("is_text").alias("is_text")).select("id", "is_text", F.col("best.licence").alias("own"), (-F.col("best.less")).alias("own_cosine"), "licence_chars")
+    own = placed.join(by_file, "id", "left").withColumn("is_file", F.coalesce(F.col("is_text") | (F.col("licence_chars") >= F.col("text_chars") * file_share), F.lit(False)))
     by_dir = own.where("is_file").groupBy("dir").agg(F.min(F.struct((-F.col("own_cosine")).alias("less"), F.col("own").alias("licence"), "path")).alias("best"))
     by_dir = by_dir.select(F.col("dir").alias("from_dir"), F.col("best.licence").alias("dir_licence"), (-F.col("best.less")).alias("dir_cosine"))
     levels = F.split("dir", "/")
