@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -138,6 +139,25 @@ def test_wrapped_licences(spark):
     assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 7: (None, "none"), **{k: (v, "header") for k, v in header.items()}}
 
 
+def test_long_licence_files(spark):
+    """Files of long licences by a paragraph that only they have, wrapped, amid much other text; and their directories."""
+    other = "\n\n".join(" ".join(f"clause{(7 * k + j) % 301}" for j in range(80)) for k in range(60))
+    wrap = lambda text: "\n".join(textwrap.wrap(text, 60, initial_indent="  "))
+    rows = [(k, f"{licence}/COPYING", f"   Title\n\n{wrap(text)}\n\n{other}") for k, (licence, text) in enumerate(licences.OPENINGS)]
+    rows += [(100 + k, f"{licence}/src/deep/x.py", "import os") for k, (licence, _) in enumerate(licences.OPENINGS)]
+    got = {r.id: (r.licence, r.origin) for r in licences.licence_scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    for k, (licence, _) in enumerate(licences.OPENINGS):
+        assert got[k] == (licence, "file") and got[100 + k] == (licence, "inherited")
+
+
+def test_licences_of_clashing_ids(spark):
+    """Rows of one id, or of none, are judged each by its own text; a text over 1 MB is searched to its end."""
+    long = "plain words here\n" * 80_000 + "Released under the MIT License."
+    rows = [(1, "a/x", "Released under the MIT License. " + "code " * 90), (1, "b/x", "nothing " * 20), (None, "c/x", "Licensed under CC BY 4.0."), (None, "d/x", "none"), (2, "e/x", long)]
+    got = sorted((r.path, r.licence, r.origin) for r in licences.licence_scan(spark.createDataFrame(rows, "id long, path string, text string")).collect())
+    assert got == [("a/x", "MIT", "header"), ("b/x", None, "none"), ("c/x", "CC-BY-4.0", "file"), ("d/x", None, "none"), ("e/x", "MIT", "header")]
+
+
 def test_trigger_words_cover_every_template():
     weights, _, _ = licences.template_weights()
     chosen = set(licences.trigger_words(weights, 0.75))
