@@ -8,7 +8,7 @@ import pytest
 from tests.conftest import SMALL
 from tests.llm.conftest import ODD_TEXTS
 from turnloom.llm.components import connected_components
-from turnloom.llm.near_dup import near_duplicates
+from turnloom.llm.near_dup import keep_one, near_duplicates
 
 
 def _sets(rows):
@@ -82,3 +82,57 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 50, 50: 50, 60: 50, 70: 50}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("total", range(7))
+def test_few_words_alone(make, total):
+    """A batch of few words in all, in one text or in several, one row a partition."""
+    words = ["two", "Words", "and", "more", "of", "them"][:total]
+    for rows in ([(1, " ".join(words))], list(enumerate(words)), [(1, " ".join(words[:1])), (2, " ".join(words[1:])), (3, "")]):
+        docs = make(rows)
+        assert _got(near_duplicates(docs.repartition(max(1, len(rows))))) == _brute(rows)
+
+
+def test_short_text_between_very_long_ones(make):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, long + " x"), (2, "two words"), (3, long + " y"), (4, "z")]
+    assert len(long) > 1 << 20
+    assert _got(near_duplicates(make(rows).coalesce(1))) == _brute(rows)
+
+
+BASE = [f"b{k}" for k in range(60)]
+#: one id with two texts, one of them near to another id's; a repeated row; rows without id and without words
+CLASHING = [
+    (5, " ".join(BASE)),
+    (5, "quite another text that nobody else has here"),
+    (5, "quite another text that nobody else has here"),
+    (3, " ".join([*BASE[:-1], "changed"])),
+    (9, "quite another text that nobody else has here"),
+    (None, " ".join(BASE)),
+    (7, ""),
+    (7, None),
+    (7, ""),
+    (8, " \t"),
+]
+
+
+def test_one_id_with_several_texts(make):
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in near_duplicates(make(CLASHING)).collect())
+    assert got == sorted(
+        [(5, 56, 3, False), (5, 4, 5, True), (5, 4, 5, True), (3, 56, 3, True), (9, 4, 5, False), (-1, 56, -1, True), (7, 0, 7, True), (7, 0, 7, True), (7, 0, 7, True), (8, 0, 8, True)]
+    )
+
+
+def test_keep_one(spark, make):
+    docs = make(CLASHING).selectExpr("*", "1 AS kept_id", "2 AS own_id", "3 AS own_text", "4 AS component")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or -1, r.text or "") for r in kept.collect())
+    assert got == sorted([(3, CLASHING[3][1]), (5, CLASHING[1][1]), (-1, CLASHING[5][1]), (7, ""), (7, ""), (7, ""), (8, " \t")])
+    assert keep_one(docs.limit(0)).count() == 0
+
+
+def test_other_thresholds(spark):
+    """Links from 0.8 on, with bands for that: against brute force over a whole table."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert _got(near_duplicates(docs, least=80, bands=64)) == _brute([(r.doc_id, r.text) for r in docs.collect()], 80)

@@ -12,8 +12,10 @@ With 32 bands of 8 minima, a pair of similarity 0.85 shares no band with probabi
 512 minima falls below `estimate` with probability 4e-6 or less.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer words than a shingle has one
-shingle, all its words; equal texts (repeated rows included) are linked; a row without id is linked with nothing; ties of leaders go to the least id; an empty table gives no rows;
-further columns are ignored.
+shingle, all its words; equal texts (repeated rows included) are linked; rows of one id with different texts are judged each by its own
+text, and have each the least id of its own component; a row without id is linked with nothing (component_id null, kept); ties of leaders go
+to the least class number, which changes no result; a very long text is a slice of its own; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from turnloom.llm.storage import materialise
 from turnloom.llm.textops import Words, mix, shingles, slices, unique_sets, utf8_of
 
 BLOCK = 512
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_digest binary, bands array<long>, signature binary"
+PAIRS_PER_TASK = 2000
+WORD = r"[^\x20\x09-\x0D]"
+SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, set_digest binary, bands array<long>, signature binary"
 
 
 def hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +73,7 @@ def text_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.nda
 def _sketcher(words: int, bands: int, rows: int, hashes: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8_of(batch.column(1))
+            data, offsets = utf8_of(batch.column("text"))
             for i, j in slices(offsets, 1 << 20):
                 flat, first = text_sets(data, offsets[i : j + 1], words)
                 sizes = np.diff(first)
@@ -85,8 +89,8 @@ def _sketcher(words: int, bands: int, rows: int, hashes: int):
                     at += sizes[k] > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((sizes > 0) * bands)]), pa.int32()), pa.array(keys.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(signature, pa.binary())],
-                    names=["doc_id", "n_shingles", "set_digest", "bands", "signature"],
+                    [batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(signature, pa.binary())],
+                    names=["doc_id", "text_key", "n_shingles", "set_digest", "bands", "signature"],
                 )
 
     return sketch
@@ -103,7 +107,7 @@ def _alike(batches: Iterator[pa.RecordBatch], estimate: float) -> Iterator[pa.Re
 
 def _block_pairs(estimate: float, least: int, most: int):
     def compare(left, right):
-        """Pairs whose first common band is this bucket's, so that each is found in one bucket; of two rows outside the largest component, from the greater id."""
+        """Pairs whose first common band is this bucket's, so that each is found in one bucket; of two rows outside the largest component, from the greater number."""
         import pandas as pd
 
         found = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})]
@@ -111,14 +115,14 @@ def _block_pairs(estimate: float, least: int, most: int):
             key = left["key_"].iloc[0]
             one, two = (np.frombuffer(b"".join(x), dtype=np.uint8).reshape(len(x), -1) for x in (left["signature_"], right["signature"]))
             bands_one, bands_two = np.stack(left["bands_"]), np.stack(right["bands"])
-            ids, sizes, component, outside = (right[c].to_numpy() for c in ("rep", "n", "component", "outside"))
-            for i, (rep, n, own) in enumerate(zip(left["rep_"], left["n_"], left["component_"], strict=True)):
-                near = np.flatnonzero((component != own) & (most * sizes >= least * n) & (most * n >= least * sizes) & (~outside | (ids < rep)))
+            ids, sizes, component, outside = (right[c].to_numpy() for c in ("node", "n", "component", "outside"))
+            for i, (node, n, own) in enumerate(zip(left["node_"], left["n_"], left["component_"], strict=True)):
+                near = np.flatnonzero((component != own) & (most * sizes >= least * n) & (most * n >= least * sizes) & (~outside | (ids < node)))
                 shared = bands_two[near] == bands_one[i]
                 near = near[bands_one[i][shared.argmax(axis=1)] == key]
                 near = near[(two[near] == one[i]).mean(axis=1) >= estimate]
                 if len(near):
-                    found.append(pd.DataFrame({"a": np.maximum(ids[near], rep), "b": np.minimum(ids[near], rep)}))
+                    found.append(pd.DataFrame({"a": np.maximum(ids[near], node), "b": np.minimum(ids[near], node)}))
         return pd.concat(found)
 
     return compare
@@ -152,43 +156,52 @@ def _confirmer(words: int, least: int, most: int):
 class NearDuplicates:
     """least / most is the similarity from which two texts are linked, as a fraction of whole numbers."""
 
-    def __init__(self, docs: DataFrame, words: int = 5, least: int = 85, most: int = 100, bands: int = 32, rows: int = 8, hashes: int = 512, estimate: float | None = None, leader_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, words: int = 5, least: int = 85, most: int = 100, bands: int = 32, rows: int = 8, hashes: int = 512, estimate: float | None = None, leader_rounds: int = 1, salt_pairs: int = 512, id_col: str = "doc_id", text_col: str = "text"):
         self.words, self.least, self.most, self.bands, self.rows, self.hashes = words, least, most, bands, rows, hashes
         share = least / most
         self.estimate = share - 4.5 * (share * (1 - share) / hashes) ** 0.5 if estimate is None else estimate
-        self.leader_rounds = leader_rounds
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.leader_rounds, self.salt_pairs = leader_rounds, salt_pairs
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
     def _sketches(self) -> DataFrame:
         return self.docs.mapInArrow(_sketcher(self.words, self.bands, self.rows, self.hashes), SKETCH_SCHEMA)
 
     def _candidates(self, classes: DataFrame, bucketed: DataFrame) -> DataFrame:
-        """(rep, n, bands, signature, text) of the classes that share a band key: all that later steps read. The texts are dealt out by id once."""
-        wanted = classes.join(bucketed.select("rep").distinct().hint("merge"), "rep")
-        texts = self.docs.dropna(subset=["doc_id"]).select(F.col("doc_id").alias("rep"), "text")
-        return materialise(texts.join(wanted.hint("merge"), "rep").dropDuplicates(["rep"]), "candidates")
+        """(node, n, bands, signature, text) of the classes that share a band key: all that later steps read. The texts are dealt out by id once."""
+        wanted = classes.drop("set_digest").join(bucketed.select("node").distinct().hint("merge"), "node")
+        texts = self.docs.dropna(subset=["doc_id"])
+        found = texts.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("node", "n", "bands", "signature", "text")
+        return materialise(found.dropDuplicates(["node"]), "candidates")
 
     def _confirmed(self, pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-        """Links among distinct pairs (a > b): by signature, then on full sets."""
-        signed = candidates.select("rep", "signature")
-        near = pairs.join(signed.select(F.col("rep").alias("a"), F.col("signature").alias("signature_a")), "a").join(signed.select(F.col("rep").alias("b"), F.col("signature").alias("signature_b")), "b")
+        """Links among distinct pairs (a > b): by signature, then on full sets. A node's pairs are dealt over as many tasks as their number asks for."""
+        signed = candidates.select("node", "signature")
+        near = pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("signature_a")), "a").join(signed.select(F.col("node").alias("b"), F.col("signature").alias("signature_b")), "b")
         estimate = self.estimate
         near = materialise(near.select("a", "b", "signature_a", "signature_b").mapInArrow(lambda it: _alike(it, estimate), "a long, b long"), "near-pairs")
-        salted = near.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(16)).alias("salt"))
-        wanted = salted.select(F.col("a").alias("rep"), "a", "b", "salt").unionByName(salted.select(F.col("b").alias("rep"), F.lit(None).cast("long").alias("a"), "b", "salt").distinct())
-        texts = wanted.join(candidates.select("rep", "text"), "rep").select("b", "salt", "a", "text")
-        dealt = texts.repartition(F.col("b"), F.col("salt")).sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+        salts = near.groupBy("b").agg(F.ceil(F.count("*") / self.salt_pairs).alias("salts"))
+        salted = near.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+        wanted = salted.select(F.col("a").alias("node"), "a", "b", "salt").unionByName(salted.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("a"), "b", "salt").distinct())
+        texts = wanted.join(candidates.select("node", "text"), "node").select("b", "salt", "a", "text")
+        # the work of a pair is large next to its bytes, so the number of tasks follows the pairs
+        tasks = max(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), near.count() // PAIRS_PER_TASK)
+        dealt = texts.repartition(tasks, F.col("b"), F.col("salt")).sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
         return materialise(dealt.mapInArrow(_confirmer(self.words, self.least, self.most), "a long, b long").distinct(), "confirmed")
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
-        """(membership, classes): (doc_id, n_shingles, set_digest) of each row; and of each distinct set (set_digest, rep, n, bands, signature)."""
+        """(membership, classes): (doc_id, n_shingles, set_digest) of each row; and of each distinct set its number, its least row and sketches.
+
+        The numbers are given while the table is written, so later reads agree on them.
+        """
         sketches = materialise(self._sketches(), "sketches")
-        classes = sketches.where("n_shingles > 0").groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-        return sketches.select("doc_id", "n_shingles", "set_digest"), materialise(classes.where("rep is not null"), "classes")
+        sets = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("set_digest")
+        least = sets.agg(F.min(F.struct("doc_id", "text_key")).alias("own"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+        classes = least.select(F.monotonically_increasing_id().alias("node"), "own.doc_id", "own.text_key", "set_digest", "n", "bands", "signature")
+        return sketches.select("doc_id", "n_shingles", "set_digest"), materialise(classes, "classes")
 
     def components(self, classes: DataFrame) -> DataFrame:
         """(node, component) of every class that is linked with another."""
-        keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
+        keyed = classes.select("node", "n", F.explode("bands").alias("key"))
         shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "shared-keys")
         bucketed = materialise(keyed.join(shared.hint("merge"), "key"), "buckets")
         candidates = self._candidates(classes, bucketed)
@@ -197,14 +210,14 @@ class NearDuplicates:
             members = bucketed if components is None else self._open_buckets(bucketed, components)
             if components is not None and members.isEmpty():
                 return components
-            order = F.col("rep") if components is None else F.xxhash64("rep", F.lit(turn))
-            rank = F.struct(order.alias("at"), *[c for c in ("rep", "n", "component") if c in members.columns])
+            order = F.col("node") if components is None else F.xxhash64("node", F.lit(turn))
+            rank = F.struct(order.alias("at"), *[c for c in ("node", "n", "component") if c in members.columns])
             leaders = materialise(members.groupBy("key").agg(F.min(rank).alias("lead")), "leaders")
-            pairs = members.join(leaders, "key").where(F.col("rep") != F.col("lead.rep"))
+            pairs = members.join(leaders, "key").where(F.col("node") != F.col("lead.node"))
             if components is not None:
                 pairs = pairs.where(F.col("component") != F.col("lead.component"))
             pairs = pairs.where((F.col("n") * self.most >= F.col("lead.n") * self.least) & (F.col("lead.n") * self.most >= F.col("n") * self.least))
-            pairs = pairs.select(F.greatest("rep", "lead.rep").alias("a"), F.least("rep", "lead.rep").alias("b")).distinct()
+            pairs = pairs.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = materialise(pairs, "leader-pairs")
@@ -220,7 +233,7 @@ class NearDuplicates:
 
     def _open_buckets(self, bucketed: DataFrame, components: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component."""
-        known = materialise(bucketed.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+        known = materialise(bucketed.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
         several = materialise(known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "open-keys")
         return materialise(known.join(several, "key"), "open-buckets")
 
@@ -229,26 +242,51 @@ class NearDuplicates:
         sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
         largest = materialise(sizes.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most")), "bucket-sizes")
         blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-        joined = members.join(largest, "key").join(candidates.select("rep", "bands", "signature"), "rep")
+        joined = members.join(largest, "key").join(candidates.select("node", "bands", "signature"), "node")
         joined = joined.withColumns({"n_right": blocks(F.col("all")), "n_left": blocks(F.col("all") - F.col("most")), "outside": F.col("component") != F.col("largest")})
-        own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = joined.where("outside").withColumn("l", own("n_left")).withColumn("r", every("n_right"))
         right = joined.withColumn("r", own("n_right")).withColumn("l", every("n_left"))
-        columns = ["key", "l", "r", "rep", "n", "component", "outside", "bands", "signature"]
+        columns = ["key", "l", "r", "node", "n", "component", "outside", "bands", "signature"]
         # new names on one side, as both come from one table
         left = left.select(*[F.col(c).alias(f"{c}_") for c in columns]).groupBy("key_", "l_", "r_")
         pairs = left.cogroup(right.select(*columns).groupBy("key", "l", "r"))
         return pairs.applyInPandas(_block_pairs(self.estimate, self.least, self.most), "a long, b long").distinct()
 
+    def labelled(self, classes: DataFrame) -> DataFrame:
+        """(set_digest, doc_id, text_key, component) of every class, with its least row."""
+        joined = classes.select("set_digest", "node", "doc_id", "text_key").join(self.components(classes), "node", "left")
+        return materialise(joined.select("set_digest", "doc_id", "text_key", F.coalesce("component", "node").alias("component")), "labelled-classes")
+
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) of every row."""
         membership, classes = self.classes()
-        components = self.components(classes)
-        named = materialise(classes.select("set_digest", F.col("rep")).join(components.withColumnRenamed("node", "rep"), "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("component")), "named-classes")
-        joined = membership.join(named, "set_digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-        return joined.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        labelled = self.labelled(classes)
+        least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = materialise(labelled.join(least, "component").select("set_digest", "component_id"), "named-classes")
+        # rows without words, or without id, are past the join: they would all meet in one key
+        grouped = F.col("n_shingles") > 0
+        inside = membership.where(grouped & F.col("doc_id").isNotNull()).join(named, "set_digest").select("doc_id", "n_shingles", "component_id")
+        outside = membership.where(~grouped | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return inside.unionByName(outside).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+    def representatives(self) -> DataFrame:
+        """(doc_id, text_key) of the least row of each component."""
+        _, classes = self.classes()
+        return self.labelled(classes).groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("own")).select("own.doc_id", "own.text_key")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return NearDuplicates(docs, **options).result()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, but one of each component: that of the least id. Rows without words or without id stay."""
+    taken = {c.lower() for c in docs.columns}
+    names = [next(f"{stem}{'_' * k}" for k in range(len(taken) + 1) if f"{stem}{'_' * k}" not in taken) for stem in ("own_id", "own_text")]
+    own = NearDuplicates(docs, id_col=id_col, text_col=text_col, **options).representatives().toDF(*names)
+    keyed = docs.withColumns({names[0]: F.col(id_col).cast("long"), names[1]: F.xxhash64(text_col)})
+    grouped = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)) & F.col(names[0]).isNotNull()
+    first = keyed.where(grouped).join(own, names, "left_semi").dropDuplicates(names)
+    return first.unionByName(keyed.where(~grouped)).drop(*names)

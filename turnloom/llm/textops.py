@@ -118,7 +118,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     gram = np.zeros(len(h), dtype=np.uint64)
     factor = np.uint64(1)
     with np.errstate(over="ignore"):
-        for j in range(size):
+        for j in range(min(size, len(h))):
             gram[: len(h) - j] += h[j:] * factor
             factor = factor * base
     whole = np.arange(len(h)) + size <= words.first[1:][words.text_of]
