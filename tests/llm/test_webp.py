@@ -1,10 +1,12 @@
 """Round trips through every feature of the format."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from tests.conftest import SMALL
 from turnloom.llm import media, webp
 
 
@@ -50,3 +52,70 @@ def test_payload(raw):
     pixels = media.load(media.store(payload))
     assert pixels.tobytes() == payload
     assert media.feature(pixels) == media.feature(media.load(media.store(payload)))
+
+
+@pytest.mark.parametrize("kind", ["noise", "few", "one", "ramp"])
+@pytest.mark.parametrize("size", [(1, 1), (1, 9), (7, 1), (13, 11), (90, 16)])
+def test_best_round_trip(kind, size):
+    pixels = _picture(kind, *size)
+    stored = webp.encode_best(pixels)
+    (back,) = webp.decode(stored)
+    assert np.array_equal(back, pixels)
+
+
+def _features(pixels):
+    trace, stored = Counter(), webp.encode_best(pixels)
+    (back,) = webp.decode(stored, trace)
+    assert np.array_equal(back, pixels) and len(stored) < pixels.nbytes
+    return set(trace)
+
+
+def test_choice_of_transforms():
+    """Each transform is chosen for data that it suits, and undone."""
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 256, (1, 16, 4)).repeat(200, axis=0).astype(np.uint8)
+    rows[::7] = rng.integers(0, 256, (29, 16, 4))
+    assert "predictor" in _features(rows)
+    grey = rng.integers(0, 60, (200, 16, 4)).astype(np.uint8)
+    grey[..., 0], grey[..., 2], grey[..., 3] = grey[..., 1] + 1, grey[..., 1], 255
+    assert "subtract-green" in _features(grey)
+    half = rng.integers(0, 120, (200, 16, 4)).astype(np.uint8)
+    half[..., 0], half[..., 3] = half[..., 1] >> 1, 255
+    assert "cross-colour" in _features(half)
+    assert "palette" in _features(rng.integers(0, 256, (5, 4)).astype(np.uint8)[rng.integers(0, 5, (200, 16))])
+
+
+def test_row_modes():
+    """The inverse by rows equals the inverse by pixels."""
+    rng = np.random.default_rng(2)
+    argb = rng.integers(0, 1 << 32, 40 * 16, dtype=np.uint64).astype(np.uint32)
+    for mode in webp.ROW_MODES:
+        modes = np.full(-(-40 // 16), mode)
+        left = webp.apply_predictor(argb, 16, 4, modes)
+        assert np.array_equal(webp.channels(left), webp.residuals(argb, 16, mode).reshape(-1, 4))
+        assert np.array_equal(webp.undo_predictor(left, 16, 4, modes.astype(np.uint32)), argb)
+
+
+def test_features_of_documents(spark):
+    """What the query stores for whole documents: fitted codes, copies, cache and palettes, smaller than the texts; other transforms do not pay on prose."""
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    trace, stored, payload = Counter(), 0, 0
+    for raw in texts:
+        own, used = media.padded(raw), Counter()
+        file = media.store(own)
+        assert np.concatenate(webp.decode(file, used)).tobytes() == own
+        trace.update(used.keys())
+        stored, payload = stored + len(file), payload + len(own)
+    assert stored < 0.6 * payload
+    assert trace["literal"] > 150 and trace["copy"] > 100 and trace["cache"] > 100 and trace["palette"] > 0
+
+
+def test_long_payload():
+    """More rows than a file may have, more bits than a window."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(4000)]
+    raw = b" ".join(words[k] for k in rng.integers(0, 4000, 300_000))
+    payload = media.padded(raw)
+    assert len(payload) > 64 * webp.MAX_SIDE
+    stored = media.store(payload)
+    assert media.load(stored).tobytes() == payload and len(stored) < len(payload)

@@ -1,14 +1,17 @@
 """Lossless WebP (VP8L) images in numpy: the decoder in full, and an encoder that can use every feature that it reads.
 
 An image is an array (height, width, 4) of R, G, B, A bytes. Decoding follows the public format specification: prefix codes,
-back-references, colour cache, meta prefix codes, and the inverse of the predictor, cross-colour, subtract-green and palette transforms. A run of
-literals whose codes all have one length a channel (what the default encoder writes) is read by array operations.
+back-references, colour cache, meta prefix codes, and the inverse of the predictor, cross-colour, subtract-green and palette transforms.
+
+Where one group of codes holds for the image, tokens are found by array operations: for every bit of a window the place of the token that
+would follow one starting there, then only those places that a walk from the first token meets are read. `encode_best` chooses transforms,
+cache and references from the data, by estimates of the stored size.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -40,55 +43,48 @@ class Reader:
             raise ValueError("the image data ends too early")
         return (int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
 
-    def peek(self, n: int) -> int:
-        at = self.pos
-        return (int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
+
+@lru_cache(maxsize=16)
+def _reversed(n: int) -> np.ndarray:
+    """The numbers below 2**n with their bits in reverse order."""
+    out = np.zeros(1, dtype=np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
 
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
-    """Codes by length, then symbol."""
-    codes, code, last = np.zeros(len(lengths), dtype=np.int64), 0, 0
-    for symbol in sorted(np.flatnonzero(lengths).tolist(), key=lambda s: (lengths[s], s)):
-        code <<= int(lengths[symbol]) - last
-        last = int(lengths[symbol])
-        codes[symbol] = code
-        code += 1
+    """Codes by length, then symbol, as they are written: the first bit lowest."""
+    codes, used = np.zeros(len(lengths), dtype=np.int64), np.flatnonzero(lengths)
+    own = lengths[used]
+    order = np.argsort(own, kind="stable")
+    before = np.concatenate([[0], np.cumsum(1 << (15 - own[order]))[:-1]])
+    codes[used[order]] = _reversed(15)[before]
     return codes
 
 
 class Prefix:
-    """A prefix code; one symbol takes no bits."""
+    """A prefix code; one symbol takes no bits. table: symbol << 4 | length for each value of the next `bits` bits."""
 
     def __init__(self, lengths: np.ndarray):
-        self.lengths = np.asarray(lengths, dtype=np.int64)
-        used = np.flatnonzero(self.lengths)
+        used = np.flatnonzero(lengths)
+        own = lengths[used]
         self.only = int(used[0]) if len(used) == 1 else None
-        if len(used) != 1 and np.sum(0.5 ** self.lengths[used]) != 1:
+        self.last_symbol = int(used[-1]) if len(used) else 0
+        if self.only is not None:
+            self.bits, self.table = 0, used << 4
+            return
+        self.bits = int(own.max(initial=0))
+        if not len(used) or int((1 << (self.bits - own)).sum()) != 1 << self.bits:
             raise ValueError("a prefix code is not complete")
-        self.bits = 0 if self.only is not None else int(self.lengths.max())
-        own = self.lengths[used]
-        self.uniform = self.only is not None or bool((own == own[0]).all())
-        self.last_symbol = int(used[-1])
-        self._used, self._table = used, None
-
-    @property
-    def table(self) -> list[tuple[int, int]]:
-        if self._table is None:
-            codes, table = canonical(self.lengths), [(0, 0)] * (1 << self.bits)
-            for s in self._used.tolist():
-                n = int(self.lengths[s])
-                low = int(f"{codes[s]:0{n}b}"[::-1], 2)
-                for high in range(1 << (self.bits - n)):
-                    table[high << n | low] = (s, n)
-            self._table = table
-        return self._table
+        order = np.argsort(own, kind="stable")
+        self.table = np.repeat(used[order] << 4 | own[order], 1 << (self.bits - own[order]))[_reversed(self.bits)]
 
     def next(self, bits: Reader) -> int:
-        if self.only is not None:
-            return self.only
-        symbol, n = self.table[bits.peek(self.bits)]
-        bits.read(n)
-        return symbol
+        at = bits.pos
+        entry = int(self.table[(int.from_bytes(bits.data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7)) & ((1 << self.bits) - 1)])
+        bits.read(entry & 15)
+        return entry >> 4
 
 
 def _read_prefix(bits: Reader, alphabet: int) -> Prefix:
@@ -104,23 +100,51 @@ def _read_prefix(bits: Reader, alphabet: int) -> Prefix:
         own[CODE_LENGTH_ORDER[k]] = bits.read(3)
     code = Prefix(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    symbol, before = 0, 8
-    while symbol < alphabet and left > 0:
+    table, mask, at = code.table.tolist(), (1 << code.bits) - 1, bits.pos
+    # a token takes 14 bits at most
+    word = int.from_bytes(bits.data[at >> 3 : (at + 14 * alphabet + 7) >> 3], "little") >> (at & 7)
+    out: list[int] = []
+    before = 8
+    while len(out) < alphabet and left > 0:
         left -= 1
-        n = code.next(bits)
+        entry = table[word & mask]
+        n, size = entry >> 4, entry & 15
+        word >>= size
         if n < 16:
-            lengths[symbol] = n
-            symbol += 1
+            out.append(n)
             before = n or before
         else:
-            times, value = (3 + bits.read(2), before) if n == 16 else (3 + bits.read(3), 0) if n == 17 else (11 + bits.read(7), 0)
-            if symbol + times > alphabet:
-                raise ValueError("too many code lengths")
-            lengths[symbol : symbol + times] = value
-            symbol += times
+            extra, least = ((2, 3), (3, 3), (7, 11))[n - 16]
+            out += [before if n == 16 else 0] * (least + (word & ((1 << extra) - 1)))
+            word >>= extra
+            size += extra
+        at += size
+    if len(out) > alphabet:
+        raise ValueError("too many code lengths")
+    if at > 8 * len(bits.data):
+        raise ValueError("the image data ends too early")
+    bits.pos = at
+    lengths[: len(out)] = out
     return Prefix(lengths)
 
 
+def _read_codes(bits: Reader, sizes: tuple[int, ...]) -> list[Prefix]:
+    """A code for each alphabet; one written like the code before it is not built again."""
+    out: list[Prefix] = []
+    text = lambda at, n: (int.from_bytes(bits.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
+    last, n = 0, 0
+    for k, size in enumerate(sizes):
+        if k and sizes[k - 1] == size and bits.pos + n <= 8 * len(bits.data) and text(bits.pos, n) == last:
+            out.append(out[-1])
+            bits.pos += n
+            continue
+        at = bits.pos
+        out.append(_read_prefix(bits, size))
+        n = bits.pos - at
+        last = text(at, n)
+    return out
+
+
 def _value(prefix: int, bits: Reader) -> int:
     if prefix < 4:
         return prefix + 1
@@ -128,59 +152,171 @@ def _value(prefix: int, bits: Reader) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def _literals(bits: Reader, group: list[Prefix], n: int) -> np.ndarray:
-    """n literal pixels whose codes have one length a channel, as ARGB numbers."""
-    widths = [0 if c.only is not None else c.bits for c in group[:4]]
-    per = sum(widths)
-    if bits.pos + n * per > 8 * len(bits.data):
-        raise ValueError("the image data ends too early")
-    first = bits.pos >> 3
-    raw = np.frombuffer(bits.data, dtype=np.uint8)[first : (bits.pos + n * per + 7) >> 3]
-    cells = np.unpackbits(raw, bitorder="little")[bits.pos & 7 :][: n * per].reshape(n, per)
-    bits.pos += n * per
-    out, at = np.zeros(n, dtype=np.uint32), 0
-    for code, width, shift in zip(group, widths, (8, 16, 0, 24), strict=False):
-        if code.only is not None:
-            symbol = np.uint32(code.only)
-        else:
-            value = np.zeros(n, dtype=np.uint16)
-            for k in range(width):
-                value = value << np.uint16(1) | cells[:, at + k]
-            symbol = code._used.astype(np.uint32)[value]
-        out |= symbol << np.uint32(shift)
-        at += width
-    return out
-
-
-def _read_pixels(bits: Reader, width: int, height: int, main: bool) -> np.ndarray:
+# Of length and distance prefixes: number of extra bits, and the value with all of them zero.
+_EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)])
+_LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
+WINDOW = 1 << 16
+
+
+def _windows(data: np.ndarray, first: int, n: int) -> np.ndarray:
+    """For each of n bits from bit 8 * first on, the 25 bits or more that begin there."""
+    own = data[first : first + (n >> 3) + 4].astype(np.int64)
+    words = own[:-3] | own[1:-2] << 8 | own[2:-1] << 16 | own[3:] << 24
+    return (words[:, None] >> np.arange(8)).ravel()
+
+
+def _token_runs(bits: Reader, group: list[Prefix], n: int):
+    """Runs of tokens of one group: (kind, value, extra, next place); kind 0 literal (ARGB), 1 cache (place), 2 copy (length, distance code)."""
+    tables = [c.table for c in group]
+    sizes = [t & 15 for t in tables]
+    masks = [(1 << c.bits) - 1 for c in group]
+    copies, end = group[0].last_symbol >= 256, 8 * len(bits.data)
+    # a token has at most 15 + 10 + 15 + 18 bits, so with 96 bits beyond its span a window holds every token that begins in the span
+    data = np.concatenate([np.frombuffer(bits.data, dtype=np.uint8), np.zeros(20, dtype=np.uint8)])
+    width, place = min(WINDOW, 64 * n), bits.pos
+    while place <= end:
+        base = place >> 3
+        span = min(width, end - 8 * base) + 8 & ~7
+        win = _windows(data, base, span + 96)
+        own = np.arange(span)
+        g = tables[0].take(win[:span] & masks[0])
+        after = (g & 15) + own
+        following = after.copy()
+        for k in (1, 2, 3):
+            if group[k].bits:
+                following = sizes[k].take(win.take(following) & masks[k]) + following
+        if copies:
+            special = np.flatnonzero(g >= 256 << 4)
+            symbol = g[special] >> 4
+            following[special] = after[special]
+            of_copy = symbol < 280
+            at, symbol = special[of_copy], symbol[of_copy] - 256
+            to = after[at] + _EXTRA[symbol]
+            d = tables[4].take(win.take(to) & masks[4])
+            following[at] = to + (d & 15) + _EXTRA[d >> 4]
+        view, places, p = memoryview(following), [], place - 8 * base
+        while p < span and len(places) < n:
+            places.append(p)
+            p = view[p]
+        at = np.array(places, dtype=np.int64)
+        symbol, a = g[at] >> 4, after[at]
+        parts = []
+        for k in (1, 2, 3):
+            entry = tables[k].take(win.take(a) & masks[k])
+            parts.append(entry >> 4)
+            a = a + (entry & 15)
+        kind, extra = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        value = parts[2] << 24 | parts[0] << 16 | symbol << 8 | parts[1]
+        if copies:
+            kind[symbol >= 280] = 1
+            value[kind == 1] = symbol[kind == 1] - 280
+            is_copy = np.flatnonzero((symbol >= 256) & (symbol < 280))
+            kind[is_copy] = 2
+            low = lambda where, count: win[where] & ((1 << count) - 1)
+            prefix, from_ = symbol[is_copy] - 256, after[at[is_copy]]
+            value[is_copy] = _LEAST[prefix] + low(from_, _EXTRA[prefix])
+            to = from_ + _EXTRA[prefix]
+            d = tables[4].take(win.take(to) & masks[4])
+            extra[is_copy] = _LEAST[d >> 4] + low(to + (d & 15), _EXTRA[d >> 4])
+        yield kind, value, extra, 8 * base + np.append(at[1:], p)
+        place = 8 * base + p
+    raise ValueError("the image data ends too early")
+
+
+def _distance(code: int, width: int) -> int:
+    if code > 120:
+        return code - 120
+    dx, dy = near_offsets()[code - 1]
+    return max(1, dx + dy * width)
+
+
+def _read_group(bits: Reader, group: list[Prefix], width: int, n: int, cache_bits: int, trace: Counter) -> np.ndarray:
+    """An image whose tokens all have one group of codes."""
+    if all(c.only is not None for c in group[:4]) and group[0].only < 256:
+        return np.full(n, group[3].only << 24 | group[1].only << 16 | group[0].only << 8 | group[2].only, dtype=np.uint32)
+    if group[0].last_symbol >= 280 + (1 << cache_bits if cache_bits else 0):
+        raise ValueError("a cache place is out of range")
+    shift = 32 - cache_bits
+    out: list[int] = []
+    slots: list[int] = []
+    cache = [0] * (1 << cache_bits)
+    if group[0].last_symbol < 256:
+        parts, left = [], n
+        for _, value, _, following in _token_runs(bits, group, n):
+            parts.append(value[:left])
+            if len(value) >= left:
+                bits.pos = int(following[left - 1])
+                break
+            left -= len(value)
+        if bits.pos > 8 * len(bits.data):
+            raise ValueError("the image data ends too early")
+        return np.concatenate(parts).astype(np.uint32)
+    for kind, value, extra, following in _token_runs(bits, group, n):
+        copy_at = np.flatnonzero(kind == 2)
+        trace.update(name for k, name in enumerate(("literal", "cache", "copy")) if (kind == k).any())
+        slot = np.where(kind == 1, value, (value * HASH & 0xFFFFFFFF) >> shift).tolist() if cache_bits else []
+        kinds, values, first = kind.tolist(), value.tolist(), 0
+        for stop in [*copy_at.tolist(), len(kinds)]:
+            # literals and cache places up to the next copy, or the last that the image needs
+            stop_ = min(stop, first + n - len(out))
+            if cache_bits:
+                for k, v, h in zip(kinds[first:stop_], values[first:stop_], slot[first:stop_], strict=True):
+                    if k:
+                        v = cache[h]
+                    else:
+                        cache[h] = v
+                    out.append(v)
+                slots += slot[first:stop_]
+            else:
+                out += values[first:stop_]
+            if len(out) == n or stop == len(kinds):
+                last = stop_ - 1
+                break
+            length, back = values[stop], _distance(int(extra[stop]), width)
+            start = len(out) - back
+            if start < 0 or len(out) + length > n:
+                raise ValueError("a back-reference leaves the image")
+            for grown in (out, slots) if cache_bits else (out,):
+                piece = grown[start : start + length]
+                grown += piece if len(piece) == length else (piece * (length // len(piece) + 1))[:length]
+            if cache_bits:
+                for v, h in zip(out[-length:], slots[-length:], strict=True):
+                    cache[h] = v
+            first, last = stop + 1, stop
+            if len(out) == n:
+                break
+        if len(out) == n:
+            bits.pos = int(following[last])
+            if bits.pos > 8 * len(bits.data):
+                raise ValueError("the image data ends too early")
+            return np.array(out, dtype=np.uint32)
+    raise ValueError("the image data ends too early")
+
+
+def _read_pixels(bits: Reader, width: int, height: int, main: bool, trace: Counter) -> np.ndarray:
     """An entropy-coded image as ARGB numbers, row by row."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     n, block, groups_of = width * height, 0, None
     if main and bits.read(1):
         block = bits.read(3) + 2
         wide = -(-width // (1 << block))
-        groups_of = (_read_pixels(bits, wide, -(-height // (1 << block)), False) >> np.uint32(8)) & np.uint32(0xFFFF)
+        groups_of = (_read_pixels(bits, wide, -(-height // (1 << block)), False, Counter()) >> np.uint32(8)) & np.uint32(0xFFFF)
     sizes = (256 + 24 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
-    groups = [[_read_prefix(bits, s) for s in sizes] for _ in range(1 if groups_of is None else int(groups_of.max()) + 1)]
-    if len(groups) == 1 and groups[0][0].last_symbol < 256 and all(c.uniform for c in groups[0][:4]):
-        return _literals(bits, groups[0], n)
+    groups = [_read_codes(bits, sizes) for _ in range(1 if groups_of is None else int(groups_of.max()) + 1)]
+    if len(groups) == 1:
+        return _read_group(bits, groups[0], width, n, cache_bits, trace)
     out: list[int] = []
     cache, cached = [0] * (1 << cache_bits), 0
     while len(out) < n:
         y, x = divmod(len(out), width)
-        green, red, blue, alpha, dist = groups[0 if groups_of is None else int(groups_of[(y >> block) * wide + (x >> block)])]
+        green, red, blue, alpha, dist = groups[int(groups_of[(y >> block) * wide + (x >> block)])]
         symbol = green.next(bits)
         if symbol < 256:
             r, b, a = red.next(bits), blue.next(bits), alpha.next(bits)
             out.append(a << 24 | r << 16 | symbol << 8 | b)
         elif symbol < 280:
             length = _value(symbol - 256, bits)
-            code = _value(dist.next(bits), bits)
-            if code > 120:
-                back = code - 120
-            else:
-                dx, dy = near_offsets()[code - 1]
-                back = max(1, dx + dy * width)
+            back = _distance(_value(dist.next(bits), bits), width)
             if back > len(out) or len(out) + length > n:
                 raise ValueError("a back-reference leaves the image")
             for _ in range(length):
@@ -194,13 +330,12 @@ def _read_pixels(bits: Reader, width: int, height: int, main: bool) -> np.ndarra
 
 
 def channels(argb: np.ndarray) -> np.ndarray:
-    """(..., 4) bytes: A, R, G, B."""
-    return np.stack([(argb >> np.uint32(s)) & np.uint32(255) for s in (24, 16, 8, 0)], axis=-1).astype(np.uint8)
+    """(..., 4) bytes of their own: A, R, G, B."""
+    return np.ascontiguousarray(argb.astype("<u4").view(np.uint8).reshape(*argb.shape, 4)[..., ::-1])
 
 
 def joined(parts: np.ndarray) -> np.ndarray:
-    p = parts.astype(np.uint32)
-    return p[..., 0] << np.uint32(24) | p[..., 1] << np.uint32(16) | p[..., 2] << np.uint32(8) | p[..., 3]
+    return np.ascontiguousarray(parts.astype(np.uint8)[..., ::-1]).view("<u4")[..., 0].astype(np.uint32)
 
 
 def _average(a: list[int], b: list[int]) -> list[int]:
@@ -241,13 +376,66 @@ def _neighbours(pixels: list[list[int]], at: int, x: int, y: int, width: int, mo
     return predicted(mode, pixels[at - 1], pixels[at - width], pixels[at - width + 1], pixels[at - width - 1])
 
 
+BLACK = np.array([255, 0, 0, 0], dtype=np.uint8)
+ROW_MODES = (0, 1, 2, 3, 4, 8, 9)
+
+
+def _from_above(mode: int, above: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Predictions of a row but for its first pixel, by a mode that looks at the row above only; `first` is what stands right of that row's end."""
+    top, left, right = above[1:], above[:-1], np.concatenate([above[2:], first[None]])[: len(above) - 1]
+    half = lambda a, b: (a & b) + ((a ^ b) >> 1)
+    return {2: top, 3: right, 4: left}[mode] if mode < 5 else half(left, top) if mode == 8 else half(top, right)
+
+
 def undo_predictor(argb: np.ndarray, width: int, block: int, modes: np.ndarray) -> np.ndarray:
-    rest, wide = channels(argb).tolist(), -(-width // (1 << block))
-    for at, own in enumerate(rest):
-        y, x = divmod(at, width)
-        guess = _neighbours(rest, at, x, y, width, int(modes[(y >> block) * wide + (x >> block)]) & 15)
-        rest[at] = [(p + q) & 255 for p, q in zip(own, guess, strict=True)]
-    return joined(np.array(rest, dtype=np.uint8))
+    rest, wide = channels(argb).reshape(-1, width, 4), -(-width // (1 << block))
+    rest[0, 0] += BLACK
+    np.cumsum(rest[0], axis=0, dtype=np.uint8, out=rest[0])
+    of_block = (modes & np.uint32(15)).reshape(-1, wide)
+    y = 1
+    while y < len(rest):
+        own = of_block[y >> block]
+        end = min(len(rest), ((y >> block) + 1) << block)
+        mode = int(own[0]) if (own == own[0]).all() else -1
+        rows = rest[y:end]
+        if mode in (0, 1, 2, 14, 15):
+            np.cumsum(rest[y - 1 : end, 0], axis=0, dtype=np.uint8, out=rest[y - 1 : end, 0])
+            if mode == 1:
+                np.cumsum(rows, axis=1, dtype=np.uint8, out=rows)
+            elif mode == 2:
+                np.cumsum(rest[y - 1 : end, 1:], axis=0, dtype=np.uint8, out=rest[y - 1 : end, 1:])
+            else:
+                rows[:, 1:] += BLACK
+        elif mode in ROW_MODES:
+            for k in range(y, end):
+                rest[k, 0] += rest[k - 1, 0]
+                rest[k, 1:] += _from_above(mode, rest[k - 1], rest[k, 0])
+        else:
+            flat = rest[y - 1 : end].reshape(-1, 4).tolist()
+            for at in range(width, len(flat)):
+                x = at % width
+                guess = _neighbours(flat, at, x, 1, width, int(own[x >> block]))
+                flat[at] = [(p + q) & 255 for p, q in zip(flat[at], guess, strict=True)]
+            rest[y - 1 : end] = np.array(flat, dtype=np.uint8).reshape(-1, width, 4)
+        y = end
+    return joined(rest.reshape(-1, 4))
+
+
+def residuals(argb: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """(rows, width, 4): what is left after one of ROW_MODES everywhere."""
+    own = channels(argb).reshape(-1, width, 4)
+    guess = np.empty_like(own)
+    guess[0, 0], guess[0, 1:], guess[1:, 0] = BLACK, own[0, :-1], own[:-1, 0]
+    if mode == 0:
+        guess[1:, 1:] = BLACK
+    elif mode == 1:
+        guess[1:, 1:] = own[1:, :-1]
+    else:
+        half = lambda a, b: (a & b) + ((a ^ b) >> 1)
+        top, left = own[:-1, 1:], own[:-1, :-1]
+        right = np.concatenate([own[:-1, 2:], own[1:, :1]], axis=1)[:, : width - 1]
+        guess[1:, 1:] = {2: top, 3: right, 4: left}[mode] if mode < 5 else half(left, top) if mode == 8 else half(top, right)
+    return own - guess
 
 
 def apply_predictor(argb: np.ndarray, width: int, block: int, modes: np.ndarray) -> np.ndarray:
@@ -294,9 +482,10 @@ def undo_palette(argb: np.ndarray, width: int, height: int, table: np.ndarray) -
     return full[index].ravel()
 
 
-def decode_vp8l(data: bytes) -> np.ndarray:
-    """(height, width, 4): R, G, B, A."""
-    bits = Reader(data)
+def decode_vp8l(data: bytes, trace: Counter | None = None) -> np.ndarray:
+    """(height, width, 4): R, G, B, A. trace counts the images that use a feature."""
+    bits, trace = Reader(data), Counter() if trace is None else trace
+    used: Counter = Counter()
     if bits.read(8) != 0x2F:
         raise ValueError("not a lossless image")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -306,18 +495,19 @@ def decode_vp8l(data: bytes) -> np.ndarray:
     undo, across = [], width
     while bits.read(1):
         kind = bits.read(2)
+        used.update([("predictor", "cross-colour", "subtract-green", "palette")[kind]])
         if kind in (PREDICTOR, CROSS_COLOR):
             block = bits.read(3) + 2
-            image = _read_pixels(bits, -(-across // (1 << block)), -(-height // (1 << block)), False)
+            image = _read_pixels(bits, -(-across // (1 << block)), -(-height // (1 << block)), False, Counter())
             undo.append((kind, across, block, image))
         elif kind == SUBTRACT_GREEN:
             undo.append((kind, across, 0, None))
         else:
             size = bits.read(8) + 1
-            steps = channels(_read_pixels(bits, size, 1, False))
+            steps = channels(_read_pixels(bits, size, 1, False, Counter()))
             undo.append((kind, across, 0, joined(np.cumsum(steps, axis=0, dtype=np.uint8))))
             across = -(-across // (1 << palette_bits(size)))
-    argb = _read_pixels(bits, across, height, True)
+    argb = _read_pixels(bits, across, height, True, used)
     for kind, wide, block, image in reversed(undo):
         if kind == PREDICTOR:
             argb = undo_predictor(argb, wide, block, (image >> np.uint32(8)) & np.uint32(255))
@@ -327,71 +517,89 @@ def decode_vp8l(data: bytes) -> np.ndarray:
             argb = add_green(argb, 1)
         else:
             argb = undo_palette(argb, wide, height, image)
+    trace.update(used.keys())
     return channels(argb)[:, [1, 2, 3, 0]].reshape(height, width, 4)
 
 
-def decode(stored: bytes) -> list[np.ndarray]:
+def decode(stored: bytes, trace: Counter | None = None) -> list[np.ndarray]:
     """The images of one or more files, one after another."""
     out, at = [], 0
     while at < len(stored):
         riff, size, webp, kind, own = struct.unpack_from("<4sI4s4sI", stored, at)
         if (riff, webp, kind) != (b"RIFF", b"WEBP", b"VP8L"):
             raise ValueError("not a lossless WebP file")
-        out.append(decode_vp8l(stored[at + 20 : at + 20 + own]))
+        out.append(decode_vp8l(stored[at + 20 : at + 20 + own], trace))
         at += 8 + size
     return out
 
 
 class Writer:
-    """Bits, least significant first; long arrays of codes are added at once."""
+    """Numbers of given bits, least significant bit first."""
 
     def __init__(self):
-        self.parts: list[np.ndarray] = []
-        self.small: list[int] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.values: list[int] = []
+        self.sizes: list[int] = []
 
     def write(self, value: int, n: int) -> None:
-        self.small += [value >> k & 1 for k in range(n)]
+        self.values.append(value)
+        self.sizes.append(n)
 
-    def add(self, bits: np.ndarray) -> None:
-        self.parts += [np.array(self.small, dtype=np.uint8), bits]
-        self.small = []
+    def append(self, other: Writer) -> None:
+        self.values += other.values
+        self.sizes += other.sizes
 
-    def bits(self) -> np.ndarray:
-        return np.concatenate([*self.parts, np.array(self.small, dtype=np.uint8)])
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.parts += [(np.array(self.values, dtype=np.int64), np.array(self.sizes, dtype=np.int64)), (values, sizes)]
+        self.values, self.sizes = [], []
 
     def bytes(self) -> bytes:
-        return np.packbits(self.bits(), bitorder="little").tobytes()
+        self.add(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        keep = sizes > 0
+        values, sizes = values[keep].astype(np.uint32), sizes[keep]
+        start = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(start.astype(np.int32), sizes)
+        cells = np.repeat(values, sizes) >> place.astype(np.uint32) & np.uint32(1)
+        return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
 
 
 def huffman(counts: np.ndarray, most: int) -> np.ndarray:
-    """Code lengths of at most `most` bits; rare symbols count as more frequent until they fit."""
+    """Code lengths of at most `most` bits; rare symbols count as more frequent until they fit. Leaves and sums wait in two queues."""
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), dtype=np.int64)
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    least = 1
+    order = used[np.argsort(counts[used], kind="stable")]
+    n, least = len(order), 1
     while True:
-        heap = [(max(int(counts[s]), least), i, [int(s)]) for i, s in enumerate(used)]
-        heapq.heapify(heap)
-        lengths[:] = 0
-        while len(heap) > 1:
-            (c, i, a), (d, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-            lengths[a + b] += 1
-            heapq.heappush(heap, (c + d, i, a + b))
-        if lengths.max() <= most:
+        weight = np.maximum(counts[order], least).tolist()
+        parent, leaf, inner = [0] * (2 * n - 1), 0, n
+        for made in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (inner >= made or weight[leaf] <= weight[inner]):
+                    pick, leaf = leaf, leaf + 1
+                else:
+                    pick, inner = inner, inner + 1
+                parent[pick] = made
+                total += weight[pick]
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= most:
+            lengths[order] = depth[:n]
             return lengths
         least *= 2
 
 
-def _length_tokens(lengths: list[int]) -> list[tuple[int, int, int]]:
-    """(symbol, extra bits, number of them) for a list of code lengths."""
-    out, at, before = [], 0, 8
-    while at < len(lengths):
-        value, run = lengths[at], 1
-        while at + run < len(lengths) and lengths[at + run] == value:
-            run += 1
-        at += run
+def _length_tokens(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+    """(symbol, extra bits, number of them) for an array of code lengths."""
+    out, before = [], 8
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(lengths)) + 1])
+    for value, run in zip(lengths[starts].tolist(), np.diff(starts, append=len(lengths)).tolist(), strict=True):
         if value == 0:
             while run >= 3:
                 k = min(run, 138)
@@ -406,7 +614,8 @@ def _length_tokens(lengths: list[int]) -> list[tuple[int, int, int]]:
                 k = min(run, 6)
                 out.append((16, k - 3, 2))
                 run -= k
-        out += [(value, 0, 0)] * run
+        if run:
+            out += [(value, 0, 0)] * run
     return out
 
 
@@ -420,42 +629,29 @@ def _write_prefix(out: Writer, lengths: np.ndarray) -> None:
         if len(used) == 2:
             out.write(used[1], 8)
         return
-    tokens = _length_tokens(lengths.tolist())
+    tokens = _length_tokens(lengths)
+    # zeros at the end are left out
+    while tokens[-1][0] in (0, 17, 18):
+        tokens.pop()
     own = huffman(np.bincount([t[0] for t in tokens], minlength=19), 7)
-    codes = canonical(own)
+    codes, sizes = canonical(own).tolist(), own.tolist()
+    if np.count_nonzero(own) == 1:
+        sizes = [0] * 19
     out.write(0, 1)
     n = max(4, 1 + max(k for k, s in enumerate(CODE_LENGTH_ORDER) if own[s]))
     out.write(n - 4, 4)
     for s in CODE_LENGTH_ORDER[:n]:
         out.write(int(own[s]), 3)
-    out.write(0, 1)
-    single = np.count_nonzero(own) == 1
+    out.write(1, 1)
+    count = max(len(tokens), 2)
+    tokens += [(0, 0, 0)] * (count - len(tokens))
+    width = max(1, (((count - 2).bit_length() + 1) // 2))
+    out.write(width - 1, 3)
+    out.write(count - 2, 2 * width)
     for symbol, extra, size in tokens:
-        if not single:
-            out.small += [int(codes[symbol]) >> k & 1 for k in range(int(own[symbol]) - 1, -1, -1)]
-        out.write(extra, size)
-
-
-@lru_cache(maxsize=256)
-def _uniform_header(widths: tuple[int, ...]) -> np.ndarray:
-    """The prefix codes of literals: of `widths` bits for green, red, blue and alpha; no distances."""
-    out = Writer()
-    for k, width in enumerate(widths):
-        lengths = np.zeros(280 if k == 0 else 256, dtype=np.int64)
-        lengths[: 1 << width] = width
-        _write_prefix(out, lengths)
-    _write_prefix(out, np.zeros(40, dtype=np.int64))
-    return out.bits()
-
-
-def _write_literals(out: Writer, argb: np.ndarray) -> None:
-    """Each channel's bytes as codes of 7 or 8 bits; the code of a byte is its value, highest bit first."""
-    parts = channels(argb)[:, [2, 1, 3, 0]]
-    widths = tuple(7 if m < 128 else 8 for m in parts.max(axis=0).tolist())
-    out.add(_uniform_header(widths))
-    cells = np.unpackbits(parts, axis=1)
-    keep = np.concatenate([np.arange(8 * k + 8 - w, 8 * k + 8) for k, w in enumerate(widths)])
-    out.add((cells if len(keep) == 32 else cells[:, keep]).ravel())
+        out.write(codes[symbol], sizes[symbol])
+        if size:
+            out.write(extra, size)
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -468,106 +664,250 @@ def _prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * extra + 2 + second, value & ((1 << extra) - 1), extra
 
 
-def _tokens(argb: list[int], width: int, cache_bits: int, references: bool) -> list[tuple]:
-    """("lit", pixel), ("cache", place) and ("copy", length, distance code)."""
-    out, at, seen = [], 0, {}
-    near = {x + y * width: k for k, (x, y) in reversed([*enumerate(near_offsets(), 1)]) if x + y * width >= 1}
-    cache = [0] * (1 << cache_bits)
-    place = lambda p: (HASH * p & 0xFFFFFFFF) >> (32 - cache_bits)
-    while at < len(argb):
-        length, back = 0, 0
-        if references and (prior := seen.get(tuple(argb[at : at + 3]))) is not None:
-            back = at - prior
-            while at + length < len(argb) and length < 4096 and argb[at + length] == argb[at + length - back]:
-                length += 1
-        if length >= 3:
-            out.append(("copy", length, near.get(back, back + 120)))
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> dict[int, int]:
+    return {x + y * width: k for k, (x, y) in reversed([*enumerate(near_offsets(), 1)]) if x + y * width >= 1}
+
+
+def slots_of(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    return ((argb.astype(np.uint64) * np.uint64(HASH) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+
+
+def cache_hits(argb: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether the last pixel before each one in its place of the cache is the same."""
+    order = np.argsort(slot, kind="stable")
+    same = np.zeros(len(argb), dtype=bool)
+    same[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    return same
+
+
+MIN_COPY, MAX_COPY, SHARED_COST = 3, 4096, 0.05
+
+
+def matches(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of copies, greedily from the left: at least MIN_COPY pixels that last stood `distance` before."""
+    n = len(argb)
+    if n < 2 * MIN_COPY - 1:
+        return []
+    wide = argb.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        key = wide[:-2] * np.uint64(0x9E3779B97F4A7C15) + wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + wide[2:] * np.uint64(0xD6E8FEB86659FD93)
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1
+    if not len(again):
+        return []
+    prior = np.full(n, -1, dtype=np.int64)
+    prior[order[again]] = order[again - 1]
+    out, at = [], 0
+    places = np.sort(order[again])
+    k = 0
+    while k < len(places):
+        i = int(places[k])
+        back, length, step = i - int(prior[i]), 0, 16
+        while length < MAX_COPY and i + length < n:
+            own = argb[i + length : i + min(length + step, MAX_COPY)]
+            same = own == argb[i + length - back : i + length - back + len(own)]
+            if not same.all():
+                length += int(same.argmin())
+                break
+            length += len(own)
+            step *= 4
+        if length >= MIN_COPY:
+            out.append((i, length, back))
+            at = i + length
+            k = int(np.searchsorted(places, at))
         else:
-            length = 1
-            out.append(("cache", place(argb[at])) if cache_bits and cache[place(argb[at])] == argb[at] else ("lit", argb[at]))
-        for k in range(at, at + length):
-            seen[tuple(argb[k : k + 3])] = k
-            if cache_bits:
-                cache[place(argb[k])] = argb[k]
-        at += length
+            k += 1
     return out
 
 
 def _write_pixels(out: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False, meta_block: int = 0) -> None:
-    """Without cache, references and meta codes, literals with codes of one length are written."""
     out.write(int(cache_bits > 0), 1)
     if cache_bits:
         out.write(cache_bits, 4)
-    n_groups, wide, of = 1, 1, np.zeros(1, dtype=np.int64)
+    n, n_groups, wide, of = len(argb), 1, 1, np.zeros(1, dtype=np.int64)
     if main:
         out.write(int(meta_block > 0), 1)
         if meta_block:
             out.write(meta_block - 2, 3)
             wide = -(-width // (1 << meta_block))
-            of = np.arange(wide * -(-(len(argb) // width) // (1 << meta_block))) % 2
+            of = np.arange(wide * -(-(n // width) // (1 << meta_block))) % 2
             n_groups = int(of.max()) + 1
             _write_pixels(out, (of << 8).astype(np.uint32), wide, False)
-    if not cache_bits and not references and not meta_block:
-        _write_literals(out, argb)
-        return
-    tokens, at = _tokens(argb.tolist(), width, cache_bits, references), 0
-    rows: list[tuple[int, list[tuple[int, int, int, int]]]] = []
-    for t in tokens:
-        y, x = divmod(at, width)
-        group = int(of[(y >> meta_block) * wide + (x >> meta_block)]) if meta_block else 0
-        if t[0] == "lit":
-            p = t[1]
-            rows.append((group, [(0, p >> 8 & 255, 0, 0), (1, p >> 16 & 255, 0, 0), (2, p & 255, 0, 0), (3, p >> 24, 0, 0)]))
-            at += 1
-        elif t[0] == "cache":
-            rows.append((group, [(0, 280 + t[1], 0, 0)]))
-            at += 1
-        else:
-            (a, b, c), (d, e, f) = _prefix_of(t[1]), _prefix_of(t[2])
-            rows.append((group, [(0, 256 + a, b, c), (4, d, e, f)]))
-            at += t[1]
-    sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
-    lengths = []
-    for g in range(n_groups):
-        for k, size in enumerate(sizes):
-            counts = np.bincount([s for own, cells in rows if own == g for code, s, _, _ in cells if code == k], minlength=size)
-            lengths.append(huffman(counts, 15))
-            _write_prefix(out, lengths[-1])
-    codes = [canonical(x) for x in lengths]
-    for g, cells in rows:
-        for code, symbol, extra, size in cells:
-            own = lengths[5 * g + code]
-            if np.count_nonzero(own) > 1:
-                out.small += [int(codes[5 * g + code][symbol]) >> k & 1 for k in range(int(own[symbol]) - 1, -1, -1)]
-            out.write(extra, size)
+    # five cells a token: symbols of green (or length), red (or the length's extra bits), blue (or distance), alpha (or its extra bits)
+    parts = channels(argb).astype(np.int64)[:, [2, 1, 3, 0]]
+    code = np.tile(np.arange(4), (n, 1))
+    size = np.full((n, 4), -1)  # -1: by the code; else a plain number of bits
+    alone = np.ones(n, dtype=bool)
+    if cache_bits:
+        slot = slots_of(argb, cache_bits)
+        hit = cache_hits(argb, slot)
+        parts[hit, 0], size[hit, 1:] = 280 + slot[hit], 0
+    for place, length, back in matches(argb) if references else ():
+        (a, b, c), (d, e, f) = _prefix_of(length), _prefix_of(_near_codes(width).get(back, back + 120))
+        parts[place], code[place], size[place] = (256 + a, b, d, e), (0, 0, 4, 0), (-1, c, -1, f)
+        alone[place + 1 : place + length] = False
+    kept = np.flatnonzero(alone)
+    parts, code, size = parts[kept], code[kept], size[kept]
+    group = np.zeros(len(kept), dtype=np.int64)
+    if meta_block:
+        group = of[(kept // width >> meta_block) * wide + (kept % width >> meta_block)]
+    alphabet = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
+    coded = size < 0
+    which, base = 5 * group[:, None] + code, np.concatenate([[0], np.cumsum(np.tile(alphabet, n_groups))])
+    counts = np.bincount((base[which] + parts)[coded], minlength=base[-1])
+    written, bits_of = np.zeros(base[-1], dtype=np.int64), np.zeros(base[-1], dtype=np.int64)
+    own = [counts[base[k] : base[k + 1]] for k in range(5 * n_groups)]
+    for k in range(1, 5 * n_groups, 5):
+        # red, blue and alpha share a code, which is built and read once, where that costs little
+        pooled = own[k] + own[k + 1] + own[k + 2]
+        if _code_bits(pooled) + 8.0 * np.count_nonzero(pooled) < (1 + SHARED_COST) * sum(_code_bits(x) for x in own[k : k + 3]):
+            own[k : k + 3] = [pooled] * 3
+    for k in range(5 * n_groups):
+        if not (k and own[k] is own[k - 1]):
+            lengths = huffman(own[k], 15)
+            codes, header = canonical(lengths), Writer()
+            _write_prefix(header, lengths)
+        out.append(header)
+        if np.count_nonzero(lengths) > 1:
+            written[base[k] : base[k + 1]], bits_of[base[k] : base[k + 1]] = codes, lengths
+    at = (base[which] + parts)[coded]
+    size[coded], parts[coded] = bits_of[at], written[at]
+    out.add(parts.ravel(), size.ravel())
+
+
+def _code_bits(counts: np.ndarray) -> float:
+    """About the bits of symbols with these counts, with those of their code: 4 bits a symbol that occurs."""
+    own = counts[counts > 0].astype(np.float64)
+    total = own.sum()
+    return float(total * np.log2(total) - own @ np.log2(own)) + 4.0 * len(own) if len(own) > 1 else 8.0
+
+
+def _channel_bits(parts: np.ndarray, which: tuple[int, ...] = (0, 1, 2, 3)) -> list[float]:
+    return [_code_bits(np.bincount(parts[:, k], minlength=1)) for k in which]
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int8).astype(np.int16)
+
+
+MULTIPLIERS = (-16, 16)
+
+
+def _cross_element(parts: np.ndarray, red_bits: float, blue_bits: float) -> tuple[tuple[int, int, int], float]:
+    """Green-to-red, green-to-blue and red-to-blue of the whole image, each the one of MULTIPLIERS or 0 that saves most bits, and what they save."""
+    red, green, blue = (np.ascontiguousarray(parts[:, k]) for k in (1, 2, 3))
+
+    def best(own: np.ndarray, by: np.ndarray, bits: float) -> tuple[int, float, np.ndarray]:
+        found = (0, bits, own)
+        for m in MULTIPLIERS:
+            rest = (own - (m * _signed(by) >> 5)).astype(np.uint8)
+            if (bits := _code_bits(np.bincount(rest))) < found[1]:
+                found = (m, bits, rest)
+        return found
+
+    green_red, new_red, _ = best(red, green, red_bits)
+    green_blue, new_blue, rest = best(blue, green, blue_bits)
+    red_blue, new_blue, _ = best(rest, red, new_blue)
+    return (green_red, green_blue, red_blue), red_bits + blue_bits - new_red - new_blue
+
+
+PREDICT_BLOCK, CROSS_BLOCK, CROSS_BITS, ZERO_SHARE = 4, 9, 40, 0.5
+
+
+def _row_modes(argb: np.ndarray, width: int) -> np.ndarray:
+    """A mode for each block of rows: of those that copy a neighbour the one that leaves most zeros, if they are more than ZERO_SHARE; else 0."""
+    own = argb.reshape(-1, width)
+    starts = np.arange(0, len(own), 1 << PREDICT_BLOCK)
+    area = np.diff(starts, append=len(own)) * width
+    same = np.zeros((5, len(own)), dtype=np.int64)
+    same[1] = (own[:, 1:] == own[:, :-1]).sum(axis=1)
+    same[2, 1:] = (own[1:] == own[:-1]).sum(axis=1)
+    same[3, 1:] = (own[1:, :-1] == own[:-1, 1:]).sum(axis=1)
+    same[4, 1:] = (own[1:, 1:] == own[:-1, :-1]).sum(axis=1)
+    zeros = np.add.reduceat(same, starts, axis=1)
+    return np.where(zeros.max(axis=0) > ZERO_SHARE * area, zeros.argmax(axis=0), 0)
+
+
+def _less_predicted(argb: np.ndarray, width: int, modes: np.ndarray) -> np.ndarray:
+    """What is left after the modes of _row_modes."""
+    of_row = np.repeat(modes, 1 << PREDICT_BLOCK)[: len(argb) // width]
+    out = residuals(argb, width, 0)
+    for m in set(modes.tolist()) - {0}:
+        out[of_row == m] = residuals(argb, width, m)[of_row == m]
+    return out.reshape(-1, 4)
+
+
+def encode_best(pixels: np.ndarray) -> bytes:
+    """A file of one image, with transforms, cache and copies where estimates from the data say that they make it smaller."""
+    height, width = pixels.shape[:2]
+    argb = joined(pixels.reshape(-1, 4)[:, [3, 0, 1, 2]])
+    parts = channels(argb)
+    transforms: tuple[int, ...] = ()
+    values: dict[int, np.ndarray] = {}
+    alone = _channel_bits(parts)
+    bits = plain = sum(alone)
+    table, index = np.unique(argb, return_inverse=True)
+    if len(table) <= 256:
+        palette = 24.0 * len(table) + _code_bits(np.bincount(index))
+        if palette < bits:
+            transforms, bits = (PALETTE,), palette
+    modes = _row_modes(argb, width)
+    if modes.any() and (own := sum(_channel_bits(_less_predicted(argb, width, modes))) + 4.0 * len(modes)) < bits:
+        transforms, values, bits = (PREDICTOR,), {PREDICTOR: modes}, own
+    if (own := alone[0] + alone[2] + sum(_channel_bits(parts - parts[:, 2:3], (1, 3)))) < bits:
+        transforms, values, bits = (SUBTRACT_GREEN,), {}, own
+    element, saved = _cross_element(parts, alone[1], alone[3])
+    if plain - saved + CROSS_BITS < bits:
+        green_red, green_blue, red_blue = (m & 255 for m in element)
+        own = np.tile(np.array([255, red_blue, green_blue, green_red], dtype=np.uint8), (-(-height // (1 << CROSS_BLOCK)), 1))
+        transforms, values = (CROSS_COLOR,), {CROSS_COLOR: joined(own)}
+    return encode(pixels, transforms, references=True, cache_bits=-1, values=values, blocks={PREDICTOR: PREDICT_BLOCK, CROSS_COLOR: CROSS_BLOCK})
+
+
+def _best_cache(argb: np.ndarray) -> int:
+    """Bits of a cache of about an eighth of the pixels, or 0 where it does not pay."""
+    size = min(max(len(argb).bit_length() - 3, 1), 10)
+    slot = slots_of(argb, size)
+    hit = cache_hits(argb, slot)
+    if not hit.any():
+        return 0
+    parts = channels(argb)
+    without = sum(_channel_bits(parts))
+    rest = parts[~hit]
+    green = np.concatenate([np.bincount(rest[:, 2], minlength=256), np.bincount(slot[hit])])
+    return size if _code_bits(green) + sum(_code_bits(np.bincount(rest[:, k], minlength=1)) for k in (0, 1, 3)) < without else 0
 
 
-def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), block: int = 2, cache_bits: int = 0, references: bool = False, meta_block: int = 0, seed: int = 0) -> bytes:
-    """A file of one image (height, width, 4). transforms are applied in the order given; their block values are drawn from seed."""
+def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), block: int = 2, cache_bits: int = 0, references: bool = False, meta_block: int = 0, seed: int = 0, values: dict | None = None, blocks: dict | None = None) -> bytes:
+    """A file of one image (height, width, 4). transforms are applied in the order given; their block values are in `values` or drawn from seed. cache_bits -1: by the data."""
     height, width = pixels.shape[:2]
     if not (0 < height <= MAX_SIDE and 0 < width <= MAX_SIDE):
         raise ValueError("an image has 1 to 16384 pixels a side")
     rng = np.random.Generator(np.random.PCG64(seed))
     out, argb, across = Writer(), joined(pixels.reshape(-1, 4)[:, [3, 0, 1, 2]]), width
-    out.write(0x2F, 8)
-    out.write(width - 1, 14)
-    out.write(height - 1, 14)
-    out.write(1, 1)
-    out.write(0, 3)
+    values, blocks = values or {}, blocks or {}
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+        out.write(value, n)
     for kind in transforms:
         out.write(1, 1)
         out.write(kind, 2)
-        blocks = -(-across // (1 << block)) * -(-height // (1 << block))
+        own = blocks.get(kind, block)
+        wide = -(-across // (1 << own))
+        n = wide * -(-height // (1 << own))
         if kind == PREDICTOR:
-            modes = rng.integers(0, 14, blocks)
-            out.write(block - 2, 3)
-            _write_pixels(out, (modes << 8).astype(np.uint32), -(-across // (1 << block)), False)
-            argb = apply_predictor(argb, across, block, modes)
+            modes = values.get(kind)
+            drawn = modes is None
+            modes = rng.integers(0, 14, n) if drawn else modes
+            out.write(own - 2, 3)
+            _write_pixels(out, (modes << 8).astype(np.uint32), wide, False)
+            argb = apply_predictor(argb, across, own, modes) if drawn else joined(_less_predicted(argb, across, modes))
         elif kind == CROSS_COLOR:
-            elements = joined(rng.integers(0, 256, (blocks, 4)).astype(np.uint8))
-            out.write(block - 2, 3)
-            _write_pixels(out, elements, -(-across // (1 << block)), False)
-            argb = cross_color(argb, across, block, elements, -1)
+            elements = values.get(kind)
+            elements = joined(rng.integers(0, 256, (n, 4)).astype(np.uint8)) if elements is None else elements
+            out.write(own - 2, 3)
+            _write_pixels(out, elements, wide, False)
+            argb = cross_color(argb, across, own, elements, -1)
         elif kind == SUBTRACT_GREEN:
             argb = add_green(argb, -1)
         else:
@@ -586,7 +926,8 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), block: int = 2,
             argb = sum(cells[:, k :: 1 << bundle] << np.uint32(per * k) for k in range(1 << bundle)).ravel() << np.uint32(8)
             across = wide
     out.write(0, 1)
-    _write_pixels(out, argb.astype(np.uint32), across, True, cache_bits, references, meta_block)
+    argb = argb.astype(np.uint32)
+    _write_pixels(out, argb, across, True, _best_cache(argb) if cache_bits < 0 else cache_bits, references, meta_block)
     data = out.bytes()
     pad = len(data) & 1
     return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(data) + pad, b"WEBP", b"VP8L", len(data)) + data + b"\0" * pad
