@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,6 +279,95 @@ def test_lm_beats_its_counts(spark):
     assert got.s > got.b
 
 
+def _plain_scores(model, ids):
+    """log10 P(class | state) - log10 share of the class, summed over tokens, one text, one step at a time."""
+    h, total, sig = np.zeros(32), 0.0, lambda v: 1 / (1 + np.exp(-v))
+    for token in ids:
+        own = model.class_of[token]
+        logits = h @ model.output + model.output_bias
+        if own >= 0:
+            total += (logits[own] - np.log(np.exp(logits).sum())) / math.log(10) - math.log10(model.class_share[own])
+        x, u = model.inputs[token], h @ model.recurrent
+        z, r = sig(x[:32] + u[:32]), sig(x[32:64] + u[32:64])
+        h = z * h + (1 - z) * np.tanh(x[64:] + r * u[64:])
+    return total
+
+
+@pytest.mark.parametrize("head_words", [1 << 19, 40])
+def test_lm_score_is_a_probability(spark, make, head_words):
+    """score equals a plain pass over each text; and what may come first adds up to 1."""
+    long = " ".join(f"w{k * k % 211}" for k in range(5000))
+    rows = [*ODD_TEXTS, *[(100 + k, f"word{k % 7} the of Word{k} the. end{k % 3} unseen{k}") for k in range(60)], (300, long)]
+    options = {"head_words": head_words, "vocabulary": 20, "n_classes": 3}
+    model, counts, parts = language_model.learn(make(rows), **options)
+    ids = {r.doc_id: np.frombuffer(r.ids, dtype=np.uint16) for r in parts.collect()}
+    for r in language_model.score(make(rows), **options).collect():
+        want = _plain_scores(model, ids[r.doc_id])
+        assert abs(r.score - r.base_score - want) < 1e-3 * max(1, abs(want))
+    # words of head by model; the end; all other words and the unknown by counts
+    word = model.head_surface < language_model.SURFACES
+    own = np.where(model.head_id >= 0, model.head_id, model.vocabulary + model.head_surface)[word]
+    share = lambda token: 10 ** _plain_scores(model, [token])
+    head = sum(share(t) * (n + 0.1) / model.scale for t, n in zip(own, model.head_count[word], strict=True))
+    end = share(model.vocabulary + language_model.SURFACES) * (model.end_count + 0.1) / model.scale
+    known = set(model.head.view(np.int64).tolist()) | {int(language_model.END.view(np.int64))}
+    rest = sum(r.n + 0.1 for r in counts.collect() if r.word not in known) + 0.1
+    assert abs(head + end + rest / model.scale - 1) < 1e-6
+
+
+def test_lm_gradients():
+    """Backpropagation through a window against differences of the loss."""
+    rng = np.random.default_rng(7)
+    n_ids, n_classes, width = 12, 4, 2 * language_model.SURFACES + 1
+    class_of = np.concatenate([rng.integers(0, n_classes, n_ids + language_model.SURFACES + 1), np.full(language_model.SURFACES, -1)])
+    weights = language_model.initial_weights(np.full(n_classes, 0.25), n_ids + language_model.SURFACES + 1)
+    weights[2] = rng.normal(0, 0.3, weights[2].shape).astype(np.float32)
+    own, start = rng.integers(0, n_ids, (5, 9)), np.zeros((5, 9), dtype=bool)
+    own[0, 7:], own[2, 3], start[1, 4] = -1, n_ids + width - 1, True
+    h = rng.normal(0, 0.3, (5, 32)).astype(np.float32)
+
+    def loss(k, at, by):
+        moved = [w.astype(np.float64) for w in weights]
+        moved[k][at] += by
+        trainer = language_model.Trainer(moved, class_of, 0.01)
+        return trainer.gradients(own, start, h)[4]
+
+    tokens, dx, others, _, _ = language_model.Trainer(weights, class_of, 0.01).gradients(own, start, h)
+    inputs = np.zeros(weights[0].shape)
+    np.add.at(inputs, tokens, dx)
+    for k, grad in enumerate([inputs, *others]):
+        for at in zip(*np.unravel_index(np.abs(grad).ravel().argsort()[[-1, -5, -20]] if grad.size > 20 else [0, 1], grad.shape), strict=True):
+            slope = (loss(k, at, 1e-2) - loss(k, at, -1e-2)) / 2e-2
+            assert abs(slope - grad[at]) < 0.02 * max(abs(slope), 1e-3), (k, at, slope, grad[at])
+
+
+def test_lm_streams():
+    """Every token of every text is in one stream, in order; long texts in pieces."""
+    size = np.array([5, 0, 700, 33, 1, 0, 90])
+    first = np.concatenate([[0], np.cumsum(size)])
+    ids = np.arange(first[-1])
+    pieces = language_model.segments(first, 100)
+    assert np.diff(pieces).max() == 100 and pieces[0] == 0 and pieces[-1] == first[-1] and set(first) <= set(pieces)
+    token, fresh = language_model._streams(ids, pieces, 4, 1)
+    assert sorted(token[token >= 0].tolist()) == ids.tolist()
+    assert int(fresh.sum()) == int((np.diff(pieces) > 0).sum())
+    follows = (token[:, 1:] != token[:, :-1] + 1) & (token[:, 1:] >= 0) & ~fresh[:, 1:]
+    assert not follows.any()
+
+
+def test_lm_sums():
+    """Sums of changes by block and id, in two steps, against plain ones."""
+    rng = np.random.default_rng(8)
+    rows = [(b, p, np.sort(rng.choice(10, 4, replace=False)), rng.random(4), rng.random((4, 3)).astype(np.float32)) for b in (0, 0, 0) for p in (1,)]
+    out = language_model._sum_block(pa.Table.from_batches([language_model._sum_batch(rows)])).to_pylist()
+    ids, weight = np.frombuffer(out[0]["ids"], dtype=np.int64), np.frombuffer(out[0]["weights"])
+    want, change = np.zeros(10), np.zeros((10, 3))
+    for _, _, own, w, c in rows:
+        want[own] += w
+        change[own] += c
+    assert np.allclose(want[ids], weight) and np.allclose(change[ids].ravel(), np.frombuffer(out[0]["changes"], dtype=np.float32)) and want.sum() == pytest.approx(weight.sum())
+
+
 def test_lm_empty(make):
     assert language_model.score(make([])).count() == 0
 

@@ -1,23 +1,31 @@
 """Operator 9: log-likelihood of whole texts by a gated recurrent language model with a class-factored output.
 
 P(word | before) = P(class | state) P(word | class). The state is that of a gated recurrent unit which reads the text word by word; it is carried
-from window to window to the end of the text. P(word | class) comes from the counts of all training documents, so that any word, known or
-not, has the share of its class that the smoothed counts give it; with a state that says nothing, the score would be that of
-the counts alone. The words of the model's vocabulary are put in classes by k-means over their neighbours; all others belong to a class by their
-surface (non-ASCII letters, last character, length). One more class is the end.
-
-Counts, their total and the number of words come from all training documents. Frequent words (at most `head_words`, a fixed bound) go to tasks as
-arrays; counts of all other words are joined by shuffle. Only the network and the classes are fitted on a sample, of
-about `sample_docs` training documents by hash of the id, read whole.
-
-Defined cases: null, empty and blank texts have the end only; repeated rows are scored each; a row without id counts as id ''; an empty
-table gives no rows; with no training document every word is unknown and the score is the base score; further columns are ignored.
+from window to window to the end of the text. P(word | class) is the share of its class that the smoothed counts give a word, which is what a
+bias for each word of the class would learn; with a state that says nothing, the score would be that of the counts alone. The words
+of the model's vocabulary are put in classes by k-means over their neighbours; all others belong to a class by their surface (non-ASCII letters, last
+character, length). One more class is the end. Words that are not among the frequent ones, known or not, have the share that the counts give them
+in any state, and the classes share the rest; so the probabilities of all known words, the end and the unknown add up to 1.
+
+Everything is learned from all training documents: counts, neighbours of words (both grouped sums), and the network. A pass over the documents
+is dealt by hash to `rounds` rounds, so each is read once. In a round every task starts from the broadcast weights, runs truncated
+backpropagation over its documents, in chunks of bounded size, and returns what it changed; changes are averaged in two steps of sums
+over blocks of weights, by tokens, and for a word's inputs by how often a task met the word. Texts over `SEGMENT` tokens are trained on in
+pieces, all of them.
+
+Texts become token ids once; they are stored with what the counts say, and read for neighbours, training and scoring. Frequent words (at most
+`head_words`, a fixed bound) go to tasks as arrays; counts of all other words are joined by shuffle. The driver holds weights, the
+neighbour table of the vocabulary, and the classes' k-means: all bounded by `vocabulary`.
+
+Defined cases: null, empty and blank texts have the end only; repeated rows are scored each; a row without id counts as id ''; a very long text is
+one row of one task; words of equal count are taken into the vocabulary in the order of their hashes; an empty table gives no rows; with no
+training document every word is unknown and the score is the base score; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +39,9 @@ from turnloom.llm.textops import SEPARATOR, Words, slices, utf8_of
 END = np.uint64(0x5D2B1F0E9C8A7766)
 SURFACES = 24
 HIDDEN = 32
+CONTEXTS = 64
+CHUNK, SEGMENT, WINDOW = 1 << 21, 2048, 32
+BLOCK_ROWS, FAN_IN = 128, 256
 
 
 def surface(words: Words) -> np.ndarray:
@@ -65,7 +76,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """head: sorted hashes with counts and model ids; an id below `vocabulary` is a word of the model, above it a surface, the last the end."""
+    """head: sorted hashes with counts and model ids.
+
+    An id below `vocabulary` is a word of the model; then come the surfaces of the other words of head, the end, and the surfaces of words
+    outside head, which have no class (-1) and the inputs of the surfaces before.
+    """
 
     head: np.ndarray
     head_count: np.ndarray
@@ -79,6 +94,8 @@ class Model:
     recurrent: np.ndarray
     output: np.ndarray
     output_bias: np.ndarray
+    head_surface: np.ndarray | None = None
+    end_count: int = 0
 
     @property
     def scale(self) -> float:
@@ -96,6 +113,7 @@ class Model:
         if there.any():
             found = self.head_id[at[there]]
             own[there] = np.where(found >= 0, found, own[there])
+        own[~there] += SURFACES + 1
         return own
 
 
@@ -141,93 +159,242 @@ def log_shares(model: Model, ids: np.ndarray, first: np.ndarray, width: int = 10
     return out
 
 
-def _streams(ids: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whole texts dealt to n streams of about equal length, as (n, longest): token or -1, and whether a text starts."""
-    rows: list[list[int]] = [[] for _ in range(n)]
-    filled = np.zeros(n, dtype=np.int64)
-    for i in np.argsort(-np.diff(first), kind="stable"):
-        k = int(filled.argmin())
-        rows[k].append(int(i))
-        filled[k] += first[i + 1] - first[i]
-    rng = np.random.Generator(np.random.PCG64(9))
-    token, fresh = np.full((n, int(filled.max(initial=1))), -1, dtype=np.int64), np.zeros((n, int(filled.max(initial=1))), dtype=bool)
-    for k, own in enumerate(rows):
-        at = 0
-        for i in rng.permutation(own).astype(np.int64):
-            size = first[i + 1] - first[i]
-            token[k, at : at + size] = ids[first[i] : first[i + 1]]
-            fresh[k, at] = True
-            at += size
+def segments(first: np.ndarray, most: int) -> np.ndarray:
+    """Offsets of texts cut into pieces of at most `most` tokens."""
+    pieces = np.maximum(-(-np.diff(first) // most), 1)
+    inside = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.append(np.repeat(first[:-1], pieces) + inside * most, first[-1])
+
+
+def _streams(ids: np.ndarray, first: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in random order, end to end, dealt to n streams: (n, longest) token or -1, and whether a text starts."""
+    size = np.diff(first)
+    order = np.random.Generator(np.random.PCG64(seed)).permutation(len(size))
+    end = np.cumsum(size[order])
+    stream = np.minimum((end - size[order]) * n // max(int(end[-1]), 1), n - 1)
+    begin = end - size[order]
+    begin_of = np.searchsorted(stream, np.arange(n))
+    base = np.append(begin, end[-1])[begin_of]
+    flat = ids[np.repeat(first[:-1][order] - begin, size[order]) + np.arange(end[-1])]
+    row = np.repeat(stream, size[order])
+    column = np.arange(end[-1]) - base[row]
+    token = np.full((n, int(column.max(initial=0)) + 1), -1, dtype=np.int64)
+    fresh = np.zeros(token.shape, dtype=bool)
+    token[row, column] = flat
+    some = size[order] > 0
+    fresh[stream[some], begin[some] - base[stream[some]]] = True
     return token, fresh
 
 
-def train(ids: np.ndarray, first: np.ndarray, class_of: np.ndarray, class_share: np.ndarray, n_ids: int, epochs: int = 2, streams: int = 64, window: int = 32, rate: float = 0.01) -> tuple[np.ndarray, ...]:
-    """Truncated backpropagation over windows; the state goes on from window to window within a text. Adam on mean log loss of classes."""
+def input_places(class_of: np.ndarray) -> np.ndarray:
+    """The row of inputs of each id: of words outside head, the one of their surface."""
+    places = np.arange(len(class_of))
+    return np.where(places < len(places) - SURFACES, places, places - SURFACES - 1)
+
+
+def initial_weights(class_share: np.ndarray, n_ids: int) -> list[np.ndarray]:
+    """Inputs, recurrent, output and output bias; the output starts at the shares of the classes."""
     rng = np.random.Generator(np.random.PCG64(10))
-    n_classes = len(class_share)
-    p = [
+    return [
         rng.normal(0, 0.1, (n_ids, 3 * HIDDEN)).astype(np.float32),
         rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(np.float32),
-        np.zeros((HIDDEN, n_classes), dtype=np.float32),
+        np.zeros((HIDDEN, len(class_share)), dtype=np.float32),
         np.log(class_share).astype(np.float32),
     ]
-    moments = [(np.zeros_like(q), np.zeros_like(q)) for q in p]
-    token, fresh = _streams(ids, first, streams)
-    step = 0
-    for _ in range(epochs):
-        h = np.zeros((streams, HIDDEN), dtype=np.float32)
-        for t0 in range(0, token.shape[1], window):
-            own, start = token[:, t0 : t0 + window], fresh[:, t0 : t0 + window]
-            has = own >= 0
-            if not has.any():
-                break
-            token_in = np.maximum(own, 0)
-            x, saved = p[0][token_in], []
-            for t in range(own.shape[1]):
-                before = h * ~start[:, t, None]
-                u = before @ p[1]
-                h, z, r, new = _step(before, x[:, t], u)
-                saved.append((before, u, z, r, new))
-            states = np.stack([s[0] for s in saved], axis=1)
-            logits = states @ p[2] + p[3]
-            logits -= logits.max(axis=2, keepdims=True)
-            prob = np.exp(logits)
-            prob /= prob.sum(axis=2, keepdims=True)
-            at = np.nonzero(has)
-            prob[at[0], at[1], class_of[own[at]]] -= 1
-            prob *= has[:, :, None] / np.float32(has.sum())
-            grads = [np.zeros_like(p[0]), np.zeros_like(p[1]), np.tensordot(states, prob, axes=((0, 1), (0, 1))), prob.sum(axis=(0, 1))]
-            d_states, dx = prob @ p[2].T, np.zeros_like(x)
-            dh = np.zeros_like(h)
-            for t in range(own.shape[1] - 1, -1, -1):
-                before, u, z, r, new = saved[t]
-                dz, dn = dh * (before - new) * z * (1 - z), dh * (1 - z) * (1 - new * new)
-                dr = dn * u[:, 2 * HIDDEN :] * r * (1 - r)
-                du = np.concatenate([dz, dr, dn * r], axis=1)
-                dx[:, t] = np.concatenate([dz, dr, dn], axis=1)
-                grads[1] += before.T @ du
-                dh = (dh * z + du @ p[1].T + d_states[:, t]) * ~start[:, t, None]
-            np.add.at(grads[0], token_in[at], dx[at])
-            step += 1
-            for q, g, (m, s) in zip(p, grads, moments, strict=True):
-                m += np.float32(0.1) * (g - m)
-                s += np.float32(0.01) * (g * g - s)
-                q -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(s / np.float32(1 - 0.99**step)) + np.float32(1e-7))
-    return tuple(p)
-
-
-def word_classes(ids: np.ndarray, first: np.ndarray, vocabulary: int, n_classes: int, contexts: int = 128) -> np.ndarray:
+
+
+class Trainer:
+    """Truncated backpropagation over windows, the state going on within a text. Adam for all but the inputs, whose rows take steps by their own past gradients."""
+
+    def __init__(self, weights: list[np.ndarray], class_of: np.ndarray, rate: float):
+        self.p, self.class_of, self.rate = [q.copy() for q in weights], class_of, rate
+        self.input_of = input_places(class_of)
+        self.moments = [(np.zeros_like(q), np.zeros_like(q)) for q in self.p[1:]]
+        self.squares = np.zeros_like(self.p[0])
+        self.met = np.zeros(len(self.p[0]), dtype=np.int64)
+        self.step = 0
+
+    def gradients(self, own: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, float]:
+        """(token, gradient of its inputs) of each token, gradients of the other weights, the last state, and the loss a token."""
+        p, steps = self.p, own.shape[1]
+        at = np.nonzero(own.T >= 0)
+        token_in = self.input_of[np.maximum(own.T, 0)]
+        x = p[0][token_in]
+        keep = ~start.T[:, :, None]
+        before, after = np.empty((steps, len(own), HIDDEN), dtype=np.float32), []
+        for t in range(steps):
+            before[t] = h * keep[t]
+            u = before[t] @ p[1]
+            h, z, r, new = _step(before[t], x[t], u)
+            after.append((u[:, 2 * HIDDEN :], z, r, new))
+        aims = np.where(own.T >= 0, self.class_of[np.maximum(own.T, 0)], -1)
+        aimed = np.nonzero(aims >= 0)
+        states, target = before[aimed], aims[aimed]
+        prob = states @ p[2] + p[3]
+        prob -= prob.max(axis=1, keepdims=True)
+        np.exp(prob, out=prob)
+        prob /= prob.sum(axis=1, keepdims=True)
+        rows = np.arange(len(target))
+        loss = -float(np.log(np.maximum(prob[rows, target], 1e-30)).sum()) / max(len(target), 1)
+        prob[rows, target] -= 1
+        prob *= np.float32(1 / max(len(target), 1))
+        d_states = np.zeros_like(before)
+        d_states[aimed] = prob @ p[2].T
+        dx, du = np.empty_like(x), np.empty_like(x)
+        dh = np.zeros_like(h)
+        for t in range(steps - 1, -1, -1):
+            u, z, r, new = after[t]
+            dz = dh * (before[t] - new) * z * (1 - z)
+            dn = dh * (1 - z) * (1 - new * new)
+            dr = dn * u * r * (1 - r)
+            dx[t, :, :HIDDEN], dx[t, :, HIDDEN : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dz, dr, dn
+            du[t, :, : 2 * HIDDEN], du[t, :, 2 * HIDDEN :] = dx[t, :, : 2 * HIDDEN], dn * r
+            dh = (dh * z + du[t] @ p[1].T + d_states[t]) * keep[t]
+        width = 3 * HIDDEN
+        others = [before.reshape(-1, HIDDEN).T @ du.reshape(-1, width), states.T @ prob, prob.sum(axis=0)]
+        return token_in[at], dx[at], others, h, loss
+
+    def _update(self, token: np.ndarray, dx: np.ndarray, others: list[np.ndarray]) -> None:
+        self.step += 1
+        for q, g, (m, s) in zip(self.p[1:], others, self.moments, strict=True):
+            m += np.float32(0.1) * (g - m)
+            s += np.float32(0.01) * (g * g - s)
+            q -= np.float32(self.rate / (1 - 0.9**self.step)) * m / (np.sqrt(s / np.float32(1 - 0.99**self.step)) + np.float32(1e-7))
+        order = np.argsort(token, kind="stable")
+        rows, begin, times = np.unique(token[order], return_index=True, return_counts=True)
+        g = np.add.reduceat(dx[order], begin, axis=0)
+        self.met[rows] += times
+        self.squares[rows] += g * g
+        self.p[0][rows] -= np.float32(5 * self.rate) * g / (np.sqrt(self.squares[rows]) + np.float32(1e-7))
+
+    def chunk(self, ids: np.ndarray, first: np.ndarray, seed: int) -> float:
+        """One pass over these texts; the loss of the last window."""
+        streams = int(np.clip(len(ids) // (128 * WINDOW), 16, 512))
+        token, fresh = _streams(ids, segments(first, SEGMENT), streams, seed)
+        h, loss = np.zeros((streams, HIDDEN), dtype=np.float32), 0.0
+        for t0 in range(0, token.shape[1], WINDOW):
+            own, start = token[:, t0 : t0 + WINDOW], fresh[:, t0 : t0 + WINDOW]
+            if (own >= 0).any():
+                tokens, dx, others, h, loss = self.gradients(own, start, h)
+                self._update(tokens, dx, others)
+        return loss
+
+
+SUM_SCHEMA = "block int, part int, ids binary, weights binary, changes binary"
+
+
+def _change_rows(trainer: Trainer, start: list[np.ndarray], part: int) -> pa.RecordBatch:
+    """What a task changed, times its weight: block -1 the dense weights by tokens, block k those inputs of BLOCK_ROWS words that it met, by how often."""
+    total = int(trainer.met.sum())
+    dense = np.concatenate([(q - w).ravel() for q, w in zip(trainer.p[1:], start[1:], strict=True)]).astype(np.float64) * total
+    rows = [(-1, part, np.zeros(1, dtype=np.int64), np.full(1, total, dtype=np.float64), dense)]
+    met = np.flatnonzero(trainer.met)
+    change = (trainer.p[0][met] - start[0][met]) * trainer.met[met, None]
+    edges = np.searchsorted(met, np.arange(0, len(trainer.met) + BLOCK_ROWS, BLOCK_ROWS))
+    for k in np.flatnonzero(np.diff(edges)):
+        own = slice(edges[k], edges[k + 1])
+        rows.append((int(k), part, met[own], trainer.met[met[own]].astype(np.float64), change[own].astype(np.float32)))
+    return _sum_batch(rows)
+
+
+def _sum_batch(rows: list[tuple]) -> pa.RecordBatch:
+    block, part, *arrays = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+    binary = [pa.array([x.tobytes() for x in column], pa.binary()) for column in arrays]
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(part, pa.int32()), *binary], names=["block", "part", "ids", "weights", "changes"])
+
+
+def _sum_block(table: pa.Table) -> pa.Table:
+    """One row for the rows of a block: sums of weights and changes by id."""
+    block, part = (table.column(c)[0].as_py() for c in ("block", "part"))
+    kind = np.float64 if block < 0 else np.float32
+    read = lambda name, dtype: [np.frombuffer(x, dtype=dtype) for x in table.column(name).to_pylist()]
+    ids, weights = read("ids", np.int64), read("weights", np.float64)
+    distinct, back = np.unique(np.concatenate(ids), return_inverse=True)
+    weight, at, changes = np.zeros(len(distinct)), 0, None
+    for own, w, change in zip(ids, weights, read("changes", kind), strict=True):
+        to = back[at : at + len(own)]
+        at += len(own)
+        weight[to] += w
+        change = change.reshape(len(own), -1)
+        changes = np.zeros((len(distinct), change.shape[1])) if changes is None else changes
+        changes[to] += change
+    return pa.Table.from_batches([_sum_batch([(block, part // FAN_IN, distinct, weight, changes.astype(kind))])])
+
+
+def train(documents: DataFrame, class_of: np.ndarray, class_share: np.ndarray, n_ids: int, rounds: int, rate: float = 0.01) -> list[np.ndarray]:
+    """Weights after one pass over all documents (row, ids), a share of them in each round."""
+    weights = initial_weights(class_share, n_ids)
+    context = documents.sparkSession.sparkContext
+    for turn in range(rounds):
+        shared = context.broadcast((weights, class_of))
+        own_rate = rate * 0.7**turn
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, own_rate=own_rate, turn=turn) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            start, classes = shared.value
+            trainer, part, held, size, chunks = None, TaskContext.get().partitionId(), [], 0, 0
+            for batch in batches:
+                for raw in batch.column("ids").to_pylist():
+                    held.append(np.frombuffer(raw, dtype=np.uint16))
+                    size += len(held[-1])
+                    if size >= CHUNK:
+                        trainer = trainer or Trainer(start, classes, own_rate)
+                        trainer.chunk(np.concatenate(held).astype(np.int64), np.cumsum([0, *map(len, held)]), 1000 * turn + chunks)
+                        held, size, chunks = [], 0, chunks + 1
+            if held:
+                trainer = trainer or Trainer(start, classes, own_rate)
+                trainer.chunk(np.concatenate(held).astype(np.int64), np.cumsum([0, *map(len, held)]), 1000 * turn + chunks)
+            yield _change_rows(trainer, start, part) if trainer else _sum_batch([])
+
+        own = documents.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == turn).select("ids")
+        changes = own.mapInArrow(run, SUM_SCHEMA)
+        partial = changes.groupBy("block", F.floor(F.col("part") / FAN_IN)).applyInArrow(_sum_block, SUM_SCHEMA)
+        total = partial.groupBy("block").applyInArrow(_sum_block, SUM_SCHEMA).toArrow()
+        weights = _changed(weights, total)
+        shared.unpersist()
+    return weights
+
+
+def _changed(weights: list[np.ndarray], total: pa.Table) -> list[np.ndarray]:
+    weights = [q.copy() for q in weights]
+    for row in total.to_pylist():
+        ids, weight = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["weights"], dtype=np.float64)
+        if row["block"] >= 0:
+            weights[0][ids] += np.frombuffer(row["changes"], dtype=np.float32).reshape(len(ids), -1) / weight[:, None].astype(np.float32)
+            continue
+        change, at = np.frombuffer(row["changes"], dtype=np.float64) / weight[0], 0
+        for q in weights[1:]:
+            q += change[at : at + q.size].reshape(q.shape).astype(np.float32)
+            at += q.size
+    return weights
+
+
+def _count_neighbours(batches: Iterator[pa.RecordBatch], vocabulary: int) -> Iterator[pa.RecordBatch]:
+    """(cell, n): how often a frequent word or a surface stands before or after a word of the vocabulary."""
+    n = CONTEXTS + SURFACES + 1
+    counts = np.zeros(vocabulary * 2 * n, dtype=np.int64)
+    context_of = np.where(np.arange(vocabulary) < CONTEXTS, np.arange(vocabulary), -1)
+    context_of = np.concatenate([context_of, CONTEXTS + np.arange(SURFACES + 1), CONTEXTS + np.arange(SURFACES)])
+    for batch in batches:
+        for raw in (batch.column("ids").to_pylist()[k : k + 512] for k in range(0, batch.num_rows, 512)):
+            ids = np.frombuffer(b"".join(raw), dtype=np.uint16).astype(np.int64)
+            # a text ends with the end, before which no word of another text stands
+            a, b = ids[:-1], ids[1:]
+            inside = a != vocabulary + SURFACES
+            for word, other, shift in ((a, b, 0), (b, a, n)):
+                c = context_of[other]
+                good = inside & (word < vocabulary) & (c >= 0)
+                counts += np.bincount(word[good] * (2 * n) + c[good] + shift, minlength=len(counts))
+    cells = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
+
+
+def word_classes(neighbours: pa.Table, vocabulary: int, n_classes: int) -> np.ndarray:
     """A class for each of the vocabulary's words by k-means over which frequent words and surfaces stand before and after it."""
-    context = lambda x: np.where(x < contexts, x, np.where(x < vocabulary, -1, contexts + x - vocabulary))
-    n = contexts + SURFACES + 1
-    vectors = np.zeros((vocabulary, 2 * n), dtype=np.float32)
-    inside = np.ones(max(len(ids) - 1, 0), dtype=bool)
-    inside[first[1:-1] - 1] = False
-    a, b = ids[:-1][inside], ids[1:][inside]
-    for word, other, shift in ((a, b, 0), (b, a, n)):
-        c = context(other)
-        good = (word < vocabulary) & (c >= 0)
-        np.add.at(vectors, (word[good], c[good] + shift), 1)
+    vectors = np.zeros(vocabulary * 2 * (CONTEXTS + SURFACES + 1), dtype=np.float32)
+    vectors[neighbours.column("cell").to_numpy()] = neighbours.column("n").to_numpy()
+    vectors = vectors.reshape(vocabulary, -1)
     expected = np.maximum(vectors.sum(1, keepdims=True) * vectors.sum(0, keepdims=True) / max(float(vectors.sum()), 1.0), 1e-6)
     vectors = np.log1p(vectors / expected) * np.minimum(vectors, 1)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
@@ -236,8 +403,10 @@ def word_classes(ids: np.ndarray, first: np.ndarray, vocabulary: int, n_classes:
     own = np.zeros(vocabulary, dtype=np.int64)
     for _ in range(12 if vocabulary else 0):
         own = (vectors @ centre.T).argmax(axis=1)
+        order = np.argsort(own, kind="stable")
+        some, begin = np.unique(own[order], return_index=True)
         sums = np.zeros_like(centre)
-        np.add.at(sums, own, vectors)
+        sums[some] = np.add.reduceat(vectors[order], begin, axis=0)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centre = np.where(size > 0, sums / np.maximum(size, 1e-6), centre)
     return own
@@ -247,8 +416,8 @@ def held_out():
     return id_crc32("doc_id") % 10 == 0
 
 
-def fit(docs: DataFrame, counts: DataFrame, head_words: int = 1 << 19, vocabulary: int = 8192, n_classes: int = 48, sample_docs: int = 1200) -> Model:
-    """docs: the training documents (doc_id, text). counts: (word, n, surface) of all of them, stored."""
+def frequent_words(counts: DataFrame, head_words: int, vocabulary: int) -> Model:
+    """A model without classes and network. counts: (word, n, surface), stored."""
     by_count = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n"))
     least, taken = None, 0
     for r in by_count.toLocalIterator():
@@ -257,43 +426,36 @@ def fit(docs: DataFrame, counts: DataFrame, head_words: int = 1 << 19, vocabular
         least, taken = r.n, taken + r.words
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
     end = counts.where(F.col("word") == int(END.view(np.int64))).select("n").first()
-    n_docs = int(end.n) if end else 0
     frequent = (counts.where(F.col("n") >= least) if least is not None else counts.limit(0)).toArrow()
     head, n, kind = (frequent.column(c).to_numpy() for c in ("word", "n", "surface"))
     head = head.view(np.uint64)
     rank = np.lexsort((head, -n))
-    rank = rank[kind[rank] < SURFACES]
-    vocabulary = min(vocabulary, len(rank))
+    rank = rank[kind[rank] < SURFACES][:vocabulary]
     ids = np.full(len(head), -1, dtype=np.int32)
-    ids[rank[:vocabulary]] = np.arange(vocabulary)
+    ids[rank] = np.arange(len(rank))
     order = np.argsort(head)
-    n_ids = vocabulary + SURFACES + 1
-    model = Model(head[order], n[order].astype(np.int64), ids[order], vocabulary, total, distinct, np.zeros(n_ids, dtype=np.int64), np.ones(1), np.zeros((n_ids, 3 * HIDDEN)), np.zeros((HIDDEN, 3 * HIDDEN)), np.zeros((HIDDEN, 1)), np.zeros(1))
-    if not n_docs:
-        return model
-    share = min(1.0, sample_docs / n_docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("text")
-    sample = sampled.mapInArrow(lambda it: _token_lists(it, shared.value), "ids array<int>").toArrow()
-    lists = sample.column("ids").combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32()))
-    flat, first = lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
-    own = word_classes(flat, first, vocabulary, n_classes)
-    model.class_of = np.concatenate([own, n_classes + np.arange(SURFACES + 1)])
-    # smoothed mass of each class, over all training documents; the slot of unknown words is dealt to the surfaces
-    mass = np.bincount(own, n[rank[:vocabulary]] + 0.1, minlength=n_classes + SURFACES + 1)
-    by_surface = {r.surface: r for r in counts.groupBy("surface").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
-    inside_n = np.bincount(kind[rank[:vocabulary]], n[rank[:vocabulary]], minlength=SURFACES + 1)
-    inside_words = np.bincount(kind[rank[:vocabulary]], minlength=SURFACES + 1)
-    for k, r in by_surface.items():
-        mass[n_classes + k] += r.n - inside_n[k] + 0.1 * (r.words - inside_words[k])
-    mass[n_classes : n_classes + SURFACES] += 0.1 / SURFACES
-    model.class_share = np.maximum(mass, 1e-6) / model.scale
-    if len(flat):
-        model.inputs, model.recurrent, model.output, model.output_bias = train(flat, first, model.class_of, model.class_share, n_ids)
-    else:
-        model.inputs, model.recurrent, model.output, model.output_bias = (np.zeros(s, dtype=np.float32) for s in ((n_ids, 3 * HIDDEN), (HIDDEN, 3 * HIDDEN), (HIDDEN, len(mass)), (len(mass),)))
-        model.output_bias = np.log(model.class_share).astype(np.float32)
-    return model
+    n_ids = len(rank) + 2 * SURFACES + 1
+    none = np.zeros((n_ids, 3 * HIDDEN), dtype=np.float32)
+    return Model(
+        head[order], n[order].astype(np.int64), ids[order], len(rank), total, distinct, np.zeros(n_ids, dtype=np.int64), np.ones(1), none, none[:HIDDEN], none[:HIDDEN, :1], none[0, :1],
+        head_surface=kind[order], end_count=int(end.n) if end else 0,
+    )
+
+
+def fit(model: Model, documents: DataFrame, n_classes: int, rounds: int) -> Model:
+    """The model with classes and network, from the training documents (row, ids)."""
+    vocabulary = model.vocabulary
+    neighbours = documents.select("ids").mapInArrow(lambda it: _count_neighbours(it, vocabulary), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    own = word_classes(neighbours, vocabulary, n_classes)
+    class_of = np.concatenate([own, n_classes + np.arange(SURFACES + 1), np.full(SURFACES, -1)])
+    # smoothed counts of the words of head, by class, and the end's
+    word = model.head_surface < SURFACES
+    of_word = np.where(model.head_id >= 0, class_of[np.maximum(model.head_id, 0)], n_classes + model.head_surface)[word]
+    mass = np.bincount(of_word, model.head_count[word] + 0.1, minlength=n_classes + SURFACES + 1)
+    mass[-1] += model.end_count + 0.1
+    class_share = np.maximum(mass, 1e-6) / np.maximum(mass, 1e-6).sum()
+    inputs, recurrent, output, bias = train(documents, class_of, class_share, vocabulary + SURFACES + 1, rounds)
+    return replace(model, class_of=class_of, class_share=class_share, inputs=inputs[input_places(class_of)], recurrent=recurrent, output=output, output_bias=bias)
 
 
 def _tokens(model: Model, words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -304,73 +466,75 @@ def _tokens(model: Model, words: Words, n: int) -> tuple[np.ndarray, np.ndarray,
     return ids, words.first + np.arange(n + 1), h, at, there
 
 
-def _token_lists(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8_of(batch.column(0))
-        for i, j in slices(offsets):
-            ids, first, _, _, _ = _tokens(model, Words(data, offsets[i : j + 1]), j - i)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))], names=["ids"])
-
+PART_SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, known long, head_score double, rare array<struct<word:long,times:int>>, ids binary"
 
-PART_SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, known long, head_score double, lm_score double, rare array<struct<word:long,times:int>>"
 
-
-def _score_parts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """What a text's own task can tell: scores of frequent words and of classes, and the rare words to be joined with their counts."""
+def _parts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """What the counts of frequent words tell of each text, the rare words to be joined with their counts, and the token ids."""
     log_count = np.log10(model.head_count + 0.1)
     for batch in batches:
         data, offsets = utf8_of(batch.column("text"))
-        all_ids, sizes, parts, rare_words, rare_times, rare_sizes = [], [], [], [], [], []
         for i, j in slices(offsets):
             words = Words(data, offsets[i : j + 1])
             ids, first, h, at, there = _tokens(model, words, j - i)
-            all_ids.append(ids.astype(np.int32))
-            sizes.append(np.diff(first))
-            parts.append((np.bincount(words.text_of[there], minlength=j - i), np.bincount(words.text_of[there], log_count[at[there]], minlength=j - i)))
+            flat, edges = ids.astype(np.uint16).tobytes(), (2 * first).tolist()
+            known, head_score = np.bincount(words.text_of[there], minlength=j - i), np.bincount(words.text_of[there], log_count[at[there]], minlength=j - i)
             rare_h, rare_text = h[~there], words.text_of[~there]
             order = np.lexsort((rare_h, rare_text))
             rare_h, rare_text = rare_h[order], rare_text[order]
             new = np.ones(len(rare_h), dtype=bool)
             new[1:] = (rare_h[1:] != rare_h[:-1]) | (rare_text[1:] != rare_text[:-1])
             begin = np.flatnonzero(new)
-            rare_words.append(rare_h[begin].view(np.int64))
-            rare_times.append(np.diff(np.append(begin, len(rare_h))))
-            rare_sizes.append(np.bincount(rare_text[begin], minlength=j - i))
-        if not sizes:
-            continue
-        ids, size, rare_size = np.concatenate(all_ids), np.concatenate(sizes), np.concatenate(rare_sizes)
-        first = np.concatenate([[0], np.cumsum(size)])
-        lm = log_shares(model, ids, first) if len(model.class_share) > 1 else np.zeros(len(size))
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(rare_size)]), pa.int32()),
-            pa.StructArray.from_arrays([pa.array(np.concatenate(rare_words)), pa.array(np.concatenate(rare_times), pa.int32())], names=["word", "times"]),
-        )
-        known, head_score = (np.concatenate(x) for x in zip(*parts, strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("row", "doc_id", "held_out")), pa.array(size), pa.array(known), pa.array(head_score), pa.array(lm), lists],
-            names=["row", "doc_id", "held_out", "n_tokens", "known", "head_score", "lm_score", "rare"],
-        )
-
-
-def score(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows that are not held out."""
+            rare_first = np.concatenate([[0], np.cumsum(np.bincount(rare_text[begin], minlength=j - i))])
+            times = pa.array(np.diff(np.append(begin, len(rare_h))), pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(rare_first, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_h[begin].view(np.int64)), times], names=["word", "times"]))
+            texts = pa.array([flat[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).slice(i, j - i) for c in ("row", "doc_id", "held_out")), pa.array(np.diff(first)), pa.array(known), pa.array(head_score), lists, texts],
+                names=["row", "doc_id", "held_out", "n_tokens", "known", "head_score", "rare", "ids"],
+            )
+
+
+def _lm_scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Rows with lm_score in place of ids."""
+    for batch in batches:
+        lists = [np.frombuffer(x, dtype=np.uint16) for x in batch.column("ids").to_pylist()]
+        first = np.cumsum([0, *map(len, lists)])
+        ids = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, dtype=np.int32)
+        lm = log_shares(model, ids, first) if len(model.class_share) > 1 else np.zeros(len(lists))
+        kept = [c for c in batch.schema.names if c != "ids"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lm)], names=[*kept, "lm_score"])
+
+
+def learn(docs: DataFrame, head_words: int = 1 << 19, vocabulary: int = 8192, n_classes: int = 48, rounds: int = 4) -> tuple[Model, DataFrame, DataFrame]:
+    """The model; counts of words (word, n, surface); and the rows with token ids (PART_SCHEMA). Learns from rows that are not held out."""
+    if vocabulary + 2 * SURFACES >= 1 << 16:
+        raise ValueError("token ids are stored in 16 bits")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    training = own.where(~held_out())
-    counted = training.select("text").mapInArrow(_count_words, "word long, n long, surface int")
+    counted = own.where(~held_out()).select("text").mapInArrow(_count_words, "word long, n long, surface int")
     counts = materialise(counted.groupBy("word").agg(F.sum("n").alias("n"), F.min("surface").alias("surface")), "word-counts")
-    model = fit(training, counts, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = frequent_words(counts, head_words, vocabulary)
+    lookup = docs.sparkSession.sparkContext.broadcast(model)
     rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
-    parts = materialise(rows.mapInArrow(lambda it: _score_parts(it, shared.value), PART_SCHEMA), "score-parts")
+    parts = materialise(rows.mapInArrow(lambda it: _parts(it, lookup.value), PART_SCHEMA), "score-parts")
+    if model.total:
+        model = fit(model, parts.where("not held_out").select("row", "ids"), n_classes, rounds)
+    return model, counts, parts
+
+
+def score(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; options as for learn."""
+    model, counts, parts = learn(docs, **options)
+    network = docs.sparkSession.sparkContext.broadcast(replace(model, head=model.head[:0], head_count=model.head_count[:0], head_id=model.head_id[:0], head_surface=None))
     rare = parts.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.times").alias("times"))
     tail = counts if not len(model.head) else counts.where(F.col("n") < int(model.head_count.min()))
     joined = rare.join(tail.select("word", "n"), "word").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) + 1.0)).alias("rare_score"))
+    scored = parts.drop("rare").mapInArrow(lambda it: _lm_scores(it, network.value), "row long, doc_id long, held_out boolean, n_tokens long, known long, head_score double, lm_score double")
     scale = float(np.log10(model.scale))
-    end_count = int(model.head_count[model.head == END][0]) if (model.head == END).any() else 0
     # an unknown word has log10(0.1) = -1; known rare words are raised above that by the join
     unknown = F.col("n_tokens") - 1 - F.col("known")
-    base = F.col("head_score") + F.coalesce("rare_score", F.lit(0.0)) - unknown + float(np.log10(end_count + 0.1)) - F.col("n_tokens") * scale
-    known = F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(end_count > 0))
-    return parts.drop("rare").join(joined, "row", "left").select(
+    base = F.col("head_score") + F.coalesce("rare_score", F.lit(0.0)) - unknown + float(np.log10(model.end_count + 0.1)) - F.col("n_tokens") * scale
+    known = F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(model.end_count > 0))
+    return scored.join(joined, "row", "left").select(
         "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("lm_score")).alias("score")
     )
