@@ -117,15 +117,21 @@ class Model:
         return own
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _step(h: np.ndarray, x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+def _step(h: np.ndarray, x: np.ndarray, u: np.ndarray, gates: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    gates = np.add(x[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=gates)
+    # a logistic function by a hyperbolic tangent
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    new = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-    return new + z * (h - new), z, r, new
+    new = r * u[:, 2 * HIDDEN :]
+    new += x[:, 2 * HIDDEN :]
+    np.tanh(new, out=new)
+    after = h - new
+    after *= z
+    after += new
+    return after, z, r, new
 
 
 def log_shares(model: Model, ids: np.ndarray, first: np.ndarray, width: int = 1024, window: int = 32) -> np.ndarray:
@@ -150,12 +156,14 @@ def log_shares(model: Model, ids: np.ndarray, first: np.ndarray, width: int = 10
                 token = ids[base[:n] + t0 + t]
                 classes[t, :n] = model.class_of[token]
                 h[:n] = _step(h[:n], model.inputs[token], h[:n] @ model.recurrent)[0]
-            has = classes >= 0
-            logits = states[has] @ model.output + model.output_bias
+            has = np.flatnonzero(classes.ravel() >= 0)
+            chosen = classes.ravel()[has]
+            logits = states.reshape(-1, HIDDEN)[has] @ model.output
+            logits += model.output_bias
             logits -= logits.max(axis=1, keepdims=True)
-            chosen = classes[has]
-            value = (logits[np.arange(len(chosen)), chosen] - np.log(np.exp(logits).sum(axis=1))) / np.log(10) - share[chosen]
-            out[own[:active]] += np.bincount(np.nonzero(has)[1], value.astype(np.float64), minlength=active)
+            own_logit = logits[np.arange(len(chosen)), chosen]
+            value = (own_logit - np.log(np.exp(logits, out=logits).sum(axis=1))) / np.log(10) - share[chosen]
+            out[own[:active]] += np.bincount(has % active, value.astype(np.float64), minlength=active)
     return out
 
 
@@ -216,43 +224,53 @@ class Trainer:
 
     def gradients(self, own: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, float]:
         """(token, gradient of its inputs) of each token, gradients of the other weights, the last state, and the loss a token."""
-        p, steps = self.p, own.shape[1]
-        at = np.nonzero(own.T >= 0)
-        token_in = self.input_of[np.maximum(own.T, 0)]
+        p, steps, width = self.p, own.shape[1], 3 * HIDDEN
+        valid = own.T >= 0
+        token = np.where(valid, own.T, 0)
+        token_in = self.input_of[token]
         x = p[0][token_in]
-        keep = ~start.T[:, :, None]
-        before, after = np.empty((steps, len(own), HIDDEN), dtype=np.float32), []
+        keep = (~start.T).astype(np.float32)[:, :, None]
+        shape = (steps, len(own), HIDDEN)
+        before, gates, new, u_new = np.empty(shape, p[1].dtype), np.empty((*shape[:2], 2 * HIDDEN), p[1].dtype), np.empty(shape, p[1].dtype), np.empty(shape, p[1].dtype)
         for t in range(steps):
-            before[t] = h * keep[t]
+            np.multiply(h, keep[t], out=before[t])
             u = before[t] @ p[1]
-            h, z, r, new = _step(before[t], x[t], u)
-            after.append((u[:, 2 * HIDDEN :], z, r, new))
-        aims = np.where(own.T >= 0, self.class_of[np.maximum(own.T, 0)], -1)
-        aimed = np.nonzero(aims >= 0)
-        states, target = before[aimed], aims[aimed]
-        prob = states @ p[2] + p[3]
-        prob -= prob.max(axis=1, keepdims=True)
-        np.exp(prob, out=prob)
-        prob /= prob.sum(axis=1, keepdims=True)
-        rows = np.arange(len(target))
-        loss = -float(np.log(np.maximum(prob[rows, target], 1e-30)).sum()) / max(len(target), 1)
-        prob[rows, target] -= 1
-        prob *= np.float32(1 / max(len(target), 1))
-        d_states = np.zeros_like(before)
-        d_states[aimed] = prob @ p[2].T
+            h, _, _, new[t] = _step(before[t], x[t], u, gates[t])
+            u_new[t] = u[:, 2 * HIDDEN :]
+        target = np.where(valid, self.class_of[token], -1).ravel()
+        aimed = np.flatnonzero(target >= 0)
+        states = before.reshape(-1, HIDDEN)
+        prob = states @ p[2]
+        prob += p[3]
+        # far above any sum of weights that training reaches; keeps the exponentials finite
+        np.exp(np.minimum(prob, 60, out=prob), out=prob)
+        sums, count = prob.sum(axis=1), max(len(aimed), 1)
+        loss = -float(np.log(np.maximum(prob[aimed, target[aimed]] / sums[aimed], 1e-30)).sum()) / count
+        prob *= np.where(target >= 0, 1 / (sums * count), 0).astype(prob.dtype)[:, None]
+        prob[aimed, target[aimed]] -= prob.dtype.type(1 / count)
+        d_states = (prob @ p[2].T).reshape(shape)
+        # factors of the loop backwards, for the whole window
+        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        by_z = before - new
+        by_z *= z - z * z
+        by_new = (1 - z) * (1 - new * new)
+        by_r = u_new * (r - r * r)
         dx, du = np.empty_like(x), np.empty_like(x)
-        dh = np.zeros_like(h)
+        dh, back = np.zeros_like(h), np.ascontiguousarray(p[1].T)
         for t in range(steps - 1, -1, -1):
-            u, z, r, new = after[t]
-            dz = dh * (before[t] - new) * z * (1 - z)
-            dn = dh * (1 - z) * (1 - new * new)
-            dr = dn * u * r * (1 - r)
-            dx[t, :, :HIDDEN], dx[t, :, HIDDEN : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dz, dr, dn
-            du[t, :, : 2 * HIDDEN], du[t, :, 2 * HIDDEN :] = dx[t, :, : 2 * HIDDEN], dn * r
-            dh = (dh * z + du[t] @ p[1].T + d_states[t]) * keep[t]
-        width = 3 * HIDDEN
-        others = [before.reshape(-1, HIDDEN).T @ du.reshape(-1, width), states.T @ prob, prob.sum(axis=0)]
-        return token_in[at], dx[at], others, h, loss
+            d = dx[t]
+            np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
+            dn = np.multiply(dh, by_new[t], out=d[:, 2 * HIDDEN :])
+            np.multiply(dn, by_r[t], out=d[:, HIDDEN : 2 * HIDDEN])
+            du[t, :, : 2 * HIDDEN] = d[:, : 2 * HIDDEN]
+            np.multiply(dn, r[t], out=du[t, :, 2 * HIDDEN :])
+            dh *= z[t]
+            dh += du[t] @ back
+            dh += d_states[t]
+            dh *= keep[t]
+        others = [states.T @ du.reshape(-1, width), states.T @ prob, prob.sum(axis=0)]
+        met = np.flatnonzero(valid.ravel())
+        return token_in.ravel()[met], dx.reshape(-1, width)[met], others, h, loss
 
     def _update(self, token: np.ndarray, dx: np.ndarray, others: list[np.ndarray]) -> None:
         self.step += 1
