@@ -14,7 +14,7 @@ With 32 bands of 8 minima, a pair of similarity 0.85 shares no band with probabi
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer words than a shingle has one
 shingle, all its words; equal texts (repeated rows included) are linked; rows of one id with different texts are judged each by its own
 text, and have each the least id of its own component; a row without id is linked with nothing (component_id null, kept); ties of leaders go
-to the least class number, which changes no result; a very long text is a slice of its own; an empty table gives no rows; further columns are
+to the least id, then class number, which changes no result; a very long text is a slice of its own; an empty table gives no rows; further columns are
 ignored.
 """
 
@@ -201,7 +201,7 @@ class NearDuplicates:
 
     def components(self, classes: DataFrame) -> DataFrame:
         """(node, component) of every class that is linked with another."""
-        keyed = classes.select("node", "n", F.explode("bands").alias("key"))
+        keyed = classes.select("node", "doc_id", "n", F.explode("bands").alias("key"))
         shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "shared-keys")
         bucketed = materialise(keyed.join(shared.hint("merge"), "key"), "buckets")
         candidates = self._candidates(classes, bucketed)
@@ -210,7 +210,8 @@ class NearDuplicates:
             members = bucketed if components is None else self._open_buckets(bucketed, components)
             if components is not None and members.isEmpty():
                 return components
-            order = F.col("node") if components is None else F.xxhash64("node", F.lit(turn))
+            # the least id first: it is often the text that the others were made from
+            order = F.col("doc_id") if components is None else F.xxhash64("node", F.lit(turn))
             rank = F.struct(order.alias("at"), *[c for c in ("node", "n", "component") if c in members.columns])
             leaders = materialise(members.groupBy("key").agg(F.min(rank).alias("lead")), "leaders")
             pairs = members.join(leaders, "key").where(F.col("node") != F.col("lead.node"))
