@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import boxes, parsing
 
-# Tasks that need no judge, and the detector's thresholds by task: (object, threshold, all boxes, large boxes dropped).
+# Tasks that need no judge, and what each task asks of the detector: (image, part or None for all kept objects, threshold, all boxes, large boxes dropped).
 JUDGE_FREE = ("subject_remove", "position_change", "count_change")
 DETECTION_REQUESTS = {
-    "subject_remove": ((0, 0.35, False, True),),
-    "position_change": ((0, 0.4, True, False), (2, 0.4, True, False)),
-    "count_change": ((0, 0.25, True, False),),
-    "subject_replace": ((0, 0.25, True, False), (1, 0.25, True, False)),
-    "subject_add": ((0, 0.25, True, False),),
-    "background_change": ((1, 0.25, False, False),),
+    "subject_add": (("after", 0, 0.3, True, False), ("before", 2, 0.3, True, False)),
+    "subject_remove": (("before", 0, 0.35, False, True), ("after", 0, 0.35, False, True)),
+    "subject_replace": (("before", 0, 0.3, True, False), ("after", 1, 0.3, True, False)),
+    "text_change": (("before", 1, 0.3, False, False),),
+    "position_change": (("before", 2, 0.4, True, False), ("before", 0, 0.4, True, False), ("after", 2, 0.4, True, False), ("after", 0, 0.4, True, False)),
+    "count_change": (("before", 0, 0.3, False, False), ("after", 0, 0.3, True, False)),
+    "background_change": (("after", None, 0.25, False, False),),
 }
 
 
@@ -100,11 +101,22 @@ def rule_score(edits: DataFrame) -> DataFrame:
 
 
 def detection_requests(parsed: DataFrame) -> DataFrame:
-    """Every detection that a valid edit may need: its object, threshold and flags."""
-    rows = [(t, p, th, a, large) for t, needs in DETECTION_REQUESTS.items() for p, th, a, large in needs]
-    values = ", ".join(f"('{t}', {p}, {th}D, {str(a).lower()}, {str(large).lower()})" for t, p, th, a, large in rows)
-    needs = parsed.sparkSession.sql(f"SELECT task, struct(part, threshold, all_boxes, drop_large) AS need FROM VALUES {values} AS t(task, part, threshold, all_boxes, drop_large)")
-    # a fixed table of ten rows
-    asked = parsed.join(F.broadcast(needs), "task").where("valid")
-    named = asked.withColumn("object", F.get("parts", F.col("need.part"))).where("object is not null")
-    return named.withColumn("object", F.when(F.col("task") == "subject_replace", parsing.singular("object")).otherwise(F.col("object")))
+    """Every detection that a valid edit may need, once each, in column `need`: image, object, threshold and flags. Parts that an instruction lacks are not asked for."""
+
+    def asked(image: str, part: int | None, threshold: float, all_boxes: bool, drop_large: bool) -> Column:
+        names = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))) if part is None else F.array(F.get("parts", F.lit(part)))
+        flags = [F.lit(threshold).alias("threshold"), F.lit(all_boxes).alias("all_boxes"), F.lit(drop_large).alias("drop_large")]
+        # objects of a replacement are asked for in the singular
+        return F.transform(names, lambda o: F.struct(F.lit(image).alias("image"), F.when(F.col("task") == "subject_replace", parsing.singular(o)).otherwise(o).alias("object"), *flags))
+
+    needs = F.lit(None)
+    for task, rows in DETECTION_REQUESTS.items():
+        needs = F.when(F.col("task") == task, F.concat(*[asked(*r) for r in rows])).otherwise(needs)
+    return parsed.where("valid").withColumn("need", F.explode(F.array_distinct(needs))).where("need.object is not null")
+
+
+def requested_detections(needed: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """What a detector answered to each request: found has the keys, image, object, threshold, all_boxes, drop_large and boxes. A request without an answer stays, with null boxes, for the next run."""
+    named = needed.select("*", *[F.col(f"need.{c}").alias(c) for c in ("image", "object", "threshold", "all_boxes", "drop_large")])
+    on = [*keys, "image", "object", "threshold", "all_boxes", "drop_large"]
+    return named.join(found.select(*on, "boxes"), on, "left")

@@ -91,10 +91,10 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("session", "turn", "split", "judge", "vote", "status", F.when(F.col("status") == "ok", ((F.col("quantity") + F.col("vote") * F.col("j")) % 2).cast("double")).alias("score"))
 
 
-#: Support vectors: absolute values of the embeddings, 64 cells each; a position's session is its label.
+#: Support vectors: absolute values of the embeddings, 64 cells each; fifty positions in a row are a session.
 SUPPORTS = """
 supports AS (
-  SELECT vec_id AS position, CAST(label AS BIGINT) AS session, vec_id % 4 AS step, vec_id % 3 AS head, [abs(CAST(v AS DOUBLE)) for v in embedding] AS x FROM embeddings
+  SELECT vec_id AS position, vec_id // 50 AS session, vec_id % 4 AS step, vec_id % 3 AS head, [abs(CAST(v AS DOUBLE)) for v in embedding] AS x FROM embeddings
 ), cells AS (
   SELECT position, session, step, head, unnest(range(64)) AS cell, unnest(x) AS v FROM supports
 ), masses AS (SELECT position, sum(v) AS m FROM cells GROUP BY position),
@@ -104,7 +104,7 @@ shares AS (SELECT c.*, m, CASE WHEN m > 0 THEN v / m ELSE 0 END AS p FROM cells
 def supports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("position"),
-        F.col("label").cast("long").alias("session"),
+        F.floor(F.col("vec_id") / 50).alias("session"),
         (F.col("vec_id") % 4).alias("step"),
         (F.col("vec_id") % 3).alias("head"),
         F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("x"),

@@ -201,11 +201,11 @@ def g6_prefix_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session", "turn", F.sha2(F.concat(F.lit("Steps:\n"), lines), 256).alias("prompt"))
 
 
-@query("a14_safe_export", "SELECT conv_id, turn, CASE WHEN regexp_matches(ltrim(cell), '^[=+\\-@]') THEN '''' || cell ELSE cell END AS cell FROM (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '=' WHEN 1 THEN ' -' ELSE '' END || substr(text, 1, 40) AS cell FROM conversations)")
+@query("a14_safe_export", "SELECT conv_id, turn, CASE WHEN regexp_matches(ltrim(cell), '^[=+\\-@]') THEN '''' || cell ELSE cell END AS cell FROM (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '=' WHEN 1 THEN ' -' ELSE '' END || text AS cell FROM conversations)")
 def a14_safe_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that a spreadsheet would read as a formula get a quote in front."""
     lead = F.when(F.col("conv_id") % 4 == 0, "=").when(F.col("conv_id") % 4 == 1, " -").otherwise("")
-    cells = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(lead, F.substring("text", 1, 40)).alias("cell"))
+    cells = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(lead, "text").alias("cell"))
     return cells.withColumn("cell", F.when(F.ltrim("cell").rlike(r"^[=+\-@]"), F.concat(F.lit("'"), "cell")).otherwise(F.col("cell")))
 
 

@@ -47,16 +47,28 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("id", "f.task", text.alias("instruction"), said.alias("answer"))
 
 
+_B = r"\[([^\]]+)\]"
+# The forms of instructions as SQL patterns, written out apart from those of the library.
+_SQL_FORMS = {
+    "subject_replace": ((f"Replace {_B} with {_B}", 2),),
+    "subject_remove": ((f"Remove {_B}", 1),),
+    "material_alter": ((f"Change the material of {_B} to {_B}", 2),),
+    "color_alter": ((f"Change the color of {_B} to {_B}", 2),),
+    "subject_add": ((f"Add {_B} on the {_B} of {_B}", 3), (f"Add {_B}", 1)),
+    "text_change": ((f"Replace the text '{_B}' on {_B} with '{_B}'", 3), (f"Add text '{_B}' on the image", 1)),
+    "position_change": ((f"Change the position of {_B} to {_B} of {_B}", 3),),
+    "count_change": ((f"Change the count of {_B} to {_B}", 2),),
+}
+
+
 def _extract(pattern: str, n: int) -> str:
     quoted = pattern.replace("'", "''")
     return f"WHEN regexp_matches(instruction, '{quoted}') THEN [" + ", ".join(f"regexp_extract(instruction, '{quoted}', {k + 1})" for k in range(n)) + "]"
 
 
-_PARSE = "CASE " + " ".join(
-    f"WHEN task = '{name}' THEN CASE " + " ".join(_extract(p, p.replace("\\(", "").count("(")) for p in patterns) + " END" for name, patterns in parsing.INSTRUCTION_PATTERNS.items() if name != "background_change"
-)
+_PARSE = "CASE " + " ".join(f"WHEN task = '{name}' THEN CASE " + " ".join(_extract(*form) for form in forms) + " END" for name, forms in _SQL_FORMS.items())
 _PARSE += " WHEN task = 'background_change' THEN CASE WHEN regexp_matches(instruction, 'Change the background to ([^,]+), remain the (.+) unchanged') THEN list_concat([regexp_extract(instruction, 'Change the background to ([^,]+), remain', 1)], string_split(regexp_extract(instruction, 'remain the (.+) unchanged', 1), ',')) "
-_PARSE += _extract(parsing.INSTRUCTION_PATTERNS["background_change"][1], 1) + " END END"
+_PARSE += _extract(f"Change the background to {_B}", 1) + " END END"
 PARSED = f"{EDITS}, parsed AS (SELECT *, {_PARSE} AS parts FROM edits)"
 VALID = "parts IS NOT NULL AND CASE WHEN task = 'count_change' THEN regexp_matches(parts[2], '^[0-9]+$') WHEN task = 'position_change' OR task = 'subject_add' AND len(parts) = 3 THEN parts[2] IN ('left', 'right', 'above', 'below') ELSE true END"
 
@@ -199,7 +211,23 @@ def f22_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("image", F.col("k").cast("long").alias("k"), r6("iou").alias("iou"))
 
 
-@query("f23_distinct_boxes")
+_SAME = "(least(k.x2, b.x2) - greatest(k.x1, b.x1)) * (least(k.y2, b.y2) - greatest(k.y1, b.y1))"
+_OVER = f"least(k.x2, b.x2) > greatest(k.x1, b.x1) AND least(k.y2, b.y2) > greatest(k.y1, b.y1) AND {_SAME} / ((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_SAME}) > 0.8"
+
+
+def _fold(name: str, source: str) -> str:
+    """Tables of a fold over boxes in order (id, kind, pos, x1, y1, x2, y2): a box is kept if it overlaps none of those kept by more than 0.8."""
+    return f"""{name}_fold AS (SELECT DISTINCT id, kind, CAST(0 AS BIGINT) AS pos, CAST([] AS STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS kept FROM {source}
+UNION ALL SELECT f.id, f.kind, f.pos + 1, CASE WHEN len(list_filter(f.kept, lambda k: {_OVER})) > 0 THEN f.kept ELSE list_append(f.kept, struct_pack(x1 := b.x1, y1 := b.y1, x2 := b.x2, y2 := b.y2)) END FROM {name}_fold f JOIN {source} b ON b.id = f.id AND b.kind = f.kind AND b.pos = f.pos),
+{name}_counts AS (SELECT id, kind, arg_max(len(kept), pos) AS n FROM {name}_fold GROUP BY ALL)"""
+
+
+@query(
+    "f23_distinct_boxes",
+    f"""WITH RECURSIVE {BOXES}, sets AS (SELECT image AS id, 'once' AS kind, k AS pos, x1, y1, x2, y2 FROM boxes UNION ALL SELECT image, 'twice', k, x1, y1, x2, y2 FROM boxes
+UNION ALL SELECT image, 'twice', k + 16, x1 * 1.001e0, y1 * 1.001e0, x2 * 1.001e0, y2 * 1.001e0 FROM boxes), {_fold("sets", "sets")}
+SELECT a.id AS image, a.n, b.n AS n_doubled FROM sets_counts a JOIN sets_counts b ON a.id = b.id AND a.kind = 'once' AND b.kind = 'twice'""",
+)
 def f23_distinct_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each image's boxes next to slightly moved copies; a fold over the boxes in order."""
     own = detections(spark, sf_dir).select("image", F.transform("found", lambda d: d["box"]).alias("boxes"))
@@ -230,13 +258,15 @@ def _scored_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits with the boxes of an image each: how many of them count as found depends on the id."""
     own = detections(spark, sf_dir).select(F.col("image").alias("im"), F.transform("found", lambda d: d["box"]).alias("b"))
     n = lambda k, m: F.pmod(F.floor(F.col("id") / k), F.lit(m)).cast("int")
-    joined = edits(spark, sf_dir).join(own, F.col("id") % 500 == F.col("im"))
+    # one row: the number of images, over which the edits are dealt evenly
+    counted = own.agg(F.count("*").alias("images"))
+    joined = edits(spark, sf_dir).crossJoin(F.broadcast(counted)).join(own, F.col("id") % F.col("images") == F.col("im"))
     take = lambda start, count: F.slice("b", F.lit(start), count)
     found = joined.select("id", "task", "instruction", "answer", take(1, n(3, 3)).alias("src_one"), take(4, n(5, 3)).alias("src_two"), take(7, n(7, 4)).alias("dst_one"), take(11, n(2, 3)).alias("dst_two"), F.array(take(1, n(3, 2) + 1), take(5, n(4, 2))).alias("dst_kept"))
     return rules.rule_score(found)
 
 
-_FOUND = f"""{PARSED}, {BOXES.strip()}, e AS (SELECT p.*, id % 500 AS image, {VALID} AS valid, answer LIKE '%yes%' AS yes, id // 3 % 3 AS n_src_one, id // 5 % 3 AS n_src_two, id // 7 % 4 AS n_dst_one, id // 2 % 3 AS n_dst_two FROM parsed p WHERE id % 500 IN (SELECT vec_id FROM embeddings)),
+_FOUND = f"""{PARSED}, {BOXES.strip()}, e AS (SELECT p.*, id % (SELECT count(*) FROM embeddings) AS image, {VALID} AS valid, answer LIKE '%yes%' AS yes, id // 3 % 3 AS n_src_one, id // 5 % 3 AS n_src_two, id // 7 % 4 AS n_dst_one, id // 2 % 3 AS n_dst_two FROM parsed p WHERE id % (SELECT count(*) FROM embeddings) IN (SELECT vec_id FROM embeddings)),
 near AS (SELECT id, max({_IOU}) AS best FROM e JOIN boxes a USING (image) JOIN boxes b ON b.image = e.image WHERE a.k < n_src_one AND b.k >= 10 AND b.k < 10 + n_dst_two GROUP BY id),
 gone AS (SELECT id, {_IOU} AS first FROM e JOIN boxes a USING (image) JOIN boxes b ON b.image = e.image WHERE a.k = 0 AND b.k = 6),
 beside AS (SELECT id, bool_or((b.x1 + b.x2) / 2 - (a.x1 + a.x2) / 2 < -0.03) AS l FROM e JOIN boxes a USING (image) JOIN boxes b ON b.image = e.image WHERE a.k >= 3 AND a.k < 3 + n_src_two AND b.k >= 6 AND b.k < 6 + n_dst_one GROUP BY id),
@@ -267,23 +297,42 @@ for _name, (_condition, _passed) in _RULES.items():
     _rule_query(_name, _condition, _passed)
 
 
-@query("h7_position")
+_COUNTED = f"""{_FOUND}, asked AS (SELECT id, image, 'src_one' AS kind, 0 AS low, n_src_one AS n FROM e UNION ALL SELECT id, image, 'src_two', 3, n_src_two FROM e UNION ALL SELECT id, image, 'dst_one', 6, n_dst_one FROM e UNION ALL SELECT id, image, 'dst_two', 10, n_dst_two FROM e),
+own AS (SELECT id, kind, k - low AS pos, x1, y1, x2, y2 FROM asked JOIN boxes USING (image) WHERE k >= low AND k < low + n), {_fold("own", "own")},
+n AS (SELECT id, coalesce(max(n) FILTER (WHERE kind = 'src_one'), 0) AS s1, coalesce(max(n) FILTER (WHERE kind = 'src_two'), 0) AS s2, coalesce(max(n) FILTER (WHERE kind = 'dst_one'), 0) AS d1, coalesce(max(n) FILTER (WHERE kind = 'dst_two'), 0) AS d2 FROM e LEFT JOIN own_counts USING (id) GROUP BY id),
+ends AS (SELECT id, (max(x1 + x2) FILTER (WHERE kind = 'dst_one') - max(x1 + x2) FILTER (WHERE kind = 'dst_two')) / 2 AS dx, (max(y1 + y2) FILTER (WHERE kind = 'dst_one') - max(y1 + y2) FILTER (WHERE kind = 'dst_two')) / 2 AS dy FROM own WHERE pos = 0 GROUP BY id)"""
+_STATUS = "SELECT id, CASE WHEN valid THEN 'ok' ELSE 'invalid_annotation' END AS status, CASE WHEN valid THEN CAST(coalesce({passed}, false) AS INT) * 1.0e0 END AS score FROM e JOIN n USING (id) LEFT JOIN ends USING (id) WHERE task = '{task}'"
+
+
+@query("h7_position", f"WITH RECURSIVE {_COUNTED} " + _STATUS.format(task="position_change", passed="s1 = d1 AND s2 = d2 AND d1 > 0 AND d2 > 0 AND CASE parts[2] WHEN 'left' THEN dx < 0 WHEN 'right' THEN dx > 0 WHEN 'above' THEN dy < 0 WHEN 'below' THEN dy > 0 ELSE false END"))
 def h7_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored_edits(spark, sf_dir).where("task = 'position_change'").select("id", "status", "score")
 
 
-@query("h8_count")
+@query("h8_count", f"WITH RECURSIVE {_COUNTED} " + _STATUS.format(task="count_change", passed="s1 > 0 AND d1 = CAST(parts[2] AS BIGINT)"))
 def h8_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored_edits(spark, sf_dir).where("task = 'count_change'").select("id", "status", "score")
 
 
-_NEEDS = ", ".join(f"('{t}', {p}, {th!r}, {str(a).lower()}, {str(large).lower()})" for t, rows in rules.DETECTION_REQUESTS.items() for p, th, a, large in rows)
+_ONE = "CASE WHEN ends_with({0}, 'es') THEN left({0}, length({0}) - 2) WHEN ends_with({0}, 's') THEN left({0}, length({0}) - 1) ELSE {0} END"
 
 
-@query("h10_detection_requests", f"WITH {PARSED}, needs(task, part, threshold, all_boxes, drop_large) AS (VALUES {_NEEDS}), n AS (SELECT id, task, parts[part + 1] AS object, CAST(threshold AS DOUBLE) AS threshold, all_boxes, drop_large FROM parsed JOIN needs USING (task) WHERE {VALID}) SELECT id, CASE WHEN task <> 'subject_replace' THEN object WHEN ends_with(object, 'es') THEN left(object, length(object) - 2) WHEN ends_with(object, 's') THEN left(object, length(object) - 1) ELSE object END AS object, threshold, all_boxes, drop_large FROM n WHERE object IS NOT NULL")
+@query(
+    "h10_detection_requests",
+    f"""WITH {PARSED}, v AS (SELECT * FROM parsed WHERE {VALID})
+SELECT id, 'after' AS image, parts[1] AS object, 0.3e0 AS threshold, true AS all_boxes, false AS drop_large FROM v WHERE task = 'subject_add'
+UNION SELECT id, 'before', parts[3], 0.3e0, true, false FROM v WHERE task = 'subject_add' AND len(parts) = 3
+UNION SELECT id, i, parts[1], 0.35e0, false, true FROM v CROSS JOIN (VALUES ('before'), ('after')) AS t(i) WHERE task = 'subject_remove'
+UNION SELECT id, 'before', {_ONE.format("parts[1]")}, 0.3e0, true, false FROM v WHERE task = 'subject_replace'
+UNION SELECT id, 'after', {_ONE.format("parts[2]")}, 0.3e0, true, false FROM v WHERE task = 'subject_replace'
+UNION SELECT id, 'before', parts[2], 0.3e0, false, false FROM v WHERE task = 'text_change' AND len(parts) = 3
+UNION SELECT id, i, parts[p], 0.4e0, true, false FROM v CROSS JOIN (VALUES ('before', 1), ('before', 3), ('after', 1), ('after', 3)) AS t(i, p) WHERE task = 'position_change'
+UNION SELECT id, 'before', parts[1], 0.3e0, false, false FROM v WHERE task = 'count_change'
+UNION SELECT id, 'after', parts[1], 0.3e0, true, false FROM v WHERE task = 'count_change'
+UNION SELECT id, 'after', unnest(parts[2:]), 0.25e0, false, false FROM v WHERE task = 'background_change'""",
+)
 def h10_detection_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needed = rules.detection_requests(parsed(spark, sf_dir))
-    return needed.select("id", "object", F.col("need.threshold").alias("threshold"), F.col("need.all_boxes").alias("all_boxes"), F.col("need.drop_large").alias("drop_large"))
+    return rules.detection_requests(parsed(spark, sf_dir)).select("id", "need.image", "need.object", "need.threshold", "need.all_boxes", "need.drop_large")
 
 
 @query("h11_shared_scores", f"WITH {EDITS} SELECT id, vote, CASE WHEN task IN ('subject_remove', 'position_change', 'count_change') THEN id % 2 ELSE (id + vote) % 2 END AS score FROM edits CROSS JOIN (VALUES (1), (2)) AS v(vote)")

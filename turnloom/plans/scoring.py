@@ -179,10 +179,10 @@ def c4_human_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c18_judge_disagreements", f"{_STRICT} SELECT session, turn, a.score AS score_a, b.score AS score_b FROM (SELECT * FROM voted WHERE judge = 'a' AND status = 'ok') a JOIN (SELECT * FROM voted WHERE judge = 'b' AND status = 'ok') b USING (session, turn) WHERE a.score <> b.score")
 def c18_judge_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both judges of a turn side by side in one aggregation."""
     voted = typed.vote_mean(votes(spark, sf_dir), ["session", "turn", "judge"], 2).where("status = 'ok'")
-    one = voted.where("judge = 'a'").select("session", "turn", F.col("score").alias("score_a"))
-    two = voted.where("judge = 'b'").select("session", "turn", F.col("score").alias("score_b"))
-    return one.join(two, ["session", "turn"]).where("score_a <> score_b")
+    of = lambda judge: F.max(F.when(F.col("judge") == judge, F.col("score"))).alias(f"score_{judge}")
+    return voted.groupBy("session", "turn").agg(of("a"), of("b")).where("score_a <> score_b")
 
 
 @query("d36_failure_causes", f"WITH {TURNS}, f AS (SELECT CASE WHEN tax < 4 THEN 'token_limit' ELSE 'empty_response' END AS cause FROM scored WHERE status = 'response_incomplete'), c AS (SELECT cause, count(*) AS n FROM f GROUP BY cause) SELECT cause, n, round(n / sum(n) OVER (), 6) AS share FROM c")
