@@ -42,18 +42,24 @@ def halves(clusters: DataFrame, cluster: str, seed: str) -> DataFrame:
     return ranked.select(cluster, F.when(F.col("rank") <= F.floor(F.col("total") / 2), "discovery").otherwise("confirmation").alias("split"))
 
 
-def greedy_cover(items: DataFrame, item: str, tags: str, most: int) -> list:
-    """Up to `most` items, each the one whose tags add most that is new, ties by digest. A bounded number of top-1 queries."""
-    chosen: list = []
-    covered: list[str] = []
-    for _ in range(most):
-        new = F.size(F.array_except(tags, F.array(*map(F.lit, covered)).cast("array<string>")))
-        best = items.select(item, tags, new.alias("new")).orderBy(F.desc("new"), F.sha2(F.col(item).cast("string"), 256)).limit(1).collect()
-        if not best or best[0]["new"] == 0:
-            break
-        chosen.append(best[0][item])
-        covered = sorted({*covered, *best[0][tags]})
-    return chosen
+def greedy_cover(items: DataFrame, item: str, tags: str, predicates: list[Column] | None = None) -> list:
+    """Items, each the one whose tags add most that is new, ties by digest, until all tags are covered; then for each predicate that none of them meets the first by digest that does.
+
+    One aggregation keeps the first item of each combination of tags and predicates, which is all that a choice can take; tags are a small
+    closed set by contract, so the combinations are few, and the choice is made over them.
+    """
+    flags = F.array(*[F.coalesce(p, F.lit(False)) for p in predicates or []]).cast("array<boolean>")
+    digest = F.sha2(F.col(item).cast("string"), 256)
+    kinds = items.groupBy(F.array_sort(F.array_distinct(tags)).alias("tags"), flags.alias("flags")).agg(F.min(F.struct(digest.alias("digest"), F.col(item).alias("item"))).alias("least"))
+    rows = sorted(((r["least"]["digest"], r["least"]["item"], set(r["tags"]), r["flags"]) for r in kinds.collect()), key=lambda r: r[0])
+    chosen, covered = [], set()
+    while rows and (best := max(rows, key=lambda r: len(r[2] - covered)))[2] - covered:
+        chosen.append(best)
+        covered |= best[2]
+    for k in range(len(predicates or [])):
+        if not any(r[3][k] for r in chosen):
+            chosen += [r for r in rows if r[3][k]][:1]
+    return [r[1] for r in chosen]
 
 
 def window_means(cells: DataFrame, by: list[str], steps: int, layers: int, n_steps: int, n_layers: int, value: str = "value") -> DataFrame:

@@ -9,7 +9,49 @@ from pyspark.sql.window import Window
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
+STEPS = 4096
+
+
+def _bucket(v: Column) -> Column:
+    """A whole number that grows with the value: STEPS for each doubling."""
+    size = F.floor(F.log2(F.abs(v)) * STEPS) + 1200 * STEPS
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(0).cast("long")
+
+
+def _ranked(rows: DataFrame, by: list[str], value: str, ranks: list[Column]) -> DataFrame:
+    """Distinct values of the buckets in which the given ranks fall (0 is the least; expressions over `total`), with `start` and `end` of their ranks, and the sum `below` of all values before them.
+
+    Buckets are counted in one aggregation; only those that hold a rank are sorted, each alone, so no task sorts a whole group.
+    """
+    kept = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v")).withColumn("bucket", _bucket(F.col("v")))
+    sizes = kept.groupBy(*by, "bucket").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    up = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sizes.select("*", (F.sum("n").over(up) - F.col("n")).alias("first"), (F.sum("s").over(up) - F.col("s")).alias("less"), F.sum("n").over(Window.partitionBy(*by)).alias("total"))
+    holds = F.lit(False)
+    for r in ranks:
+        holds = holds | ((r >= F.col("first")) & (r < F.col("first") + F.col("n")))
+    # a few rows a group
+    wanted = placed.where(holds).select(*by, "bucket", "first", "less", "total")
+    values = kept.join(wanted, [*by, "bucket"]).groupBy(*by, "bucket", "first", "less", "total", "v").agg(F.count("*").alias("c"))
+    inside = Window.partitionBy(*by, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("first") + F.sum("c").over(inside)
+    return values.select(*by, "v", "total", (end - F.col("c")).alias("start"), end.alias("end"), (F.col("less") + F.sum(F.col("v") * F.col("c")).over(inside) - F.col("v") * F.col("c")).alias("below"))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, q): exact quantiles with linear interpolation between ranks. rows is read twice; store it first if it is dear."""
+    place = [(F.col("total") - 1) * F.lit(q) for q in shares]
+    ends = [(F.floor(x), F.ceil(x)) for x in place]
+    found = _ranked(rows, by, value, [r for e in ends for r in e])
+    at = lambda r: F.max(F.when((r >= F.col("start")) & (r < F.col("end")), F.col("v")))
+    each = []
+    for x, (low, high) in zip(place, ends, strict=True):
+        each.append(at(low) + (at(high) - at(low)) * F.max(x - low))
+    return (found.groupBy(*by) if by else found).agg(F.array(*each).alias("q"))
+
+
 def describe(rows: DataFrame, by: list[str], value: str, cluster: str) -> DataFrame:
+    """Counts, moments and quantiles of each group. rows is read three times; store it first if it is dear."""
     grouped = rows.groupBy(*by).agg(
         F.count("*").alias("n_total"),
         F.count(value).alias("n_valid"),
@@ -18,23 +60,31 @@ def describe(rows: DataFrame, by: list[str], value: str, cluster: str) -> DataFr
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-        F.percentile(value, list(QUANTILES)).alias("q"),
     )
+    grouped = grouped.join(quantiles(rows, by, value, list(QUANTILES)), by, "left")
     return grouped.select(*by, "n_total", "n_valid", "n_clusters", "mean", "std", "min", "max", *[F.col("q")[k].alias(f"p{round(q * 100)}") for k, q in enumerate(QUANTILES)])
 
 
+def numbered(clusters: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, k): distinct clusters numbered from 0 in the order of their digests, counted over 4096 buckets of it."""
+    hashed = clusters.select(cluster).withColumn("h", F.md5(F.col(cluster).cast("string").cast("binary"))).withColumn("bucket", F.substring("h", 1, 3))
+    sizes = hashed.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("bucket").orderBy("h", cluster))
+    return hashed.join(F.broadcast(before), "bucket").select(cluster, (own + F.col("before") - 1).alias("k"))
+
+
 def draws(clusters: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
     """(rep, cluster, weight): for each repetition as many draws with replacement as there are clusters, from digests, so that every engine draws alike.
 
-    clusters: the distinct clusters. The table has reps x clusters rows; clusters are sampling units such as images, not rows.
+    clusters: the distinct clusters. The reps x clusters draws are dealt over tasks as a range of numbers.
     """
-    numbered = clusters.select(cluster, (F.row_number().over(Window.orderBy(cluster)) - 1).alias("k"))
-    counted = clusters.agg(F.count("*").alias("n"))
-    slots = counted.select("n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
+    spark, n = clusters.sparkSession, clusters.count()
+    slots = spark.range(0, reps * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("slot"))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string"))
     value = F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
-    drawn = slots.select("rep", (value % F.col("n")).alias("k")).groupBy("rep", "k").agg(F.count("*").alias("weight"))
-    return drawn.join(numbered, "k").select("rep", cluster, "weight")
+    drawn = slots.select("rep", (value % n).alias("k")).groupBy("rep", "k").agg(F.count("*").alias("weight"))
+    return drawn.join(numbered(clusters, cluster), "k").select("rep", cluster, "weight")
 
 
 def bootstrap_interval(rows: DataFrame, by: list[str], value: str, cluster: str, drawn: DataFrame) -> DataFrame:
@@ -46,11 +96,15 @@ def bootstrap_interval(rows: DataFrame, by: list[str], value: str, cluster: str,
 
 
 def trimmed_mean(rows: DataFrame, by: list[str], value: str, share: float = 0.05) -> DataFrame:
-    """Mean without the floor(share n) least and greatest values."""
-    own = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(own.orderBy(value)).alias("k"), F.count("*").over(own).alias("n"))
-    cut = F.floor(F.col("n") * share)
-    return ranked.where((F.col("k") > cut) & (F.col("k") <= F.col("n") - cut)).groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    """Mean without the floor(share n) least and greatest values: the sum of the least n - cut without that of the least cut. rows is read twice."""
+    cut = F.floor(F.col("total") * share)
+    ranks = [cut, F.col("total") - cut - 1]
+    found = _ranked(rows, by, value, ranks)
+    # the sum of values with lower ranks; and with ranks up to the last one kept
+    low = F.max(F.when((ranks[0] >= F.col("start")) & (ranks[0] < F.col("end")), F.col("below") + (ranks[0] - F.col("start")) * F.col("v")))
+    high = F.max(F.when((ranks[1] >= F.col("start")) & (ranks[1] < F.col("end")), F.col("below") + (ranks[1] + 1 - F.col("start")) * F.col("v")))
+    summed = (found.groupBy(*by) if by else found).agg((high - low).alias("s"), F.max(F.col("total") - 2 * cut).alias("n"))
+    return summed.select(*by, (F.col("s") / F.col("n")).alias("mean"), "n")
 
 
 def hierarchical_mean(rows: DataFrame, levels: list[str], value: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnloom.operators import ranking, statistics
-from turnloom.plans.base import TURNS, query, r6, table, turns
+from turnloom.plans.base import TURNS, query, r6, scored, table, turns
+from turnloom.sources.shared import stored
 
 
 def _rounded(df: DataFrame, keep: tuple[str, ...], digits: int = 4) -> DataFrame:
@@ -16,33 +17,33 @@ def _rounded(df: DataFrame, keep: tuple[str, ...], digits: int = 4) -> DataFrame
 
 @query("d17_describe", f"WITH {TURNS}, v AS (SELECT split, part, CASE WHEN tax > 0 THEN mass END AS v FROM turns) SELECT split, count(*) AS n_total, count(v) AS n_valid, count(DISTINCT CASE WHEN v IS NOT NULL THEN part END) AS n_clusters, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(max(v), 4) AS max, round(quantile_cont(v, 0.1), 4) AS p10, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.75), 4) AS p75, round(quantile_cont(v, 0.9), 4) AS p90 FROM v GROUP BY split")
 def d17_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir).withColumn("v", F.when(F.col("tax") > 0, F.col("mass")))
+    rows = stored(turns(spark, sf_dir).select("split", "part", F.when(F.col("tax") > 0, F.col("mass")).alias("v")), "masses")
     return _rounded(statistics.describe(rows, ["split"], "v", "part"), ("split", "n_total", "n_valid", "n_clusters"))
 
 
-_DRAWS = """, clusters AS (SELECT DISTINCT worker FROM turns), numbered AS (SELECT worker, row_number() OVER (ORDER BY worker) - 1 AS k FROM clusters), n AS (SELECT count(*) AS n FROM clusters),
-slots AS (SELECT rep, slot, n, CAST('0x' || substr(md5('42|' || rep || '|' || slot), 1, 7) AS BIGINT) AS h FROM (SELECT unnest(range(50)) AS rep) CROSS JOIN (SELECT n, unnest(range(n)) AS slot FROM n)),
+_DRAWS = """, clusters AS (SELECT DISTINCT worker FROM turns), numbered AS (SELECT worker, row_number() OVER (ORDER BY md5(CAST(worker AS VARCHAR)), worker) - 1 AS k FROM clusters), n AS (SELECT count(*) AS n FROM clusters),
+slots AS (SELECT rep, slot, n, CAST('0x' || substr(md5('42|' || rep || '|' || slot), 1, 7) AS BIGINT) AS h FROM (SELECT unnest(range(2000)) AS rep) CROSS JOIN (SELECT n, unnest(range(n)) AS slot FROM n)),
 drawn AS (SELECT rep, worker, count(*) AS weight FROM slots JOIN numbered ON h % n = k GROUP BY ALL)"""
 
 
 @query("d18_bootstrap_interval", f"WITH {TURNS}{_DRAWS}, sums AS (SELECT worker, sum(tax) AS s, count(*) AS c FROM turns GROUP BY worker), reps AS (SELECT rep, sum(s * weight) / sum(c * weight) AS r FROM sums JOIN drawn USING (worker) GROUP BY rep) SELECT round(quantile_cont(r, 0.025), 6) AS ci_low, round(quantile_cont(r, 0.975), 6) AS ci_high FROM reps")
 def d18_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir)
-    drawn = statistics.draws(rows.select("worker").distinct(), "worker", 50, 42)
+    rows = stored(turns(spark, sf_dir).select("worker", "tax", "discount", "quantity"), "measures")
+    drawn = statistics.draws(rows.select("worker").distinct(), "worker", 2000, 42)
     return _rounded(statistics.bootstrap_interval(rows, [], "tax", "worker", drawn), (), 6)
 
 
 @query("d19_shared_draws", f"WITH {TURNS}{_DRAWS}, long AS (SELECT worker, metric, v FROM (SELECT worker, unnest(['tax', 'discount', 'quantity']) AS metric, unnest([tax, discount, quantity]) AS v FROM turns)), sums AS (SELECT metric, worker, sum(v) AS s, count(*) AS c FROM long GROUP BY ALL), reps AS (SELECT metric, rep, sum(s * weight) / sum(c * weight) AS r FROM sums JOIN drawn USING (worker) GROUP BY ALL) SELECT metric, round(quantile_cont(r, 0.025), 6) AS ci_low, round(quantile_cont(r, 0.975), 6) AS ci_high FROM reps GROUP BY metric")
 def d19_shared_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir)
-    drawn = statistics.draws(rows.select("worker").distinct(), "worker", 50, 42)
+    rows = stored(turns(spark, sf_dir).select("worker", "tax", "discount", "quantity"), "measures")
+    drawn = statistics.draws(rows.select("worker").distinct(), "worker", 2000, 42)
     long = rows.select("worker", "tax", "discount", "quantity").unpivot(["worker"], ["tax", "discount", "quantity"], "metric", "v")
     return _rounded(statistics.bootstrap_interval(long, ["metric"], "v", "worker", drawn), ("metric",), 6)
 
 
 @query("d20_trimmed_mean", f"WITH {TURNS}, r AS (SELECT split, mass, row_number() OVER (PARTITION BY split ORDER BY mass) AS k, count(*) OVER (PARTITION BY split) AS n FROM turns) SELECT split, round(avg(mass), 4) AS mean, count(*) AS n FROM r WHERE k > floor(n * 0.05) AND k <= n - floor(n * 0.05) GROUP BY split")
 def d20_trimmed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(statistics.trimmed_mean(turns(spark, sf_dir), ["split"], "mass"), ("split", "n"))
+    return _rounded(statistics.trimmed_mean(stored(turns(spark, sf_dir).select("split", "mass"), "masses"), ["split"], "mass"), ("split", "n"))
 
 
 @query("d21_hierarchical_mean", f"WITH {TURNS}, a AS (SELECT split, session, turn, avg(CASE WHEN tax > 2 THEN mass END) AS v FROM turns GROUP BY ALL), b AS (SELECT split, session, avg(v) AS v FROM a GROUP BY ALL), c AS (SELECT split, avg(v) AS v FROM b GROUP BY split) SELECT round(avg(v), 4) AS mean, count(v) AS n FROM c")
@@ -140,9 +141,9 @@ def d32_audit_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d34_terciles", f"WITH {TURNS}, s AS (SELECT session, sum(quantity) AS len, avg(mass) AS v FROM turns GROUP BY session), q AS (SELECT quantile_cont(len, 1 / 3.0e0) AS a, quantile_cont(len, 2 / 3.0e0) AS b FROM s) SELECT CASE WHEN len <= a THEN 'short' WHEN len <= b THEN 'medium' ELSE 'long' END AS stratum, count(*) AS n, round(avg(v), 4) AS mean FROM s, q GROUP BY stratum")
 def d34_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = turns(spark, sf_dir).groupBy("session").agg(F.sum("quantity").alias("len"), F.avg("mass").alias("v"))
+    s = stored(turns(spark, sf_dir).groupBy("session").agg(F.sum("quantity").alias("len"), F.avg("mass").alias("v")), "lengths")
     # one row
-    cuts = s.agg(F.percentile("len", [1 / 3, 2 / 3]).alias("q"))
+    cuts = statistics.quantiles(s, [], "len", [1 / 3, 2 / 3])
     stratum = F.when(F.col("len") <= F.col("q")[0], "short").when(F.col("len") <= F.col("q")[1], "medium").otherwise("long")
     return s.crossJoin(F.broadcast(cuts)).groupBy(stratum.alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean"))
 
@@ -188,9 +189,13 @@ def e14_cluster_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRID = ", grid AS (SELECT session, split, worker % 12 AS step, part % 10 AS layer, discount / 10.0e0 AS value FROM turns), halves AS (SELECT *, CASE WHEN session % 3 = 0 THEN 'discovery' ELSE 'confirmation' END AS half FROM grid), dealt AS (SELECT half, step0, layer0, value FROM halves JOIN (SELECT unnest(range(10)) AS step0) ON step BETWEEN step0 AND step0 + 2 JOIN (SELECT unnest(range(7)) AS layer0) ON layer BETWEEN layer0 AND layer0 + 3), means AS (SELECT half, step0, layer0, avg(value) AS mean, count(value) AS n FROM dealt GROUP BY ALL), best AS (SELECT step0, layer0 FROM means WHERE half = 'discovery' ORDER BY round(mean, 12) DESC, step0 DESC, layer0 DESC LIMIT 1)"
 
 
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = F.when(F.col("session") % 3 == 0, "discovery").otherwise("confirmation")
+    return turns(spark, sf_dir).select("session", half.alias("half"), (F.col("worker") % 12).cast("int").alias("step"), (F.col("part") % 10).cast("int").alias("layer"), (F.col("discount") / 10.0).alias("value"))
+
+
 def _window_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = turns(spark, sf_dir).select(F.when(F.col("session") % 3 == 0, "discovery").otherwise("confirmation").alias("half"), (F.col("worker") % 12).cast("int").alias("step"), (F.col("part") % 10).cast("int").alias("layer"), (F.col("discount") / 10.0).alias("value"))
-    return ranking.window_means(grid, ["half"], 3, 4, 12, 10)
+    return ranking.window_means(_grid(spark, sf_dir), ["half"], 3, 4, 12, 10)
 
 
 @query("e16_sliding_windows", f"WITH {TURNS}{_GRID} SELECT half, CAST(step0 AS INT) AS step0, CAST(layer0 AS INT) AS layer0, round(mean, 6) AS mean, n FROM means")
@@ -198,19 +203,29 @@ def e16_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _window_means(spark, sf_dir).withColumn("mean", r6("mean"))
 
 
-@query("e17_frozen_window", f"WITH {TURNS}{_GRID} SELECT half, CAST(step0 AS INT) AS step0, CAST(layer0 AS INT) AS layer0, round(mean, 6) AS mean, n FROM means JOIN best USING (step0, layer0)")
+@query(
+    "e17_frozen_window",
+    f"""WITH {TURNS}{_GRID}, inside AS (SELECT session, half, value, step0, layer0 FROM halves JOIN best ON step BETWEEN step0 AND step0 + 2 AND layer BETWEEN layer0 AND layer0 + 3),
+each AS (SELECT * FROM inside UNION ALL SELECT session, 'all', value, step0, layer0 FROM inside)
+SELECT half, CAST(step0 AS INT) AS step0, CAST(layer0 AS INT) AS layer0, round(avg(value), 6) AS mean, count(value) AS n, count(DISTINCT session) AS n_sessions, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(median(value), 6) AS p50 FROM each GROUP BY ALL""",
+)
 def e17_frozen_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best window of the discovery half is evaluated on both; the larger origin wins a tie."""
-    means = _window_means(spark, sf_dir)
+    """The best window of the discovery half, the larger origin winning a tie, is evaluated on each half and on all."""
+    grid = stored(_grid(spark, sf_dir), "grid")
+    means = ranking.window_means(grid, ["half"], 3, 4, 12, 10)
+    # one row
     best = means.where("half = 'discovery'").orderBy(F.desc(F.round("mean", 12)), F.desc("step0"), F.desc("layer0")).limit(1).select("step0", "layer0")
-    return means.join(F.broadcast(best), ["step0", "layer0"]).select("half", "step0", "layer0", r6("mean").alias("mean"), "n")
+    inside = grid.join(F.broadcast(best), F.col("step").between(F.col("step0"), F.col("step0") + 2) & F.col("layer").between(F.col("layer0"), F.col("layer0") + 3))
+    each = stored(inside.withColumn("half", F.explode(F.array("half", F.lit("all")))).select("half", "step0", "layer0", "session", "value"), "window-cells")
+    out = statistics.describe(each, ["half", "step0", "layer0"], "value", "session")
+    return out.select("half", "step0", "layer0", r6("mean").alias("mean"), F.col("n_valid").alias("n"), F.col("n_clusters").alias("n_sessions"), *[r6(c).alias(c) for c in ("std", "min", "max", "p50")])
 
 
 @query("e18_cases", f"WITH {TURNS}, s AS (SELECT split, session, avg(mass) AS v FROM turns GROUP BY ALL), m AS (SELECT split, median(v) AS m FROM s GROUP BY split), r AS (SELECT s.*, row_number() OVER (PARTITION BY split ORDER BY round(abs(v - m), 6), session) AS typical, row_number() OVER (PARTITION BY split ORDER BY v DESC, session) AS strong, row_number() OVER (PARTITION BY split ORDER BY CASE WHEN v < m THEN 0 ELSE 1 END, v, session) AS opposite FROM s JOIN m USING (split)) SELECT split, 'typical' AS kind, session FROM r WHERE typical = 1 UNION ALL SELECT split, 'strong', session FROM r WHERE strong = 1 UNION ALL SELECT split, 'opposite', session FROM r WHERE opposite = 1")
 def e18_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each split the session nearest its median, the strongest, and the lowest under the median."""
-    s = turns(spark, sf_dir).groupBy("split", "session").agg(F.avg("mass").alias("v"))
-    s = s.join(F.broadcast(s.groupBy("split").agg(F.percentile("v", 0.5).alias("m"))), "split")
+    s = stored(turns(spark, sf_dir).groupBy("split", "session").agg(F.avg("mass").alias("v")), "session-means")
+    s = s.join(statistics.quantiles(s, ["split"], "v", [0.5]).select("split", F.col("q")[0].alias("m")), "split")
     case = lambda name, *order: F.min_by("session", F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)])).alias(name)
     picked = s.groupBy("split").agg(
         case("typical", F.round(F.abs(F.col("v") - F.col("m")), 6), F.col("session")), case("strong", -F.col("v"), F.col("session")), case("opposite", F.when(F.col("v") < F.col("m"), 0).otherwise(1), F.col("v"), F.col("session"))
@@ -245,18 +260,33 @@ def e23_strongest_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e25_most_typical", f"WITH {TURNS}, s AS (SELECT session, avg(mass) AS a, avg(discount) AS b FROM turns GROUP BY session), q AS (SELECT median(a) AS ma, median(b) AS mb, quantile_cont(a, 0.75) - quantile_cont(a, 0.25) AS ia, quantile_cont(b, 0.75) - quantile_cont(b, 0.25) AS ib FROM s) SELECT session, round((abs(a - ma) / CASE WHEN ia = 0 THEN 1 ELSE ia END + abs(b - mb) / CASE WHEN ib = 0 THEN 1 ELSE ib END) / 2, 6) AS score FROM s, q ORDER BY score, session LIMIT 1")
 def e25_most_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = turns(spark, sf_dir).groupBy("session").agg(F.avg("mass").alias("a"), F.avg("discount").alias("b"))
+    s = stored(turns(spark, sf_dir).groupBy("session").agg(F.avg("mass").alias("a"), F.avg("discount").alias("b")), "session-means")
     # one row
-    q = s.agg(F.percentile("a", [0.25, 0.5, 0.75]).alias("qa"), F.percentile("b", [0.25, 0.5, 0.75]).alias("qb"))
+    qa, qb = (statistics.quantiles(s, [], c, [0.25, 0.5, 0.75]).withColumnRenamed("q", f"q{c}") for c in ("a", "b"))
+    q = qa.crossJoin(qb)
     off = lambda v, qs: F.abs(F.col(v) - F.col(qs)[1]) / F.when(F.col(qs)[2] == F.col(qs)[0], 1.0).otherwise(F.col(qs)[2] - F.col(qs)[0])
     return s.crossJoin(F.broadcast(q)).select("session", r6((off("a", "qa") + off("b", "qb")) / 2).alias("score")).orderBy("score", "session").limit(1)
 
 
-@query("e15_greedy_cover")
+_NEW = "len(list_filter(s.tasks, lambda t: NOT list_contains(c.covered, t)))"
+_THEN = "UNION ALL (SELECT session FROM items WHERE p[{k}] AND NOT EXISTS (SELECT 1 FROM c{b} JOIN items USING (session) WHERE p[{k}]) ORDER BY h LIMIT 1)"
+
+
+@query(
+    "e15_greedy_cover",
+    f"""WITH RECURSIVE {TURNS}, items AS (SELECT session, list_sort(list(DISTINCT task)) AS tasks, [any_value(split) = 'cm', any_value(split) = 'cu', bool_or(status = 'response_incomplete'), bool_or(tax = 0)] AS p, sha256(CAST(session AS VARCHAR)) AS h FROM scored GROUP BY session),
+sets AS (SELECT tasks, min(struct_pack(h := h, session := session)) AS least FROM items GROUP BY tasks),
+chosen AS (SELECT 0 AS step, CAST([] AS VARCHAR[]) AS covered, CAST(NULL AS BIGINT) AS session UNION ALL
+SELECT step + 1, list_distinct(list_concat(covered, tasks)), least.session FROM (SELECT c.step, c.covered, s.tasks, s.least, {_NEW} AS new, row_number() OVER (ORDER BY {_NEW} DESC, s.least.h) AS k FROM chosen c CROSS JOIN sets s) WHERE k = 1 AND new > 0),
+c0 AS (SELECT session FROM chosen WHERE step > 0), """
+    + ", ".join(f"c{k} AS (SELECT session FROM c{k - 1} {_THEN.format(k=k, b=k - 1)})" for k in (1, 2, 3, 4))
+    + " SELECT session, array_to_string(tasks, ',') AS tasks FROM c4 JOIN items USING (session)",
+)
 def e15_greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that cover the tasks, each adding most that is new; at most nine top-1 queries over the table."""
-    items = turns(spark, sf_dir).groupBy("session").agg(F.collect_set("task").alias("tasks"))
-    chosen = ranking.greedy_cover(items, "session", "tasks", 9)
+    """Sessions that cover the tasks, each adding most that is new; then one of each split, one with an incomplete answer and one with an empty measure, if there is none yet."""
+    items = scored(spark, sf_dir).groupBy("session").agg(F.collect_set("task").alias("tasks"), F.first("split").alias("split"), F.bool_or(F.col("status") == "response_incomplete").alias("incomplete"), F.bool_or(F.col("tax") == 0).alias("empty"))
+    items = stored(items, "session-tags")
+    chosen = ranking.greedy_cover(items, "session", "tasks", [F.col("split") == "cm", F.col("split") == "cu", F.col("incomplete"), F.col("empty")])
     return items.where(F.col("session").isin(*chosen)).select("session", F.array_join(F.array_sort("tasks"), ",").alias("tasks"))
 
 
@@ -264,8 +294,9 @@ def e15_greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b22_structural_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir)
     counted = rows.groupBy("session", "task").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
-    # the tasks are a handful
-    grid = rows.select("session").distinct().crossJoin(F.broadcast(rows.select("task").distinct()))
+    # the axis is a small closed set by contract, so each session holds it as an array
+    axis = rows.select("task").distinct().agg(F.collect_set("task").alias("axis"))
+    grid = rows.select("session").distinct().crossJoin(F.broadcast(axis)).select("session", F.explode("axis").alias("task"))
     joined = grid.join(counted, ["session", "task"], "left")
     return joined.select("session", "task", F.col("n").isNotNull().alias("present"), F.when(F.col("n").isNull(), "structural_zero").when(F.col("first") > 1, "not_yet_present").alias("null_reason"))
 

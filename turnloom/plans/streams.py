@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.plans.base import query, table
 from turnloom.plans.histories import ASKED, asked
 from turnloom.sources import sessions
-from turnloom.sources.shared import new_folder
+from turnloom.sources.shared import new_folder, stored
 from turnloom.streaming import logs
 
 
@@ -94,6 +99,36 @@ def a3_prefix_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(sessions.read_prefix_csv(spark, folder)[0])
 
 
+@query("a4_zip_members", "SELECT 'archive-' || (conv_id // 10) AS archive, conv_id || '_' || turn || '.txt' AS member, CAST(strlen(text) AS BIGINT) AS size, CAST(1 AS BIGINT) AS copies FROM conversations")
+def a4_zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of every ten conversations, with a member for each turn, written in tasks and listed again."""
+
+    def archive(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for c, t, text in zip(rows["conv_id"], rows["turn"], rows["text"], strict=True):
+                z.writestr(f"{c}_{t}.txt", text)
+        return pd.DataFrame({"path": [f"archive-{key[0]}"], "content": [out.getvalue()]})
+
+    turns_ = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 10).alias("ten"), "conv_id", "turn", "text")
+    return sessions.zip_members(stored(turns_.groupBy("ten").applyInPandas(archive, "path string, content binary"), "archives"))
+
+
+@query("a7_array_scan", "SELECT vec_id // 16 AS file, vec_id % 16 AS step, CAST(0 AS BIGINT) AS layer, h AS head, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding[16 * h + 1:16 * h + 16]]), 6) AS total FROM embeddings CROSS JOIN (SELECT unnest(range(4)) AS h)")
+def a7_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of arrays for every sixteen vectors, as steps of four heads, beside one that is not wanted; written in tasks and read as positions."""
+
+    def arrays(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        ordered = rows.sort_values("vec_id")
+        np.savez(out, wanted=np.stack(ordered["embedding"]).astype(np.float64).reshape(len(rows), 1, 4, 16), other=np.zeros(3))
+        return pd.DataFrame({"path": [str(key[0])], "content": [out.getvalue()]})
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("file"), "vec_id", "embedding")
+    read = sessions.array_positions(stored(vectors.groupBy("file").applyInPandas(arrays, "path string, content binary"), "arrays"), "wanted")
+    return read.select(F.col("file").cast("long").alias("file"), "step", "layer", "head", F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
 @query("a8_manifest", f"WITH {_LISTS} SELECT session, n FROM lists")
 def a8_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "manifest")

@@ -99,7 +99,12 @@ def read_prefix_csv(spark: SparkSession, path: str, turns: int = 3) -> tuple[Dat
 
 def read_zip_members(spark: SparkSession, path: str) -> DataFrame:
     """(archive, member, size, copies): one archive is read by one task at a time, its directory alone is kept."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return zip_members(spark.read.format("binaryFile").load(path))
+
+
+def zip_members(files: DataFrame) -> DataFrame:
+    """The same of archives in a table (path, content)."""
+    files = files.select("path", "content")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -145,7 +150,12 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def read_arrays(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(file, step, layer, head, values): positions of one array [step, layer, head, element] of each NPZ file; only that array is read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return array_positions(spark.read.format("binaryFile").load(path), name)
+
+
+def array_positions(files: DataFrame, name: str) -> DataFrame:
+    """The same of files in a table (path, content)."""
+    files = files.select("path", "content")
 
     def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
