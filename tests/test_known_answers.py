@@ -1,8 +1,10 @@
 """Values worked out by hand, rules with counterexamples, readers of self-made files."""
 
+import hashlib
 import io
 import json
 import math
+import random
 import zipfile
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import boxes, digest, parsing
 from turnloom.functions import distributions as d
 from turnloom.operators import history, ranking, rules, statistics, typed
-from turnloom.sources import sessions
+from turnloom.sources import sessions, shared
 from turnloom.streaming import logs
 
 
@@ -235,3 +237,89 @@ def test_first_answers_within(spark, tmp_path):
     spark.createDataFrame([(1, "a", 10), (1, "b", 11), (2, "c", 12)], "k long, v string, s long").withColumn("ts", F.timestamp_seconds("s")).write.parquet(str(tmp_path / "in"))
     got = logs.drain(logs.first_answers_within(logs.stream_of(spark, str(tmp_path / "in")), ["k"], "ts", "1 hour").select("k"), "within-test")
     assert sorted(r.k for r in got.collect()) == [1, 2]
+
+
+def test_quantiles_against_sorted_values(spark):
+    """Exact quantiles and trimmed means: ties, negative values, zeros, very different sizes, nulls, one value, and a group without any."""
+    rng = random.Random(3)
+    groups = {
+        "mixed": [rng.choice([-1, 1]) * 10 ** rng.uniform(-9, 9) for _ in range(501)] + [0.0] * 7,
+        "ties": [float(rng.randint(0, 4)) for _ in range(200)],
+        "one": [3.5],
+        "two": [1.0, 2.0],
+        "none": [],
+    }
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v double").withColumn("c", F.lit(1))
+    got = {r.g: r for r in statistics.describe(rows, ["g"], "v", "c").collect()}
+    trimmed = {r.g: r for r in statistics.trimmed_mean(rows, ["g"], "v").collect()}
+    for g, vs in groups.items():
+        assert got[g].n_total == len(vs) + 1 and got[g].n_valid == len(vs)
+        if not vs:
+            assert got[g].p50 is None and g not in trimmed
+            continue
+        ordered, cut = sorted(vs), int(len(vs) * 0.05)
+        for q in statistics.QUANTILES:
+            place = (len(ordered) - 1) * q
+            low, high = ordered[math.floor(place)], ordered[math.ceil(place)]
+            assert got[g][f"p{round(q * 100)}"] == pytest.approx(low + (high - low) * (place - math.floor(place)), rel=1e-9, abs=1e-12)
+        kept = ordered[cut : len(ordered) - cut]
+        assert trimmed[g].n == len(kept) and trimmed[g]["mean"] == pytest.approx(sum(kept) / len(kept), rel=1e-6, abs=1e-3)
+    whole = statistics.describe(rows, [], "v", "c").first()
+    assert whole.n_valid == sum(map(len, groups.values())) and whole.n_clusters == 1
+
+
+def test_greedy_cover(spark):
+    """Tags first, most new first, ties by digest; then predicates that nobody chosen meets."""
+    rows = [(1, ["a"], "x", False), (2, ["a", "b"], "x", False), (3, ["c"], "x", False), (4, ["c"], "x", True), (5, ["a"], "y", False)]
+    items = spark.createDataFrame(rows, "id long, tags array<string>, split string, odd boolean")
+    first = min((3, 4), key=lambda i: hashlib.sha256(str(i).encode()).hexdigest())
+    assert ranking.greedy_cover(items, "id", "tags") == [2, first]
+    chosen = ranking.greedy_cover(items, "id", "tags", [F.col("split") == "x", F.col("split") == "y", F.col("odd")])
+    assert chosen == [2, first, 5] + ([4] if first == 3 else [])
+    assert ranking.greedy_cover(items.limit(0), "id", "tags") == []
+
+
+def test_detection_requests(spark):
+    """Each rule's requests as (image, object, threshold, all boxes, large boxes dropped), by hand."""
+    forms = {
+        "subject_add": ("Add [cat] on the [left] of [dog]", [("before", "dog", 0.3, True, False), ("after", "cat", 0.3, True, False)]),
+        "subject_remove": ("Remove [cat]", [("before", "cat", 0.35, False, True), ("after", "cat", 0.35, False, True)]),
+        "subject_replace": ("Replace [boxes] with [cars]", [("before", "box", 0.3, True, False), ("after", "car", 0.3, True, False)]),
+        "color_alter": ("Change the color of [cat] to [red]", []),
+        "text_change": ("Replace the text '[a]' on [sign] with '[b]'", [("before", "sign", 0.3, False, False)]),
+        "position_change": ("Change the position of [cat] to [left] of [cat]", [("before", "cat", 0.4, True, False), ("after", "cat", 0.4, True, False)]),
+        "count_change": ("Change the count of [cat] to [2]", [("before", "cat", 0.3, False, False), ("after", "cat", 0.3, True, False)]),
+        "background_change": ("Change the background to sea, remain the cat,dog,cat unchanged", [("after", "cat", 0.25, False, False), ("after", "dog", 0.25, False, False)]),
+    }
+    rows = [(k, task, text) for k, (task, (text, _)) in enumerate(forms.items())] + [(90, "subject_add", "Add [cat]"), (91, "text_change", "Add text '[b]' on the image"), (92, "count_change", "Change the count of [cat] to [two]"), (93, "background_change", "Change the background to [sea]")]
+    parsed = spark.createDataFrame(rows, "id long, task string, instruction string").withColumn("parts", parsing.parse_instruction("task", "instruction"))
+    needed = rules.detection_requests(parsed.withColumn("valid", parsing.valid_instruction("task", "parts")))
+    got = {}
+    for r in needed.collect():
+        got.setdefault(r.id, []).append(tuple(r.need))
+    assert {k: sorted(v) for k, v in got.items()} == {**{k: sorted(want) for k, (_, want) in enumerate(forms.values()) if want}, 90: [("after", "cat", 0.3, True, False)]}
+    found = spark.createDataFrame([(90, "after", "cat", 0.3, True, False, [[0.1, 0.1, 0.2, 0.2]])], "id long, image string, object string, threshold double, all_boxes boolean, drop_large boolean, boxes array<array<double>>")
+    answered = {(r.id, r.image, r.object): r.boxes for r in rules.requested_detections(needed, found, ["id"]).collect()}
+    assert answered[90, "after", "cat"] == [[0.1, 0.1, 0.2, 0.2]] and answered[1, "before", "cat"] is None
+
+
+def test_shared_folder(spark):
+    """A session on a cluster without a shared folder is refused."""
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(ValueError):
+        shared.new_folder(Cluster(), "x")
+    assert shared.new_folder(spark, "x") != shared.new_folder(spark, "x")

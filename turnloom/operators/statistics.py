@@ -61,7 +61,8 @@ def describe(rows: DataFrame, by: list[str], value: str, cluster: str) -> DataFr
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    grouped = grouped.join(quantiles(rows, by, value, list(QUANTILES)), by, "left")
+    of_groups = quantiles(rows, by, value, list(QUANTILES))
+    grouped = grouped.join(of_groups, by, "left") if by else grouped.crossJoin(of_groups)
     return grouped.select(*by, "n_total", "n_valid", "n_clusters", "mean", "std", "min", "max", *[F.col("q")[k].alias(f"p{round(q * 100)}") for k, q in enumerate(QUANTILES)])
 
 
