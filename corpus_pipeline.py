@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from turnloom.llm import decontaminate, near_dup, packing, quality, registry, toxicity
 from turnloom.llm.storage import materialise
@@ -25,10 +24,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; a row without id stays."""
-    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    same = docs.dropna(subset=["doc_id"]).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return same.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies stays, that of the least id; rows without words or without id stay. Rows of one id with different texts are judged apart."""
+    return near_dup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
