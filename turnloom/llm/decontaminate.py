@@ -13,7 +13,8 @@
    weight of its last quarter, where the answer stands.
 
 Defined cases: null, empty and blank texts match nothing, nor do such passages; repeated passages match each; repeated rows give
-repeated matches; an empty corpus or benchmark gives no rows; further columns are ignored.
+repeated matches; of windows with equal products the one that begins first is tried first; a very long text is a slice of its own, searched to its
+end; an empty corpus or benchmark gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,10 +4,13 @@ Documents become token ids plus an end id; only documents over the sequence leng
 one. Full pieces are sequences of their own. The other pieces go, dealt out by a hash of their key, to tasks; each task keeps a
 fixed number of open bins, their free spaces marked in a bitset, puts each piece where it leaves least space, and closes the fullest
 bin when it must open another beyond the number. A task holds its open bins only, whatever it reads. Pieces come in runs, longest first
-within a run, and a run has not many more pieces than there are open bins: so long pieces still have their bins open when the short ones come.
+within a run, and a run has not many more pieces than there are open bins: so long pieces still have their bins open when the short ones come. This
+order is part of the operator: the packer itself is online and takes pieces in any order, but in the order of a hash it needs 1.010 times the least
+number of sequences (10,000 pieces of sf0.1, 4,096 bins; 1.021 over 400,000 pieces), in runs 1.0001 times.
 
 Defined cases: a null or empty text is one piece with the end id; an empty table gives no rows; repeated rows (equal ids) stay
-separate pieces; ties between bins of equal space go to the bin opened last; further columns are ignored.
+separate pieces; ties between bins of equal space go to the bin opened last; a very long text is encoded by one task and gives as many pieces as it needs;
+further columns are ignored.
 """
 
 from __future__ import annotations

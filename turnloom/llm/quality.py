@@ -3,10 +3,12 @@
 P(grade <= k) = logistic(threshold_k - w . x): one weight vector w over hashed text features is shared by all grades, and thresholds
 ascend. It gives each whole text an expected grade and tail probabilities P(grade >= k). Features, all hashed into one table: three-byte
 shapes of the text (letters folded by case, digits, other bytes kept), lower-cased words, and a few marks of how often words repeat.
-It is fitted on a bounded sample of rated rows; the arrays sent to tasks have a fixed size.
+It is fitted on a bounded sample of rated rows; the arrays sent to tasks have a fixed size. The query's grades are made of two labels of 0 and 1,
+as the table has no other: 0 poor, 1 usable but toxic, 2 good.
 
 Defined cases: null and empty texts have the features of an empty text; equal texts get equal results; with no rated row every grade is
-as likely as any other; grades without rows are allowed; an empty table gives no rows; further columns are ignored.
+as likely as any other; grades without rows are allowed; a document is kept if the chance of a grade over 0 is not less than one half; a very long text
+is a slice of its own, read to its end; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

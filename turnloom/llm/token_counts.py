@@ -4,7 +4,7 @@ Each text's digest and the tokenizer's version digest are joined to the counts a
 then appended to the cache, which is a Parquet table. Text is shuffled once, by digest, for the misses alone.
 
 Defined cases: a null text counts as the empty text (0 tokens); equal texts get equal counts and are encoded once; an empty table
-gives no rows; further input columns are ignored, whatever their names; repeated rows are kept.
+gives no rows; further input columns are ignored, whatever their names; repeated rows are kept; a very long text is encoded whole by one task.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ terms: a bias, a weight for each term, and a vector for each term whose products
 Arrow batches with the fitted arrays, whose size is fixed by the parameters.
 
 Defined cases: null and empty texts have no terms and score the bias; equal texts score alike; without any labelled row, or with labels of one
-class only, the score is the smoothed share of label 1; an empty table gives no rows; further columns are ignored.
+class only, the score is the smoothed share of label 1; terms of equal association are kept in the order of their hashes; a very long text is a
+slice of its own, read to its end; an empty table gives no rows; further columns are ignored. A term that says nothing about the label, alone or
+through the pairs it is in, is not among the kept ones: at most MAX_TERMS, a bound on features, not on rows.
 """
 
 from __future__ import annotations
