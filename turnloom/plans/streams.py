@@ -41,6 +41,25 @@ def k4_latest_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.drain(logs.latest_ratings(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type"), "latest-ratings", "complete")
 
 
+@query(
+    "k4_stale_updates",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_id % 5 AS claimed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS version, CAST(NULL AS BIGINT) AS event_id, false AS accepted FROM e
+UNION ALL SELECT e.user_id, e.k, f.version + CAST(e.claimed = f.version AS BIGINT), e.event_id, e.claimed = f.version FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, event_id, accepted, version FROM f WHERE k > 0""",
+)
+def k4_stale_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates that claim a version, in several batches: the earlier half of the time is written first, each user's rows in one file."""
+    folder = new_folder(spark, "updates")
+    rows = table(spark, sf_dir, "events").withColumn("claimed", F.col("event_id") % 5)
+    ends = rows.agg(F.min("ts").cast("timestamp").cast("double").alias("a"), F.max("ts").cast("timestamp").cast("double").alias("b")).first()
+    late = F.col("ts").cast("timestamp").cast("double") >= (ends.a + ends.b) / 2
+    for part in (~late, late):
+        rows.where(part).repartition(2, "user_id").write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return logs.drain(logs.versioned_updates(stream, "user_id", ["ts", "event_id"], "claimed", ["event_id"]), "updates-checked")
+
+
 @query("k5_session_gate", "SELECT conv_id, CAST(4 AS BIGINT) AS turns FROM conversations WHERE turn BETWEEN 0 AND 3 GROUP BY conv_id HAVING count(DISTINCT turn) = 4")
 def k5_session_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.drain(logs.session_gate(logs.stream_of(spark, f"{sf_dir}/conversations.parquet"), "conv_id", 4), "session-gate")

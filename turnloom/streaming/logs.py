@@ -66,5 +66,27 @@ def session_gate(turns: DataFrame, key: str, n_turns: int) -> DataFrame:
     return grouped.applyInPandasWithState(gate, f"{key} {turns.schema[key].dataType.simpleString()}, turns long", "seen long, sent boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def versioned_updates(events: DataFrame, key: str, order: list[str], version: str, kept: list[str]) -> DataFrame:
+    """(key, kept, accepted, version) of every update: one whose version is not the stored one is stale and changes nothing; an accepted one raises it by one.
+
+    The state is one number for each item. Updates of an item count in the order of `order` within a batch, and batch after batch.
+    """
+
+    def check(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (stored,) = state.get if state.exists else (0,)
+        rows = pd.concat(list(frames)).sort_values(order)
+        accepted, versions = [], []
+        for claimed in rows[version]:
+            accepted.append(bool(claimed == stored))
+            stored += accepted[-1]
+            versions.append(stored)
+        state.update((stored,))
+        yield rows[[key, *kept]].assign(accepted=accepted, version=versions)
+
+    columns = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in [key, *kept])
+    grouped = events.select(*dict.fromkeys([key, *kept, *order, version])).groupBy(key)
+    return grouped.applyInPandasWithState(check, f"{columns}, accepted boolean, version long", "stored long", "append", GroupStateTimeout.NoTimeout)
+
+
 def tumbling_counts(events: DataFrame, time: str, width: str, by: list[str], late: str = "1 day") -> DataFrame:
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
