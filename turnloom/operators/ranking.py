@@ -19,9 +19,8 @@ def latest_by_version(rows: DataFrame, key: list[str], version: str, order: list
     """The row of the highest version of each key (the last by order among equals) and the number of rows whose version did not follow its predecessor."""
     by_time = Window.partitionBy(*key).orderBy(*order)
     marked = rows.withColumn("_conflict", F.coalesce(F.col(version) != F.lag(version).over(by_time) + 1, F.lit(False)))
-    ranked = marked.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(version), *[F.desc(c) for c in order])))
-    counted = marked.groupBy(*key).agg(F.count_if("_conflict").alias("conflicts"))
-    return ranked.where("_k = 1").drop("_k", "_conflict").join(counted, key)
+    last = F.max_by(F.struct(*[c for c in rows.columns if c not in key]), F.struct(version, *order))
+    return marked.groupBy(*key).agg(last.alias("_last"), F.count_if("_conflict").alias("conflicts")).select(*key, "_last.*", "conflicts")
 
 
 def hash_sample(rows: DataFrame, by: list[str], identity: Column, n: int, seed: str = "") -> DataFrame:

@@ -116,10 +116,9 @@ round(sum(p) FILTER (WHERE cell // 8 IN (0, 7) OR cell % 8 IN (0, 7)), 6) AS edg
 FROM shares JOIN (SELECT position, sum(v) AS r FROM cells WHERE cell > 0 GROUP BY position) USING (position) GROUP BY position""",
 )
 def f9_grid_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = d.with_shares(supports(spark, sf_dir))
-    rest = d.with_shares(shared.select(F.col("position").alias("rest_position"), F.slice("x", 2, 63).alias("rest")), "rest").select("rest_position", d.entropy("p").alias("rest_entropy"))
-    own = shared.select("position", r6(F.col("p")[0]).alias("first_share"), (d.argmax_place("x") == 0).alias("first_is_max"), r6(d.edge_share("p")).alias("edge_share"))
-    return own.join(rest, F.col("position") == F.col("rest_position")).select("position", "first_share", "first_is_max", "edge_share", r6("rest_entropy").alias("rest_entropy"))
+    shared = d.with_shares(supports(spark, sf_dir)).withColumn("rest", F.slice("x", 2, 63)).withColumn("r", d.total("rest"))
+    rest = d.entropy(F.transform("rest", lambda v: F.when(F.col("r") > 0, v / F.col("r")).otherwise(0.0)))
+    return shared.select("position", r6(F.col("p")[0]).alias("first_share"), (d.argmax_place("x") == 0).alias("first_is_max"), r6(d.edge_share("p")).alias("edge_share"), r6(rest).alias("rest_entropy"))
 
 
 @query("f10_thresholds", f"WITH {_SCALED}, e AS (SELECT session, position, any_value(m) AS m, max(p) AS t FROM shares GROUP BY session, position) SELECT session, round(avg(t) FILTER (WHERE m > 1e-6), 6) AS above_1e6, round(avg(t) FILTER (WHERE m > 1e-4), 6) AS above_1e4, round(avg(t) FILTER (WHERE m > 1), 6) AS above_1 FROM e GROUP BY session")
