@@ -1,6 +1,6 @@
 """Operator 9: log-likelihood of whole texts by a gated recurrent language model with a class-factored output.
 
-P(word | before) = P(class | state) P(word | class). The state is that of a gated recurrent unit which reads the text word by word; it is carried
+P(word | before) = P(class | state) P(word | class). A word's inputs are a small embedding times a matrix. The state is that of a gated recurrent unit which reads the text word by word; it is carried
 from window to window to the end of the text. P(word | class) is the share of its class that the smoothed counts give a word, which is what a
 bias for each word of the class would learn; with a state that says nothing, the score would be that of the counts alone. The words
 of the model's vocabulary are put in classes by k-means over their neighbours; all others belong to a class by their surface (non-ASCII letters, last
@@ -40,8 +40,8 @@ END = np.uint64(0x5D2B1F0E9C8A7766)
 SURFACES = 24
 HIDDEN = 32
 CONTEXTS = 64
-CHUNK, SEGMENT, WINDOW = 1 << 21, 2048, 32
-BLOCK_ROWS, FAN_IN = 128, 256
+CHUNK, SEGMENT, WINDOW, EMBEDDING = 1 << 21, 2048, 32, 16
+BLOCK_ROWS, FAN_IN = 1024, 256
 
 
 def surface(words: Words) -> np.ndarray:
@@ -119,11 +119,11 @@ class Model:
 
 def _step(h: np.ndarray, x: np.ndarray, u: np.ndarray, gates: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     gates = np.add(x[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=gates)
-    # a logistic function by a hyperbolic tangent
-    gates *= 0.5
-    np.tanh(gates, out=gates)
-    gates *= 0.5
-    gates += 0.5
+    np.negative(gates, out=gates)
+    # an overflow gives 0, as it should
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
     new = r * u[:, 2 * HIDDEN :]
     new += x[:, 2 * HIDDEN :]
@@ -140,6 +140,14 @@ def log_shares(model: Model, ids: np.ndarray, first: np.ndarray, width: int = 10
     out = np.zeros(len(length))
     order = np.argsort(-length, kind="stable")
     share = np.log10(model.class_share)
+    # states lie between -1 and 1, so this bounds every logit
+    small = float((np.abs(model.output).sum(axis=0) + np.abs(model.output_bias)).max(initial=0)) < 80
+    with np.errstate(over="ignore"):
+        _add_shares(model, ids, first, length, order, share, small, out, width, window)
+    return out
+
+
+def _add_shares(model: Model, ids: np.ndarray, first: np.ndarray, length: np.ndarray, order: np.ndarray, share: np.ndarray, small: bool, out: np.ndarray, width: int, window: int) -> None:
     for g in range(0, len(order), width):
         own = order[g : g + width]
         h = np.zeros((len(own), HIDDEN), dtype=np.float32)
@@ -160,11 +168,11 @@ def log_shares(model: Model, ids: np.ndarray, first: np.ndarray, width: int = 10
             chosen = classes.ravel()[has]
             logits = states.reshape(-1, HIDDEN)[has] @ model.output
             logits += model.output_bias
-            logits -= logits.max(axis=1, keepdims=True)
+            if not small:
+                logits -= logits.max(axis=1, keepdims=True)
             own_logit = logits[np.arange(len(chosen)), chosen]
             value = (own_logit - np.log(np.exp(logits, out=logits).sum(axis=1))) / np.log(10) - share[chosen]
             out[own[:active]] += np.bincount(has % active, value.astype(np.float64), minlength=active)
-    return out
 
 
 def segments(first: np.ndarray, most: int) -> np.ndarray:
@@ -201,10 +209,11 @@ def input_places(class_of: np.ndarray) -> np.ndarray:
 
 
 def initial_weights(class_share: np.ndarray, n_ids: int) -> list[np.ndarray]:
-    """Inputs, recurrent, output and output bias; the output starts at the shares of the classes."""
+    """Embeddings, then what turns them into inputs, recurrent, output and output bias; the output starts at the shares of the classes."""
     rng = np.random.Generator(np.random.PCG64(10))
     return [
-        rng.normal(0, 0.1, (n_ids, 3 * HIDDEN)).astype(np.float32),
+        rng.normal(0, 0.3, (n_ids, EMBEDDING)).astype(np.float32),
+        rng.normal(0, EMBEDDING**-0.5, (EMBEDDING, 3 * HIDDEN)).astype(np.float32),
         rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(np.float32),
         np.zeros((HIDDEN, len(class_share)), dtype=np.float32),
         np.log(class_share).astype(np.float32),
@@ -212,7 +221,7 @@ def initial_weights(class_share: np.ndarray, n_ids: int) -> list[np.ndarray]:
 
 
 class Trainer:
-    """Truncated backpropagation over windows, the state going on within a text. Adam for all but the inputs, whose rows take steps by their own past gradients."""
+    """Truncated backpropagation over windows, the state going on within a text. Adam for all but the embeddings, whose rows take steps by their own past gradients."""
 
     def __init__(self, weights: list[np.ndarray], class_of: np.ndarray, rate: float):
         self.p, self.class_of, self.rate = [q.copy() for q in weights], class_of, rate
@@ -223,32 +232,37 @@ class Trainer:
         self.step = 0
 
     def gradients(self, own: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, float]:
-        """(token, gradient of its inputs) of each token, gradients of the other weights, the last state, and the loss a token."""
-        p, steps, width = self.p, own.shape[1], 3 * HIDDEN
+        """(token, gradient of its embedding) of each token, gradients of the other weights, the last state, and the loss a token."""
+        with np.errstate(over="ignore"):
+            return self._gradients(own, start, h)
+
+    def _gradients(self, own: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, float]:
+        embed, into, recurrent, output, bias = self.p
+        kind, steps, width = into.dtype, own.shape[1], 3 * HIDDEN
         valid = own.T >= 0
         token = np.where(valid, own.T, 0)
         token_in = self.input_of[token]
-        x = p[0][token_in]
+        embedded = embed[token_in.ravel()]
+        x = (embedded @ into).reshape(steps, len(own), width)
         keep = (~start.T).astype(np.float32)[:, :, None]
         shape = (steps, len(own), HIDDEN)
-        before, gates, new, u_new = np.empty(shape, p[1].dtype), np.empty((*shape[:2], 2 * HIDDEN), p[1].dtype), np.empty(shape, p[1].dtype), np.empty(shape, p[1].dtype)
+        before, gates, new, u_new = np.empty(shape, kind), np.empty((*shape[:2], 2 * HIDDEN), kind), np.empty(shape, kind), np.empty(shape, kind)
         for t in range(steps):
             np.multiply(h, keep[t], out=before[t])
-            u = before[t] @ p[1]
+            u = before[t] @ recurrent
             h, _, _, new[t] = _step(before[t], x[t], u, gates[t])
             u_new[t] = u[:, 2 * HIDDEN :]
         target = np.where(valid, self.class_of[token], -1).ravel()
         aimed = np.flatnonzero(target >= 0)
         states = before.reshape(-1, HIDDEN)
-        prob = states @ p[2]
-        prob += p[3]
-        # far above any sum of weights that training reaches; keeps the exponentials finite
-        np.exp(np.minimum(prob, 60, out=prob), out=prob)
+        prob = states @ output
+        prob += bias
+        np.exp(prob, out=prob)
         sums, count = prob.sum(axis=1), max(len(aimed), 1)
         loss = -float(np.log(np.maximum(prob[aimed, target[aimed]] / sums[aimed], 1e-30)).sum()) / count
         prob *= np.where(target >= 0, 1 / (sums * count), 0).astype(prob.dtype)[:, None]
         prob[aimed, target[aimed]] -= prob.dtype.type(1 / count)
-        d_states = (prob @ p[2].T).reshape(shape)
+        d_states = (prob @ output.T).reshape(shape)
         # factors of the loop backwards, for the whole window
         z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
         by_z = before - new
@@ -256,7 +270,7 @@ class Trainer:
         by_new = (1 - z) * (1 - new * new)
         by_r = u_new * (r - r * r)
         dx, du = np.empty_like(x), np.empty_like(x)
-        dh, back = np.zeros_like(h), np.ascontiguousarray(p[1].T)
+        dh, back = np.zeros_like(h), np.ascontiguousarray(recurrent.T)
         for t in range(steps - 1, -1, -1):
             d = dx[t]
             np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
@@ -268,11 +282,15 @@ class Trainer:
             dh += du[t] @ back
             dh += d_states[t]
             dh *= keep[t]
-        others = [states.T @ du.reshape(-1, width), states.T @ prob, prob.sum(axis=0)]
+        dx = dx.reshape(-1, width)
+        others = [embedded.T @ dx, states.T @ du.reshape(-1, width), states.T @ prob, prob.sum(axis=0)]
         met = np.flatnonzero(valid.ravel())
-        return token_in.ravel()[met], dx.reshape(-1, width)[met], others, h, loss
+        return token_in.ravel()[met], (dx @ into.T)[met], others, h, loss
 
     def _update(self, token: np.ndarray, dx: np.ndarray, others: list[np.ndarray]) -> None:
+        if not all(np.isfinite(g).all() for g in others):
+            # a step that went too far is not followed; the others' changes outweigh it
+            return
         self.step += 1
         for q, g, (m, s) in zip(self.p[1:], others, self.moments, strict=True):
             m += np.float32(0.1) * (g - m)
@@ -287,7 +305,7 @@ class Trainer:
 
     def chunk(self, ids: np.ndarray, first: np.ndarray, seed: int) -> float:
         """One pass over these texts; the loss of the last window."""
-        streams = int(np.clip(len(ids) // (128 * WINDOW), 16, 512))
+        streams = int(np.clip(len(ids) // (64 * WINDOW), 16, 1024))
         token, fresh = _streams(ids, segments(first, SEGMENT), streams, seed)
         h, loss = np.zeros((streams, HIDDEN), dtype=np.float32), 0.0
         for t0 in range(0, token.shape[1], WINDOW):
@@ -302,7 +320,7 @@ SUM_SCHEMA = "block int, part int, ids binary, weights binary, changes binary"
 
 
 def _change_rows(trainer: Trainer, start: list[np.ndarray], part: int) -> pa.RecordBatch:
-    """What a task changed, times its weight: block -1 the dense weights by tokens, block k those inputs of BLOCK_ROWS words that it met, by how often."""
+    """What a task changed, times its weight: block -1 the dense weights by tokens, block k those embeddings of BLOCK_ROWS words that it met, by how often."""
     total = int(trainer.met.sum())
     dense = np.concatenate([(q - w).ravel() for q, w in zip(trainer.p[1:], start[1:], strict=True)]).astype(np.float64) * total
     rows = [(-1, part, np.zeros(1, dtype=np.int64), np.full(1, total, dtype=np.float64), dense)]
@@ -339,7 +357,7 @@ def _sum_block(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_sum_batch([(block, part // FAN_IN, distinct, weight, changes.astype(kind))])])
 
 
-def train(documents: DataFrame, class_of: np.ndarray, class_share: np.ndarray, n_ids: int, rounds: int, rate: float = 0.01) -> list[np.ndarray]:
+def train(documents: DataFrame, class_of: np.ndarray, class_share: np.ndarray, n_ids: int, rounds: int, rate: float = 0.02) -> list[np.ndarray]:
     """Weights after one pass over all documents (row, ids), a share of them in each round."""
     weights = initial_weights(class_share, n_ids)
     context = documents.sparkSession.sparkContext
@@ -472,8 +490,8 @@ def fit(model: Model, documents: DataFrame, n_classes: int, rounds: int) -> Mode
     mass = np.bincount(of_word, model.head_count[word] + 0.1, minlength=n_classes + SURFACES + 1)
     mass[-1] += model.end_count + 0.1
     class_share = np.maximum(mass, 1e-6) / np.maximum(mass, 1e-6).sum()
-    inputs, recurrent, output, bias = train(documents, class_of, class_share, vocabulary + SURFACES + 1, rounds)
-    return replace(model, class_of=class_of, class_share=class_share, inputs=inputs[input_places(class_of)], recurrent=recurrent, output=output, output_bias=bias)
+    embed, into, recurrent, output, bias = train(documents, class_of, class_share, vocabulary + SURFACES + 1, rounds)
+    return replace(model, class_of=class_of, class_share=class_share, inputs=(embed @ into)[input_places(class_of)], recurrent=recurrent, output=output, output_bias=bias)
 
 
 def _tokens(model: Model, words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -524,7 +542,7 @@ def _lm_scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lm)], names=[*kept, "lm_score"])
 
 
-def learn(docs: DataFrame, head_words: int = 1 << 19, vocabulary: int = 8192, n_classes: int = 48, rounds: int = 4) -> tuple[Model, DataFrame, DataFrame]:
+def learn(docs: DataFrame, head_words: int = 1 << 19, vocabulary: int = 8192, n_classes: int = 32, rounds: int = 4) -> tuple[Model, DataFrame, DataFrame]:
     """The model; counts of words (word, n, surface); and the rows with token ids (PART_SCHEMA). Learns from rows that are not held out."""
     if vocabulary + 2 * SURFACES >= 1 << 16:
         raise ValueError("token ids are stored in 16 bits")
