@@ -29,3 +29,22 @@ def test_stages_keep_the_columns(spark):
         docs = stage(spark, docs, SMALL)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert docs.limit(0).count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept_id long, own_id string, component long"
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, repeated rows, one id with several texts, columns with clashing names; and an empty table."""
+    prose = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, prose, "en", "s"), (1, prose, "en", "s"), (1, "quite another text of the same id", None, None), (2, prose, "en", "s"), (None, prose, None, None), (None, None, None, None), (3, "", "en", "s"), (3, None, "en", "s")]
+    docs = spark.createDataFrame([(i, t, lang, source, None, 7, None, 1) for i, t, lang, source in rows], ODD)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SMALL)
+        assert kept.columns == docs.columns and kept.count() <= docs.count()
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    left = corpus_pipeline.near_dedup_stage(spark, docs, SMALL).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in left) == sorted([(1, prose), (1, "quite another text of the same id"), (0, prose), (0, ""), (3, ""), (3, "")])
+    pieces = corpus_pipeline.packing_stage(spark, docs, SMALL).collect()
+    assert len(pieces) == len(rows)
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), SMALL).count() == 0

@@ -69,7 +69,7 @@ def _cutter(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(path)
         for batch in batches:
-            texts, ids_of = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+            texts = batch.column(1)
             _, offsets = utf8_of(texts)
             for i, j in slices(offsets):
                 flat, at = coder.encode(texts.slice(i, j - i).to_pylist())
@@ -84,7 +84,7 @@ def _cutter(path: str, end_id: int, capacity: int):
                 begin = (at[:-1] + np.arange(j - i))[owner] + start
                 crc = [zlib.crc32(closed[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids_of[i:j][owner], pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    [batch.column(0).slice(i, j - i).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
