@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tests.llm.conftest import ODD_TEXTS
 from turnloom.llm import chat, decontaminate, language_model, licences, media, quality, registry, toxicity
+from turnloom.llm.textops import utf8_of
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -454,6 +455,89 @@ def test_decontamination_empty(spark, make):
     assert decontaminate.contaminated(make([(1, ITEM)]), items.limit(0)).count() == 0
 
 
+def _plain_matches(texts, passages, idf, least_cosine=0.4, least_common=0.7, least_answer=0.5):
+    """(text, passage) accepted in any window at all, tried at every word; only windows whose common words weigh too little are passed over."""
+    words = lambda x: decontaminate.word_buckets(*utf8_of(pa.array([x]), lower=True))[0]
+    found, items = set(), {k: words(x) for k, x in passages.items()}
+    for t, text in texts.items():
+        own = words(text)
+        for k, item in items.items():
+            w = idf[item]
+            value = np.concatenate([[0], np.cumsum(np.where(np.isin(own, item), idf[own], 0))])
+            size = len(item) + max(4, len(item) // 2)
+            begin = np.arange(max(1, len(own) - size + 1))
+            answer = np.arange(len(item)) >= len(item) - max(1, len(item) // 4)
+            for a in begin[value[np.minimum(begin + size, len(own))] - value[begin] >= least_common * w.sum() - 1e-9].tolist():
+                part = own[a : a + size]
+                common = decontaminate.common_subsequence(item, part, w)
+                if decontaminate.own_cosine(item, part, idf) >= least_cosine and w[common].sum() >= least_common * w.sum() and w[common][answer[common]].sum() >= least_answer * w[answer].sum():
+                    found.add((t, k))
+                    break
+    return found
+
+
+def test_decontamination_against_all_windows(spark):
+    """Whole table of the smallest size with passages planted whole, with words left out, put in and changed: recall against every window."""
+    rng = np.random.Generator(np.random.PCG64(12))
+    passages = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    planted = {}
+    for n, (k, passage) in enumerate(sorted(passages.items()) * 3):
+        own = passage.split()
+        for _ in range(n % 4 * len(own) // 20):
+            place = int(rng.integers(len(own)))
+            own[place : place + 1] = ([], ["other"], [own[place], "besides"])[int(rng.integers(3))]
+        host = list(texts.values())[int(rng.integers(len(texts)))].split()[:400]
+        at = int(rng.integers(len(host) + 1))
+        planted[10**6 + n] = " ".join(host[:at] + own + host[at:])
+    every = {**texts, **planted}
+    table = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    want = _plain_matches(every, passages, decontaminate.inverse_frequencies(table))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, items).collect()}
+    assert len(want) > 100 and len(want & got) >= 0.98 * len(want)
+    assert len(got - want) <= 0.02 * len(got)
+
+
+def test_decontamination_without_ids(spark, make):
+    """Rows and passages without an id match, too."""
+    items = spark.createDataFrame([(None, ITEM), (1, ITEM)], "item_id long, text string")
+    got = decontaminate.contaminated(make([(None, f"before {ITEM} after"), (2, None)]), items).collect()
+    assert sorted((r.doc_id is None, r.item_id or 0) for r in got) == [(True, 0), (True, 1)]
+    assert decontaminate.keep_unmatched(make([(None, f"before {ITEM} after"), (2, None)]), items).count() == 1
+
+
+def test_decontamination_blocks_change_nothing(spark, make):
+    """Cosines and shares, too, are the same whatever the blocks."""
+    words = [f"word{k}" for k in range(90)]
+    passages = [(k, " ".join(words[k * 9 : k * 9 + 18])) for k in range(9)]
+    rows = [(k, f"x y z {text} a b") for k, text in passages] + [(50, " ".join(words))]
+    items = spark.createDataFrame(passages, "item_id long, text string")
+    result = lambda **o: sorted((r.doc_id, r.item_id, round(r.cosine, 9), round(r.common_share, 9), round(r.answer_share, 9)) for r in decontaminate.contaminated(make(rows), items, **o).collect())
+    assert result(block_items=2) == result() and len(result()) >= 18
+
+
+def test_very_long_texts(spark, make):
+    """Texts over a slice of 1 MB are read to their end, and do not change what stands beside them."""
+    long = "plain words go on and on\n" * 60_000
+    assert len(long) > 1 << 20
+    rows = [(1, "short"), (2, long + ITEM), (3, long + "vile martians"), (4, "vile martians"), (5, long)]
+    items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    docs = make(rows).coalesce(1)
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()] == [(2, 10)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    machine = toxicity.fit(make([(k, f"w{k % 13} " + ("vile martians" if k % 2 else "fine people")) for k in range(400)]), labels)
+    marks = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    assert marks[3] > 0.9 > marks[5] and marks[4] > 0.9 and marks[5] == pytest.approx(marks[1])
+    assert marks == pytest.approx({r.doc_id: r.score for k in range(5) for r in toxicity.score(make(rows[k : k + 1]), machine).collect()})
+    counts = {r.doc_id: r.n_tokens for r in language_model.score(docs, vocabulary=8, n_classes=2).collect()}
+    assert counts == {i: len(x.split()) + 1 for i, x in rows}
+    model = quality.fit(make(rows), spark.createDataFrame([(4, 0), (5, 1)], "doc_id long, quality int"), F.col("quality"), 2)
+    alone = {r.doc_id: r.expected_grade for k in range(5) for r in quality.score(make(rows[k : k + 1]), model).collect()}
+    assert {r.doc_id: r.expected_grade for r in quality.score(docs, model).collect()} == pytest.approx(alone)
+
+
 def test_common_subsequence():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 2, 1, 3, 9, 5, 4])
     places = decontaminate.common_subsequence(a, b, np.array([1.0, 1, 1, 5, 1]))

@@ -12,7 +12,7 @@
    subsequence of words, weighted by inverse document frequency, has `least_common` of the passage's weight, and `least_answer` of the
    weight of its last quarter, where the answer stands.
 
-Defined cases: null, empty and blank texts match nothing, nor do such passages; repeated passages match each; repeated rows give
+Defined cases: null, empty and blank texts match nothing, nor do such passages; a passage without id matches with a null id; repeated passages match each; repeated rows give
 repeated matches; of windows with equal products the one that begins first is tried first; a very long text is a slice of its own, searched to its
 end; an empty corpus or benchmark gives no rows; further columns are ignored.
 """
@@ -157,7 +157,7 @@ class Index:
     slot: np.ndarray
     vectors: np.ndarray
     words: list[np.ndarray]
-    item_ids: np.ndarray
+    item_ids: list[int | None]
     groups: list[Group]
     least_cosine: float
     least_common: float
@@ -189,7 +189,7 @@ def build_index(items: DataFrame, idf: np.ndarray, rank: int, least_cosine: floa
         least = np.array([0.999 * least_product(words[k], idf, least_common) for k in own])
         stride = max(2, longest // 4)
         groups.append(Group(np.array(own), np.stack(latent).astype(np.float32), least, most > 0, most, least_common * min(float(idf[words[k]].sum()) for k in own), longest + stride, stride))
-    return Index(idf, buckets, slot, vectors, words, block.column("item_id").to_numpy() if block.num_rows else np.zeros(0, dtype=np.int64), groups, least_cosine, least_common, least_answer)
+    return Index(idf, buckets, slot, vectors, words, block.column("item_id").to_pylist(), groups, least_cosine, least_common, least_answer)
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -257,7 +257,7 @@ def matches_in(texts: pa.Array, some: list[Index]) -> list[tuple[int, int, float
     out = []
     for i, j in slices(offsets):
         bucket, text, first = word_buckets(data, offsets[i : j + 1])
-        out += [(i + t, int(index.item_ids[k]), *rest) for index in some for t, k, *rest in search(index, bucket, text, first)]
+        out += [(i + t, index.item_ids[k], *rest) for index in some for t, k, *rest in search(index, bucket, text, first)]
     return out
 
 
