@@ -179,8 +179,8 @@ class NearDuplicates:
         near = pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("signature_a")), "a").join(signed.select(F.col("node").alias("b"), F.col("signature").alias("signature_b")), "b")
         estimate = self.estimate
         near = materialise(near.select("a", "b", "signature_a", "signature_b").mapInArrow(lambda it: _alike(it, estimate), "a long, b long"), "near-pairs")
-        salts = near.groupBy("b").agg(F.ceil(F.count("*") / self.salt_pairs).alias("salts"))
-        salted = near.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+        hot = near.groupBy("b").agg(F.ceil(F.count("*") / self.salt_pairs).alias("salts")).where("salts > 1")
+        salted = near.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).alias("salt"))
         wanted = salted.select(F.col("a").alias("node"), "a", "b", "salt").unionByName(salted.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("a"), "b", "salt").distinct())
         texts = wanted.join(candidates.select("node", "text"), "node").select("b", "salt", "a", "text")
         # the work of a pair is large next to its bytes, so the number of tasks follows the pairs
