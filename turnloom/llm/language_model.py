@@ -340,7 +340,8 @@ def _sum_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sum_block(table: pa.Table) -> pa.Table:
-    """One row for the rows of a block: sums of weights and changes by id."""
+    """One row for the rows of a block: sums of weights and changes by id, added in the order of their parts, so that every run gives the same."""
+    table = table.sort_by("part")
     block, part = (table.column(c)[0].as_py() for c in ("block", "part"))
     kind = np.float64 if block < 0 else np.float32
     read = lambda name, dtype: [np.frombuffer(x, dtype=dtype) for x in table.column(name).to_pylist()]
