@@ -19,6 +19,8 @@ import numpy as np
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 PREDICTOR, CROSS_COLOR, SUBTRACT_GREEN, PALETTE = range(4)
+# Fixed values of this encoder: bits of the code in which code lengths 0 to 15 and the three kinds of runs are written; a complete code.
+LENGTH_BITS = (4, 5, 5, 5, 4, 4, 4, 4, 4, 4, 4, 5, 5, 4, 4, 4, 5, 4, 4)
 MAX_SIDE = 1 << 14
 HASH = 0x1E35A7BD
 
@@ -87,6 +89,12 @@ class Prefix:
         return entry >> 4
 
 
+@lru_cache(maxsize=256)
+def _length_table(lengths: tuple[int, ...]) -> tuple[int, list[int]]:
+    code = Prefix(np.array(lengths))
+    return code.bits, code.table.tolist()
+
+
 def _read_prefix(bits: Reader, alphabet: int) -> Prefix:
     lengths = np.zeros(alphabet, dtype=np.int64)
     if bits.read(1):
@@ -95,12 +103,14 @@ def _read_prefix(bits: Reader, alphabet: int) -> Prefix:
         if two:
             lengths[bits.read(8)] = 1
         return Prefix(lengths)
-    own = np.zeros(19, dtype=np.int64)
-    for k in range(4 + bits.read(4)):
-        own[CODE_LENGTH_ORDER[k]] = bits.read(3)
-    code = Prefix(own)
+    own = [0] * 19
+    n = 4 + bits.read(4)
+    word = bits.read(3 * n)
+    for k in range(n):
+        own[CODE_LENGTH_ORDER[k]] = word >> (3 * k) & 7
+    code_bits, table = _length_table(tuple(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    table, mask, at = code.table.tolist(), (1 << code.bits) - 1, bits.pos
+    mask, at = (1 << code_bits) - 1, bits.pos
     # a token takes 14 bits at most
     word = int.from_bytes(bits.data[at >> 3 : (at + 14 * alphabet + 7) >> 3], "little") >> (at & 7)
     out: list[int] = []
@@ -184,7 +194,9 @@ def _token_runs(bits: Reader, group: list[Prefix], n: int):
         following = after.copy()
         for k in (1, 2, 3):
             if group[k].bits:
-                following = sizes[k].take(win.take(following) & masks[k]) + following
+                if k == 1 or group[k] is not group[k - 1]:
+                    own_sizes = sizes[k].take(win & masks[k])
+                following += own_sizes.take(following)
         if copies:
             special = np.flatnonzero(g >= 256 << 4)
             symbol = g[special] >> 4
@@ -619,6 +631,11 @@ def _length_tokens(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _length_codes() -> list[int]:
+    return canonical(np.array(LENGTH_BITS)).tolist()
+
+
 def _write_prefix(out: Writer, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths).tolist() or [0]
     if len(used) <= 2 and used[-1] < 256:
@@ -633,15 +650,11 @@ def _write_prefix(out: Writer, lengths: np.ndarray) -> None:
     # zeros at the end are left out
     while tokens[-1][0] in (0, 17, 18):
         tokens.pop()
-    own = huffman(np.bincount([t[0] for t in tokens], minlength=19), 7)
-    codes, sizes = canonical(own).tolist(), own.tolist()
-    if np.count_nonzero(own) == 1:
-        sizes = [0] * 19
+    codes = _length_codes()
     out.write(0, 1)
-    n = max(4, 1 + max(k for k, s in enumerate(CODE_LENGTH_ORDER) if own[s]))
-    out.write(n - 4, 4)
-    for s in CODE_LENGTH_ORDER[:n]:
-        out.write(int(own[s]), 3)
+    out.write(19 - 4, 4)
+    for s in CODE_LENGTH_ORDER:
+        out.write(LENGTH_BITS[s], 3)
     out.write(1, 1)
     count = max(len(tokens), 2)
     tokens += [(0, 0, 0)] * (count - len(tokens))
@@ -649,9 +662,8 @@ def _write_prefix(out: Writer, lengths: np.ndarray) -> None:
     out.write(width - 1, 3)
     out.write(count - 2, 2 * width)
     for symbol, extra, size in tokens:
-        out.write(codes[symbol], sizes[symbol])
-        if size:
-            out.write(extra, size)
+        out.values.append(codes[symbol] | extra << LENGTH_BITS[symbol])
+        out.sizes.append(LENGTH_BITS[symbol] + size)
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -761,7 +773,8 @@ def _write_pixels(out: Writer, argb: np.ndarray, width: int, main: bool, cache_b
     for k in range(1, 5 * n_groups, 5):
         # red, blue and alpha share a code, which is built and read once, where that costs little
         pooled = own[k] + own[k + 1] + own[k + 2]
-        if _code_bits(pooled) + 8.0 * np.count_nonzero(pooled) < (1 + SHARED_COST) * sum(_code_bits(x) for x in own[k : k + 3]):
+        *alone, together = _rows_bits(np.stack([*own[k : k + 3], pooled]))
+        if together + 8.0 * np.count_nonzero(pooled) < (1 + SHARED_COST) * sum(alone):
             own[k : k + 3] = [pooled] * 3
     for k in range(5 * n_groups):
         if not (k and own[k] is own[k - 1]):
@@ -783,8 +796,17 @@ def _code_bits(counts: np.ndarray) -> float:
     return float(total * np.log2(total) - own @ np.log2(own)) + 4.0 * len(own) if len(own) > 1 else 8.0
 
 
+def _rows_bits(counts: np.ndarray) -> list[float]:
+    """_code_bits of each row."""
+    own = counts.astype(np.float64)
+    total, kinds = own.sum(axis=1), (counts > 0).sum(axis=1)
+    bits = total * np.log2(np.maximum(total, 1)) - (own * np.log2(np.maximum(own, 1))).sum(axis=1) + 4.0 * kinds
+    return np.where(kinds > 1, bits, 8.0).tolist()
+
+
 def _channel_bits(parts: np.ndarray, which: tuple[int, ...] = (0, 1, 2, 3)) -> list[float]:
-    return [_code_bits(np.bincount(parts[:, k], minlength=1)) for k in which]
+    own = (parts if len(which) == 4 else parts[:, which]) + np.arange(len(which), dtype=np.int16) * np.int16(256)
+    return _rows_bits(np.bincount(own.ravel(), minlength=256 * len(which)).reshape(-1, 256))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -792,6 +814,17 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 MULTIPLIERS = (-16, 16)
+LEAST_RELATED = 0.3
+
+
+def _related(parts: np.ndarray) -> bool:
+    """Whether two of red, green and blue go together; a share of one that is taken from another saves nothing where they do not."""
+    own = parts[:, 1:].astype(np.float32)
+    own -= own.mean(axis=0)
+    products = own.T @ own
+    size = np.sqrt(np.maximum(np.diag(products), 1e-9))
+    shares = np.abs(products / size[:, None] / size)
+    return bool(max(shares[0, 1], shares[0, 2], shares[1, 2]) >= LEAST_RELATED)
 
 
 def _cross_element(parts: np.ndarray, red_bits: float, blue_bits: float) -> tuple[tuple[int, int, int], float]:
@@ -855,13 +888,14 @@ def encode_best(pixels: np.ndarray) -> bytes:
     modes = _row_modes(argb, width)
     if modes.any() and (own := sum(_channel_bits(_less_predicted(argb, width, modes))) + 4.0 * len(modes)) < bits:
         transforms, values, bits = (PREDICTOR,), {PREDICTOR: modes}, own
-    if (own := alone[0] + alone[2] + sum(_channel_bits(parts - parts[:, 2:3], (1, 3)))) < bits:
-        transforms, values, bits = (SUBTRACT_GREEN,), {}, own
-    element, saved = _cross_element(parts, alone[1], alone[3])
-    if plain - saved + CROSS_BITS < bits:
-        green_red, green_blue, red_blue = (m & 255 for m in element)
-        own = np.tile(np.array([255, red_blue, green_blue, green_red], dtype=np.uint8), (-(-height // (1 << CROSS_BLOCK)), 1))
-        transforms, values = (CROSS_COLOR,), {CROSS_COLOR: joined(own)}
+    if _related(parts):
+        if (own := alone[0] + alone[2] + sum(_channel_bits(parts - parts[:, 2:3], (1, 3)))) < bits:
+            transforms, values, bits = (SUBTRACT_GREEN,), {}, own
+        element, saved = _cross_element(parts, alone[1], alone[3])
+        if plain - saved + CROSS_BITS < bits:
+            green_red, green_blue, red_blue = (m & 255 for m in element)
+            own = np.tile(np.array([255, red_blue, green_blue, green_red], dtype=np.uint8), (-(-height // (1 << CROSS_BLOCK)), 1))
+            transforms, values = (CROSS_COLOR,), {CROSS_COLOR: joined(own)}
     return encode(pixels, transforms, references=True, cache_bits=-1, values=values, blocks={PREDICTOR: PREDICT_BLOCK, CROSS_COLOR: CROSS_BLOCK})
 
 
@@ -876,7 +910,7 @@ def _best_cache(argb: np.ndarray) -> int:
     without = sum(_channel_bits(parts))
     rest = parts[~hit]
     green = np.concatenate([np.bincount(rest[:, 2], minlength=256), np.bincount(slot[hit])])
-    return size if _code_bits(green) + sum(_code_bits(np.bincount(rest[:, k], minlength=1)) for k in (0, 1, 3)) < without else 0
+    return size if _code_bits(green) + sum(_channel_bits(rest, (0, 1, 3))) < without else 0
 
 
 def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), block: int = 2, cache_bits: int = 0, references: bool = False, meta_block: int = 0, seed: int = 0, values: dict | None = None, blocks: dict | None = None) -> bytes:
