@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chat, decontaminate, language_model, licences, media, near_dup, packing, quality, token_counts, toxicity
+from turnloom.llm import chat, decontaminate, language_model, licences, media, near_dup, packing, quality, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,6 +76,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,9 +98,11 @@ QUERIES: dict[str, Query] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_substring_dedup": substring_dedup.ORACLE_SQL,
     "op1_licence_scans": licences.oracle_sql("documents", PATH.format(text="varchar")),
     "op4_chat_formatting": r"""
 WITH turns AS (
