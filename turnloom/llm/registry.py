@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chat, decontaminate, language_model, licences, media, near_dup, packing, quality, substring_dedup, token_counts, toxicity
+from turnloom.llm import chat, decontaminate, filter_audit, language_model, licences, media, near_dup, packing, quality, substring_dedup, token_counts, toxicity, va_clusters
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,6 +80,14 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")))
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(filter_audit.failure_masks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), "ABCDE")
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_clusters.centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,10 +107,14 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_filter_interaction_audit": op12_filter_interaction_audit,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op12_filter_interaction_audit": filter_audit.ORACLE_SQL,
+    "op13_centroid_clusters": va_clusters.oracle_sql(),
     "op1_licence_scans": licences.oracle_sql("documents", PATH.format(text="varchar")),
     "op4_chat_formatting": r"""
 WITH turns AS (
