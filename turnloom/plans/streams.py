@@ -9,18 +9,42 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from turnloom.plans.base import query, table
 from turnloom.plans.histories import ASKED, asked
 from turnloom.sources import sessions
 from turnloom.sources.shared import new_folder, stored
-from turnloom.streaming import logs
+from turnloom.streaming import logs, state
+from turnloom.streaming.merge import MergedTable
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.stream_of(spark, f"{sf_dir}/events.parquet")
 
 
+#: Events in three arrivals by time; a fiftieth of the first arrive with the last.
+ARRIVALS = """
+ends AS (SELECT min(epoch_ns(ts) // 1000000) AS a, max(epoch_ns(ts) // 1000000) AS b FROM events),
+arrivals AS (SELECT e.*, epoch_ns(ts) // 1000000 AS ms, CASE WHEN (epoch_ns(ts) // 1000000 - a) * 3 // (b - a + 1) = 0 AND event_id % 50 = 0 THEN 2 ELSE (epoch_ns(ts) // 1000000 - a) * 3 // (b - a + 1) END AS arrival FROM events e, ends)"""
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ms = F.unix_millis("ts")
+    # one row
+    a, b = events.agg(F.min(ms), F.max(ms)).first()
+    third = F.floor((ms - a) * 3 / (b - a + 1))
+    arrival = F.when((third == 0) & (F.col("event_id") % 50 == 0), 2).otherwise(third)
+    return [events.where(arrival == k) for k in range(3)]
+
+
+def _heartbeat(rows: DataFrame, time: str) -> DataFrame:
+    """A row long after all others, with nothing but a time."""
+    last = rows.agg((F.max(time) + F.expr("INTERVAL 3650 DAYS")).alias(time))
+    return last.select(*[F.col(c) if c == time else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+
+
 @query("k1_first_answers", "SELECT DISTINCT user_id, event_type FROM events")
 def k1_first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.drain(logs.first_answers(_events(spark, sf_dir), ["user_id", "event_type"]).select("user_id", "event_type"), "first-answers")
@@ -28,7 +52,13 @@ def k1_first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k2_running_counts", "SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
 def k2_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.drain(logs.running_counts(_events(spark, sf_dir), ["event_type"]), "running-counts", "complete")
+    """Update mode into a merged table, over three arrivals, the query started anew for each."""
+    parts, folder = _arrivals(spark, sf_dir), new_folder(spark, "running-counts")
+    counts = MergedTable(spark, folder, spark.createDataFrame([], "event_type string, count long").schema, ["event_type"], compact_every=2)
+    replay = logs.Replay(spark, parts[0].schema, lambda stream: logs.merged(counts)(logs.running_counts(stream, ["event_type"])), "count-events")
+    for rows in parts:
+        replay.arrive(rows)
+    return counts.read()
 
 
 @query("k3_review_feed", "SELECT event_id, user_id FROM events WHERE event_id % 5 = 0 OR value < 1")
@@ -38,7 +68,7 @@ def k3_review_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k4_latest_ratings", "SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS event_type, count(*) AS updates FROM events GROUP BY user_id")
 def k4_latest_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.drain(logs.latest_ratings(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type"), "latest-ratings", "complete")
+    return logs.drain(logs.latest_ratings(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type"), "latest-ratings", ["user_id"])
 
 
 @query(
@@ -60,6 +90,102 @@ def k4_stale_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.drain(logs.versioned_updates(stream, "user_id", ["ts", "event_id"], "claimed", ["event_id"]), "updates-checked")
 
 
+_VERSIONS = "versions AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS version FROM events)"
+
+
+def _rating_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(latest ratings, conflicts) out of one stream: each user's numbered events in three arrivals by time, the query started anew for each."""
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.select("user_id", "event_id", "event_type", "ts", (F.row_number().over(by_user) + F.when(F.col("event_id") % 17 == 0, 1).otherwise(0)).cast("long").alias("version"))
+    rows = stored(rows.withColumn("value", F.concat_ws(":", F.col("event_id").cast("string"), "event_type")), "numbered-events")
+    ms = F.unix_millis("ts")
+    # one row
+    a, b = rows.agg(F.min(ms), F.max(ms)).first()
+    folder, rest = new_folder(spark, "ratings"), new_folder(spark, "rating-changes")
+    schema = spark.createDataFrame([], "user_id long, value string, version long, conflicts long").schema
+    latest = MergedTable(spark, folder, schema, ["user_id"], compact_every=2)
+
+    def start(stream: DataFrame):
+        changes = state.rating_changes(stream, "user_id", ["ts", "event_id"], "version", "value")
+        return logs.merged(latest, rest, "kind = 'latest'")(changes)
+
+    replay = logs.Replay(spark, rows.schema, start, "rating-events", processing_time=True)
+    for k in range(3):
+        replay.arrive(rows.where(F.floor((ms - a) * 3 / (b - a + 1)) == k))
+    conflicts = spark.read.schema("user_id long, kind string, value string, version long, conflicts long").parquet(f"{rest}/batch=*").where("kind = 'conflict'")
+    return latest.read(), conflicts
+
+
+@query("k4_versioned_ratings", f"WITH {_VERSIONS}, c AS (SELECT *, version <> lag(version) OVER (PARTITION BY user_id ORDER BY ts, event_id) + 1 AS conflict, row_number() OVER (PARTITION BY user_id ORDER BY version DESC, ts DESC, event_id DESC) AS k FROM versions) SELECT user_id, max(event_id || ':' || event_type) FILTER (WHERE k = 1) AS rating, max(version) AS version, count(*) FILTER (WHERE conflict) AS conflicts FROM c GROUP BY user_id")
+def k4_versioned_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rating_stream(spark, sf_dir)[0].withColumnRenamed("value", "rating")
+
+
+@query("k4_rating_conflicts", f"WITH {_VERSIONS}, c AS (SELECT *, lag(version) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM versions) SELECT user_id, event_id || ':' || event_type AS rating, version FROM c WHERE version <> before + 1")
+def k4_rating_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rating_stream(spark, sf_dir)[1].select("user_id", F.col("value").alias("rating"), "version")
+
+
+@query(
+    "k5_expiring_gate",
+    """WITH t AS (SELECT conv_id, turn, conv_id * 60000 + turn * 10000 AS ms, conv_id * 3 // (SELECT max(conv_id) + 1 FROM conversations) AS third FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 1)),
+a AS (SELECT *, CASE WHEN third = 0 AND conv_id % 11 = 0 AND turn = 0 THEN 2 ELSE third END AS arrival FROM t),
+w AS (SELECT x.arrival, max(a.ms) - 60000 AS mark FROM (VALUES (1), (2)) AS x(arrival) JOIN a ON a.arrival < x.arrival GROUP BY x.arrival),
+m AS (SELECT a.*, coalesce(ms <= mark, false) AS late FROM a LEFT JOIN w USING (arrival)),
+s AS (SELECT conv_id, list(DISTINCT turn) FILTER (WHERE turn BETWEEN 0 AND 3) AS seen FROM m WHERE NOT late GROUP BY conv_id)
+SELECT conv_id, 'late' AS outcome, CAST(turn AS VARCHAR) AS turns FROM m WHERE late
+UNION ALL SELECT conv_id, CASE WHEN len(seen) = 4 THEN 'complete' ELSE 'expired' END, array_to_string(list_filter([0, 1, 2, 3], lambda t: NOT coalesce(list_contains(seen, t), false)), ',') FROM s""",
+)
+def k5_expiring_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of conversations by event time, in three arrivals; some lack a turn, of some the first turn comes behind the watermark, and a heartbeat ends all."""
+    rows = table(spark, sf_dir, "conversations").where("not (conv_id % 7 = 0 and turn = 1)").select("conv_id", "turn", F.timestamp_millis(F.col("conv_id") * 60000 + F.col("turn") * 10000).alias("at"))
+    # one row
+    n = table(spark, sf_dir, "conversations").agg(F.max("conv_id") + 1).first()[0]
+    third = F.floor(F.col("conv_id") * 3 / n)
+    arrival = F.when((third == 0) & (F.col("conv_id") % 11 == 0) & (F.col("turn") == 0), 2).otherwise(third)
+    out = new_folder(spark, "gate")
+    replay = logs.Replay(spark, rows.schema, lambda stream: logs.appended(out)(state.expiring_gate(stream, "conv_id", 4, "at", 300_000, "1 minute")), "gate-turns")
+    for k in range(3):
+        replay.arrive(rows.where(arrival == k))
+    replay.arrive(_heartbeat(rows, "at"))
+    return spark.read.schema("conv_id long, outcome string, turns array<long>").parquet(out).select("conv_id", "outcome", F.array_join(F.col("turns").cast("array<string>"), ",").alias("turns"))
+
+
+_LATE = f"{ARRIVALS}, marks AS (SELECT x.arrival, max(a.ms) - 3600000 AS mark FROM (VALUES (1), (2)) AS x(arrival) JOIN arrivals a ON a.arrival < x.arrival GROUP BY x.arrival), windowed AS (SELECT a.*, date_trunc('hour', ts) AS start, coalesce(epoch_ms(date_trunc('hour', ts)) + 3600000 <= mark, false) AS late FROM arrivals a LEFT JOIN marks USING (arrival))"
+
+
+@query("k6_closed_windows", f"WITH {_LATE} SELECT start, event_type, late, count(*) AS n FROM windowed GROUP BY ALL")
+def k6_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed, and the rows that came too late for theirs, which go to a table of their own. Two streams over the same arrivals."""
+    parts = _arrivals(spark, sf_dir)
+    out, behind = new_folder(spark, "closed-windows"), new_folder(spark, "late-rows")
+    counting = logs.Replay(spark, parts[0].schema, lambda s: logs.appended(out)(logs.tumbling_counts(s, "ts", "1 hour", ["event_type"], "1 hour")), "window-events")
+    # the same folder, read by a second query
+    late = logs.Replay(spark, parts[0].schema, lambda s: logs.appended(behind)(state.late_rows(s, "ts", "1 hour", "1 hour", ["event_type", "event_id"])), "window-events")
+    late.folder = counting.folder
+    for rows in [*parts, _heartbeat(parts[0], "ts")]:
+        counting.arrive(rows)
+        late.run()
+    whole = spark.read.schema("start timestamp, event_type string, n long").parquet(out).withColumn("late", F.lit(False))
+    missed = spark.read.schema("start timestamp, event_type string, event_id long").parquet(behind).groupBy("start", "event_type").agg(F.count("*").alias("n"))
+    return whole.unionByName(missed.withColumn("late", F.lit(True))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("k6_progress", f"WITH {ARRIVALS} SELECT arrival, count(*) AS n, count(*) FILTER (WHERE value < 1) AS low, max(ms) AS last_ms, sum(count(*)) OVER (ORDER BY arrival) AS so_far FROM arrivals GROUP BY arrival")
+def k6_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch of a running query saw, observed while it ran."""
+    parts, out = _arrivals(spark, sf_dir), new_folder(spark, "observed")
+    metrics = [F.count("*").alias("n"), F.count_if(F.col("value") < 1).alias("low"), F.max(F.unix_millis("ts")).alias("last_ms")]
+    replay = logs.Replay(spark, parts[0].schema, lambda s: logs.appended(out)(s.observe("seen", *metrics).select("event_id")), "observed-events")
+    for rows in parts:
+        replay.arrive(rows)
+    seen = logs.snapshots(replay.progress, "seen")
+    so_far = F.sum("n").over(Window.orderBy("batch"))
+    # a row for each batch
+    return spark.createDataFrame(seen, "batch long, n long, low long, last_ms long").select(F.col("batch").alias("arrival"), "n", "low", "last_ms", so_far.alias("so_far"))
+
+
 @query("k5_session_gate", "SELECT conv_id, CAST(4 AS BIGINT) AS turns FROM conversations WHERE turn BETWEEN 0 AND 3 GROUP BY conv_id HAVING count(DISTINCT turn) = 4")
 def k5_session_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.drain(logs.session_gate(logs.stream_of(spark, f"{sf_dir}/conversations.parquet"), "conv_id", 4), "session-gate")
@@ -68,7 +194,7 @@ def k5_session_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k6_streamed_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def k6_streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = logs.drain(logs.tumbling_counts(events, "ts", "1 hour", ["event_type"]), "windows", "complete")
+    counted = logs.drain(logs.tumbling_counts(events, "ts", "1 hour", ["event_type"]), "windows", ["start", "event_type"])
     return counted.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnloom.sources.shared import new_folder
+from turnloom.streaming.merge import MergedTable
+from turnloom.streaming.state import PROVIDER, counted
 
 
 def stream_of(spark: SparkSession, path: str, files_each: int = 1) -> DataFrame:
@@ -18,16 +22,83 @@ def stream_of(spark: SparkSession, path: str, files_each: int = 1) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_each).parquet(pattern)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that has arrived and gives what its sink holds: appended rows, or the last state of a table."""
+def drain(stream: DataFrame, name: str, key: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that has arrived and gives what its sink holds: appended rows, or with a key the last row of each in a merged table."""
     spark = stream.sparkSession
-    out, state = new_folder(spark, name), new_folder(spark, f"{name}-state")
-    writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        writer.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
-    else:
-        writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    out = new_folder(spark, name)
+    table = MergedTable(spark, out, stream.schema, key) if key else None
+    writer = merged(table)(stream) if table else appended(out)(stream)
+    with _settings(spark):
+        writer.option("checkpointLocation", new_folder(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return table.read() if table else spark.read.schema(stream.schema).parquet(out)
+
+
+@contextmanager
+def _settings(spark: SparkSession, processing_time: bool = False) -> Iterator[None]:
+    """For the queries started inside: the state store that transformWithState needs. With timers of processing time every batch asks for another without data, so that a run over what is there would not end; these are left out."""
+    wanted = dict([PROVIDER]) | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if processing_time else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+class Replay:
+    """A stream over a folder that grows: each call of `arrive` appends rows and runs the query over what is new, from its checkpoint, as a job that is started again and again would.
+
+    A query may thus be stopped between any two arrivals. start: takes the stream and gives its writer, without checkpoint and trigger.
+    """
+
+    def __init__(self, spark: SparkSession, schema, start: Callable[[DataFrame], object], name: str, files_each: int | None = None, processing_time: bool = False):
+        self.spark, self.schema, self.start, self.files_each, self.processing_time = spark, schema, start, files_each, processing_time
+        self.folder, self.state = new_folder(spark, name), new_folder(spark, f"{name}-state")
+        self.progress: list[dict] = []
+
+    def arrive(self, rows: DataFrame) -> StreamingQuery:
+        rows.write.mode("append").parquet(self.folder)
+        return self.run()
+
+    def run(self) -> StreamingQuery:
+        reader = self.spark.readStream.schema(self.schema)
+        if self.files_each:
+            reader = reader.option("maxFilesPerTrigger", self.files_each)
+        with _settings(self.spark, self.processing_time):
+            query = self.start(reader.parquet(self.folder)).option("checkpointLocation", self.state).trigger(availableNow=True).start()
+            query.awaitTermination()
+        self.progress += [dict(p) if isinstance(p, dict) else p.jsonValue for p in query.recentProgress]
+        return query
+
+
+def snapshots(progress: list[dict], name: str) -> list[tuple]:
+    """(batch, metrics...) of the observation `name` in each batch that had rows."""
+    return [(p["batchId"], *p["observedMetrics"][name].asDict().values()) for p in progress if p["numInputRows"]]
+
+
+def appended(folder: str) -> Callable[[DataFrame], Callable]:
+    """A writer of rows that never change, for Replay."""
+    return lambda stream: stream.writeStream.outputMode("append").format("parquet").option("path", folder)
+
+
+def merged(table: MergedTable, changes: str | None = None, where: str | None = None):
+    """A writer of changed rows into a keyed table, for Replay. changes: a folder that keeps all rows of a batch, of which those that meet `where` go into the table.
+
+    The batch is evaluated once, by one write: its state must not be computed a second time.
+    """
+
+    def batch_of(rows: DataFrame, batch: int) -> None:
+        if changes is not None:
+            path = f"{changes}/batch={batch}"
+            rows.write.mode("overwrite").parquet(path)
+            rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+        if not table.apply(rows if where is None else rows.where(where), batch) and changes is None:
+            # merged before, but the state of the query has to come to the same point
+            rows.write.format("noop").mode("overwrite").save()
+
+    return lambda stream: stream.writeStream.outputMode("update").foreachBatch(batch_of)
 
 
 def first_answers(events: DataFrame, key: list[str]) -> DataFrame:
@@ -89,4 +160,5 @@ def versioned_updates(events: DataFrame, key: str, order: list[str], version: st
 
 
 def tumbling_counts(events: DataFrame, time: str, width: str, by: list[str], late: str = "1 day") -> DataFrame:
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
+    """Rows of windows, whole in append mode once the watermark has passed them. A row without any of `by` moves the watermark and is not counted."""
+    return events.withWatermark(time, late).where(counted(by, time)).groupBy(F.window(time, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
