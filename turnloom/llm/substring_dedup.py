@@ -250,7 +250,9 @@ class SubstringDedup:
         """Segments whose anchor is in several documents."""
         cut = self.docs.where(F.col("doc_id").isNotNull()).mapInArrow(_cutter(self.window), SEGMENT_SCHEMA)
         segments = materialise(cut, "segments")
+        # tables of their own, here and below: a join with an aggregate in its own stage could not split a key with very many rows
         shared = segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+        shared = materialise(shared, "shared-anchors")
         return materialise(segments.join(shared, "anchor"), "open-segments")
 
     def _first_of_each(self, segments: DataFrame) -> DataFrame:
@@ -258,7 +260,7 @@ class SubstringDedup:
         each = segments.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("own"))
         each = materialise(each, "distinct-segments")
         hot = each.groupBy("anchor").agg(F.ceil(F.count("*") / self.most_segments).alias("shards")).where("shards > 1")
-        return each.join(hot, "anchor", "left").withColumn("salt", F.coalesce(F.pmod("digest", "shards"), F.lit(-1)).cast("long"))
+        return each.join(materialise(hot, "split-anchors"), "anchor", "left").withColumn("salt", F.coalesce(F.pmod("digest", "shards"), F.lit(-1)).cast("long"))
 
     def _with_words(self, each: DataFrame) -> DataFrame:
         wanted = each.groupBy("own.doc_id", "own.text_key").agg(F.collect_list(F.struct("own.start", "own.windows", "anchor", "digest", "salt")).alias("wanted"))
@@ -274,7 +276,7 @@ class SubstringDedup:
         whole = matches.where("mask is not null").select("anchor", "digest", "doc_id", "mask")
         windows = matches.where("mask is null")
         least = windows.groupBy("anchor", "window_digest").agg(F.min("least_id").alias("first_id"))
-        repeating = windows.join(least, ["anchor", "window_digest"]).where("first_id < doc_id")
+        repeating = windows.join(materialise(least, "split-windows"), ["anchor", "window_digest"]).where("first_id < doc_id")
         split = repeating.groupBy("anchor", "digest", "doc_id").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
         rest = windows.select("anchor", "digest", "doc_id").distinct().join(split, ["anchor", "digest", "doc_id"], "left").fillna(0, ["mask"])
         return whole.unionByName(rest).withColumnRenamed("doc_id", "first_id")
