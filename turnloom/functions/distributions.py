@@ -67,14 +67,26 @@ def jensen_shannon(p: Column | str, q: Column | str) -> Column:
     return entropy(F.zip_with(p, q, lambda a, b: (a + b) / 2)) - (entropy(p) + entropy(q)) / 2
 
 
-def top_places(p: Column | str, k: int) -> Column:
+def top_places(p: Column | str, k: int | Column) -> Column:
     """Places (from 0) of the k largest, earlier places first among equals."""
     ranked = F.array_sort(F.transform(p, lambda v, i: F.struct((-v).alias("less"), i.alias("place"))))
     return F.transform(F.slice(ranked, 1, k), lambda s: s["place"])
 
 
-def top_overlap(p: Column | str, q: Column | str, k: int) -> Column:
-    return F.size(F.array_intersect(top_places(p, k), top_places(q, k))) / F.lit(float(k))
+def top_overlap(p: Column | str, q: Column | str, k: int | Column) -> Column:
+    return F.size(F.array_intersect(top_places(p, k), top_places(q, k))) / (k if isinstance(k, Column) else F.lit(float(k)))
+
+
+def paired_metrics(share: float = 0.1) -> list[Column]:
+    """Metrics of one object at two turns, from its masses (m_before, m), shares (p_before, p) and ordered shares (q_before, q): changes of mass, entropy and top share (null where a side has no mass), total variation, divergence and overlap of the places with most."""
+    some = (F.col("m_before") > 0) & (F.col("m") > 0)
+    # as many places as a tenth of the elements
+    k = F.ceil(F.size("p") * share).cast("int")
+    change = lambda f, c: F.when(some, f(c) - f(f"{c}_before"))
+    return [
+        F.col("m_before").alias("mass_before"), F.col("m").alias("mass_after"), (F.col("m") - F.col("m_before")).alias("delta_mass"), change(entropy, "p").alias("delta_entropy"), change(lambda c: top_share(c, k), "q").alias("delta_top10"),
+        total_variation("p_before", "p").alias("tv"), jensen_shannon("p_before", "p").alias("js"), top_overlap("p_before", "p", k).alias("top_overlap"),
+    ]
 
 
 def participation(mean: Column, deviation: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from turnloom.sources.shared import stored
+
 
 def first_record(rows: DataFrame, key: list[str], order: list[str], attempt: str) -> DataFrame:
     """The first row of each key, with the attempts of the others in order."""
@@ -41,6 +43,24 @@ def halves(clusters: DataFrame, cluster: str, seed: str) -> DataFrame:
     return ranked.select(cluster, F.when(F.col("rank") <= F.floor(F.col("total") / 2), "discovery").otherwise("confirmation").alias("split"))
 
 
+def global_rank(rows: DataFrame, by: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
+    """rows with their exact `rank` (from 1) in each group, in a total order, by a prefix sum over range partitions.
+
+    Rows are dealt to ranges of (by, order), sorted in each, and written once with their place; the ranges are counted, and what lies before each is added. A group of any size is
+    spread over many ranges: no task sorts it whole, and the window runs over counts of ranges only.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
+    placed = stored(ranged.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ranges")
+    counts = placed.groupBy(*by, "_range").agg(F.count("*").alias("n"), F.min("_place").alias("first"))
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("n")
+    offsets = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_of"), (before - F.col("first") + 1).alias("_offset"))
+    on = F.col("_range") == F.col("_of")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return placed.join(offsets, on).select(*rows.columns, (F.col("_place") + F.col("_offset")).alias("rank"))
+
+
 def greedy_cover(items: DataFrame, item: str, tags: str, predicates: list[Column] | None = None) -> list:
     """Items, each the one whose tags add most that is new, ties by digest, until all tags are covered; then for each predicate that none of them meets the first by digest that does.
 
@@ -66,3 +86,14 @@ def window_means(cells: DataFrame, by: list[str], steps: int, layers: int, n_ste
     origin = lambda c, size, n: F.explode(F.sequence(F.greatest(F.col(c) - (size - 1), F.lit(0)), F.least(F.col(c), F.lit(n - size))))
     dealt = cells.withColumn("step0", origin("step", steps, n_steps)).withColumn("layer0", origin("layer", layers, n_layers))
     return dealt.groupBy(*by, "step0", "layer0").agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
+def frozen_windows(means: DataFrame, steps: int, layers: int, n: int = 1) -> DataFrame:
+    """(step0, layer0, step1, layer1) of the n windows with the greatest means, the larger origin winning a tie; the ends are inclusive."""
+    best = means.orderBy(F.desc(F.round("mean", 12)), F.desc("step0"), F.desc("layer0")).limit(n)
+    return best.select("step0", "layer0", (F.col("step0") + steps - 1).alias("step1"), (F.col("layer0") + layers - 1).alias("layer1"))
+
+
+def inside_windows(cells: DataFrame, windows: DataFrame) -> DataFrame:
+    """Cells with the windows (few, chosen before) that hold them."""
+    return cells.join(F.broadcast(windows), F.col("step").between(F.col("step0"), F.col("step1")) & F.col("layer").between(F.col("layer0"), F.col("layer1")))

@@ -13,40 +13,52 @@ STEPS = 4096
 
 
 def _bucket(v: Column) -> Column:
-    """A whole number that grows with the value: STEPS for each doubling."""
-    size = F.floor(F.log2(F.abs(v)) * STEPS) + 1200 * STEPS
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(0).cast("long")
+    """A whole number that grows with the value: STEPS for each doubling. Infinities have buckets of their own; NaN comes after all others."""
+    infinite, end = float("inf"), 4000 * STEPS
+    size = F.floor(F.log2(F.when(F.abs(v) < infinite, F.abs(v)).otherwise(1.0)) * STEPS) + 1200 * STEPS
+    odd = F.when(F.isnan(v), end + 1).when(v == infinite, end).when(v == -infinite, -end)
+    return odd.when(v > 0, size).when(v < 0, -size).otherwise(0).cast("long")
 
 
-def _ranked(rows: DataFrame, by: list[str], value: str, ranks: list[Column]) -> DataFrame:
-    """Distinct values of the buckets in which the given ranks fall (0 is the least; expressions over `total`), with `start` and `end` of their ranks, and the sum `below` of all values before them.
-
-    Buckets are counted in one aggregation; only those that hold a rank are sorted, each alone, so no task sorts a whole group.
-    """
-    kept = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v")).withColumn("bucket", _bucket(F.col("v")))
+def _placed(kept: DataFrame, by: list[str], ranks: list[Column]) -> DataFrame:
+    """Buckets of each group: `first` rank, n, sum s, `total` of the group, and whether the bucket `holds` one of the ranks. kept: by, v, bucket."""
     sizes = kept.groupBy(*by, "bucket").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
     up = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sizes.select("*", (F.sum("n").over(up) - F.col("n")).alias("first"), (F.sum("s").over(up) - F.col("s")).alias("less"), F.sum("n").over(Window.partitionBy(*by)).alias("total"))
+    placed = sizes.select("*", (F.sum("n").over(up) - F.col("n")).alias("first"), F.sum("n").over(Window.partitionBy(*by)).alias("total"))
     holds = F.lit(False)
     for r in ranks:
         holds = holds | ((r >= F.col("first")) & (r < F.col("first") + F.col("n")))
+    return placed.withColumn("holds", holds)
+
+
+def _bucketed(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    return rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v")).withColumn("bucket", _bucket(F.col("v")))
+
+
+def _ranked(kept: DataFrame, placed: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct values of the buckets that hold a rank, with `start` and `end` of their ranks.
+
+    Buckets are counted in one aggregation; only those that hold a rank are sorted, each alone, so no task sorts a whole group.
+    """
     # a few rows a group
-    wanted = placed.where(holds).select(*by, "bucket", "first", "less", "total")
-    values = kept.join(wanted, [*by, "bucket"]).groupBy(*by, "bucket", "first", "less", "total", "v").agg(F.count("*").alias("c"))
+    wanted = placed.where("holds").select(*by, "bucket", "first", "total")
+    values = kept.join(wanted, [*by, "bucket"]).groupBy(*by, "bucket", "first", "total", "v").agg(F.count("*").alias("c"))
     inside = Window.partitionBy(*by, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("first") + F.sum("c").over(inside)
-    return values.select(*by, "v", "total", (end - F.col("c")).alias("start"), end.alias("end"), (F.col("less") + F.sum(F.col("v") * F.col("c")).over(inside) - F.col("v") * F.col("c")).alias("below"))
+    return values.select(*by, "v", "total", (end - F.col("c")).alias("start"), end.alias("end"))
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
-    """(by, q): exact quantiles with linear interpolation between ranks. rows is read twice; store it first if it is dear."""
+    """(by, q): exact quantiles with linear interpolation between ranks; NaN ranks above infinity. rows is read twice; store it first if it is dear."""
     place = [(F.col("total") - 1) * F.lit(q) for q in shares]
     ends = [(F.floor(x), F.ceil(x)) for x in place]
-    found = _ranked(rows, by, value, [r for e in ends for r in e])
+    kept = _bucketed(rows, by, value)
+    found = _ranked(kept, _placed(kept, by, [r for e in ends for r in e]), by)
     at = lambda r: F.max(F.when((r >= F.col("start")) & (r < F.col("end")), F.col("v")))
     each = []
     for x, (low, high) in zip(place, ends, strict=True):
-        each.append(at(low) + (at(high) - at(low)) * F.max(x - low))
+        # equal ends are the value itself, as infinite ones have no difference; from minus infinity no step leads on
+        each.append(F.when((at(low) == at(high)) | (at(low) == float("-inf")) | (F.max(x - low) == 0), at(low)).otherwise(at(low) + (at(high) - at(low)) * F.max(x - low)))
     return (found.groupBy(*by) if by else found).agg(F.array(*each).alias("q"))
 
 
@@ -96,15 +108,55 @@ def bootstrap_interval(rows: DataFrame, by: list[str], value: str, cluster: str,
     return ends.select(*by, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
+def _digest_number(*parts: Column | str) -> Column:
+    """52 bits of the digest of parts joined by '|', equal in every engine."""
+    text = F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def split_bootstrap(rows: DataFrame, by: list[str], value: str, cluster: str, reps: int, seed: int, bucket_size: int = 4096) -> DataFrame:
+    """2.5 and 97.5 percentiles of the ratio of drawn cluster sums to drawn cluster counts, all groups with the same draws (groups are few by contract).
+
+    The clusters of `rows` are numbered and cut into buckets. Of each repetition's draws, as many as there are clusters, only the number that
+    falls into each bucket is shuffled; which clusters of the bucket they hit is drawn beside the bucket's sums, by digests again, so no row for a cluster and repetition is
+    ever made. Draws come from digests and are the same in every engine.
+    """
+    # own columns begin with an underscore, so that they don't clash with those of the caller
+    spark, rows = rows.sparkSession, rows.select(*by, F.col(cluster).alias("_cluster"), F.col(value).alias("_value"))
+    clusters = rows.select("_cluster").distinct()
+    n = clusters.count()
+    b, count = max(1, -(-n // bucket_size)), max(n, 1)
+    first = lambda k: F.expr(f"({k} * {n} + {b - 1}) div {b}")
+    placed = numbered(clusters, "_cluster").select("_cluster", F.expr(f"k * {b} div {count}").alias("_bucket"), "k").withColumn("_place", F.col("k") - first("_bucket")).drop("k")
+    sums = rows.where(F.col("_value").isNotNull()).groupBy(*by, "_cluster").agg(F.sum("_value").cast("double").alias("_s"), F.count("*").alias("_c"))
+    grid = placed.crossJoin(F.broadcast(rows.select(*by).distinct())) if by else placed
+    filled = grid.join(sums, [*by, "_cluster"], "left").select(*by, "_bucket", F.struct("_place", F.coalesce("_s", F.lit(0.0)).alias("s"), F.coalesce("_c", F.lit(0)).alias("c")).alias("_e"))
+    held = filled.groupBy(*by, "_bucket").agg(F.array_sort(F.collect_list("_e")).alias("_e"))
+    held = held.select(*by, "_bucket", F.col("_e.s").alias("_s"), F.col("_e.c").alias("_c"))
+    slots = spark.range(0, reps * n).select(F.expr(f"id div {count}").alias("_rep"), F.expr(f"id % {count}").alias("_slot"))
+    hit = _digest_number(F.lit(seed), "_rep", "_slot") % count
+    dealt = slots.select("_rep", hit.alias("_h")).groupBy("_rep", F.expr(f"_h * {b} div {count}").alias("_bucket")).agg(F.count("*").alias("_m"))
+    size = first("(_bucket + 1)") - first("_bucket")
+    drawn = dealt.join(held, "_bucket").withColumn("_i", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), lambda i: (_digest_number(F.lit(seed), "_rep", "_bucket", i) % size).cast("int")))
+    total = lambda k, zero: F.aggregate("_i", zero, lambda a, i: a + F.get(k, i)).alias(k)
+    each = drawn.select(*by, "_rep", total("_s", F.lit(0.0)), total("_c", F.lit(0).cast("long")))
+    ratios = each.groupBy(*by, "_rep").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("_ratio"))
+    ends = (ratios.groupBy(*by) if by else ratios).agg(F.percentile("_ratio", [0.025, 0.975]).alias("_q"))
+    return ends.select(*by, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+
+
 def trimmed_mean(rows: DataFrame, by: list[str], value: str, share: float = 0.05) -> DataFrame:
-    """Mean without the floor(share n) least and greatest values: the sum of the least n - cut without that of the least cut. rows is read twice."""
+    """Mean without the floor(share n) least and greatest values: the buckets between the two ranks are summed whole, those that hold a rank in part. rows is read twice."""
     cut = F.floor(F.col("total") * share)
-    ranks = [cut, F.col("total") - cut - 1]
-    found = _ranked(rows, by, value, ranks)
-    # the sum of values with lower ranks; and with ranks up to the last one kept
-    low = F.max(F.when((ranks[0] >= F.col("start")) & (ranks[0] < F.col("end")), F.col("below") + (ranks[0] - F.col("start")) * F.col("v")))
-    high = F.max(F.when((ranks[1] >= F.col("start")) & (ranks[1] < F.col("end")), F.col("below") + (ranks[1] + 1 - F.col("start")) * F.col("v")))
-    summed = (found.groupBy(*by) if by else found).agg((high - low).alias("s"), F.max(F.col("total") - 2 * cut).alias("n"))
+    low, high = cut, F.col("total") - cut
+    kept = _bucketed(rows, by, value)
+    placed = _placed(kept, by, [low, high - 1])
+    inside = placed.where(~F.col("holds") & (F.col("first") >= low) & (F.col("first") < high)).select(*by, "s", "total")
+    taken = F.greatest(F.least("end", high) - F.greatest("start", low), F.lit(0))
+    # a value with nothing taken adds nothing, even if it is infinite
+    part = _ranked(kept, placed, by).select(*by, F.when(taken > 0, F.col("v") * taken).otherwise(0.0).alias("s"), "total")
+    whole = inside.unionByName(part)
+    summed = (whole.groupBy(*by) if by else whole).agg(F.sum("s").alias("s"), F.max(F.col("total") - 2 * cut).alias("n"))
     return summed.select(*by, (F.col("s") / F.col("n")).alias("mean"), "n")
 
 
@@ -136,3 +188,18 @@ def merged_moments(parts: DataFrame, by: list[str]) -> DataFrame:
 def sign_shares(value: Column, tolerance: float) -> list[Column]:
     share = lambda c: F.avg(c.cast("double"))
     return [share(value > tolerance).alias("positive"), share(value < -tolerance).alias("negative"), share(F.abs(value) <= tolerance).alias("near_zero")]
+
+
+#: Registers of a sketch as a power of two, and the standard error of its estimate.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketches(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by and a sketch of the distinct values of each column: some kilobytes a group that can be stored and merged with those of other shards, days or runs."""
+    return rows.groupBy(*by).agg(*[F.hll_sketch_agg(c, F.lit(SKETCH_BITS)).alias(c) for c in columns])
+
+
+def merged_distinct(sketches: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Estimated numbers of distinct values over all sketches of a group, with a standard error of SKETCH_ERROR."""
+    return sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])

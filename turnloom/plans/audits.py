@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from turnloom.operators import audit, ranking
+from turnloom.operators import audit, ranking, statistics
 from turnloom.plans.base import TURNS, query, r6, scored, table, turns
+from turnloom.sources.shared import stored
 
 
 @query("c1_verified_turns", "WITH t AS (SELECT conv_id, turn, text, CASE WHEN conv_id % 9 = 0 AND turn = 1 THEN 'x' ELSE text END AS said FROM conversations) SELECT conv_id, turn, 'text' AS \"column\", md5(text) AS \"left\", md5(said) AS \"right\" FROM t WHERE text <> said")
@@ -20,7 +21,7 @@ def c1_verified_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c2_score_assembly", f"WITH {TURNS}, a AS (SELECT session, turn, score FROM scored WHERE tax <> 3), b AS (SELECT session, turn, score FROM scored WHERE tax <> 5) SELECT m.split, CASE WHEN a.session IS NULL THEN 'unavailable' ELSE 'judged' END AS first_judge, CASE WHEN b.session IS NULL THEN 'unavailable' ELSE 'judged' END AS second_judge, count(*) AS n, round(avg(a.score), 6) AS first_mean FROM scored m LEFT JOIN a USING (session, turn) LEFT JOIN b USING (session, turn) GROUP BY ALL")
 def c2_score_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = scored(spark, sf_dir)
+    manifest = stored(scored(spark, sf_dir).select("session", "turn", "split", "tax", "score"), "scored-turns")
     one = manifest.where("tax <> 3").select("session", "turn", F.col("score").alias("s1"), F.lit("judged").alias("first_judge"))
     two = manifest.where("tax <> 5").select("session", "turn", F.lit("judged").alias("second_judge"))
     joined = manifest.select("session", "turn", "split").join(one, ["session", "turn"], "left").join(two, ["session", "turn"], "left")
@@ -50,7 +51,7 @@ _RUNS = f"{TURNS}, a AS (SELECT session, turn, task, mass FROM turns WHERE sessi
 
 @query("c9_run_comparison", f"WITH {_RUNS} SELECT CASE WHEN a.session IS NULL OR b.session IS NULL THEN 'failed' WHEN a.task = b.task THEN 'passed' ELSE 'numeric only' END AS status, count(*) AS n, round(avg(abs(a.mass - b.mass)), 4) AS mean_difference FROM a FULL JOIN b ON a.session = b.session AND a.turn = b.turn GROUP BY status")
 def c9_run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir)
+    rows = stored(turns(spark, sf_dir).select("session", "turn", "task", "mass"), "run-turns")
     one = rows.where("session % 10 <> 1").select("session", "turn", F.col("task").alias("t1"), F.col("mass").alias("m1"))
     two = rows.where("session % 10 <> 2").select("session", "turn", F.when(F.col("session") % 7 == 0, "XX").otherwise(F.col("task")).alias("t2"), (F.col("mass") * 1.01).alias("m2"))
     status = F.when(F.col("t1").isNull() | F.col("t2").isNull(), "failed").when(F.col("t1") == F.col("t2"), "passed").otherwise("numeric only")
@@ -140,6 +141,27 @@ def c22_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "name", "full_outer").groupBy(owner.alias("owner")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "c22_reconciled_jobs",
+    """WITH inv AS (SELECT doc_id, 'left' AS host, doc_id * 13 % 101 AS due FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'right', doc_id * 7 % 101 FROM documents WHERE doc_id % 5 <> 1 AND lang <> 'de'),
+c AS (SELECT doc_id, string_agg(host || '@' || due, ',' ORDER BY due, host) AS candidates, arg_min(host, struct_pack(a := due, h := host)) AS earliest, list(host) AS hosts FROM inv GROUP BY doc_id),
+j AS (SELECT d.doc_id AS job, coalesce(candidates, '') AS candidates, earliest, CASE WHEN d.doc_id % 4 = 1 THEN 'left' END AS source, coalesce(list_contains(hosts, 'left'), false) AS known,
+d.doc_id % 3 = 0 AS receipt, d.doc_id % 3 = 0 AND d.doc_id % 21 <> 0 AS valid, CASE WHEN d.doc_id % 2 = 0 THEN 'left' ELSE 'right' END AS receipt_host FROM documents d LEFT JOIN c USING (doc_id))
+SELECT job, CASE WHEN valid THEN 'completed' ELSE 'pending' END AS state, CASE WHEN valid THEN receipt_host WHEN source IS NOT NULL THEN CASE WHEN known THEN source END ELSE earliest END AS owner,
+CASE WHEN valid THEN 'receipt' WHEN source IS NOT NULL THEN CASE WHEN known THEN 'source' END WHEN earliest IS NOT NULL THEN 'earliest' END AS rule, candidates,
+CASE WHEN receipt AND NOT valid THEN 'invalid receipt' WHEN NOT valid AND source IS NOT NULL AND NOT known THEN 'source without inventory' END AS problem FROM j""",
+)
+def c22_reconciled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as jobs of two producers: the first commit decides, then the source, then the earliest; duplicates stay listed."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job"), "lang")
+    held = lambda host, k: (F.col("job"), F.lit(host).alias("host"), (F.col("job") * k % 101).alias("at"))
+    inventories = docs.where("job % 5 <> 0").select(*held("left", 13)).unionByName(docs.where("job % 5 <> 1 and lang <> 'de'").select(*held("right", 7)))
+    receipts = docs.where("job % 3 = 0").select("job", F.when(F.col("job") % 2 == 0, "left").otherwise("right").alias("receipt_host"), (F.col("job") % 21 != 0).alias("valid"))
+    jobs = docs.select("job", F.when(F.col("job") % 4 == 1, "left").alias("source"))
+    listed = F.array_join(F.transform("candidates", lambda c: F.concat_ws("@", c["host"], c["at"].cast("string"))), ",")
+    return audit.reconcile(jobs, inventories, receipts).withColumn("candidates", listed)
+
+
 @query("c23_inventory_comparison", f"WITH {_INVENTORY}, l AS (SELECT name, min(size) AS size FROM left_files GROUP BY name), r AS (SELECT name, min(size) AS size FROM right_files GROUP BY name) SELECT coalesce(l.name, r.name) AS name, CASE WHEN l.name IS NULL THEN 'only right' WHEN r.name IS NULL THEN 'only left' ELSE 'size differs' END AS reason FROM l FULL JOIN r ON l.name = r.name WHERE l.size IS DISTINCT FROM r.size")
 def c23_inventory_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = (df.groupBy("name").agg(F.min("size").alias("size")) for df in _inventories(spark, sf_dir))
@@ -149,10 +171,12 @@ def c23_inventory_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d33_timing_summary", "WITH t AS (SELECT event_type, user_id % 3 AS batch, value, epoch(ts) AS s FROM events) SELECT event_type, batch, count(*) AS n, round(median(value), 6) AS median, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max, round(count(*) * 60 / (max(s) - min(s)), 6) AS per_minute FROM t GROUP BY ALL HAVING count(*) >= 3")
 def d33_timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).alias("batch"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = stored(rows, "timings")
     span = (F.max("us") - F.min("us")) / 1e6
-    return rows.groupBy("event_type", "batch").agg(
-        F.count("*").alias("n"), r6(F.percentile("value", 0.5)).alias("median"), r6(F.avg("value")).alias("mean"), r6(F.min("value")).alias("min"), r6(F.max("value")).alias("max"), r6(F.try_divide(F.count("*") * 60, span)).alias("per_minute")
-    ).where("n >= 3")
+    by = ["event_type", "batch"]
+    summed = rows.groupBy(*by).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), r6(F.min("value")).alias("min"), r6(F.max("value")).alias("max"), r6(F.try_divide(F.count("*") * 60, span)).alias("per_minute"))
+    medians = statistics.quantiles(rows, by, "value", [0.5]).select(*by, r6(F.col("q")[0]).alias("median"))
+    return summed.where("n >= 3").join(medians, by)
 
 
 @query("e6_first_record", "WITH r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) SELECT user_id, event_type, min(event_id) FILTER (WHERE k = 1) AS event_id, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k > 1), '') AS others FROM r GROUP BY ALL")
@@ -225,8 +249,8 @@ def j2_complete_and_not(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j3_checksums", "SELECT conv_id, turn FROM (SELECT *, sha256(CASE WHEN conv_id % 10 = 4 THEN text || '.' ELSE text END) AS stored FROM conversations) WHERE stored <> sha256(text)")
 def j3_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = F.sha2(F.when(F.col("conv_id") % 10 == 4, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256)
-    return table(spark, sf_dir, "conversations").withColumn("stored", stored).where(F.col("stored") != F.sha2("text", 256)).select("conv_id", "turn")
+    written = F.sha2(F.when(F.col("conv_id") % 10 == 4, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256)
+    return table(spark, sf_dir, "conversations").withColumn("stored", written).where(F.col("stored") != F.sha2("text", 256)).select("conv_id", "turn")
 
 
 _FULL = f"""{TURNS}, reported AS (SELECT session, turn, CASE WHEN session % 100 = 0 THEN 1 - score ELSE score END AS score FROM scored WHERE session % 50 <> 3)"""
@@ -234,12 +258,11 @@ _FULL = f"""{TURNS}, reported AS (SELECT session, turn, CASE WHEN session % 100
 
 @query("j4_scoring_audit", f"WITH {_FULL} SELECT 'coverage' AS \"check\", (SELECT count(*) FROM scored s LEFT JOIN reported r USING (session, turn) WHERE r.session IS NULL) AS violations UNION ALL SELECT 'one row', (SELECT count(*) FROM (SELECT 1 FROM reported GROUP BY session, turn HAVING count(*) > 1)) UNION ALL SELECT 'recomputed', (SELECT count(*) FROM scored s JOIN reported r USING (session, turn) WHERE s.score IS DISTINCT FROM r.score)")
 def j4_scoring_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)
+    """Both tables meet in one aggregation; the turns are numbered once."""
+    rows = stored(scored(spark, sf_dir).select("session", "turn", "score"), "scored-turns")
     reported = rows.where("session % 50 <> 3").select("session", "turn", F.when(F.col("session") % 100 == 0, 1 - F.col("score")).otherwise(F.col("score")).alias("score"))
-    key = ["session", "turn"]
-    return audit.union_checks(
-        {"coverage": audit.coverage(rows, reported, key), "one row": audit.duplicate_keys(reported, key), "recomputed": audit.mismatches(rows, reported, key, ["score"])}
-    )
+    found = audit.compare_runs(rows, reported, ["session", "turn"], ["score"])
+    return audit.counted(found, {"coverage": ["missing", "foreign"], "one row": ["repeated"], "recomputed": ["score differs"]})
 
 
 @query("j6_run_coverage", f"WITH {TURNS} SELECT worker % 4 AS shard, count(DISTINCT session) AS sessions, count(*) AS turns, CAST(sum(quantity) AS BIGINT) AS units, max(turn) AS longest FROM turns GROUP BY shard")
@@ -292,6 +315,61 @@ def j15_repeat_exactness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.agg(F.count("*").alias("turns"), F.count_if(F.col("h") == F.col("again")).alias("exact"), F.count_distinct(F.when(F.col("h") != F.col("again"), F.col("session"))).alias("sessions_changed"))
 
 
+_ASSIGNED = f"""{TURNS}, s AS (SELECT DISTINCT split, session FROM turns),
+assigned AS (SELECT split, session, session % 4 AS worker FROM s WHERE session % 101 <> 0 UNION ALL SELECT split, session, (session + 1) % 4 FROM s WHERE session % 97 = 0 UNION ALL SELECT split, -session - 1, 0 FROM s WHERE session % 103 = 0),
+generated AS (SELECT a.split, a.session, a.worker, t.turn FROM assigned a JOIN turns t USING (split, session) WHERE t.turn <= 2)"""
+
+
+@query(
+    "j14_worker_batches",
+    f"""WITH {_ASSIGNED}, n AS (SELECT split, session, count(*) AS a FROM assigned GROUP BY ALL), g AS (SELECT split, session, count(*) AS done, count(DISTINCT worker || '/' || turn) AS different FROM generated GROUP BY ALL),
+m AS (SELECT coalesce(s.split, n.split) AS split, coalesce(s.session, n.session) AS session, coalesce(a, 0) AS a, s.session IS NOT NULL AS e FROM s FULL JOIN n ON s.split = n.split AND s.session = n.session),
+v AS (SELECT split, session, 'assigned twice' AS violation FROM m WHERE a > 1 UNION ALL SELECT split, session, 'omitted' FROM m WHERE e AND a = 0 UNION ALL SELECT split, session, 'unexpected' FROM m WHERE NOT e AND a > 0
+UNION ALL SELECT split, session, 'turns differ' FROM m LEFT JOIN g USING (split, session) WHERE coalesce(done, 0) <> 2 * a OR coalesce(different, 0) <> 2 * a)
+SELECT split, violation, count(*) AS n, min(session) AS first FROM v GROUP BY ALL""",
+)
+def j14_worker_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of two batches dealt to four workers who do two turns of each: some sessions are left out, done twice, not asked for, or have one turn only."""
+    rows = stored(turns(spark, sf_dir).select("split", "session", "turn"), "batch-turns")
+    sessions = rows.select("split", "session").distinct()
+    worker = lambda c: (c % 4).cast("long").alias("worker")
+    session = F.col("session")
+    assigned = sessions.where("session % 101 <> 0").select("split", "session", worker(session)).unionByName(sessions.where("session % 97 = 0").select("split", "session", worker(session + 1)))
+    assigned = assigned.unionByName(sessions.where("session % 103 = 0").select("split", (-session - 1).alias("session"), F.lit(0).cast("long").alias("worker")))
+    generated = assigned.join(rows.where("turn <= 2"), ["split", "session"])
+    found = audit.worker_batches(assigned, sessions, generated, ["split"], [1, 2])
+    return found.groupBy("split", "violation").agg(F.count("*").alias("n"), F.min("session").alias("first"))
+
+
+@query("j14_start_lags", "WITH w AS (SELECT user_id % 3 AS batch, user_id AS worker, epoch_us(min(ts)) AS started FROM events GROUP BY ALL), f AS (SELECT *, min(started) OVER (PARTITION BY batch) AS first FROM w) SELECT batch, round(max(started - first) / 1e6, 3) AS start_lag, count(*) FILTER (WHERE (started - first) / 1e6 > 100000) AS late FROM f GROUP BY batch")
+def j14_start_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 3).alias("batch"), F.col("user_id").alias("worker")).agg((F.min(F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6).alias("started"))
+    return audit.start_lags(workers, ["batch"], 100000).withColumn("start_lag", F.round("start_lag", 3))
+
+
+@query(
+    "j15_repeat_audit",
+    f"""WITH {TURNS}, o AS (SELECT session, turn, md5('in' || session || '/' || turn) AS input, md5('out' || session || '/' || turn) AS output FROM turns),
+r AS (SELECT session, turn, input, CASE WHEN (session * 7 + turn) % 40 = 0 THEN md5('!') ELSE output END AS output, CASE WHEN session % 113 = 0 THEN 1 - session % 2 ELSE session % 2 END AS shard FROM o WHERE NOT (session % 103 = 0 AND turn = 2)
+UNION ALL SELECT session, turn, input, output, session % 2 FROM o WHERE session % 107 = 0 AND turn = 1 UNION ALL SELECT session, 99, input, output, session % 2 FROM o WHERE session % 109 = 0 AND turn = 1),
+g AS (SELECT session, turn, count(*) AS n, min(input) AS i, max(input) AS ii, min(output) AS u, max(output) AS uu, bool_or(shard <> session % 2) AS off FROM r GROUP BY ALL),
+v AS (SELECT 'missing' AS violation, o.session FROM o LEFT JOIN g USING (session, turn) WHERE g.session IS NULL UNION ALL SELECT 'foreign', g.session FROM g LEFT JOIN o USING (session, turn) WHERE o.session IS NULL
+UNION ALL SELECT 'repeated', session FROM g WHERE n > 1 UNION ALL SELECT 'wrong shard', session FROM g WHERE off
+UNION ALL SELECT 'input differs', session FROM g JOIN o USING (session, turn) WHERE i <> input OR ii <> input UNION ALL SELECT 'output differs', session FROM g JOIN o USING (session, turn) WHERE u <> output OR uu <> output)
+SELECT violation, count(*) AS n, count(DISTINCT session) AS sessions FROM v GROUP BY violation""",
+)
+def j15_repeat_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repeat run against the original: hashes, one row for each turn, nothing missing or foreign, and the shard that the session belongs to."""
+    md5 = lambda kind: F.md5(F.concat(F.lit(kind), F.concat_ws("/", F.col("session").cast("string"), F.col("turn").cast("string"))).cast("binary"))
+    original = stored(turns(spark, sf_dir).select("session", "turn", md5("in").alias("input"), md5("out").alias("output")), "original-run")
+    own = F.col("session") % 2
+    changed = F.when((F.col("session") * 7 + F.col("turn")) % 40 == 0, F.md5(F.lit("!").cast("binary"))).otherwise(F.col("output"))
+    repeat = original.where("not (session % 103 = 0 and turn = 2)").select("session", "turn", "input", changed.alias("output"), F.when(F.col("session") % 113 == 0, 1 - own).otherwise(own).alias("shard"))
+    repeat = repeat.unionByName(original.where("session % 107 = 0 and turn = 1").withColumn("shard", own)).unionByName(original.where("session % 109 = 0 and turn = 1").withColumns({"turn": F.lit(99).cast("long"), "shard": own}))
+    found = audit.compare_runs(original, repeat, ["session", "turn"], ["input", "output"], shard=own)
+    return found.groupBy("violation").agg(F.count("*").alias("n"), F.count_distinct("session").alias("sessions"))
+
+
 @query("a16_table_dictionary", "SELECT 'l_quantity' AS \"column\", 'number' AS type, false AS nullable, count(*) AS n_rows FROM lineitem UNION ALL SELECT 'l_linenumber', 'integer', false, count(*) FROM lineitem UNION ALL SELECT 'l_returnflag', 'text', false, count(*) FROM lineitem UNION ALL SELECT 'maybe', 'integer', true, count(*) FROM lineitem")
 def a16_table_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber", "l_returnflag", F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")).alias("maybe"))

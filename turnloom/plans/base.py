@@ -79,7 +79,7 @@ VOTES = (
     + """, votes AS (
   SELECT session, turn, split, judge, vote, status, CASE WHEN status = 'ok' THEN CAST((quantity + vote * j) % 2 AS DOUBLE) END AS score FROM (
     SELECT *, CASE (discount + tax * j + vote) % 11 WHEN 0 THEN 'response_incomplete' WHEN 1 THEN 'pending_review' WHEN 2 THEN 'unavailable' ELSE 'ok' END AS status
-    FROM turns CROSS JOIN (VALUES ('a', 1), ('b', 2)) AS judges(judge, j) CROSS JOIN (VALUES (1), (2)) AS numbers(vote))
+    FROM (SELECT session, turn, split, discount, tax, quantity, unnest(['a', 'a', 'b', 'b']) AS judge, unnest([1, 1, 2, 2]) AS j, unnest([1, 2, 1, 2]) AS vote FROM turns))
 )"""
 )
 

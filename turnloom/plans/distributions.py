@@ -211,6 +211,28 @@ def f18_paired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("session").agg(F.count("*").alias("pairs"), r6(F.avg("dm")).alias("mass_change"), r6(F.avg("dh")).alias("entropy_change"), r6(F.avg("tv")).alias("distance"))
 
 
+@query(
+    "f18_paired_metrics",
+    f"""WITH {_SCALED}{_PAIRS}, each AS (SELECT session, one, any_value(m) AS m, any_value(n) AS n, sum({_LOG.format('q')}) - sum({_LOG.format('p')}) AS dh, sum(q) FILTER (WHERE rb <= 7) - sum(p) FILTER (WHERE ra <= 7) AS dt, sum(abs(p - q)) / 2 AS tv,
+sum({_LOG.format('(p + q) / 2')}) - (sum({_LOG.format('p')}) + sum({_LOG.format('q')})) / 2 AS js, count(*) FILTER (WHERE ra <= 7 AND rb <= 7) / 7 AS ov FROM joined GROUP BY session, one)
+SELECT session, count(*) AS pairs, count(*) FILTER (WHERE m > 1e-6 AND n > 1e-6) AS sensitivity_pairs, round(avg(n - m), 6) AS delta_mass, round(avg(dh) FILTER (WHERE m > 0 AND n > 0), 6) AS delta_entropy, round(avg(dt) FILTER (WHERE m > 0 AND n > 0), 6) AS delta_top10,
+round(avg(tv), 6) AS tv, round(avg(js), 6) AS js, round(avg(ov), 6) AS top_overlap, round(sum(tv * (m + n)) / sum(m + n), 6) AS tv_weighted, round(sum(js * (m + n)) / sum(m + n), 6) AS js_weighted, round(sum(ov * (m + n)) / sum(m + n), 6) AS top_overlap_weighted,
+round(avg(tv) FILTER (WHERE m > 1e-6 AND n > 1e-6), 6) AS tv_sensitivity, round(avg(js) FILTER (WHERE m > 1e-6 AND n > 1e-6), 6) AS js_sensitivity, round(avg(ov) FILTER (WHERE m > 1e-6 AND n > 1e-6), 6) AS top_overlap_sensitivity FROM each GROUP BY session""",
+)
+def f18_paired_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paired metrics of neighbouring positions, some without mass and some of little: plain, weighted by both masses, and over pairs with enough mass on both sides."""
+    order = Window.partitionBy("session").orderBy("position")
+    shared = d.with_shares(_scaled(spark, sf_dir))
+    before = shared.select("*", *[F.lag(c).over(order).alias(f"{c}_before") for c in ("position", "p", "q", "m")]).where("position_before is not null")
+    pairs = before.select("session", *d.paired_metrics())
+    weight, enough = F.col("mass_before") + F.col("mass_after"), (F.col("mass_before") > d.LOW_MASS) & (F.col("mass_after") > d.LOW_MASS)
+    three = ("tv", "js", "top_overlap")
+    return pairs.groupBy("session").agg(
+        F.count("*").alias("pairs"), F.count_if(enough).alias("sensitivity_pairs"), *[r6(F.avg(c)).alias(c) for c in ("delta_mass", "delta_entropy", "delta_top10", *three)],
+        *[r6(F.try_divide(F.sum(F.col(c) * weight), F.sum(weight))).alias(f"{c}_weighted") for c in three], *[r6(F.avg(F.when(enough, F.col(c)))).alias(f"{c}_sensitivity") for c in three],
+    )
+
+
 @query(
     "f19_object_consistency",
     f"""WITH {SUPPORTS}{_PAIRS}, c AS (SELECT one, two, sum(v * u) FILTER (WHERE cell < 32) / sqrt(sum(v * v) FILTER (WHERE cell < 32) * sum(u * u) FILTER (WHERE cell < 32)) AS cls,

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import boxes, digest, parsing
-from turnloom.operators import rules
+from turnloom.operators import hooks, rules, spatial
 from turnloom.plans.base import query, r6, table
+from turnloom.sources.shared import new_folder, stored
 
 # An instruction of each form, and one of none.
 FORMS = (
@@ -242,16 +243,30 @@ def f24_best_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("image", r6(F.col("b")[0]).alias("x1"), r6(F.col("b")[3]).alias("y2"))
 
 
-@query("c16_any_overlap", f"WITH {BOXES} SELECT a.image, max({_IOU}) > 0 AS overlaps FROM boxes a JOIN boxes b ON a.image = b.image WHERE a.k < 4 AND b.k >= 12 GROUP BY a.image")
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, k, x1, y1, x2, y2): each detection a row."""
+    own = detections(spark, sf_dir).select("image", F.posexplode(F.transform("found", lambda d: d["box"])).alias("k", "b"))
+    return own.select("image", "k", *[F.col("b")[i].alias(c) for i, c in enumerate(spatial.CORNERS)])
+
+
+@query("c16_any_overlap", f"WITH {BOXES} SELECT a.image, max({_IOU}) > 0 AS overlaps FROM boxes a JOIN boxes b ON a.image = b.image WHERE a.k < 8 AND b.k >= 8 GROUP BY a.image")
 def c16_any_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = detections(spark, sf_dir).select("image", F.transform("found", lambda d: d["box"]).alias("b"))
-    return own.select("image", rules.any_pair(F.slice("b", 1, 4), F.slice("b", 13, 4), lambda x, y: boxes.iou(x, y) > 0).alias("overlaps"))
+    """The first eight detections of an image against the others."""
+    rows = _rows(spark, sf_dir)
+    return spatial.any_overlap(rows.where("k < 8"), rows.where("k >= 8"), ["image"], "k")
+
 
+@query("c16_overlapping_pairs", f"WITH {BOXES} SELECT a.image, a.k AS left_k, b.k AS right_k, round({_IOU}, 6) AS iou FROM boxes a JOIN boxes b ON a.image = b.image WHERE a.k < 8 AND b.k >= 8 AND {_IOU} > 0")
+def c16_overlapping_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    pairs = spatial.overlapping_pairs(rows.where("k < 8"), rows.where("k >= 8"), ["image"], "k")
+    return pairs.select("image", F.col("left_k").cast("long"), F.col("right_k").cast("long"), r6("iou").alias("iou"))
 
-@query("c17_any_direction", f"WITH {BOXES}, c AS (SELECT image, k, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM boxes) SELECT a.image, bool_or(CASE a.image % 4 WHEN 0 THEN b.x - a.x < -0.3 WHEN 1 THEN b.x - a.x > 0.3 WHEN 2 THEN b.y - a.y < -0.3 ELSE b.y - a.y > 0.3 END) AS towards FROM c a JOIN c b ON a.image = b.image WHERE a.k < 3 AND b.k BETWEEN 3 AND 5 GROUP BY a.image")
+
+@query("c17_any_direction", f"WITH {BOXES}, c AS (SELECT image, k, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM boxes) SELECT a.image, bool_or(CASE a.image % 4 WHEN 0 THEN b.x - a.x < -0.6 WHEN 1 THEN b.x - a.x > 0.6 WHEN 2 THEN b.y - a.y < -0.6 ELSE b.y - a.y > 0.6 END) AS towards FROM c a JOIN c b ON a.image = b.image WHERE a.k < 8 AND b.k >= 8 GROUP BY a.image")
 def c17_any_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = detections(spark, sf_dir).select("image", F.transform("found", lambda d: boxes.centre(d["box"])).alias("c"), F.get(F.array(*map(F.lit, parsing.DIRECTIONS)), (F.col("image") % 4).cast("int")).alias("position"))
-    return own.select("image", rules.any_pair(F.slice("c", 1, 3), F.slice("c", 4, 3), lambda a, b: boxes.towards(F.col("position"), a, b, 0.3)).alias("towards"))
+    rows = _rows(spark, sf_dir).withColumn("position", F.get(F.array(*map(F.lit, parsing.DIRECTIONS)), (F.col("image") % 4).cast("int")))
+    return spatial.any_direction(rows.where("k < 8"), rows.where("k >= 8"), ["image"], "position", 0.6)
 
 
 def _scored_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,3 +362,37 @@ def i6_work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same request is asked once."""
     key = digest.digest(digest.json_array(F.array(digest.json_text("task"), digest.json_text("answer"))))
     return edits(spark, sf_dir).groupBy(key.alias("request")).agg(F.min("id").alias("asked_by"), F.count("*").alias("uses"))
+
+
+class _Detector:
+    """Stands for a model: as many boxes as the object's name is long modulo four; names of a length divisible by five it can't answer the first time."""
+
+    def __init__(self, refuses: bool):
+        self.refuses = refuses
+
+    def __call__(self, requests):
+        length = requests["object"].str.len()
+        kept = requests[~self.refuses | (length % 5 != 0)]
+        return kept.assign(n_boxes=kept["object"].str.len() % 4)[["request", "n_boxes"]]
+
+
+@query(
+    "l1_model_hook",
+    f"""WITH {PARSED}, v AS (SELECT id, task, parts FROM parsed WHERE {VALID} AND task IN ('subject_add', 'count_change')),
+r AS (SELECT id, 'after' AS image, parts[1] AS object FROM v UNION SELECT id, 'before', parts[3] FROM v WHERE task = 'subject_add' AND len(parts) = 3 UNION SELECT id, 'before', parts[1] FROM v WHERE task = 'count_change'),
+k AS (SELECT *, sha256('["' || image || '", "' || object || '"]') AS request FROM r)
+SELECT request, any_value(image) AS image, any_value(object) AS object, count(*) AS uses, CAST(any_value(length(object)) % 4 AS BIGINT) AS n_boxes, any_value(length(object) % 5 = 0) AS second_run, CAST(1 AS BIGINT) AS answers FROM k GROUP BY request""",
+)
+def l1_model_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections that additions and counts ask for, each distinct request once; what the model leaves open the first time is asked again by a second run, and nothing else."""
+    wanted = parsed(spark, sf_dir).where(F.col("task").isin("subject_add", "count_change"))
+    asked = rules.detection_requests(wanted).select("id", "need.image", "need.object")
+    key = digest.digest(digest.json_array(F.array(digest.json_text("image"), digest.json_text("object"))))
+    asked = stored(asked.withColumn("request", key), "requests")
+    store = hooks.AnswerStore(spark, new_folder(spark, "answers"), "request", "n_boxes long")
+    store.run(asked, lambda: _Detector(True), tasks=4)
+    first = stored(store.read().select("request", F.lit(False).alias("second_run")), "first-answers")
+    store.run(asked, lambda: _Detector(False), tasks=4)
+    given = spark.read.schema(store.schema).parquet(store.folder).groupBy("request").agg(F.count("*").alias("answers"))
+    answered = store.answered(asked).groupBy("request").agg(F.first("image").alias("image"), F.first("object").alias("object"), F.count("*").alias("uses"), F.first("n_boxes").alias("n_boxes"))
+    return answered.join(given, "request").join(first, "request", "left").withColumn("second_run", F.coalesce("second_run", F.lit(True)))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from turnloom.operators import typed
+from turnloom.operators import statistics, typed
 from turnloom.plans.base import TURNS, VOTES, query, r6, scored, table, turns, votes
+from turnloom.sources.shared import stored
 
 
 @query("b7_typed_results", f"WITH {TURNS} SELECT session, turn, status, score FROM scored")
@@ -197,6 +198,17 @@ def d37_distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).groupBy("split").agg(F.count_distinct("session").alias("sessions"), F.count_distinct("part").alias("clusters"), F.count("*").alias("rows"))
 
 
+@query("d37_merged_sketches", f"WITH {TURNS} SELECT split, count(DISTINCT session) AS sessions, count(DISTINCT part) AS clusters, CAST(4 AS BIGINT) AS shards, true AS sessions_within, true AS clusters_within FROM turns GROUP BY split")
+def d37_merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts from sketches that each of four shards stores and a later job merges, next to the exact counts: within three standard errors."""
+    rows = stored(turns(spark, sf_dir).select("split", "session", "part", F.pmod(F.xxhash64("session"), F.lit(4)).alias("shard")), "distinct-turns")
+    parts = stored(statistics.distinct_sketches(rows, ["shard", "split"], ["session", "part"]), "sketches")
+    merged = statistics.merged_distinct(parts, ["split"], ["session", "part"])
+    exact = rows.groupBy("split").agg(F.count_distinct("session").alias("sessions"), F.count_distinct("part").alias("clusters"), F.count_distinct("shard").alias("shards"))
+    within = lambda est, n: (F.abs(F.col(est) - F.col(n)) <= 3 * statistics.SKETCH_ERROR * F.col(n)).alias(f"{n}_within")
+    return exact.join(merged, "split").select("split", "sessions", "clusters", "shards", within("session", "sessions"), within("part", "clusters"))
+
+
 @query("d38_pending_components", f"WITH {TURNS}{_RUN} SELECT split, count(*) FILTER (WHERE status <> 'ok') AS pending_components, count(*) FILTER (WHERE status = 'ok' AND bad = 1) AS dependent_turns FROM running GROUP BY split")
 def d38_pending_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A turn that is open itself, and a turn that is ok but depends on an open one, are counted apart."""

@@ -21,24 +21,26 @@ def d17_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(statistics.describe(rows, ["split"], "v", "part"), ("split", "n_total", "n_valid", "n_clusters"))
 
 
-_DRAWS = """, clusters AS (SELECT DISTINCT worker FROM turns), numbered AS (SELECT worker, row_number() OVER (ORDER BY md5(CAST(worker AS VARCHAR)), worker) - 1 AS k FROM clusters), n AS (SELECT count(*) AS n FROM clusters),
-slots AS (SELECT rep, slot, n, CAST('0x' || substr(md5('42|' || rep || '|' || slot), 1, 7) AS BIGINT) AS h FROM (SELECT unnest(range(2000)) AS rep) CROSS JOIN (SELECT n, unnest(range(n)) AS slot FROM n)),
-drawn AS (SELECT rep, worker, count(*) AS weight FROM slots JOIN numbered ON h % n = k GROUP BY ALL)"""
+_HASH = "CAST('0x' || substr(md5({0}), 1, 13) AS BIGINT)"
+#: Workers in buckets of at most sixteen; draws dealt to buckets, then to workers of a bucket.
+_DRAWS = f""", clusters AS (SELECT DISTINCT worker FROM turns), numbered AS (SELECT worker, row_number() OVER (ORDER BY md5(CAST(worker AS VARCHAR)), worker) - 1 AS k FROM clusters), n AS (SELECT count(*) AS n, (count(*) + 15) // 16 AS b FROM clusters),
+bucketed AS (SELECT worker, bucket, row_number() OVER (PARTITION BY bucket ORDER BY k) - 1 AS place, count(*) OVER (PARTITION BY bucket) AS size FROM (SELECT worker, k, k * b // n AS bucket FROM numbered, n)),
+given AS (SELECT rep, h % n * b // n AS bucket, count(*) AS m FROM (SELECT rep, n, b, {_HASH.format("'42|' || rep || '|' || slot")} AS h FROM (SELECT unnest(range(2000)) AS rep) CROSS JOIN (SELECT n, b, unnest(range(n)) AS slot FROM n)) GROUP BY ALL),
+hits AS (SELECT rep, bucket, {_HASH.format("'42|' || rep || '|' || bucket || '|' || i")} % size AS place FROM (SELECT rep, bucket, unnest(range(m)) AS i FROM given) JOIN (SELECT DISTINCT bucket, size FROM bucketed) USING (bucket)),
+drawn AS (SELECT rep, worker, count(*) AS weight FROM hits JOIN bucketed USING (bucket, place) GROUP BY ALL)"""
 
 
 @query("d18_bootstrap_interval", f"WITH {TURNS}{_DRAWS}, sums AS (SELECT worker, sum(tax) AS s, count(*) AS c FROM turns GROUP BY worker), reps AS (SELECT rep, sum(s * weight) / sum(c * weight) AS r FROM sums JOIN drawn USING (worker) GROUP BY rep) SELECT round(quantile_cont(r, 0.025), 6) AS ci_low, round(quantile_cont(r, 0.975), 6) AS ci_high FROM reps")
 def d18_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored(turns(spark, sf_dir).select("worker", "tax", "discount", "quantity"), "measures")
-    drawn = statistics.draws(rows.select("worker").distinct(), "worker", 2000, 42)
-    return _rounded(statistics.bootstrap_interval(rows, [], "tax", "worker", drawn), (), 6)
+    rows = stored(turns(spark, sf_dir).select("worker", "tax"), "measures")
+    return _rounded(statistics.split_bootstrap(rows, [], "tax", "worker", 2000, 42, bucket_size=16), (), 6)
 
 
 @query("d19_shared_draws", f"WITH {TURNS}{_DRAWS}, long AS (SELECT worker, metric, v FROM (SELECT worker, unnest(['tax', 'discount', 'quantity']) AS metric, unnest([tax, discount, quantity]) AS v FROM turns)), sums AS (SELECT metric, worker, sum(v) AS s, count(*) AS c FROM long GROUP BY ALL), reps AS (SELECT metric, rep, sum(s * weight) / sum(c * weight) AS r FROM sums JOIN drawn USING (worker) GROUP BY ALL) SELECT metric, round(quantile_cont(r, 0.025), 6) AS ci_low, round(quantile_cont(r, 0.975), 6) AS ci_high FROM reps GROUP BY metric")
 def d19_shared_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored(turns(spark, sf_dir).select("worker", "tax", "discount", "quantity"), "measures")
-    drawn = statistics.draws(rows.select("worker").distinct(), "worker", 2000, 42)
-    long = rows.select("worker", "tax", "discount", "quantity").unpivot(["worker"], ["tax", "discount", "quantity"], "metric", "v")
-    return _rounded(statistics.bootstrap_interval(long, ["metric"], "v", "worker", drawn), ("metric",), 6)
+    rows = turns(spark, sf_dir).select("worker", "tax", "discount", "quantity")
+    long = stored(rows.unpivot(["worker"], ["tax", "discount", "quantity"], "metric", "v"), "measures")
+    return _rounded(statistics.split_bootstrap(long, ["metric"], "v", "worker", 2000, 42, bucket_size=16), ("metric",), 6)
 
 
 @query("d20_trimmed_mean", f"WITH {TURNS}, r AS (SELECT split, mass, row_number() OVER (PARTITION BY split ORDER BY mass) AS k, count(*) OVER (PARTITION BY split) AS n FROM turns) SELECT split, round(avg(mass), 4) AS mean, count(*) AS n FROM r WHERE k > floor(n * 0.05) AND k <= n - floor(n * 0.05) GROUP BY split")
@@ -176,7 +178,7 @@ def e12_first_middle_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e13_session_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole sessions dealt in turn to four shards of each split, and how even they are."""
     s = turns(spark, sf_dir).groupBy("split", "session").agg(F.count("*").alias("n"))
-    dealt = s.withColumn("shard", ((F.row_number().over(Window.partitionBy("split").orderBy("session")) - 1) % 4).cast("long"))
+    dealt = ranking.global_rank(s, ["split"], ["session"]).withColumn("shard", (F.col("rank") - 1) % 4)
     return dealt.groupBy("split", "shard").agg(F.count("*").alias("sessions"), F.sum("n").alias("turns"))
 
 
@@ -221,6 +223,37 @@ def e17_frozen_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("half", "step0", "layer0", r6("mean").alias("mean"), F.col("n_valid").alias("n"), F.col("n_clusters").alias("n_sessions"), *[r6(c).alias(c) for c in ("std", "min", "max", "p50")])
 
 
+_EVALUATED = f"""{_GRID.replace("SELECT session, split,", "SELECT session, worker, mass, split,")}, inside AS (SELECT session, worker, mass, half, value FROM halves JOIN best ON step BETWEEN step0 AND step0 + 2 AND layer BETWEEN layer0 AND layer0 + 3),
+each AS (SELECT * FROM inside UNION ALL SELECT session, worker, mass, 'all', value FROM inside)"""
+
+
+@query(
+    "e17_window_evaluation",
+    f"""WITH {TURNS}{_EVALUATED}{_DRAWS}, sums AS (SELECT half, worker, sum(value) AS s, count(value) AS c FROM each GROUP BY ALL),
+reps AS (SELECT half, rep, sum(s * weight) / sum(c * weight) AS r FROM sums JOIN drawn USING (worker) GROUP BY ALL), ends AS (SELECT half, quantile_cont(r, 0.025) AS a, quantile_cont(r, 0.975) AS b FROM reps GROUP BY half)
+SELECT half, count(value) AS n, count(DISTINCT worker) AS n_clusters, round(avg(value), 6) AS mean, round(any_value(a), 6) AS ci_low, round(any_value(b), 6) AS ci_high, round(sum(value * mass) / sum(mass), 6) AS pooled,
+round(avg(value) FILTER (WHERE mass > 20000), 6) AS sensitivity_mean, round(avg(CAST(value - 0.05 < -0.01 AS INT)), 6) AS lower, round(avg(CAST(abs(value - 0.05) <= 0.01 AS INT)), 6) AS near, round(avg(CAST(value - 0.05 > 0.01 AS INT)), 6) AS higher
+FROM each JOIN ends USING (half) GROUP BY half""",
+)
+def e17_window_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frozen window on each half and on all: mean with the interval of a cluster bootstrap, ratio pooled by mass, mean over rows of enough mass, and how the values lie to a reference."""
+    half = F.when(F.col("session") % 3 == 0, "discovery").otherwise("confirmation")
+    measured = turns(spark, sf_dir).select("session", "worker", "mass", half.alias("half"), (F.col("worker") % 12).cast("int").alias("step"), (F.col("part") % 10).cast("int").alias("layer"), (F.col("discount") / 10.0).alias("value"))
+    rows = stored(measured, "grid")
+    windows = ranking.frozen_windows(ranking.window_means(rows, ["half"], 3, 4, 12, 10).where("half = 'discovery'"), 3, 4)
+    inside = stored(ranking.inside_windows(rows, windows).withColumn("half", F.explode(F.array("half", F.lit("all")))).select("half", "worker", "value", "mass"), "window-cells")
+    # draws are of all workers, also of those without a row in the window
+    every = rows.select(F.lit(None).cast("string").alias("half"), "worker", F.lit(None).cast("double").alias("value")).distinct()
+    ends = statistics.split_bootstrap(inside.select("half", "worker", "value").unionByName(every), ["half"], "value", "worker", 2000, 42, bucket_size=16)
+    value, off = F.col("value"), F.col("value") - 0.05
+    share = lambda c: F.avg(c.cast("double"))
+    out = inside.groupBy("half").agg(
+        F.count("value").alias("n"), F.count_distinct("worker").alias("n_clusters"), F.avg("value").alias("mean"), (F.sum(value * F.col("mass")) / F.sum("mass")).alias("pooled"), F.avg(F.when(F.col("mass") > 20000, value)).alias("sensitivity_mean"),
+        share(off < -0.01).alias("lower"), share(F.abs(off) <= 0.01).alias("near"), share(off > 0.01).alias("higher"),
+    )
+    return _rounded(out.join(ends, "half"), ("half", "n", "n_clusters"), 6)
+
+
 @query("e18_cases", f"WITH {TURNS}, s AS (SELECT split, session, avg(mass) AS v FROM turns GROUP BY ALL), m AS (SELECT split, median(v) AS m FROM s GROUP BY split), r AS (SELECT s.*, row_number() OVER (PARTITION BY split ORDER BY round(abs(v - m), 6), session) AS typical, row_number() OVER (PARTITION BY split ORDER BY v DESC, session) AS strong, row_number() OVER (PARTITION BY split ORDER BY CASE WHEN v < m THEN 0 ELSE 1 END, v, session) AS opposite FROM s JOIN m USING (split)) SELECT split, 'typical' AS kind, session FROM r WHERE typical = 1 UNION ALL SELECT split, 'strong', session FROM r WHERE strong = 1 UNION ALL SELECT split, 'opposite', session FROM r WHERE opposite = 1")
 def e18_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each split the session nearest its median, the strongest, and the lowest under the median."""

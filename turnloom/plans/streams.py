@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from turnloom.operators import session_tables
 from turnloom.plans.base import query, table
 from turnloom.plans.histories import ASKED, asked
-from turnloom.sources import sessions
+from turnloom.sources import pictures, sessions
 from turnloom.sources.shared import new_folder, stored
 from turnloom.streaming import logs, state
 from turnloom.streaming.merge import MergedTable
@@ -274,6 +275,50 @@ def a7_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("file").cast("long").alias("file"), "step", "layer", "head", F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
+@query(
+    "a6_image_scan",
+    """WITH v AS (SELECT vec_id, 4 + vec_id % 5 AS w, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT) % 256) AS a FROM embeddings),
+p AS (SELECT vec_id, w, 64 // w AS h, unnest(range(w * (64 // w))) AS i, a FROM v),
+s AS (SELECT vec_id, w, h, string_agg(printf('%02x%02x%02x', a[i + 1], 255 - a[i + 1], a[i + 1] * 7 % 256), '' ORDER BY i) AS hex FROM p GROUP BY ALL)
+SELECT 'image-' || vec_id || '.png' AS file, CAST(w AS INT) AS width, CAST(h AS INT) AS height, sha256(encode('RGB:' || w || ':' || h || ':') || unhex(hex)) AS pixel_hash FROM s""",
+)
+def a6_image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PNG file of every vector, of five shapes, written in tasks and decoded again."""
+    folder = new_folder(spark, "images")
+    w = (4 + F.col("vec_id") % 5).cast("int")
+    sized = table(spark, sf_dir, "embeddings").select("vec_id", w.alias("width"), F.expr("cast(64 div (4 + vec_id % 5) as int)").alias("height"), F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 256).alias("a"))
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    pixel = F.transform(F.slice("a", F.lit(1), F.col("width") * F.col("height")), lambda v: F.concat(byte(v), byte(255 - v), byte(v * 7 % 256)))
+    images = sized.select(F.concat(F.lit("image-"), F.col("vec_id").cast("string")).alias("name"), "width", "height", F.unhex(F.array_join(pixel, "")).alias("rgb"))
+    # the files are written here
+    stored(pictures.write_images(images, folder), "image-receipts")
+    return sessions.read_images(spark, f"{folder}/*").select(F.regexp_extract("origin", "([^/]+)$", 1).alias("file"), "width", "height", "pixel_hash")
+
+
+_GROUPED = """g AS (SELECT vec_id // 50 AS session, vec_id AS position, j AS g, list_sum([abs(CAST(x AS DOUBLE)) FOR x IN embedding[8 * j + 1:8 * j + 8]]) / list_sum([abs(CAST(x AS DOUBLE)) FOR x IN embedding]) AS m, CASE WHEN (vec_id // 50) % 5 = 0 AND j = 4 THEN 0 ELSE 8 END AS n FROM embeddings CROSS JOIN (SELECT unnest(range(8)) AS j)),
+s AS (SELECT session, g, avg(m) AS m, any_value(n) AS n FROM g GROUP BY ALL),
+names(kind, name, role, age, gs) AS (VALUES ('group', 'T1', NULL, NULL, [0]), ('group', 'T2', NULL, NULL, [1]), ('group', 'I0_vit', NULL, NULL, [2]), ('group', 'I0_vae', NULL, NULL, [3]), ('group', 'I1_vit', NULL, NULL, [4]), ('group', 'I1_vae', NULL, NULL, [5]), ('group', 'target_image', NULL, NULL, [6]), ('group', 'context_other', NULL, NULL, [7]),
+('image', 'I0_combined', NULL, NULL, [2, 3]), ('image', 'I1_combined', NULL, NULL, [4, 5]), ('category', 'history_instructions', NULL, NULL, [0]), ('category', 'current_instruction', NULL, NULL, [1]), ('category', 'original_image', NULL, NULL, [2, 3]), ('category', 'history_images', NULL, NULL, [4, 5]), ('category', 'target_image', NULL, NULL, [6]), ('category', 'context_other', NULL, NULL, [7]),
+('object', 'T1', 'history_instruction', 1, [0]), ('object', 'T2', 'current_instruction', 0, [1]), ('object', 'I0_vit', 'original_image', 1, [2]), ('object', 'I0_vae', 'original_image', 1, [3]), ('object', 'I1_vit', 'history_image', 0, [4]), ('object', 'I1_vae', 'history_image', 0, [5]), ('object', 'I0_combined', 'original_image', 1, [2, 3]), ('object', 'I1_combined', 'history_image', 0, [4, 5]))"""
+
+
+@query(
+    "l4_session_tables",
+    f"""WITH {_GROUPED}, t AS (SELECT session, sum(n) AS whole FROM s GROUP BY session), r AS (SELECT session, kind, name, role, age, sum(m) AS m, sum(n) AS n FROM names JOIN s ON list_contains(gs, s.g) GROUP BY ALL)
+SELECT session, kind, name, role, CAST(age AS BIGINT) AS age, round(m, 6) AS mass, CAST(n AS BIGINT) AS tokens, CASE WHEN n > 0 THEN round(m / n, 6) END AS density, CASE WHEN n > 0 THEN round(m / (n / whole), 6) END AS enrichment, CASE WHEN n = 0 THEN 'structural_zero' END AS null_reason FROM r JOIN t USING (session)""",
+)
+def l4_session_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty vectors are the positions of a session, eight cells a group; in every fifth session one group has no tokens."""
+    x = F.transform("embedding", lambda v: F.abs(v.cast("double")))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("session"), F.col("vec_id").alias("position"), x.alias("x"))
+    masses = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: total(F.slice("x", j * 8 + 1, F.lit(8))) / total("x"))
+    empty = F.when(F.col("session") % 5 == 0, F.lit(4)).otherwise(F.lit(-1))
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.when(j == empty, 0).otherwise(8).cast("long"))
+    out = session_tables.session_tables(rows.select("session", "position", masses.alias("masses"), tokens.alias("tokens")))
+    return out.withColumns({c: F.round(c, 6) for c in ("mass", "density", "enrichment")})
+
+
 @query("a8_manifest", f"WITH {_LISTS} SELECT session, n FROM lists")
 def a8_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "manifest")
