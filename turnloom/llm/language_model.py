@@ -229,7 +229,7 @@ class Trainer:
         self.moments = [(np.zeros_like(q), np.zeros_like(q)) for q in self.p[1:]]
         self.squares = np.zeros_like(self.p[0])
         self.met = np.zeros(len(self.p[0]), dtype=np.int64)
-        self.step = 0
+        self.step = self.clipped = 0
 
     def gradients(self, own: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, float]:
         """(token, gradient of its embedding) of each token, gradients of the other weights, the last state, and the loss a token."""
@@ -288,9 +288,11 @@ class Trainer:
         return token_in.ravel()[met], (dx @ into.T)[met], others, h, loss
 
     def _update(self, token: np.ndarray, dx: np.ndarray, others: list[np.ndarray]) -> None:
-        if not all(np.isfinite(g).all() for g in others):
-            # a step that went too far is not followed; the others' changes outweigh it
-            return
+        if not all(np.isfinite(g).all() for g in (dx, *others)):
+            # a step that went too far is cut to a short one, and counted
+            self.clipped += 1
+            short = lambda g: np.clip(np.nan_to_num(g, nan=0.0, posinf=1.0, neginf=-1.0), -1, 1)
+            dx, others = short(dx), [short(g) for g in others]
         self.step += 1
         for q, g, (m, s) in zip(self.p[1:], others, self.moments, strict=True):
             m += np.float32(0.1) * (g - m)
@@ -358,9 +360,14 @@ def _sum_block(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_sum_batch([(block, part // FAN_IN, distinct, weight, changes.astype(kind))])])
 
 
-def train(documents: DataFrame, class_of: np.ndarray, class_share: np.ndarray, n_ids: int, rounds: int, rate: float = 0.02) -> list[np.ndarray]:
-    """Weights after one pass over all documents (row, ids), a share of them in each round."""
+def train(documents: DataFrame, class_of: np.ndarray, class_share: np.ndarray, n_ids: int, rounds: int, tokens: int, rate: float = 0.02, shard_tokens: int = 1 << 20) -> list[np.ndarray]:
+    """Weights after one pass over all documents (doc_id, ids), a share of them in each round.
+
+    Rounds and shards, about shard_tokens each of the `tokens` of a round, are dealt by a digest of id and tokens and read in its order, so that the weights don't depend on how the table was written.
+    """
     weights = initial_weights(class_share, n_ids)
+    key = F.xxhash64("doc_id", "ids")
+    shards = max(1, -(-tokens // (rounds * shard_tokens)))
     context = documents.sparkSession.sparkContext
     for turn in range(rounds):
         shared = context.broadcast((weights, class_of))
@@ -384,7 +391,8 @@ def train(documents: DataFrame, class_of: np.ndarray, class_share: np.ndarray, n
                 trainer.chunk(np.concatenate(held).astype(np.int64), np.cumsum([0, *map(len, held)]), 1000 * turn + chunks)
             yield _change_rows(trainer, start, part) if trainer else _sum_batch([])
 
-        own = documents.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == turn).select("ids")
+        own = documents.where(F.pmod(F.shiftright(key, 32), F.lit(rounds)) == turn).withColumn("key", key)
+        own = own.repartition(shards, "key").sortWithinPartitions("key", "doc_id", "ids").select("ids")
         changes = own.mapInArrow(run, SUM_SCHEMA)
         partial = changes.groupBy("block", F.floor(F.col("part") / FAN_IN)).applyInArrow(_sum_block, SUM_SCHEMA)
         total = partial.groupBy("block").applyInArrow(_sum_block, SUM_SCHEMA).toArrow()
@@ -431,7 +439,7 @@ def word_classes(neighbours: pa.Table, vocabulary: int, n_classes: int) -> np.nd
     """A class for each of the vocabulary's words by k-means over which frequent words and surfaces stand before and after it."""
     vectors = np.zeros(vocabulary * 2 * (CONTEXTS + SURFACES + 1), dtype=np.float32)
     vectors[neighbours.column("cell").to_numpy()] = neighbours.column("n").to_numpy()
-    vectors = vectors.reshape(vocabulary, -1)
+    vectors = vectors.reshape(vocabulary, 2 * (CONTEXTS + SURFACES + 1))
     expected = np.maximum(vectors.sum(1, keepdims=True) * vectors.sum(0, keepdims=True) / max(float(vectors.sum()), 1.0), 1e-6)
     vectors = np.log1p(vectors / expected) * np.minimum(vectors, 1)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
@@ -463,7 +471,8 @@ def frequent_words(counts: DataFrame, head_words: int, vocabulary: int) -> Model
         least, taken = r.n, taken + r.words
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
     end = counts.where(F.col("word") == int(END.view(np.int64))).select("n").first()
-    frequent = (counts.where(F.col("n") >= least) if least is not None else counts.limit(0)).toArrow()
+    # where even the most frequent words are too many, those that come first by hash are taken
+    frequent = (counts.where(F.col("n") >= least) if least is not None else counts.orderBy(F.desc("n"), "word").limit(head_words)).toArrow()
     head, n, kind = (frequent.column(c).to_numpy() for c in ("word", "n", "surface"))
     head = head.view(np.uint64)
     rank = np.lexsort((head, -n))
@@ -480,7 +489,7 @@ def frequent_words(counts: DataFrame, head_words: int, vocabulary: int) -> Model
 
 
 def fit(model: Model, documents: DataFrame, n_classes: int, rounds: int) -> Model:
-    """The model with classes and network, from the training documents (row, ids)."""
+    """The model with classes and network, from the training documents (doc_id, ids)."""
     vocabulary = model.vocabulary
     neighbours = documents.select("ids").mapInArrow(lambda it: _count_neighbours(it, vocabulary), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     own = word_classes(neighbours, vocabulary, n_classes)
@@ -488,10 +497,10 @@ def fit(model: Model, documents: DataFrame, n_classes: int, rounds: int) -> Mode
     # smoothed counts of the words of head, by class, and the end's
     word = model.head_surface < SURFACES
     of_word = np.where(model.head_id >= 0, class_of[np.maximum(model.head_id, 0)], n_classes + model.head_surface)[word]
-    mass = np.bincount(of_word, model.head_count[word] + 0.1, minlength=n_classes + SURFACES + 1)
+    mass = np.bincount(of_word, model.head_count[word] + 0.1, minlength=n_classes + SURFACES + 1).astype(np.float64)
     mass[-1] += model.end_count + 0.1
     class_share = np.maximum(mass, 1e-6) / np.maximum(mass, 1e-6).sum()
-    embed, into, recurrent, output, bias = train(documents, class_of, class_share, vocabulary + SURFACES + 1, rounds)
+    embed, into, recurrent, output, bias = train(documents, class_of, class_share, vocabulary + SURFACES + 1, rounds, model.total)
     return replace(model, class_of=class_of, class_share=class_share, inputs=(embed @ into)[input_places(class_of)], recurrent=recurrent, output=output, output_bias=bias)
 
 
@@ -515,7 +524,8 @@ def _parts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             words = Words(data, offsets[i : j + 1])
             ids, first, h, at, there = _tokens(model, words, j - i)
             flat, edges = ids.astype(np.uint16).tobytes(), (2 * first).tolist()
-            known, head_score = np.bincount(words.text_of[there], minlength=j - i), np.bincount(words.text_of[there], log_count[at[there]], minlength=j - i)
+            # without a frequent word bincount gives whole numbers, whatever the weights
+            known, head_score = np.bincount(words.text_of[there], minlength=j - i), np.bincount(words.text_of[there], log_count[at[there]], minlength=j - i).astype(np.float64)
             rare_h, rare_text = h[~there], words.text_of[~there]
             order = np.lexsort((rare_h, rare_text))
             rare_h, rare_text = rare_h[order], rare_text[order]
@@ -555,7 +565,7 @@ def learn(docs: DataFrame, head_words: int = 1 << 19, vocabulary: int = 8192, n_
     rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
     parts = materialise(rows.mapInArrow(lambda it: _parts(it, lookup.value), PART_SCHEMA), "score-parts")
     if model.total:
-        model = fit(model, parts.where("not held_out").select("row", "ids"), n_classes, rounds)
+        model = fit(model, parts.where("not held_out").select("doc_id", "ids"), n_classes, rounds)
     return model, counts, parts
 
 
@@ -564,7 +574,11 @@ def score(docs: DataFrame, **options) -> DataFrame:
     model, counts, parts = learn(docs, **options)
     network = docs.sparkSession.sparkContext.broadcast(replace(model, head=model.head[:0], head_count=model.head_count[:0], head_id=model.head_id[:0], head_surface=None))
     rare = parts.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.times").alias("times"))
-    tail = counts if not len(model.head) else counts.where(F.col("n") < int(model.head_count.min()))
+    tail = counts
+    if len(model.head):
+        least = int(model.head_count.min())
+        last = int(model.head[model.head_count == least].view(np.int64).max())
+        tail = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)))
     joined = rare.join(tail.select("word", "n"), "word").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) + 1.0)).alias("rare_score"))
     scored = parts.drop("rare").mapInArrow(lambda it: _lm_scores(it, network.value), "row long, doc_id long, held_out boolean, n_tokens long, known long, head_score double, lm_score double")
     scale = float(np.log10(model.scale))
