@@ -54,6 +54,20 @@ def test_chat_round_trip(spark):
     assert merged.count("<|im_start|>") == 2 and merged.count("<|im_sep|>") == 2
 
 
+def test_chat_mask_is_the_texts(spark):
+    """What the mask cuts out is each assistant text, escaped, and nothing between them."""
+    rows = [(1, 0, "user", "Q"), (1, 1, "assistant", "A1"), (1, 2, "assistant", "B<|2"), (1, 3, "assistant", ""), (1, 4, "user", "x"), (1, 5, "assistant", "é中"), (2, 0, "assistant", ""), (3, 0, None, "A"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same")]
+    for r in chat.format_conversations(spark.createDataFrame(rows, TURNS)).collect():
+        texts, at = [], 0
+        for m in r.loss_mask:
+            assert m.start == at
+            at += m.chars
+            if m.in_loss:
+                texts.append(r.formatted[m.start : at])
+        assert at == len(r.formatted)
+        assert texts == {1: ["A1", "B<\\|2", "", "é中"], 2: [""], 3: [], 4: ["same", "same"]}[r.conv_id]
+
+
 def test_chat_empty(spark):
     assert chat.digests(chat.format_conversations(spark.createDataFrame([], TURNS))).count() == 0
 

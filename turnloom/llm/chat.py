@@ -1,7 +1,10 @@
 """Operator 4: chat formatting with Spark expressions only.
 
-The turns of a conversation are collected as structs and sorted, adjacent turns of one role are merged by array functions into runs,
-and the runs are concatenated. Every array step is linear in the number of turns; nothing is appended to a growing array or string.
+A window over a conversation's rows gives each turn the place that its text takes in the output. The turns are collected as structs and
+sorted, adjacent turns of one role are merged by array functions into runs, and the runs are concatenated. Every step is linear in the number of
+turns; nothing is appended to a growing array or string.
+
+The loss mask lists runs of characters: each text of a loss role is one, and separators, roles and control strings are outside it.
 
 Template: `<|im_start|>` role `<|im_body|>` text (`<|im_sep|>` text)* `<|im_end|>`, one after another. Inside roles and texts a
 backslash is doubled, and a backslash is put after the first character of `<|`, `<s>`, `</s>`, `[INST]` and `[/INST]`, so no control
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 START, BODY, SEP, END = "<|im_start|>", "<|im_body|>", "<|im_sep|>", "<|im_end|>"
 
@@ -31,9 +35,19 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv_id, formatted, loss_mask): loss_mask lists runs of characters in order as (chars, in_loss); their sum is the length."""
-    cells = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("cell"))
-    sorted_turns = cells.groupBy("conv_id").agg(F.sort_array(F.collect_list("cell")).alias("turns"))
+    """(conv_id, formatted, loss_mask): loss_mask lists runs of characters in order as (start, chars, in_loss), without gaps; a text is a run of its own."""
+    cells = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    by_turn = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    size = lambda c: F.char_length(c).cast("long")
+    before, chars = F.lag("role").over(by_turn), size(escape(F.col("text")))
+    # what stands between a text and the one before it
+    head = F.lit(len(START) + len(BODY)) + size(escape(F.col("role")))
+    gap = F.when(before.isNull(), head).when(before != F.col("role"), head + len(END)).otherwise(len(SEP))
+    sized = cells.withColumns({"chars": chars, "gap": gap})
+    # spelled out, as rows of equal turn, role and text have places of their own
+    upto = F.sum(F.col("gap") + F.col("chars")).over(by_turn.rowsBetween(Window.unboundedPreceding, 0))
+    placed = sized.select("conv_id", F.struct("turn", "role", "text", (upto - F.col("chars")).alias("start"), "chars").alias("cell"))
+    sorted_turns = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("cell")).alias("turns"))
     starts = F.filter(
         F.sequence(F.lit(1), F.size("turns")),
         lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]),
@@ -43,43 +57,35 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     def run(first: Column, k: Column) -> Column:
         after = F.coalesce(F.get("starts", k + 1), F.size("turns") + 1)
         own = F.slice("turns", first, after - first)
-        return F.struct(F.element_at("turns", first)["role"].alias("role"), F.array_join(F.transform(own, lambda t: escape(t["text"])), SEP).alias("body"))
+        return F.concat(F.lit(START), escape(F.element_at("turns", first)["role"]), F.lit(BODY), F.array_join(F.transform(own, lambda t: escape(t["text"])), SEP), F.lit(END))
 
-    runs = bounded.select("conv_id", F.transform("starts", run).alias("runs"))
-    head = lambda r: F.concat(F.lit(START), escape(r["role"]), F.lit(BODY))
-    formatted = F.array_join(F.transform("runs", lambda r: F.concat(head(r), r["body"], F.lit(END))), "")
-    mask = F.flatten(
-        F.transform(
-            "runs",
-            lambda r: F.array(
-                F.struct(F.char_length(head(r)).cast("long").alias("chars"), F.lit(False).alias("in_loss")),
-                F.struct(F.char_length(r["body"]).cast("long").alias("chars"), r["role"].isin(*loss_roles).alias("in_loss")),
-                F.struct(F.lit(len(END)).cast("long").alias("chars"), F.lit(False).alias("in_loss")),
-            ),
-        )
-    )
-    return runs.select("conv_id", formatted.alias("formatted"), mask.alias("loss_mask"))
+    span = lambda start, chars, inside: F.struct(start.alias("start"), chars.alias("chars"), inside.alias("in_loss"))
+    end_of = lambda i: F.coalesce(F.get("turns", i)["start"] + F.get("turns", i)["chars"], F.lit(0).cast("long"))
+    pairs = F.transform("turns", lambda t, i: F.array(span(end_of(i - 1), t["start"] - end_of(i - 1), F.lit(False)), span(t["start"], t["chars"], t["role"].isin(*loss_roles))))
+    tail = F.array(span(end_of(F.size("turns") - 1), F.lit(len(END)).cast("long"), F.lit(False)))
+    return bounded.select("conv_id", F.array_join(F.transform("starts", run), "").alias("formatted"), F.concat(F.flatten(pairs), tail).alias("loss_mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns): turns as array<struct<role, text, in_loss>>, parsed from the formatted text and its mask."""
+    """(conv_id, formatted, loss_mask, turns): turns as array<struct<role, text>>, parsed from the formatted text alone."""
     pieces = F.split("formatted", r"<\|im_end\|>")
-    # three mask runs for each formatted run; the second is its body
     parsed = formatted.select("conv_id", "formatted", "loss_mask", F.slice(pieces, 1, F.size(pieces) - 1).alias("pieces"))
     turns = F.flatten(
         F.transform(
             "pieces",
-            lambda p, k: F.transform(
+            lambda p: F.transform(
                 F.split(F.substring_index(p, BODY, -1), r"<\|im_sep\|>"),
-                lambda t: F.struct(
-                    unescape(F.replace(F.substring_index(p, BODY, 1), F.lit(START), F.lit(""))).alias("role"),
-                    unescape(t).alias("text"),
-                    F.get("loss_mask", k * 3 + 1)["in_loss"].alias("in_loss"),
-                ),
+                lambda t: F.struct(unescape(F.replace(F.substring_index(p, BODY, 1), F.lit(START), F.lit(""))).alias("role"), unescape(t).alias("text")),
             ),
         )
     )
-    return parsed.select("conv_id", "formatted", turns.alias("turns"))
+    return parsed.select("conv_id", "formatted", "loss_mask", turns.alias("turns"))
+
+
+def loss_texts() -> Column:
+    """The texts under the loss mask, cut out of the formatted text by its places and unescaped."""
+    own = F.filter("loss_mask", lambda m: m["in_loss"])
+    return F.transform(own, lambda m: unescape(F.substring(F.col("formatted"), (m["start"] + 1).cast("int"), m["chars"].cast("int"))))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"),
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("all_text"),
-        F.array_join(F.transform(F.filter("turns", lambda t: t["in_loss"]), lambda t: t["text"]), "").alias("loss_text"),
+        F.array_join(loss_texts(), "").alias("loss_text"),
     )
     return texts.select(
         "conv_id", "n_turns", F.sha2("all_text", 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars"
