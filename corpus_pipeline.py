@@ -14,27 +14,27 @@ from turnloom.llm.storage import materialise
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely poor than not go."""
+    """Documents that are more likely poor than not go. Null and empty texts have no terms and are judged by the model's thresholds alone, equal texts alike; a text is read whole, however long; an empty table stays empty; other columns are kept as they are, whatever their names."""
     return quality.keep_good(docs, registry.quality_model(spark, sf_dir))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.3 or more go."""
+    """Documents with a toxicity score of 0.3 or more go. Null and empty texts score the model's bias, equal texts alike; a text is read whole; an empty table stays empty; other columns are kept."""
     return toxicity.keep_clean(docs, registry.toxicity_machine(spark, sf_dir))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays, that of the least id; rows without words or without id stay. Rows of one id with different texts are judged apart."""
-    return near_dup.keep_one(docs)
+    """One row of each group of near copies stays, that of the least id; documents are linked from a similarity of 0.8 on, on runs of five words. Rows without words or without id stay; of repeated rows one stays; rows of one id with different texts are judged apart; an empty table stays empty; other columns are kept."""
+    return near_dup.keep_one(docs, least=80, bands=64)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go. Null and empty texts hold none and stay, also without id; equal texts go or stay alike; every window of a text is searched; an empty table stays empty; other columns are kept."""
     return decontaminate.keep_unmatched(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Sequences of at most 1024 tokens. A null or empty text is one piece with the end id alone; repeated rows are packed each; a long text gives as many pieces as it needs; an empty table gives no rows; other columns go."""
     return packing.best_fit_packing(docs, public_tokenizers.path(registry.TOKENIZER))
 
 
