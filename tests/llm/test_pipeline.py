@@ -13,7 +13,7 @@ def test_against_plain_stages(spark):
     clean = {r.doc_id for r in toxicity.score(docs, registry.toxicity_machine(spark, SMALL)).collect() if not r.predicted}
     text = {r.doc_id: r.text for r in docs.collect()}
     kept = {i: t for i, t in text.items() if i in good and i in clean}
-    kept = {i: kept[i] for i, (_, _, first) in _brute(list(kept.items())).items() if first}
+    kept = {i: kept[i] for i, (_, _, first) in _brute(list(kept.items()), 80).items() if first}
     items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     kept = {i: t for i, t in kept.items() if not any(item in " ".join(t.lower().split()) for item in items)}
     rows = corpus_pipeline.run(spark, SMALL).collect()
@@ -28,7 +28,7 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SMALL)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert docs.limit(0).count() == 0
+    assert 0 < docs.count() <= 30
 
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, kept_id long, own_id string, component long"
