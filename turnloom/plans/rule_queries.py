@@ -147,9 +147,9 @@ def g7_contains_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits(spark, sf_dir).select("id", F.contains("answer", wanted).alias("found"))
 
 
-@query("g8_caption", "SELECT conv_id, turn, array_to_string([replace(lower(trim(x)), '.', '') for x in string_split(text, ' ')[1:4]], ' . ') || ' .' AS caption FROM conversations")
+@query("g8_caption", "SELECT conv_id, turn, array_to_string([replace(lower(trim(x)), '.', '') for x in string_split(text, ' ')], ' . ') || ' .' AS caption FROM conversations")
 def g8_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", parsing.caption(F.slice(F.split("text", " "), 1, 4)).alias("caption"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", parsing.caption(F.split("text", " ")).alias("caption"))
 
 
 _TRACES = "traces AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'length' ELSE 'stop' END AS finish, CASE WHEN event_id % 7 = 0 THEN '  ' ELSE event_type END AS raw, md5(CAST(user_id AS VARCHAR) || event_type) AS request, CASE WHEN event_id % 11 = 0 THEN 'timeout' END AS error FROM events)"

@@ -68,10 +68,10 @@ def d23_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("session", "task", r6(share).alias("share"), F.round(F.col("mass") / F.col("n"), 4).alias("density"), r6(share / (F.col("n") / F.sum("n").over(own))).alias("enrichment"))
 
 
-@query("d24_combined_density", f"WITH {TURNS} SELECT session, round(sum(mass) / sum(quantity), 9) AS combined, round(avg(mass / quantity), 9) AS mean_of_densities FROM turns WHERE turn <= 2 GROUP BY session")
+@query("d24_combined_density", f"WITH {TURNS} SELECT session, round(sum(mass) / sum(quantity), 9) AS combined, round(avg(mass / quantity), 9) AS mean_of_densities FROM turns GROUP BY session")
 def d24_combined_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = turns(spark, sf_dir).where("turn <= 2").groupBy("session")
-    return two.agg(F.round(F.sum("mass") / F.sum("quantity"), 9).alias("combined"), F.round(F.avg(F.col("mass") / F.col("quantity")), 9).alias("mean_of_densities"))
+    """The turns of a session stand for encodings of one object."""
+    return turns(spark, sf_dir).groupBy("session").agg(F.round(F.sum("mass") / F.sum("quantity"), 9).alias("combined"), F.round(F.avg(F.col("mass") / F.col("quantity")), 9).alias("mean_of_densities"))
 
 
 _CATEGORY = "CASE WHEN turn = 1 THEN 'first' WHEN task IN ('AF', 'RF') THEN 'returned' WHEN turn >= 4 THEN 'late' ELSE 'middle' END"

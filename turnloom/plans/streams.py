@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from turnloom.operators import session_tables
 from turnloom.plans.base import query, table
 from turnloom.plans.histories import ASKED, asked
-from turnloom.sources import pictures, sessions
+from turnloom.sources import files, pictures, sessions
 from turnloom.sources.shared import new_folder, stored
 from turnloom.streaming import logs, state
 from turnloom.streaming.merge import MergedTable
@@ -48,7 +48,12 @@ def _heartbeat(rows: DataFrame, time: str) -> DataFrame:
 
 @query("k1_first_answers", "SELECT DISTINCT user_id, event_type FROM events")
 def k1_first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.drain(logs.first_answers(_events(spark, sf_dir), ["user_id", "event_type"]).select("user_id", "event_type"), "first-answers")
+    """The state of what has been seen lasts from one start of the query to the next."""
+    parts, out = _arrivals(spark, sf_dir), new_folder(spark, "first-answers")
+    replay = logs.Replay(spark, parts[0].schema, lambda s: logs.appended(out)(logs.first_answers(s, ["user_id", "event_type"]).select("user_id", "event_type")), "answer-events")
+    for rows in parts:
+        replay.arrive(rows)
+    return spark.read.schema("user_id long, event_type string").parquet(out)
 
 
 @query("k2_running_counts", "SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
@@ -64,7 +69,11 @@ def k2_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k3_review_feed", "SELECT event_id, user_id FROM events WHERE event_id % 5 = 0 OR value < 1")
 def k3_review_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.drain(_events(spark, sf_dir).where("event_id % 5 = 0 or value < 1").select("event_id", "user_id"), "review-feed")
+    parts, out = _arrivals(spark, sf_dir), new_folder(spark, "review-feed")
+    replay = logs.Replay(spark, parts[0].schema, lambda s: logs.appended(out)(s.where("event_id % 5 = 0 or value < 1").select("event_id", "user_id")), "feed-events", files_each=2)
+    for rows in parts:
+        replay.arrive(rows)
+    return spark.read.schema("event_id long, user_id long").parquet(out)
 
 
 @query("k4_latest_ratings", "SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS event_type, count(*) AS updates FROM events GROUP BY user_id")
@@ -319,6 +328,21 @@ def l4_session_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("mass", "density", "enrichment")})
 
 
+@query("a11_atomic_publish", "SELECT 'turns-' || conv_id || '.txt' AS file, CAST(strlen(string_agg(text, chr(10) ORDER BY turn)) AS BIGINT) AS bytes, sha256(string_agg(text, chr(10) ORDER BY turn)) AS sha256, CAST(1 AS BIGINT) AS copies FROM conversations GROUP BY conv_id")
+def a11_atomic_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of each conversation, published twice as by a task that is run again, next to parts that a writer left behind; readers see each file once and whole."""
+    folder = new_folder(spark, "published")
+    listed = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    name = F.concat(F.lit("turns-"), F.col("conv_id").cast("string"), F.lit(".txt"))
+    rows = stored(listed.select(name.alias("name"), F.encode(F.array_join(F.transform("t", lambda s: s["text"]), "\n"), "UTF-8").alias("content")), "conversation-files")
+    # a hidden name is what a part has
+    left = rows.select(F.concat(F.lit("."), "name", F.lit(".part-0")).alias("name"), F.substring("content", 1, 10).alias("content"))
+    for part in (left, rows, rows):
+        stored(files.publish_files(part, folder), "receipts")
+    found = spark.read.format("binaryFile").load(f"{folder}/*")
+    return found.groupBy(F.regexp_extract("path", "([^/]+)$", 1).alias("file")).agg(F.max("length").alias("bytes"), F.max(F.sha2("content", 256)).alias("sha256"), F.count("*").alias("copies"))
+
+
 @query("a8_manifest", f"WITH {_LISTS} SELECT session, n FROM lists")
 def a8_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "manifest")
@@ -326,21 +350,25 @@ def a8_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("session long, n long").json(folder)
 
 
-@query("a9_table_sink", "SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(NULL AS DOUBLE) AS first FROM embeddings UNION ALL SELECT vec_id, NULL, round(CAST(embedding[1] AS DOUBLE), 6) FROM embeddings")
+def _total(column: str):
+    return F.aggregate(F.transform(column, lambda v: v.cast("double")), F.lit(0.0), lambda a, v: a + v)
+
+
+@query("a9_table_sink", "SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(NULL AS DOUBLE) AS total FROM embeddings UNION ALL SELECT vec_id, NULL, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 6) FROM embeddings")
 def a9_table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tables")
     rows = table(spark, sf_dir, "embeddings")
-    sessions.write_tables([rows.select("vec_id", F.col("label").cast("long").alias("label")), rows.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))], folder)
-    return spark.read.option("header", True).schema("vec_id long, label long, first double").csv(folder)
+    sessions.write_tables([rows.select("vec_id", F.col("label").cast("long").alias("label")), rows.select("vec_id", F.round(_total("embedding"), 6).alias("total"))], folder)
+    return spark.read.option("header", True).schema("vec_id long, label long, total double").csv(folder)
 
 
-@query("a10_metric_sink", "SELECT CAST(label AS BIGINT) AS label, count(*) AS n, count(*) FILTER (WHERE vec_id % 3 <> 0) AS valid FROM embeddings GROUP BY label")
+@query("a10_metric_sink", "SELECT CAST(label AS BIGINT) AS label, count(*) AS n, count(*) FILTER (WHERE vec_id % 3 <> 0) AS valid, round(avg(list_sum([CAST(x AS DOUBLE) FOR x IN embedding])) FILTER (WHERE vec_id % 3 <> 0), 6) AS mean FROM embeddings GROUP BY label")
 def a10_metric_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "metrics")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.when(F.col("vec_id") % 3 != 0, F.col("embedding")[0].cast("double")).alias("first"))
-    sessions.write_metrics(rows, folder, ["first"], "label")
-    back = spark.read.parquet(folder).select(F.col("label").cast("long").alias("label"), F.col("metrics")[0]["valid"].alias("v"))
-    return back.groupBy("label").agg(F.count("*").alias("n"), F.count_if("v").alias("valid"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.when(F.col("vec_id") % 3 != 0, _total("embedding")).alias("total"))
+    sessions.write_metrics(rows, folder, ["total"], "label")
+    back = spark.read.parquet(folder).select(F.col("label").cast("long").alias("label"), F.col("metrics")[0].alias("m"))
+    return back.groupBy("label").agg(F.count("*").alias("n"), F.count_if("m.valid").alias("valid"), F.round(F.avg(F.when(F.col("m.valid"), F.col("m.value"))), 6).alias("mean"))
 
 
 @query("a12_event_sink", "SELECT event_id, event_type FROM events")

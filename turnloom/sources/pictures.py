@@ -1,9 +1,8 @@
-"""Images as files: a PNG writer that runs in tasks, published by renaming, and hashes of pixels without decoding on the driver."""
+"""Images as files: a PNG writer that runs in tasks."""
 
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-RECEIPT = "path string, bytes long, crc32 long"
+from turnloom.sources.files import publish_files
 
 
 def png(rgb: np.ndarray) -> bytes:
@@ -29,32 +28,12 @@ def png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
-def publish(folder: str, name: str, content: bytes) -> None:
-    """Writes a file under another name and renames it, so that readers see it whole or not at all; a task that is run again puts the same file in its place."""
-    from pyarrow import fs
-
-    where, base = fs.FileSystem.from_uri(folder)
-    where.create_dir(base, recursive=True)
-    part = f"{base}/.{name}.part-{uuid.uuid4().hex}"
-    with where.open_output_stream(part) as out:
-        out.write(content)
-    where.move(part, f"{base}/{name}")
-
-
 def write_images(images: DataFrame, folder: str, spread: int = 256) -> DataFrame:
-    """(path, bytes, crc32) of a PNG file written for each row (name, width, height, rgb binary), in one of `spread` folders by its name.
+    """(path, bytes, crc32) of a PNG file published for each row (name, width, height, rgb binary), as by files.publish_files."""
 
-    folder: a URI that driver and executors share. The files are written when the receipts are read; store these first.
-    """
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for name, width, height, rgb in zip(batch["name"], batch["width"], batch["height"], batch["rgb"], strict=True):
-                content = png(np.frombuffer(rgb, dtype=np.uint8).reshape(height, width, 3))
-                place = f"{zlib.crc32(name.encode()) % spread:03d}"
-                publish(f"{folder}/{place}", f"{name}.png", content)
-                out.append((f"{place}/{name}.png", len(content), zlib.crc32(content)))
-            yield pd.DataFrame(out, columns=["path", "bytes", "crc32"])
-
-    return images.select("name", "width", "height", "rgb").mapInPandas(write, RECEIPT)
+            pixels = (np.frombuffer(rgb, dtype=np.uint8).reshape(h, w, 3) for w, h, rgb in zip(batch["width"], batch["height"], batch["rgb"], strict=True))
+            yield pd.DataFrame({"name": batch["name"] + ".png", "content": [png(p) for p in pixels]})
+
+    return publish_files(images.select("name", "width", "height", "rgb").mapInPandas(encode, "name string, content binary"), folder, spread)
