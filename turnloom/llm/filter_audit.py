@@ -154,6 +154,8 @@ def failure_masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     light = own.select("doc_id", "part", _bits(F.col("n") < 200, 100 * F.col("d") < 50 * F.col("n"), 100 * capitals > 2 * F.length("t"), F.col("t").rlike(r"[#$%&*|]")).alias("bits"), F.unhex(F.sha2("t", 256)).alias("digest"))
     light = materialise(light, "failures")
     repeated = light.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").select("digest", "least")
+    # a table of its own, so that the join can split a text that very many rows have
+    repeated = materialise(repeated, "repeated-texts")
     is_one = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)))
     marked = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(is_one("quality").alias("good"), is_one("toxic").alias("toxic"))
     joined = light.join(repeated, "digest", "left").join(marked, "doc_id", "left")
