@@ -224,6 +224,57 @@ def test_toxicity_learns_pairs(spark, make):
     assert _accuracy(scored, dict(labels), "predicted") > 0.97
 
 
+def test_toxicity_learns_agreement(spark, make):
+    """Toxic exactly when both markers are there or neither is: each marker alone tells nothing."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for k in range(4000):
+        one, two = rng.random(2) < 0.5
+        words = [f"filler{x}" for x in rng.integers(0, 60, 8)] + ["red"] * int(one) + ["north"] * int(two)
+        rows.append((k, " ".join(rng.permutation(words))))
+        labels.append((k, int(one == two)))
+    machine = toxicity.fit(make(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), usable=~toxicity.held_out())
+    marks = [r for r in toxicity.score(make(rows), machine, threshold=0.5).collect() if r.held_out]
+    assert np.mean([r.predicted == labels[r.doc_id][1] for r in marks]) >= 0.95
+
+
+def test_machine_against_all_pairs(make):
+    """Scores by sums of squares equal those by a loop over all pairs of terms."""
+    rng = np.random.default_rng(2)
+    machine = toxicity.Machine(0.3, np.arange(40), rng.normal(size=40), rng.normal(size=(40, toxicity.RANK)))
+    texts = [sorted(rng.choice(40, k, replace=False)) for k in (0, 1, 2, 7, 20)]
+    want = [0.3 + sum(machine.weights[t] for t in x) + sum(machine.vectors[a] @ machine.vectors[b] for i, a in enumerate(x) for b in x[i + 1 :]) for x in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    assert machine.logits(owner, np.concatenate(texts).astype(int), len(texts)) == pytest.approx(want)
+
+
+def test_machine_gradient():
+    """The first step goes against the gradient of the plain loss, taken by differences."""
+    rng = np.random.default_rng(6)
+    n, k = 60, 5
+    held = rng.random((n, k)) < 0.4
+    labels = (held[:, 0] & held[:, 1]).astype(float)
+    first, slots = np.concatenate([[0], np.cumsum(held.sum(axis=1))]), np.nonzero(held)[1]
+    b0, v0 = np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5)), np.random.Generator(np.random.PCG64(5)).normal(0, 0.05, (k, toxicity.RANK))
+
+    def loss(b, w, v):
+        z = np.array([b + sum(w[i] for i in np.flatnonzero(x)) + sum(v[i] @ v[j] for i in np.flatnonzero(x) for j in np.flatnonzero(x) if i < j) for x in held])
+        return np.mean(np.log1p(np.exp(-z * (2 * labels - 1)))) + 0.5e-5 * ((w**2).sum() + (v**2).sum())
+
+    bias, w, v = toxicity._train(labels, slots, first, k, epochs=1, batch=1000, rate=1e-3)
+    h = 1e-6
+    for i in range(k):
+        e = np.eye(k)[i] * h
+        slope = (loss(b0, e, v0) - loss(b0, -e, v0)) / (2 * h)
+        assert w[i] == pytest.approx(-1e-3 * np.sign(slope), rel=1e-2)
+        for r in range(toxicity.RANK):
+            d = np.zeros_like(v0)
+            d[i, r] = h
+            slope = (loss(b0, np.zeros(k), v0 + d) - loss(b0, np.zeros(k), v0 - d)) / (2 * h)
+            if abs(slope) > 1e-5:
+                assert v[i, r] - v0[i, r] == pytest.approx(-1e-3 * np.sign(slope), rel=1e-2)
+
+
 def test_toxicity_edges(spark, make):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = make([*ODD_TEXTS, ODD_TEXTS[0]], extra=True)
@@ -267,6 +318,24 @@ def test_ordinal_gradient():
     assert np.mean((model.tails(s) >= 0.5).sum(axis=1) == grade) > 0.85
 
 
+def test_ordinal_optimum():
+    """At the end of full-batch training the plain penalised loss, written anew, has next to no slope left."""
+    rng = np.random.default_rng(4)
+    n, k = 300, 3
+    x = rng.normal(size=(n, k))
+    grade = np.digitize(x @ [1.0, -0.5, 0.2] + rng.logistic(size=n), [-0.5, 1.0])
+    model = quality.train(grade, np.repeat(np.arange(n), k), np.tile(np.arange(k), n), x.ravel(), 3, epochs=3000, batch=n, rate=0.01)
+    sigma = lambda z: 1 / (1 + np.exp(-z))
+
+    def loss(p):
+        s, edges = x @ p[:k], np.array([-1e9, p[k], p[k + 1], 1e9])
+        return -np.mean(np.log(sigma(np.clip(edges[grade + 1] - s, -700, 700)) - sigma(np.clip(edges[grade] - s, -700, 700)))) + 0.5e-4 * (p[:k] ** 2).sum()
+
+    at = np.concatenate([model.weights[:k], model.thresholds])
+    slopes = [(loss(at + e) - loss(at - e)) / 2e-5 for e in np.eye(k + 2) * 1e-5]
+    assert np.abs(slopes).max() < 2e-3 and not model.weights[k:].any()
+
+
 # -- 9: language model
 
 

@@ -1,14 +1,14 @@
 """Operator 5: toxicity by a factorization machine over hashed terms.
 
 Terms are the lower-cased runs of letters and digits of the whole text and their beginnings, hashed; a term counts once. From a bounded sample of labelled
-rows Spark counts each term's rows by label and keeps the terms most associated with the label; the machine is then fitted on those
-terms: a bias, a weight for each term, and a vector for each term whose products weigh pairs of terms. Scoring reads whole texts in
+rows Spark counts each term's rows by label and keeps the terms most associated with the label, alone or in pairs: of the most frequent terms all pairs
+are counted by label, and both terms of a pair are kept that tells more than either of them. The machine is then fitted on those terms: a bias, a weight for each term, and a vector for each term whose products weigh pairs of terms. Scoring reads whole texts in
 Arrow batches with the fitted arrays, whose size is fixed by the parameters.
 
 Defined cases: null and empty texts have no terms and score the bias; equal texts score alike; without any labelled row, or with labels of one
 class only, the score is the smoothed share of label 1; terms of equal association are kept in the order of their hashes; a very long text is a
 slice of its own, read to its end; an empty table gives no rows; further columns are ignored. A term that says nothing about the label, alone or
-through the pairs it is in, is not among the kept ones: at most MAX_TERMS, a bound on features, not on rows.
+in pairs, is not among the kept ones: at most MAX_TERMS alone and twice MAX_PAIRS by pairs of the PAIR_TERMS most frequent, bounds on features, not on rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ MAX_TERMS = 1_024
 HEADS = (4, 5, 6, 7, 8)
 #: Least log-likelihood ratio (twice the gain in log-likelihood) of a term with the label.
 LEAST_G = 20.0
+#: Most frequent terms whose pairs are counted, and how many pairs add their terms.
+PAIR_TERMS = 1_024
+MAX_PAIRS = 256
 RANK = 8
 _SHIFT, _MASK = np.uint64(64 - BITS), (1 << BITS) - 1
 
@@ -99,6 +102,27 @@ def _slotted(batches: Iterator[pa.RecordBatch], slots: np.ndarray) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(slot[slot >= 0], pa.int32()))], names=["label", "slots"])
 
 
+def _likelihood_ratio(both: np.ndarray, with_term: np.ndarray, positive: float, n: float) -> np.ndarray:
+    """Of the 2 x 2 table of a term (or pair) and the label; both: rows with it and label 1."""
+    cell = lambda k, row, column: np.where(k > 0, k * np.log(np.maximum(k, 1e-12) * n / np.maximum(row * column, 1e-12)), 0.0)
+    without = n - with_term
+    return 2 * (cell(both, with_term, positive) + cell(with_term - both, with_term, n - positive) + cell(positive - both, without, positive) + cell(n - positive - with_term + both, without, n - positive))
+
+
+def _paired_terms(labels: np.ndarray, slots: np.ndarray, first: np.ndarray, n_terms: int) -> np.ndarray:
+    """Terms of the MAX_PAIRS pairs that gain most over the better of their two terms, and LEAST_G at least."""
+    held = np.zeros((len(labels), n_terms), dtype=np.float32)
+    held[np.repeat(np.arange(len(labels)), np.diff(first)), slots] = 1
+    together, positive = (held.T @ held).astype(np.float64), (held.T @ (held * labels[:, None].astype(np.float32))).astype(np.float64)
+    g = _likelihood_ratio(positive, together, float(labels.sum()), float(len(labels)))
+    alone = np.diag(g)
+    gain = np.triu(g - np.maximum(alone[:, None], alone[None, :]), 1)
+    gain[together < 3] = 0
+    best = np.argsort(-gain, axis=None, kind="stable")[:MAX_PAIRS]
+    best = best[gain.ravel()[best] >= LEAST_G]
+    return np.unique(np.concatenate(np.unravel_index(best, gain.shape)))
+
+
 def _train(labels: np.ndarray, slots: np.ndarray, first: np.ndarray, n_terms: int, epochs: int = 30, batch: int = 256, rate: float = 0.05, decay: float = 1e-5) -> tuple[float, np.ndarray, np.ndarray]:
     """Adam on the mean log loss; text i has slots[first[i] : first[i + 1]]."""
     rng = np.random.Generator(np.random.PCG64(5))
@@ -126,6 +150,13 @@ def _train(labels: np.ndarray, slots: np.ndarray, first: np.ndarray, n_terms: in
     return float(bias[0]), w, v
 
 
+def _rows_of(sample: DataFrame, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, slots and offsets of the sample's rows, whose number is bounded."""
+    rows = sample.select("label", "terms").mapInArrow(lambda it: _slotted(it, slots), "label double, slots array<int>").toArrow()
+    lists = rows.column("slots").combine_chunks()
+    return rows.column("label").to_numpy(), lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, usable=None) -> Machine:
     """Fits on a sample of at most max_rows labelled rows for which usable (a condition on doc_id) holds."""
     sample = labelled_sample(docs, labels, F.col(label), max_rows, usable).mapInArrow(_terms, "label double, weight long, terms array<int>")
@@ -149,11 +180,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
             + cell(negative_rows - F.col("d") + with_pos, without, negative_rows)
         )
         kept = by_term.where(f"d >= 3 and d < {n}").select("term", g.alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()
-        slots[[r.term for r in kept]] = np.arange(len(kept))
-        if kept:
-            rows = sample.select("label", "terms").mapInArrow(lambda it: _slotted(it, slots), "label double, slots array<int>").toArrow()
-            lists = rows.column("slots").combine_chunks()
-            bias, w, v = _train(rows.column("label").to_numpy(), lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy(), len(kept))
+        frequent = by_term.where(f"d >= 20 and d < {n}").orderBy(F.desc("d"), "term").limit(PAIR_TERMS).select("term").collect()
+        terms = [r.term for r in kept]
+        if frequent:
+            slots[[r.term for r in frequent]] = np.arange(len(frequent))
+            paired = _paired_terms(*_rows_of(sample, slots), len(frequent))
+            slots[:] = -1
+            terms += sorted({frequent[k].term for k in paired} - set(terms))
+        slots[terms] = np.arange(len(terms))
+        if terms:
+            bias, w, v = _train(*_rows_of(sample, slots), len(terms))
     sample.unpersist()
     return Machine(bias, slots, w, v)
 
