@@ -88,12 +88,13 @@ _CHANGES = ", changes AS (SELECT a.session, a.turn AS from_turn, b.turn AS to_tu
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every session's values at two turns; the pairs of turns are a fixed table of three rows."""
-    own = turns(spark, sf_dir).where("turn <= 3").select("session", "turn", "mass", "quantity")
-    one, two = (own.select("session", *[F.col(c).alias(f"{c}_{k}") for c in ("turn", "mass", "quantity")]) for k in (1, 2))
-    pairs = F.broadcast(spark.sql("SELECT * FROM VALUES (1, 2), (2, 3), (1, 3) AS t(turn_1, turn_2)"))
-    joined = one.join(two, "session").join(pairs, ["turn_1", "turn_2"])
-    return joined.select("session", F.col("turn_1").alias("from_turn"), F.col("turn_2").alias("to_turn"), (F.col("mass_2") - F.col("mass_1")).alias("change"), (F.col("quantity_2") - F.col("quantity_1")).alias("tokens"))
+    """Every session's values at two turns. A session's first turns become columns in one aggregation, and the pairs of turns are taken from these; nothing is joined."""
+    at = lambda k: F.max(F.when(F.col("turn") == k, F.struct("mass", "quantity"))).alias(f"t{k}")
+    own = turns(spark, sf_dir).where("turn <= 3").groupBy("session").agg(*map(at, (1, 2, 3)))
+    pair = lambda a, b: F.struct(F.lit(a).alias("from_turn"), F.lit(b).alias("to_turn"), F.col(f"t{a}").alias("a"), F.col(f"t{b}").alias("b"))
+    both = F.filter(F.array(pair(1, 2), pair(2, 3), pair(1, 3)), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+    each = own.select("session", F.explode(both).alias("p"))
+    return each.select("session", "p.from_turn", "p.to_turn", (F.col("p.b.mass") - F.col("p.a.mass")).alias("change"), (F.col("p.b.quantity") - F.col("p.a.quantity")).alias("tokens"))
 
 
 @query("c5_turn_pairs", f"WITH {TURNS}{_CHANGES} SELECT session, from_turn, to_turn, round(change, 2) AS change, tokens FROM changes")
