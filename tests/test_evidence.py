@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.operators import audit, hooks, session_tables
-from turnloom.sources import pictures, sessions
+from turnloom.sources import pictures, sessions, shared
 from turnloom.sources.shared import new_folder, stored
 
 
@@ -114,3 +114,15 @@ def test_png_files(spark):
         width, height = struct.unpack(">II", data[16:24])
         kinds |= set(zlib.decompress(data[41 : 41 + size])[:: 3 * width + 1])
     assert kinds == {0, 1, 2} and math.prod(pixels["flat"].shape) == 36
+
+
+def test_clear_folders(spark):
+    """Only folders that this driver has named go."""
+    made = new_folder(spark, "cleared")
+    other = f"{shared.shared_folder(spark)}/others-folder"
+    for path in (made, other):
+        spark.range(3).write.mode("overwrite").parquet(path)
+    assert shared.clear_folders(spark) >= 1 and shared.clear_folders(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(made)
+    assert spark.read.parquet(other).count() == 3
