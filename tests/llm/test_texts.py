@@ -538,6 +538,33 @@ def test_decontamination_empty(spark, make):
     assert decontaminate.contaminated(make([(1, ITEM)]), items.limit(0)).count() == 0
 
 
+def _plain_subsequence(item, part, w):
+    """Places in item of a common subsequence of greatest weight, by the table of all prefixes."""
+    n, m = len(item), len(part)
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        for j in range(m):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w[i] if item[i] == part[j] else 0.0)
+    out, i, j = [], n, m
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(i)
+    return out[::-1]
+
+
+def _plain_cosine(item, part, idf):
+    whole = Counter(item)
+    shared = whole & Counter(part)
+    dot = sum(whole[b] * shared[b] * idf[b] ** 2 for b in shared)
+    length = lambda c: math.sqrt(sum((n * idf[b]) ** 2 for b, n in c.items()))
+    return dot / (length(whole) * length(shared)) if shared else 0.0
+
+
 def _plain_matches(texts, passages, idf, least_cosine=0.4, least_common=0.7, least_answer=0.5):
     """(text, passage) accepted in any window at all, tried at every word; only windows whose common words weigh too little are passed over."""
     words = lambda x: decontaminate.word_buckets(*utf8_of(pa.array([x]), lower=True))[0]
@@ -552,8 +579,8 @@ def _plain_matches(texts, passages, idf, least_cosine=0.4, least_common=0.7, lea
             answer = np.arange(len(item)) >= len(item) - max(1, len(item) // 4)
             for a in begin[value[np.minimum(begin + size, len(own))] - value[begin] >= least_common * w.sum() - 1e-9].tolist():
                 part = own[a : a + size]
-                common = decontaminate.common_subsequence(item, part, w)
-                if decontaminate.own_cosine(item, part, idf) >= least_cosine and w[common].sum() >= least_common * w.sum() and w[common][answer[common]].sum() >= least_answer * w[answer].sum():
+                common = np.array(_plain_subsequence(item.tolist(), part.tolist(), w.tolist()), dtype=int)
+                if _plain_cosine(item.tolist(), part.tolist(), idf) >= least_cosine and w[common].sum() >= least_common * w.sum() and w[common][answer[common]].sum() >= least_answer * w[answer].sum():
                     found.add((t, k))
                     break
     return found
