@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,83 @@ def test_closed_windows_and_late_rows(spark):
     # the mark stands at 70 s when the second rows come: 59 s is behind its window, 61 s is not
     assert got == [(_at(0), "a", 1), (_at(0), "b", 1), (_at(60), "a", 1), (_at(60), "b", 1), (_at(180), "b", 1)]
     assert [(r.start, r.kind) for r in spark.read.schema("start timestamp, kind string").parquet(behind).collect()] == [(_at(0), "a")]
+
+
+def test_run_tree_by_tasks(spark):
+    """Files of one folder a session are written by as many tasks as asked for, whole, and found by a listing of tasks."""
+    from turnloom.sources import files
+
+    root = new_folder(spark, "tree")
+    rows = spark.range(300).select(F.concat(F.lit("session="), "id").alias("folder"), F.lit("turns.json").alias("name"), F.encode(F.concat(F.lit('{"turn": '), "id", F.lit("}")), "UTF-8").alias("content"))
+    receipts = files.publish_folders(rows.repartition(8, "folder"), root)
+    assert receipts.rdd.getNumPartitions() == 8 and receipts.agg(F.sum("bytes")).first()[0] == 300 * 10 + 10 + 2 * 90 + 3 * 200
+    found = spark.read.schema("turn long").option("recursiveFileLookup", True).json(root)
+    at = F.regexp_extract(F.col("_metadata.file_path"), r"session=(\d+)/", 1).cast("long")
+    assert found.where(at == F.col("turn")).count() == found.count() == 300
+
+
+def test_ratings_by_bucket(spark):
+    """Many items cost no more groups of state than there are buckets; an item without a key and items of one bucket stay apart."""
+    rows = [(None if u == 0 else 2**60 + u, u * 100 + k, f"v{k}", k + (1 if (u + k) % 5 == 0 else 0), _at(60 * k + u)) for u in range(40) for k in range(4)]
+    df = spark.createDataFrame(rows, "item long, event long, said string, version long, at timestamp")
+    table = MergedTable(spark, new_folder(spark, "latest"), spark.createDataFrame([], "item long, said string, version long, conflicts long").schema, ["item"])
+    replay = logs.Replay(spark, df.schema, lambda s: logs.merged(table, new_folder(spark, "changes"), "kind = 'latest'")(state.rating_changes(s, "item", ["at", "event"], "version", "said", buckets=3)), "ratings", processing_time=True)
+    replay.arrive(df.where("event % 100 < 2"))
+    replay.arrive(df.where("event % 100 >= 2"))
+    want = ranking.latest_by_version(df, ["item"], "version", ["at", "event"])
+    columns = ["item", "said", "version", "conflicts"]
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, table.read().select(*columns).collect())) == sorted(map(key, want.select(*columns).collect()))
+    batches = [p for p in replay.progress if p["numInputRows"]]
+    # the keys of the state that a batch writes: a value and a list of each bucket, and one bucket without a key
+    assert len(batches) == 2 and all(s["numRowsTotal"] < 40 for p in batches for s in p["stateOperators"])
+
+
+def test_ratings_forget_by_item(spark):
+    """An item left alone for the ttl begins anew, though another of its bucket was updated meanwhile."""
+
+    class Store:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def appendList(self, rows):
+            pass
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.ms
+
+    ratings = state._Ratings(100)
+    ratings.ratings, ratings.conflicts = Store(), Store()
+
+    def run(ms, *rows):
+        frame = pd.DataFrame(rows, columns=["item_", "version_", "place_", "value_"])
+        return [tuple(r) for out in ratings.handleInputRows((0,), iter([frame]), Clock(ms)) for r in out[["item_", "kind", "version", "conflicts"]].itertuples(index=False)]
+
+    run(0, ("a", 1, "0", "x"), ("b", 1, "0", "x"))
+    run(90, ("b", 2, "1", "x"))
+    assert run(150, ("a", 9, "2", "y"), ("b", 4, "2", "y")) == [("b", "latest", 4, 1), ("a", "latest", 9, 0), ("b", "conflict", 4, 1)]
+
+
+def test_stale_updates_by_bucket(spark):
+    schema = spark.createDataFrame([], "item long, at long, claimed long").schema
+    rows = [(None if u == 0 else 2**60 + u, 10 * u + k, k - (k > 1)) for u in range(40) for k in range(4)]
+    out = new_folder(spark, "checked")
+    replay = logs.Replay(spark, schema, lambda s: logs.appended(out)(logs.versioned_updates(s, "item", ["at"], "claimed", ["at"], buckets=3)), "updates")
+    for part in (0, 1):
+        replay.arrive(spark.createDataFrame([r for r in rows if (r[1] % 10) // 2 == part], schema))
+    got = {r["at"]: (r.item, r.accepted, r.version) for r in spark.read.schema("item long, at long, accepted boolean, version long").parquet(out).collect()}
+    # claims 0, 1, 1, 2 of each item: the second 1 is stale
+    assert got == {at: (item, at % 10 != 2, [1, 2, 2, 3][at % 10]) for item, at, _ in rows}
+    assert max(s["numRowsTotal"] for p in replay.progress for s in p["stateOperators"]) <= 4

@@ -382,9 +382,13 @@ def a12_event_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a5_run_tree_scan", "SELECT conv_id, count(*) AS turns, min(turn) AS first, max(turn) AS last FROM conversations GROUP BY conv_id")
 def a5_run_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns in one folder a session; identity comes from the paths."""
-    folder = new_folder(spark, "run-tree")
-    table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").withColumn("session", F.col("conv_id")).repartition("session").write.partitionBy("session").json(folder)
-    rows = spark.read.schema("conv_id long, turn long, role string").json(f"{folder}/session=*")
-    at = F.regexp_extract(F.col("_metadata.file_path"), r"session=(\d+)/", 1).cast("long")
+    """Turns in one folder a session; identity comes from the paths. As many tasks write as there are cores, whatever the size of the turns, and the folders are listed by tasks."""
+    folder, tasks = new_folder(spark, "run-tree"), 4 * spark.sparkContext.defaultParallelism
+    turn = F.struct("turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("line"))
+    listed = table(spark, sf_dir, "conversations").repartition(tasks, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    name = F.concat(F.lit("session="), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
+    content = F.encode(F.array_join(F.transform("t", lambda s: s["line"]), "\n"), "UTF-8")
+    stored(files.publish_folders(listed.select(name.alias("folder"), F.lit("turns.json").alias("name"), content.alias("content")), folder), "receipts")
+    rows = spark.read.schema("conv_id long, turn long, role string").option("recursiveFileLookup", True).json(folder)
+    at = F.regexp_extract(F.col("_metadata.file_path"), r"session=(-?\d+|null)/", 1).try_cast("long")
     return rows.select(at.alias("path_session"), "turn").groupBy(F.col("path_session").alias("conv_id")).agg(F.count("*").alias("turns"), F.min("turn").alias("first"), F.max("turn").alias("last"))

@@ -45,3 +45,21 @@ def publish_files(rows: DataFrame, folder: str, spread: int = 256) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "bytes", "crc32"])
 
     return rows.select("name", "content").mapInPandas(write, RECEIPT)
+
+
+def publish_folders(rows: DataFrame, root: str, spread: int = 256) -> DataFrame:
+    """The same for rows (folder, name, content): each file in a folder of its own tree, these dealt over `spread` folders below the root.
+
+    The tasks of `rows` write, each its files, and no committer moves a folder for each of them afterwards: deal the rows by a given number of partitions, as small rows are gathered in one task else.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for folder, name, content in zip(batch["folder"], batch["name"], batch["content"], strict=True):
+                place = f"{place_of(folder, spread)}/{folder}"
+                publish(f"{root}/{place}", name, bytes(content))
+                out.append((f"{place}/{name}", len(content), zlib.crc32(content)))
+            yield pd.DataFrame(out, columns=["path", "bytes", "crc32"])
+
+    return rows.select("folder", "name", "content").mapInPandas(write, RECEIPT)
