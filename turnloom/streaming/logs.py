@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnloom.sources.shared import new_folder
 from turnloom.streaming.merge import MergedTable
-from turnloom.streaming.state import PROVIDER, counted
+from turnloom.streaming.state import BUCKETS, PROVIDER, bucket_of, counted
 
 
 def stream_of(spark: SparkSession, path: str, files_each: int = 1) -> DataFrame:
@@ -137,26 +137,28 @@ def session_gate(turns: DataFrame, key: str, n_turns: int) -> DataFrame:
     return grouped.applyInPandasWithState(gate, f"{key} {turns.schema[key].dataType.simpleString()}, turns long", "seen long, sent boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def versioned_updates(events: DataFrame, key: str, order: list[str], version: str, kept: list[str]) -> DataFrame:
+def versioned_updates(events: DataFrame, key: str, order: list[str], version: str, kept: list[str], buckets: int = BUCKETS) -> DataFrame:
     """(key, kept, accepted, version) of every update: one whose version is not the stored one is stale and changes nothing; an accepted one raises it by one.
 
-    The state is one number for each item. Updates of an item count in the order of `order` within a batch, and batch after batch.
+    The state is one number for each item, kept by bucket of items, so that a batch needs a call for each bucket and not for each item. Updates of an item count in the order of `order` within a
+    batch, and batch after batch.
     """
 
     def check(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (stored,) = state.get if state.exists else (0,)
+        stored = dict(zip(*state.get, strict=True)) if state.exists else {}
         rows = pd.concat(list(frames)).sort_values(order)
         accepted, versions = [], []
-        for claimed in rows[version]:
-            accepted.append(bool(claimed == stored))
-            stored += accepted[-1]
-            versions.append(stored)
-        state.update((stored,))
+        for item, claimed in zip(rows["item_"], rows[version], strict=True):
+            now = stored.get(item, 0)
+            accepted.append(bool(claimed == now))
+            stored[item] = now + accepted[-1]
+            versions.append(stored[item])
+        state.update((list(stored), list(stored.values())))
         yield rows[[key, *kept]].assign(accepted=accepted, version=versions)
 
     columns = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in [key, *kept])
-    grouped = events.select(*dict.fromkeys([key, *kept, *order, version])).groupBy(key)
-    return grouped.applyInPandasWithState(check, f"{columns}, accepted boolean, version long", "stored long", "append", GroupStateTimeout.NoTimeout)
+    dealt = events.select(bucket_of(key, buckets).alias("bucket_"), F.col(key).cast("string").alias("item_"), *dict.fromkeys([key, *kept, *order, version]))
+    return dealt.groupBy("bucket_").applyInPandasWithState(check, f"{columns}, accepted boolean, version long", "item array<string>, stored array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def tumbling_counts(events: DataFrame, time: str, width: str, by: list[str], late: str = "1 day") -> DataFrame:
