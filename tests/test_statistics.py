@@ -86,6 +86,17 @@ def test_split_bootstrap_groups(spark):
     assert got["two"] == pytest.approx([2 * x for x in got["one"]]) and got["rare"] == (5.0, 5.0) and got["none"] == (None, None)
 
 
+def test_split_bootstrap_draws_once(spark):
+    """A draw is made once for all groups: one digest for each hit in the plan, joined by bucket alone. A group named null counts like others."""
+    rows = spark.createDataFrame([(g, c, float(k)) for g in ("one", None) for k, c in enumerate([1, 2, 3, 4])], "g string, c long, v double")
+    got = statistics.split_bootstrap(rows, ["g"], "v", "c", 200, 3, bucket_size=2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (_bucket" in plan and "transform(" not in plan
+    ends = {r.g: (r.ci_low, r.ci_high) for r in got.collect()}
+    assert ends["one"] == ends[None] and 0 <= ends["one"][0] < 1.5 < ends["one"][1] <= 3
+    assert statistics.split_bootstrap(rows.where("c > 9"), ["g"], "v", "c", 10, 3).collect() == []
+
+
 def test_sketches_merge(spark):
     rows = spark.range(60_000).select(F.col("id").alias("v"), (F.col("id") % 7).alias("shard"), F.lit("g").alias("g")).unionByName(spark.range(30_000).select(F.col("id").alias("v"), F.lit(9).cast("long").alias("shard"), F.lit("g").alias("g")))
     parts = statistics.distinct_sketches(rows, ["shard", "g"], ["v"])

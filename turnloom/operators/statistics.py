@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -118,31 +121,40 @@ def split_bootstrap(rows: DataFrame, by: list[str], value: str, cluster: str, re
     """2.5 and 97.5 percentiles of the ratio of drawn cluster sums to drawn cluster counts, all groups with the same draws (groups are few by contract).
 
     The clusters of `rows` are numbered and cut into buckets. Of each repetition's draws, as many as there are clusters, only the number that
-    falls into each bucket is shuffled; which clusters of the bucket they hit is drawn beside the bucket's sums, by digests again, so no row for a cluster and repetition is
-    ever made. Draws come from digests and are the same in every engine.
+    falls into each bucket is shuffled; which clusters of the bucket they hit is drawn once beside the bucket's sums of all groups, by digests again, so no row for a cluster and repetition is
+    ever shuffled. Draws come from digests and are the same in every engine.
     """
     # own columns begin with an underscore, so that they don't clash with those of the caller
     spark, rows = rows.sparkSession, rows.select(*by, F.col(cluster).alias("_cluster"), F.col(value).alias("_value"))
+    types = [rows.schema[c].dataType for c in by]
+    # few by contract
+    groups = [tuple(r) for r in rows.select(*by).distinct().collect()] if by else [()]
+    if not groups:
+        return spark.createDataFrame([], StructType([rows.schema[c] for c in by]).add("ci_low", "double").add("ci_high", "double"))
     clusters = rows.select("_cluster").distinct()
     n = clusters.count()
     b, count = max(1, -(-n // bucket_size)), max(n, 1)
     first = lambda k: F.expr(f"({k} * {n} + {b - 1}) div {b}")
     placed = numbered(clusters, "_cluster").select("_cluster", F.expr(f"k * {b} div {count}").alias("_bucket"), "k").withColumn("_place", F.col("k") - first("_bucket")).drop("k")
-    sums = rows.where(F.col("_value").isNotNull()).groupBy(*by, "_cluster").agg(F.sum("_value").cast("double").alias("_s"), F.count("*").alias("_c"))
-    grid = placed.crossJoin(F.broadcast(rows.select(*by).distinct())) if by else placed
-    filled = grid.join(sums, [*by, "_cluster"], "left").select(*by, "_bucket", F.struct("_place", F.coalesce("_s", F.lit(0.0)).alias("s"), F.coalesce("_c", F.lit(0)).alias("c")).alias("_e"))
-    held = filled.groupBy(*by, "_bucket").agg(F.array_sort(F.collect_list("_e")).alias("_e"))
-    held = held.select(*by, "_bucket", F.col("_e.s").alias("_s"), F.col("_e.c").alias("_c"))
+    # sums and counts of all groups side by side, so that a draw is made once for all of them
+    literals = [[F.lit(v).cast(t) for v, t in zip(g, types, strict=True)] for g in groups]
+    mine = [reduce(Column.__and__, [F.col(c).eqNullSafe(v) for c, v in zip(by, g, strict=True)], F.col("_value").isNotNull()) for g in literals]
+    sums = [(f"_s{g}", F.sum(F.when(own, F.col("_value"))).cast("double"), 0.0) for g, own in enumerate(mine)] + [(f"_c{g}", F.count_if(own), 0) for g, own in enumerate(mine)]
+    summed = rows.groupBy("_cluster").agg(*[F.coalesce(total, F.lit(zero)).alias(name) for name, total, zero in sums])
+    held = placed.join(summed, placed["_cluster"].eqNullSafe(summed["_cluster"])).groupBy("_bucket").agg(F.array_sort(F.collect_list(F.struct("_place", *[name for name, _, _ in sums]))).alias("_e"))
+    held = held.select("_bucket", *[F.col(f"_e.{name}").alias(name) for name, _, _ in sums])
     slots = spark.range(0, reps * n).select(F.expr(f"id div {count}").alias("_rep"), F.expr(f"id % {count}").alias("_slot"))
     hit = _digest_number(F.lit(seed), "_rep", "_slot") % count
     dealt = slots.select("_rep", hit.alias("_h")).groupBy("_rep", F.expr(f"_h * {b} div {count}").alias("_bucket")).agg(F.count("*").alias("_m"))
     size = first("(_bucket + 1)") - first("_bucket")
-    drawn = dealt.join(held, "_bucket").withColumn("_i", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), lambda i: (_digest_number(F.lit(seed), "_rep", "_bucket", i) % size).cast("int")))
-    total = lambda k, zero: F.aggregate("_i", zero, lambda a, i: a + F.get(k, i)).alias(k)
-    each = drawn.select(*by, "_rep", total("_s", F.lit(0.0)), total("_c", F.lit(0).cast("long")))
-    ratios = each.groupBy(*by, "_rep").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("_ratio"))
-    ends = (ratios.groupBy(*by) if by else ratios).agg(F.percentile("_ratio", [0.025, 0.975]).alias("_q"))
-    return ends.select(*by, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+    # the draws of a bucket are rows between two steps of one task, summed by repetition before anything is shuffled
+    drawn = dealt.join(held, "_bucket").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_i"))
+    at = drawn.select("_rep", *[name for name, _, _ in sums], (_digest_number(F.lit(seed), "_rep", "_bucket", "_i") % size).cast("int").alias("_at"))
+    each = at.groupBy("_rep").agg(*[F.sum(F.get(name, F.col("_at"))).alias(name) for name, _, _ in sums])
+    ratios = each.select(*[F.try_divide(f"_s{g}", f"_c{g}").alias(f"_r{g}") for g in range(len(groups))])
+    ends = ratios.agg(*[F.percentile(f"_r{g}", [0.025, 0.975]).alias(f"_q{g}") for g in range(len(groups))])
+    listed = [F.struct(*[v.alias(c) for c, v in zip(by, g, strict=True)], F.get(f"_q{k}", F.lit(0)).alias("ci_low"), F.get(f"_q{k}", F.lit(1)).alias("ci_high")) for k, g in enumerate(literals)]
+    return ends.select(F.explode(F.array(*listed)).alias("_g")).select("_g.*")
 
 
 def trimmed_mean(rows: DataFrame, by: list[str], value: str, share: float = 0.05) -> DataFrame:
