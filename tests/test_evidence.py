@@ -126,3 +126,31 @@ def test_clear_folders(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(made)
     assert spark.read.parquet(other).count() == 3
+
+
+def test_repeat_audit_moves_little(spark, monkeypatch):
+    """Only the keys of the original run are stored; digests are compared as bytes, also those that are no text, and rows are not sorted before they move."""
+    from turnloom.plans import audits
+
+    kept = []
+    monkeypatch.setattr(audits, "stored", lambda rows, name: kept.append(rows.columns) or stored(rows, name))
+    assert audits.j15_repeat_audit(spark, "/root/testdata/sf0.001").count() and kept == [["session", "turn"]]
+    schema = "k long, h binary"
+    one, two = spark.createDataFrame([(1, b"\xff\x00"), (2, b"\xff\x01"), (3, None)], schema), spark.createDataFrame([(1, b"\xff\x00"), (2, b"\xff\x02"), (3, None)], schema)
+    found = audit.compare_runs(one, two, ["k"], ["h"])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "cast(h" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(2, "h differs")]
+
+
+def test_votes_cut_tasks_by_turns(spark, tmp_path):
+    """A table of more turns than the tasks at hand are given is dealt to as many tasks as its rows need."""
+    from turnloom.plans import base
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    n = rows.count()
+    cut = base.turns(spark, str(tmp_path), n // 20)
+    assert 20 <= cut.rdd.getNumPartitions() <= 21
+    assert cut.exceptAll(base.turns(spark, str(tmp_path))).count() == 0 and cut.count() == n
+    assert base.turns(spark, str(tmp_path), n).rdd.getNumPartitions() <= 4
