@@ -23,6 +23,8 @@ from turnloom.llm import webp
 from turnloom.llm.textops import utf8_of
 
 ROW_BYTES = 64
+VALUES = np.arange(256)
+SQUARES = VALUES * VALUES
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -42,10 +44,9 @@ def load(stored: bytes) -> np.ndarray:
 
 def feature(pixels: np.ndarray) -> str:
     """Rows, mean and deviation of the samples in thousandths, and the share of each 32 values in thousandths."""
-    counts = np.bincount(pixels.ravel(), minlength=256)
-    n, v = int(counts.sum()), np.arange(256)
-    total, square = int(counts @ v), int(counts @ (v * v))
-    share = ",".join(str(1000 * int(c) // n) for c in counts.reshape(8, 32).sum(axis=1))
+    counts, n = np.bincount(pixels.ravel(), minlength=256), pixels.size
+    total, square = int(counts @ VALUES), int(counts @ SQUARES)
+    share = ",".join([str(1000 * c // n) for c in counts.reshape(8, 32).sum(axis=1).tolist()])
     return f"rows={len(pixels)};mean={1000 * total // n};var={(n * square - total * total) // (n * n)};hist={share}"
 
 

@@ -11,6 +11,7 @@ cache and references from the data, by estimates of the stored size.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
@@ -59,8 +60,9 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes by length, then symbol, as they are written: the first bit lowest."""
     codes, used = np.zeros(len(lengths), dtype=np.int64), np.flatnonzero(lengths)
     own = lengths[used]
-    order = np.argsort(own, kind="stable")
-    before = np.concatenate([[0], np.cumsum(1 << (15 - own[order]))[:-1]])
+    order = np.argsort(own.astype(np.uint8), kind="stable")
+    room = 1 << (15 - own[order])
+    before = np.cumsum(room) - room
     codes[used[order]] = _reversed(15)[before]
     return codes
 
@@ -74,13 +76,13 @@ class Prefix:
         self.only = int(used[0]) if len(used) == 1 else None
         self.last_symbol = int(used[-1]) if len(used) else 0
         if self.only is not None:
-            self.bits, self.table = 0, used << 4
+            self.bits, self.table = 0, (used << 4).astype(np.uint16)
             return
         self.bits = int(own.max(initial=0))
         if not len(used) or int((1 << (self.bits - own)).sum()) != 1 << self.bits:
             raise ValueError("a prefix code is not complete")
-        order = np.argsort(own, kind="stable")
-        self.table = np.repeat(used[order] << 4 | own[order], 1 << (self.bits - own[order]))[_reversed(self.bits)]
+        order = np.argsort(own.astype(np.uint8), kind="stable")
+        self.table = np.repeat((used << 4 | own)[order].astype(np.uint16), 1 << (self.bits - own[order])).take(_reversed(self.bits))
 
     def next(self, bits: Reader) -> int:
         at = bits.pos
@@ -110,13 +112,14 @@ def _read_prefix(bits: Reader, alphabet: int) -> Prefix:
         own[CODE_LENGTH_ORDER[k]] = word >> (3 * k) & 7
     code_bits, table = _length_table(tuple(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    mask, at = (1 << code_bits) - 1, bits.pos
-    # a token takes 14 bits at most
-    word = int.from_bytes(bits.data[at >> 3 : (at + 14 * alphabet + 7) >> 3], "little") >> (at & 7)
-    out: list[int] = []
+    mask, at, word, held = (1 << code_bits) - 1, bits.pos, 0, 0
+    out = bytearray()
     before = 8
     while len(out) < alphabet and left > 0:
         left -= 1
+        if held < 14:
+            # a token takes 14 bits at most; a short number is shifted faster than one of all bits
+            word, held = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 32], "little") >> (at & 7), 249
         entry = table[word & mask]
         n, size = entry >> 4, entry & 15
         word >>= size
@@ -125,16 +128,17 @@ def _read_prefix(bits: Reader, alphabet: int) -> Prefix:
             before = n or before
         else:
             extra, least = ((2, 3), (3, 3), (7, 11))[n - 16]
-            out += [before if n == 16 else 0] * (least + (word & ((1 << extra) - 1)))
+            out += bytes((before if n == 16 else 0,)) * (least + (word & ((1 << extra) - 1)))
             word >>= extra
             size += extra
         at += size
+        held -= size
     if len(out) > alphabet:
         raise ValueError("too many code lengths")
     if at > 8 * len(bits.data):
         raise ValueError("the image data ends too early")
     bits.pos = at
-    lengths[: len(out)] = out
+    lengths[: len(out)] = np.frombuffer(out, dtype=np.uint8)
     return Prefix(lengths)
 
 
@@ -165,22 +169,26 @@ def _value(prefix: int, bits: Reader) -> int:
 # Of length and distance prefixes: number of extra bits, and the value with all of them zero.
 _EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)])
 _LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
-WINDOW = 1 << 16
+_EXTRAS = _EXTRA.tolist()
+WINDOW, FAR = 1 << 16, 1 << 40
+_BIT = np.tile(np.arange(8), WINDOW // 8 + 16)
 
 
 def _windows(data: np.ndarray, first: int, n: int) -> np.ndarray:
     """For each of n bits from bit 8 * first on, the 25 bits or more that begin there."""
     own = data[first : first + (n >> 3) + 4].astype(np.int64)
     words = own[:-3] | own[1:-2] << 8 | own[2:-1] << 16 | own[3:] << 24
-    return (words[:, None] >> np.arange(8)).ravel()
+    return np.repeat(words, 8) >> _BIT[: 8 * len(words)]
 
 
 def _token_runs(bits: Reader, group: list[Prefix], n: int):
     """Runs of tokens of one group: (kind, value, extra, next place); kind 0 literal (ARGB), 1 cache (place), 2 copy (length, distance code)."""
     tables = [c.table for c in group]
-    sizes = [t & 15 for t in tables]
+    sizes = [(t & 15).astype(np.uint8) for t in tables]
     masks = [(1 << c.bits) - 1 for c in group]
-    copies, end = group[0].last_symbol >= 256, 8 * len(bits.data)
+    mixed, end = group[0].last_symbol >= 256, 8 * len(bits.data)
+    # where a token leads whose green symbol is no literal: behind that symbol, and FAR beyond it for a copy, which the walk resolves where it meets one
+    ahead = sizes[0] + np.where((tables[0] >= 256 << 4) & (tables[0] < 280 << 4), FAR, 0)
     # a token has at most 15 + 10 + 15 + 18 bits, so with 96 bits beyond its span a window holds every token that begins in the span
     data = np.concatenate([np.frombuffer(bits.data, dtype=np.uint8), np.zeros(20, dtype=np.uint8)])
     width, place = min(WINDOW, 64 * n), bits.pos
@@ -189,37 +197,39 @@ def _token_runs(bits: Reader, group: list[Prefix], n: int):
         span = min(width, end - 8 * base) + 8 & ~7
         win = _windows(data, base, span + 96)
         own = np.arange(span)
-        g = tables[0].take(win[:span] & masks[0])
-        after = (g & 15) + own
+        index = win[:span] & masks[0]
+        g = tables[0].take(index)
+        after = own + (g & 15)
         following = after.copy()
         for k in (1, 2, 3):
             if group[k].bits:
                 if k == 1 or group[k] is not group[k - 1]:
                     own_sizes = sizes[k].take(win & masks[k])
                 following += own_sizes.take(following)
-        if copies:
-            special = np.flatnonzero(g >= 256 << 4)
-            symbol = g[special] >> 4
-            following[special] = after[special]
-            of_copy = symbol < 280
-            at, symbol = special[of_copy], symbol[of_copy] - 256
-            to = after[at] + _EXTRA[symbol]
-            d = tables[4].take(win.take(to) & masks[4])
-            following[at] = to + (d & 15) + _EXTRA[d >> 4]
+        if mixed:
+            np.copyto(following, own + ahead.take(index), where=g >= 256 << 4)
         view, places, p = memoryview(following), [], place - 8 * base
-        while p < span and len(places) < n:
-            places.append(p)
-            p = view[p]
+        while True:
+            for _ in range(n - len(places)):
+                if p >= span:
+                    break
+                places.append(p)
+                p = view[p]
+            if p < FAR:
+                break
+            p += -FAR + _EXTRAS[(int(g[places[-1]]) >> 4) - 256]
+            entry = int(tables[4][int(win[p]) & masks[4]])
+            p += (entry & 15) + _EXTRAS[entry >> 4]
         at = np.array(places, dtype=np.int64)
-        symbol, a = g[at] >> 4, after[at]
+        symbol, a = (g.take(at) >> 4).astype(np.int64), after.take(at)
         parts = []
         for k in (1, 2, 3):
-            entry = tables[k].take(win.take(a) & masks[k])
+            entry = tables[k].take(win.take(a) & masks[k]).astype(np.int64)
             parts.append(entry >> 4)
             a = a + (entry & 15)
         kind, extra = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
         value = parts[2] << 24 | parts[0] << 16 | symbol << 8 | parts[1]
-        if copies:
+        if mixed:
             kind[symbol >= 280] = 1
             value[kind == 1] = symbol[kind == 1] - 280
             is_copy = np.flatnonzero((symbol >= 256) & (symbol < 280))
@@ -229,6 +239,7 @@ def _token_runs(bits: Reader, group: list[Prefix], n: int):
             value[is_copy] = _LEAST[prefix] + low(from_, _EXTRA[prefix])
             to = from_ + _EXTRA[prefix]
             d = tables[4].take(win.take(to) & masks[4])
+            d = d.astype(np.int64)
             extra[is_copy] = _LEAST[d >> 4] + low(to + (d & 15), _EXTRA[d >> 4])
         yield kind, value, extra, 8 * base + np.append(at[1:], p)
         place = 8 * base + p
@@ -350,6 +361,16 @@ def joined(parts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(parts.astype(np.uint8)[..., ::-1]).view("<u4")[..., 0].astype(np.uint32)
 
 
+def swapped(argb: np.ndarray) -> np.ndarray:
+    """Numbers whose bytes are B, G, R, A as those whose bytes are R, G, B, A, and back."""
+    return argb & np.uint32(0xFF00FF00) | argb >> np.uint32(16) & np.uint32(255) | (argb & np.uint32(255)) << np.uint32(16)
+
+
+def _numbers(pixels: np.ndarray) -> np.ndarray:
+    """ARGB numbers of (..., 4) bytes R, G, B, A, row by row."""
+    return swapped(np.ascontiguousarray(pixels).reshape(-1).view("<u4").astype(np.uint32))
+
+
 def _average(a: list[int], b: list[int]) -> list[int]:
     return [(x + y) >> 1 for x, y in zip(a, b, strict=True)]
 
@@ -530,7 +551,7 @@ def decode_vp8l(data: bytes, trace: Counter | None = None) -> np.ndarray:
         else:
             argb = undo_palette(argb, wide, height, image)
     trace.update(used.keys())
-    return channels(argb)[:, [1, 2, 3, 0]].reshape(height, width, 4)
+    return swapped(argb).astype("<u4").view(np.uint8).reshape(height, width, 4)
 
 
 def decode(stored: bytes, trace: Counter | None = None) -> list[np.ndarray]:
@@ -568,12 +589,18 @@ class Writer:
     def bytes(self) -> bytes:
         self.add(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
         values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        keep = sizes > 0
-        values, sizes = values[keep].astype(np.uint32), sizes[keep]
-        start = np.cumsum(sizes) - sizes
-        place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(start.astype(np.int32), sizes)
-        cells = np.repeat(values, sizes) >> place.astype(np.uint32) & np.uint32(1)
-        return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
+        keep = np.flatnonzero(sizes)
+        values, sizes = values.take(keep).astype(np.uint64), sizes.take(keep)
+        end = np.cumsum(sizes)
+        start = end - sizes
+        # numbers that start in the same 32 bits have no bit in common and reach into the next 32 at most
+        word = start >> 5
+        first = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
+        sums, at = np.add.reduceat(values << (start & 31).astype(np.uint64), first), word.take(first)
+        cells = np.zeros(int(word[-1]) + 2, dtype=np.uint64)
+        cells[at] = sums & np.uint64(0xFFFFFFFF)
+        cells[at + 1] += sums >> np.uint64(32)
+        return cells.astype("<u4").tobytes()[: (int(end[-1]) + 7) // 8]
 
 
 def huffman(counts: np.ndarray, most: int) -> np.ndarray:
@@ -585,19 +612,25 @@ def huffman(counts: np.ndarray, most: int) -> np.ndarray:
         return lengths
     order = used[np.argsort(counts[used], kind="stable")]
     n, least = len(order), 1
+    never = float("inf")
     while True:
-        weight = np.maximum(counts[order], least).tolist()
-        parent, leaf, inner = [0] * (2 * n - 1), 0, n
-        for made in range(n, 2 * n - 1):
-            total = 0
-            for _ in (0, 1):
-                if leaf < n and (inner >= made or weight[leaf] <= weight[inner]):
-                    pick, leaf = leaf, leaf + 1
-                else:
-                    pick, inner = inner, inner + 1
-                parent[pick] = made
-                total += weight[pick]
-            weight.append(total)
+        # both queues end with what is never the lighter one
+        weight = [*np.maximum(counts[order], least).tolist(), never]
+        sums, parent, leaf, inner = [never] * n, [0] * (2 * n - 1), 0, 0
+        for made in range(n - 1):
+            one, other = weight[leaf], sums[inner]
+            if one <= other:
+                parent[leaf], leaf, total = made + n, leaf + 1, one
+                one = weight[leaf]
+            else:
+                parent[n + inner], inner, total = made + n, inner + 1, other
+                other = sums[inner]
+            if one <= other:
+                parent[leaf], leaf = made + n, leaf + 1
+                sums[made] = total + one
+            else:
+                parent[n + inner], inner = made + n, inner + 1
+                sums[made] = total + other
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -607,35 +640,49 @@ def huffman(counts: np.ndarray, most: int) -> np.ndarray:
         least *= 2
 
 
-def _length_tokens(lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    """(symbol, extra bits, number of them) for an array of code lengths."""
-    out, before = [], 8
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(lengths)) + 1])
-    for value, run in zip(lengths[starts].tolist(), np.diff(starts, append=len(lengths)).tolist(), strict=True):
-        if value == 0:
-            while run >= 3:
-                k = min(run, 138)
-                out.append((17, k - 3, 3) if k <= 10 else (18, k - 11, 7))
-                run -= k
-        else:
-            if value != before:
-                out.append((value, 0, 0))
-                run -= 1
-                before = value
-            while run >= 3:
-                k = min(run, 6)
-                out.append((16, k - 3, 2))
-                run -= k
-        if run:
-            out += [(value, 0, 0)] * run
-    return out
-
-
 @lru_cache(maxsize=1)
 def _length_codes() -> list[int]:
     return canonical(np.array(LENGTH_BITS)).tolist()
 
 
+@lru_cache(maxsize=1)
+def _length_header() -> tuple[tuple[int, int], ...]:
+    """The start of every longer code, which tells the code of code lengths, as numbers of at most 32 bits with their sizes."""
+    header = 15 << 1
+    for k, s in enumerate(CODE_LENGTH_ORDER):
+        header |= LENGTH_BITS[s] << (5 + 3 * k)
+    return (header & 0xFFFFFFFF, header >> 32), (32, 5 + 3 * 19 - 32)
+
+
+@lru_cache(maxsize=8192)
+def _run_tokens(value: int, run: int, again: bool) -> tuple[int, list[int], list[int]]:
+    """How many tokens a run of equal code lengths takes, and their bits as numbers of at most 32 bits with their sizes. again: the last length but 0 was the same."""
+    tokens = []
+    if value == 0:
+        while run >= 3:
+            k = min(run, 138)
+            tokens.append((17, k - 3, 3) if k <= 10 else (18, k - 11, 7))
+            run -= k
+    else:
+        if not again:
+            tokens.append((value, 0, 0))
+            run -= 1
+        while run >= 3:
+            k = min(run, 6)
+            tokens.append((16, k - 3, 2))
+            run -= k
+    tokens += [(value, 0, 0)] * run
+    codes, values, sizes = _length_codes(), [0], [0]
+    for symbol, extra, n in tokens:
+        own, size = codes[symbol] | extra << LENGTH_BITS[symbol], LENGTH_BITS[symbol] + n
+        if sizes[-1] + size > 32:
+            values.append(0)
+            sizes.append(0)
+        values[-1] |= own << sizes[-1]
+        sizes[-1] += size
+    return len(tokens), values, sizes
+
+
 def _write_prefix(out: Writer, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths).tolist() or [0]
     if len(used) <= 2 and used[-1] < 256:
@@ -646,26 +693,31 @@ def _write_prefix(out: Writer, lengths: np.ndarray) -> None:
         if len(used) == 2:
             out.write(used[1], 8)
         return
-    tokens = _length_tokens(lengths)
     # zeros at the end are left out
-    while tokens[-1][0] in (0, 17, 18):
-        tokens.pop()
-    codes = _length_codes()
-    out.write(0, 1)
-    out.write(19 - 4, 4)
-    for s in CODE_LENGTH_ORDER:
-        out.write(LENGTH_BITS[s], 3)
+    lengths = lengths[: used[-1] + 1]
+    starts = np.concatenate([[0], np.flatnonzero(lengths[1:] != lengths[:-1]) + 1, [len(lengths)]])
+    count, before, values, sizes = 0, 8, [], []
+    for value, run in zip(lengths[starts[:-1]].tolist(), (starts[1:] - starts[:-1]).tolist(), strict=True):
+        n, bits, own = _run_tokens(value, run, value == before)
+        count += n
+        values += bits
+        sizes += own
+        before = value or before
+    if count < 2:
+        n, bits, own = _run_tokens(0, 2 - count, False)
+        count, values, sizes = 2, values + bits, sizes + own
+    start, widths = _length_header()
+    out.values += start
+    out.sizes += widths
     out.write(1, 1)
-    count = max(len(tokens), 2)
-    tokens += [(0, 0, 0)] * (count - len(tokens))
     width = max(1, (((count - 2).bit_length() + 1) // 2))
     out.write(width - 1, 3)
     out.write(count - 2, 2 * width)
-    for symbol, extra, size in tokens:
-        out.values.append(codes[symbol] | extra << LENGTH_BITS[symbol])
-        out.sizes.append(LENGTH_BITS[symbol] + size)
+    out.values += values
+    out.sizes += sizes
 
 
+@lru_cache(maxsize=8192)
 def _prefix_of(value: int) -> tuple[int, int, int]:
     """(prefix, extra bits, number of them) of a length or distance code."""
     if value <= 4:
@@ -682,14 +734,15 @@ def _near_codes(width: int) -> dict[int, int]:
 
 
 def slots_of(argb: np.ndarray, cache_bits: int) -> np.ndarray:
-    return ((argb.astype(np.uint64) * np.uint64(HASH) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+    return (argb * np.uint32(HASH) >> np.uint32(32 - cache_bits)).astype(np.int64)
 
 
 def cache_hits(argb: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """Whether the last pixel before each one in its place of the cache is the same."""
-    order = np.argsort(slot, kind="stable")
-    same = np.zeros(len(argb), dtype=bool)
-    same[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
+    same, own = np.zeros(len(argb), dtype=bool), argb.take(order)
+    # equal pixels have one place
+    same[order[1:]] = own[1:] == own[:-1]
     return same
 
 
@@ -705,35 +758,43 @@ def matches(argb: np.ndarray) -> list[tuple[int, int, int]]:
     with np.errstate(over="ignore"):
         key = wide[:-2] * np.uint64(0x9E3779B97F4A7C15) + wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + wide[2:] * np.uint64(0xD6E8FEB86659FD93)
     order = np.argsort(key, kind="stable")
-    again = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1
+    own = key.take(order)
+    again = np.flatnonzero(own[1:] == own[:-1]) + 1
     if not len(again):
         return []
-    prior = np.full(n, -1, dtype=np.int64)
-    prior[order[again]] = order[again - 1]
-    out, at = [], 0
-    places = np.sort(order[again])
-    k = 0
+    before = np.full(n, -1, dtype=np.int64)
+    before[order[again]] = order[again - 1]
+    found = np.flatnonzero(before >= 0)
+    places, prior, raw = found.tolist(), before.take(found).tolist(), argb.tobytes()
+    out, k = [], 0
     while k < len(places):
-        i = int(places[k])
-        back, length, step = i - int(prior[i]), 0, 16
-        while length < MAX_COPY and i + length < n:
-            own = argb[i + length : i + min(length + step, MAX_COPY)]
-            same = own == argb[i + length - back : i + length - back + len(own)]
-            if not same.all():
-                length += int(same.argmin())
-                break
-            length += len(own)
-            step *= 4
+        i = places[k]
+        back, most = i - prior[k], min(MAX_COPY, n - i)
+        # the first pixels as one number, whose lowest bit tells where they part
+        length = min(16, most)
+        a, b = 4 * i, 4 * prior[k]
+        if apart := int.from_bytes(raw[a : a + 4 * length], "little") ^ int.from_bytes(raw[b : b + 4 * length], "little"):
+            length = (apart & -apart).bit_length() - 1 >> 5
+        else:
+            step = 64
+            while length < most:
+                own = argb[i + length : i + min(length + step, most)]
+                same = own == argb[i + length - back : i + length - back + len(own)]
+                if not same.all():
+                    length += int(same.argmin())
+                    break
+                length += len(own)
+                step *= 4
         if length >= MIN_COPY:
             out.append((i, length, back))
-            at = i + length
-            k = int(np.searchsorted(places, at))
+            k = bisect_left(places, i + length, k)
         else:
             k += 1
     return out
 
 
-def _write_pixels(out: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False, meta_block: int = 0) -> None:
+def _write_pixels(out: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False, meta_block: int = 0, cached: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+    """cached: slots_of and cache_hits, where they are known."""
     out.write(int(cache_bits > 0), 1)
     if cache_bits:
         out.write(cache_bits, 4)
@@ -746,29 +807,32 @@ def _write_pixels(out: Writer, argb: np.ndarray, width: int, main: bool, cache_b
             of = np.arange(wide * -(-(n // width) // (1 << meta_block))) % 2
             n_groups = int(of.max()) + 1
             _write_pixels(out, (of << 8).astype(np.uint32), wide, False)
-    # five cells a token: symbols of green (or length), red (or the length's extra bits), blue (or distance), alpha (or its extra bits)
-    parts = channels(argb).astype(np.int64)[:, [2, 1, 3, 0]]
-    code = np.tile(np.arange(4), (n, 1))
-    size = np.full((n, 4), -1)  # -1: by the code; else a plain number of bits
-    alone = np.ones(n, dtype=bool)
-    if cache_bits:
-        slot = slots_of(argb, cache_bits)
-        hit = cache_hits(argb, slot)
-        parts[hit, 0], size[hit, 1:] = 280 + slot[hit], 0
-    for place, length, back in matches(argb) if references else ():
-        (a, b, c), (d, e, f) = _prefix_of(length), _prefix_of(_near_codes(width).get(back, back + 120))
-        parts[place], code[place], size[place] = (256 + a, b, d, e), (0, 0, 4, 0), (-1, c, -1, f)
-        alone[place + 1 : place + length] = False
-    kept = np.flatnonzero(alone)
-    parts, code, size = parts[kept], code[kept], size[kept]
-    group = np.zeros(len(kept), dtype=np.int64)
-    if meta_block:
-        group = of[(kept // width >> meta_block) * wide + (kept % width >> meta_block)]
+    # four cells a token: symbols of green (or length), red (or the length's extra bits), blue (or distance), alpha (or its extra bits)
     alphabet = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
-    coded = size < 0
-    which, base = 5 * group[:, None] + code, np.concatenate([[0], np.cumsum(np.tile(alphabet, n_groups))])
-    counts = np.bincount((base[which] + parts)[coded], minlength=base[-1])
-    written, bits_of = np.zeros(base[-1], dtype=np.int64), np.zeros(base[-1], dtype=np.int64)
+    base = np.cumsum([0, *alphabet * n_groups])
+    none = int(base[-1])  # the symbol of a cell that has no code
+    at = channels(argb).take((2, 1, 3, 0), axis=1) + base[:4]
+    shift = np.zeros(n, dtype=np.int64)
+    if meta_block:
+        places = np.arange(n)
+        shift = 5 * of[(places // width >> meta_block) * wide + (places % width >> meta_block)]
+        at += base[shift][:, None]
+    if cache_bits:
+        slot = slots_of(argb, cache_bits) if cached is None else cached[0]
+        hit = np.flatnonzero(cache_hits(argb, slot) if cached is None else cached[1])
+        at[hit, 0], at[hit, 1:] = base.take(shift.take(hit)) + 280 + slot.take(hit), none
+    copies = matches(argb) if references else []
+    if copies:
+        near = _near_codes(width)
+        a, b, c, d, e, f = np.array([_prefix_of(length) + _prefix_of(near.get(back, back + 120)) for _, length, back in copies]).T
+        place, length, _ = np.array(copies).T
+        at[place, 0], at[place, 1], at[place, 2], at[place, 3] = base[shift[place]] + 256 + a, none, base[shift[place] + 4] + d, none
+        inside = np.zeros(n + 1, dtype=np.int8)
+        inside[place + 1], inside[place + length] = 1, -1
+        kept = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) == 0)
+        at, place = at.take(kept, axis=0), np.searchsorted(kept, place)
+    counts = np.bincount(at.ravel(), minlength=none + 1)
+    written, bits_of = np.zeros(none + 1, dtype=np.int64), np.zeros(none + 1, dtype=np.int64)
     own = [counts[base[k] : base[k + 1]] for k in range(5 * n_groups)]
     for k in range(1, 5 * n_groups, 5):
         # red, blue and alpha share a code, which is built and read once, where that costs little
@@ -784,8 +848,9 @@ def _write_pixels(out: Writer, argb: np.ndarray, width: int, main: bool, cache_b
         out.append(header)
         if np.count_nonzero(lengths) > 1:
             written[base[k] : base[k + 1]], bits_of[base[k] : base[k + 1]] = codes, lengths
-    at = (base[which] + parts)[coded]
-    size[coded], parts[coded] = bits_of[at], written[at]
+    parts, size = written.take(at), bits_of.take(at)
+    if copies:
+        parts[place, 1], size[place, 1], parts[place, 3], size[place, 3] = b, c, e, f
     out.add(parts.ravel(), size.ravel())
 
 
@@ -796,12 +861,27 @@ def _code_bits(counts: np.ndarray) -> float:
     return float(total * np.log2(total) - own @ np.log2(own)) + 4.0 * len(own) if len(own) > 1 else 8.0
 
 
+def _weight(counts: np.ndarray) -> np.ndarray:
+    return counts * np.log2(np.maximum(counts, 1))
+
+
+@lru_cache(maxsize=1)
+def _small_weights() -> tuple[np.ndarray, np.ndarray]:
+    """Of the numbers below 4096 what they add to _code_bits as a total, and as a count."""
+    x = np.arange(4096)
+    return _weight(x), np.minimum(x, 1) * 4.0 - _weight(x)
+
+
 def _rows_bits(counts: np.ndarray) -> list[float]:
     """_code_bits of each row."""
-    own = counts.astype(np.float64)
-    total, kinds = own.sum(axis=1), (counts > 0).sum(axis=1)
-    bits = total * np.log2(np.maximum(total, 1)) - (own * np.log2(np.maximum(own, 1))).sum(axis=1) + 4.0 * kinds
-    return np.where(kinds > 1, bits, 8.0).tolist()
+    total = counts.sum(axis=1)
+    if int(total.max(initial=0)) < 4096:
+        of_total, of_count = _small_weights()
+        bits = of_total.take(total) + of_count.take(counts).sum(axis=1)
+    else:
+        bits = _weight(total) + (np.minimum(counts, 1) * 4.0 - _weight(counts)).sum(axis=1)
+    # two symbols take more than 8 bits with their code, one takes 4 and rounding
+    return [x if x > 6 else 8.0 for x in bits.tolist()]
 
 
 def _channel_bits(parts: np.ndarray, which: tuple[int, ...] = (0, 1, 2, 3)) -> list[float]:
@@ -819,9 +899,9 @@ LEAST_RELATED = 0.3
 
 def _related(parts: np.ndarray) -> bool:
     """Whether two of red, green and blue go together; a share of one that is taken from another saves nothing where they do not."""
-    own = parts[:, 1:].astype(np.float32)
-    own -= own.mean(axis=0)
-    products = own.T @ own
+    own = np.ascontiguousarray(parts[:, 1:].T).astype(np.float32)
+    own -= own.mean(axis=1, keepdims=True)
+    products = own @ own.T
     size = np.sqrt(np.maximum(np.diag(products), 1e-9))
     shares = np.abs(products / size[:, None] / size)
     return bool(max(shares[0, 1], shares[0, 2], shares[1, 2]) >= LEAST_RELATED)
@@ -853,6 +933,14 @@ def _row_modes(argb: np.ndarray, width: int) -> np.ndarray:
     own = argb.reshape(-1, width)
     starts = np.arange(0, len(own), 1 << PREDICT_BLOCK)
     area = np.diff(starts, append=len(own)) * width
+    last = int(starts[-1])
+    # no block has more zeros than the image; its last block, which may be small, is looked at alone
+    for now, left in ((own[:, 1:], own[:, :-1]), (own[1:], own[:-1]), (own[1:, :-1], own[:-1, 1:]), (own[1:, 1:], own[:-1, :-1])):
+        equal = now == left
+        if np.count_nonzero(equal) > ZERO_SHARE * area[0] or np.count_nonzero(equal[max(last - len(own) + len(equal), 0) :]) > ZERO_SHARE * area[-1]:
+            break
+    else:
+        return np.zeros(len(starts), dtype=np.int64)
     same = np.zeros((5, len(own)), dtype=np.int64)
     same[1] = (own[:, 1:] == own[:, :-1]).sum(axis=1)
     same[2, 1:] = (own[1:] == own[:-1]).sum(axis=1)
@@ -874,15 +962,16 @@ def _less_predicted(argb: np.ndarray, width: int, modes: np.ndarray) -> np.ndarr
 def encode_best(pixels: np.ndarray) -> bytes:
     """A file of one image, with transforms, cache and copies where estimates from the data say that they make it smaller."""
     height, width = pixels.shape[:2]
-    argb = joined(pixels.reshape(-1, 4)[:, [3, 0, 1, 2]])
+    argb = _numbers(pixels)
     parts = channels(argb)
     transforms: tuple[int, ...] = ()
     values: dict[int, np.ndarray] = {}
     alone = _channel_bits(parts)
     bits = plain = sum(alone)
-    table, index = np.unique(argb, return_inverse=True)
-    if len(table) <= 256:
-        palette = 24.0 * len(table) + _code_bits(np.bincount(index))
+    ordered = np.sort(argb)
+    starts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+    if len(starts) < 256:
+        palette = 24.0 * (len(starts) + 1) + _code_bits(np.diff(starts, prepend=0, append=len(argb)))
         if palette < bits:
             transforms, bits = (PALETTE,), palette
     modes = _row_modes(argb, width)
@@ -896,30 +985,30 @@ def encode_best(pixels: np.ndarray) -> bytes:
             green_red, green_blue, red_blue = (m & 255 for m in element)
             own = np.tile(np.array([255, red_blue, green_blue, green_red], dtype=np.uint8), (-(-height // (1 << CROSS_BLOCK)), 1))
             transforms, values = (CROSS_COLOR,), {CROSS_COLOR: joined(own)}
-    return encode(pixels, transforms, references=True, cache_bits=-1, values=values, blocks={PREDICTOR: PREDICT_BLOCK, CROSS_COLOR: CROSS_BLOCK})
+    return encode(pixels, transforms, references=True, cache_bits=-1, values=values, blocks={PREDICTOR: PREDICT_BLOCK, CROSS_COLOR: CROSS_BLOCK}, plain=plain)
 
 
-def _best_cache(argb: np.ndarray) -> int:
-    """Bits of a cache of about an eighth of the pixels, or 0 where it does not pay."""
+def _best_cache(argb: np.ndarray, without: float | None = None) -> tuple[int, tuple[np.ndarray, np.ndarray] | None]:
+    """Bits of a cache of about an eighth of the pixels, or 0 where it does not pay; the places of the pixels, and which of them are found there. without: sum of _channel_bits, where it is known."""
     size = min(max(len(argb).bit_length() - 3, 1), 10)
     slot = slots_of(argb, size)
     hit = cache_hits(argb, slot)
     if not hit.any():
-        return 0
+        return 0, None
     parts = channels(argb)
-    without = sum(_channel_bits(parts))
+    without = sum(_channel_bits(parts)) if without is None else without
     rest = parts[~hit]
     green = np.concatenate([np.bincount(rest[:, 2], minlength=256), np.bincount(slot[hit])])
-    return size if _code_bits(green) + sum(_channel_bits(rest, (0, 1, 3))) < without else 0
+    return (size, (slot, hit)) if _code_bits(green) + sum(_channel_bits(rest, (0, 1, 3))) < without else (0, None)
 
 
-def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), block: int = 2, cache_bits: int = 0, references: bool = False, meta_block: int = 0, seed: int = 0, values: dict | None = None, blocks: dict | None = None) -> bytes:
-    """A file of one image (height, width, 4). transforms are applied in the order given; their block values are in `values` or drawn from seed. cache_bits -1: by the data."""
+def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), block: int = 2, cache_bits: int = 0, references: bool = False, meta_block: int = 0, seed: int = 0, values: dict | None = None, blocks: dict | None = None, plain: float | None = None) -> bytes:
+    """A file of one image (height, width, 4). transforms are applied in the order given; their block values are in `values` or drawn from seed. cache_bits -1: by the data; plain: the _channel_bits of the pixels, where they are known."""
     height, width = pixels.shape[:2]
     if not (0 < height <= MAX_SIDE and 0 < width <= MAX_SIDE):
         raise ValueError("an image has 1 to 16384 pixels a side")
-    rng = np.random.Generator(np.random.PCG64(seed))
-    out, argb, across = Writer(), joined(pixels.reshape(-1, 4)[:, [3, 0, 1, 2]]), width
+    rng = np.random.Generator(np.random.PCG64(seed)) if {PREDICTOR, CROSS_COLOR} & set(transforms) else None
+    out, argb, across = Writer(), _numbers(pixels), width
     values, blocks = values or {}, blocks or {}
     for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
         out.write(value, n)
@@ -961,7 +1050,8 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), block: int = 2,
             across = wide
     out.write(0, 1)
     argb = argb.astype(np.uint32)
-    _write_pixels(out, argb, across, True, _best_cache(argb) if cache_bits < 0 else cache_bits, references, meta_block)
+    size, cached = _best_cache(argb, None if transforms else plain) if cache_bits < 0 else (cache_bits, None)
+    _write_pixels(out, argb, across, True, size, references, meta_block, cached)
     data = out.bytes()
     pad = len(data) & 1
     return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(data) + pad, b"WEBP", b"VP8L", len(data)) + data + b"\0" * pad
