@@ -439,6 +439,29 @@ def test_lm_streams():
     assert not follows.any()
 
 
+def test_lm_ended_streams(monkeypatch):
+    """Texts of unequal length: a window is worked on by the streams that still have tokens, and every token is learned from once."""
+    rng = np.random.default_rng(3)
+    size = np.append(rng.integers(1, 40, 300), 1500)
+    class_of = np.concatenate([rng.integers(0, 4, 60), 4 + np.arange(language_model.SURFACES + 1), np.full(language_model.SURFACES, -1)])
+    ids, first = rng.integers(0, 60, size.sum()), np.concatenate([[0], np.cumsum(size)])
+    share = np.full(5 + language_model.SURFACES, 1 / (5 + language_model.SURFACES))
+    trainer, seen, plain = language_model.Trainer(language_model.initial_weights(share, 61 + language_model.SURFACES), class_of, 0.02), [], language_model.Trainer.gradients
+
+    def spied(self, own, start, h):
+        assert (own[:, 0] >= 0).all()
+        seen.append(own[own >= 0])
+        # streams that have ended change nothing but the time
+        more = [np.concatenate([x, np.full((3, *x.shape[1:]), fill, dtype=x.dtype)]) for x, fill in ((own, -1), (start, False), (h, 0))]
+        found, padded = plain(self, own, start, h), plain(self, *more)
+        assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(found[2], padded[2], strict=True)) and np.array_equal(found[0], padded[0])
+        return found
+
+    monkeypatch.setattr(language_model.Trainer, "gradients", spied)
+    trainer.chunk(ids, first, 1)
+    assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(ids)) and trainer.met.sum() == len(ids)
+
+
 def test_lm_sums():
     """Sums of changes by block and id, in two steps, against plain ones."""
     rng = np.random.default_rng(8)

@@ -42,6 +42,7 @@ HIDDEN = 32
 CONTEXTS = 64
 CHUNK, SEGMENT, WINDOW, EMBEDDING = 1 << 21, 2048, 32, 16
 BLOCK_ROWS, FAN_IN = 1024, 256
+LOGIT_BLOCK = 1024
 
 
 def surface(words: Words) -> np.ndarray:
@@ -117,13 +118,17 @@ class Model:
         return own
 
 
-def _step(h: np.ndarray, x: np.ndarray, u: np.ndarray, gates: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    gates = np.add(x[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=gates)
+def _sigmoid(gates: np.ndarray) -> np.ndarray:
+    """In place."""
     np.negative(gates, out=gates)
     # an overflow gives 0, as it should
     np.exp(gates, out=gates)
     gates += 1
-    np.reciprocal(gates, out=gates)
+    return np.reciprocal(gates, out=gates)
+
+
+def _step(h: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    gates = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
     new = r * u[:, 2 * HIDDEN :]
     new += x[:, 2 * HIDDEN :]
@@ -131,7 +136,7 @@ def _step(h: np.ndarray, x: np.ndarray, u: np.ndarray, gates: np.ndarray | None
     after = h - new
     after *= z
     after += new
-    return after, z, r, new
+    return after
 
 
 def log_shares(model: Model, ids: np.ndarray, first: np.ndarray, width: int = 1024, window: int = 32) -> np.ndarray:
@@ -148,6 +153,7 @@ def log_shares(model: Model, ids: np.ndarray, first: np.ndarray, width: int = 10
 
 
 def _add_shares(model: Model, ids: np.ndarray, first: np.ndarray, length: np.ndarray, order: np.ndarray, share: np.ndarray, small: bool, out: np.ndarray, width: int, window: int) -> None:
+    output_t = np.ascontiguousarray(model.output.T)
     for g in range(0, len(order), width):
         own = order[g : g + width]
         h = np.zeros((len(own), HIDDEN), dtype=np.float32)
@@ -163,16 +169,20 @@ def _add_shares(model: Model, ids: np.ndarray, first: np.ndarray, length: np.nda
                 states[t] = h
                 token = ids[base[:n] + t0 + t]
                 classes[t, :n] = model.class_of[token]
-                h[:n] = _step(h[:n], model.inputs[token], h[:n] @ model.recurrent)[0]
+                h[:n] = _step(h[:n], model.inputs[token], h[:n] @ model.recurrent)
             has = np.flatnonzero(classes.ravel() >= 0)
             chosen = classes.ravel()[has]
-            logits = states.reshape(-1, HIDDEN)[has] @ model.output
-            logits += model.output_bias
-            if not small:
-                logits -= logits.max(axis=1, keepdims=True)
-            own_logit = logits[np.arange(len(chosen)), chosen]
-            value = (own_logit - np.log(np.exp(logits, out=logits).sum(axis=1))) / np.log(10) - share[chosen]
-            out[own[:active]] += np.bincount(has % active, value.astype(np.float64), minlength=active)
+            value, flat = np.empty(len(has)), states.reshape(-1, HIDDEN)
+            # a block's classes are rows and stay in the cache
+            for a in range(0, len(has), LOGIT_BLOCK):
+                of = chosen[a : a + LOGIT_BLOCK]
+                logits = output_t @ flat[has[a : a + LOGIT_BLOCK]].T
+                logits += model.output_bias[:, None]
+                if not small:
+                    logits -= logits.max(axis=0)
+                own_logit = logits[of, np.arange(len(of))]
+                value[a : a + LOGIT_BLOCK] = (own_logit - np.log(np.exp(logits, out=logits).sum(axis=0))) / np.log(10) - share[of]
+            out[own[:active]] += np.bincount(has % active, value, minlength=active)
 
 
 def segments(first: np.ndarray, most: int) -> np.ndarray:
@@ -238,54 +248,71 @@ class Trainer:
 
     def _gradients(self, own: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, float]:
         embed, into, recurrent, output, bias = self.p
-        kind, steps, width = into.dtype, own.shape[1], 3 * HIDDEN
+        kind, n, steps = into.dtype, *own.shape
         valid = own.T >= 0
         token = np.where(valid, own.T, 0)
         token_in = self.input_of[token]
-        embedded = embed[token_in.ravel()]
-        x = (embedded @ into).reshape(steps, len(own), width)
-        keep = (~start.T).astype(np.float32)[:, :, None]
-        shape = (steps, len(own), HIDDEN)
-        before, gates, new, u_new = np.empty(shape, kind), np.empty((*shape[:2], 2 * HIDDEN), kind), np.empty(shape, kind), np.empty(shape, kind)
+        target = np.where(valid, self.class_of[token], -1)
+        embedded, keep = embed[token_in], (~start.T).astype(np.float32)
+        count = max(int(np.count_nonzero(target >= 0)), 1)
+        # a unit is a row and a stream a column: gates lie apart, and what a step needs stays in the cache
+        shape = (steps, HIDDEN, n)
+        before, new, u_new, d_states = (np.empty(shape, kind) for _ in range(4))
+        gates = np.empty((steps, 2 * HIDDEN, n), kind)
+        into_t, recurrent_t, output_t = (np.ascontiguousarray(w.T) for w in (into, recurrent, output))
+        d_into, d_recurrent, d_output, d_bias = (np.zeros_like(w) for w in (into, recurrent, output, bias))
+        h, loss = np.ascontiguousarray(h.T), 0.0
         for t in range(steps):
             np.multiply(h, keep[t], out=before[t])
-            u = before[t] @ recurrent
-            h, _, _, new[t] = _step(before[t], x[t], u, gates[t])
-            u_new[t] = u[:, 2 * HIDDEN :]
-        target = np.where(valid, self.class_of[token], -1).ravel()
-        aimed = np.flatnonzero(target >= 0)
-        states = before.reshape(-1, HIDDEN)
-        prob = states @ output
-        prob += bias
-        np.exp(prob, out=prob)
-        sums, count = prob.sum(axis=1), max(len(aimed), 1)
-        loss = -float(np.log(np.maximum(prob[aimed, target[aimed]] / sums[aimed], 1e-30)).sum()) / count
-        prob *= np.where(target >= 0, 1 / (sums * count), 0).astype(prob.dtype)[:, None]
-        prob[aimed, target[aimed]] -= prob.dtype.type(1 / count)
-        d_states = (prob @ output.T).reshape(shape)
-        # factors of the loop backwards, for the whole window
-        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
-        by_z = before - new
-        by_z *= z - z * z
-        by_new = (1 - z) * (1 - new * new)
-        by_r = u_new * (r - r * r)
-        dx, du = np.empty_like(x), np.empty_like(x)
-        dh, back = np.zeros_like(h), np.ascontiguousarray(recurrent.T)
+            u, x = recurrent_t @ before[t], into_t @ embedded[t].T
+            _sigmoid(np.add(u[: 2 * HIDDEN], x[: 2 * HIDDEN], out=gates[t]))
+            u_new[t] = u[2 * HIDDEN :]
+            np.multiply(gates[t, HIDDEN:], u_new[t], out=new[t])
+            new[t] += x[2 * HIDDEN :]
+            np.tanh(new[t], out=new[t])
+            h = before[t] - new[t]
+            h *= gates[t, :HIDDEN]
+            h += new[t]
+            prob = output_t @ before[t]
+            prob += bias[:, None]
+            np.exp(prob, out=prob)
+            sums, aimed = prob.sum(axis=0), np.flatnonzero(target[t] >= 0)
+            to = target[t, aimed]
+            loss -= float(np.log(np.maximum(prob[to, aimed] / sums[aimed], 1e-30)).sum())
+            prob *= np.where(target[t] >= 0, 1 / (sums * count), 0).astype(kind)
+            prob[to, aimed] -= kind.type(1 / count)
+            np.matmul(output, prob, out=d_states[t])
+            d_output += before[t] @ prob.T
+            d_bias += prob.sum(axis=1)
+        dx, du = np.empty((3 * HIDDEN, n), kind), np.empty((3 * HIDDEN, n), kind)
+        dh, d_embedded = np.zeros_like(h), np.empty_like(embedded)
         for t in range(steps - 1, -1, -1):
-            d = dx[t]
-            np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
-            dn = np.multiply(dh, by_new[t], out=d[:, 2 * HIDDEN :])
-            np.multiply(dn, by_r[t], out=d[:, HIDDEN : 2 * HIDDEN])
-            du[t, :, : 2 * HIDDEN] = d[:, : 2 * HIDDEN]
-            np.multiply(dn, r[t], out=du[t, :, 2 * HIDDEN :])
-            dh *= z[t]
-            dh += du[t] @ back
+            z, r = gates[t, :HIDDEN], gates[t, HIDDEN:]
+            dz, dr, dn = dx[:HIDDEN], dx[HIDDEN : 2 * HIDDEN], dx[2 * HIDDEN :]
+            # of the state's change z hands on its own share, the new state the rest
+            own_share = dh * z
+            np.subtract(dh, own_share, out=dn)
+            np.subtract(before[t], new[t], out=dz)
+            dz *= dn
+            dz *= z
+            np.multiply(new[t], new[t], out=dr)
+            np.subtract(1, dr, out=dr)
+            dn *= dr
+            np.multiply(r, r, out=dr)
+            np.subtract(r, dr, out=dr)
+            dr *= u_new[t]
+            dr *= dn
+            du[: 2 * HIDDEN] = dx[: 2 * HIDDEN]
+            np.multiply(dn, r, out=du[2 * HIDDEN :])
+            dh = recurrent @ du
+            dh += own_share
             dh += d_states[t]
             dh *= keep[t]
-        dx = dx.reshape(-1, width)
-        others = [embedded.T @ dx, states.T @ du.reshape(-1, width), states.T @ prob, prob.sum(axis=0)]
+            d_into += embedded[t].T @ dx.T
+            d_recurrent += before[t] @ du.T
+            np.matmul(dx.T, into_t, out=d_embedded[t])
         met = np.flatnonzero(valid.ravel())
-        return token_in.ravel()[met], (dx @ into.T)[met], others, h, loss
+        return token_in.ravel()[met], d_embedded.reshape(len(token_in.ravel()), -1)[met], [d_into, d_recurrent, d_output, d_bias], np.ascontiguousarray(h.T), loss / count
 
     def _update(self, token: np.ndarray, dx: np.ndarray, others: list[np.ndarray]) -> None:
         if not all(np.isfinite(g).all() for g in (dx, *others)):
@@ -311,9 +338,10 @@ class Trainer:
         token, fresh = _streams(ids, segments(first, SEGMENT), streams, seed)
         h, loss = np.zeros((streams, HIDDEN), dtype=np.float32), 0.0
         for t0 in range(0, token.shape[1], WINDOW):
-            own, start = token[:, t0 : t0 + WINDOW], fresh[:, t0 : t0 + WINDOW]
-            if (own >= 0).any():
-                tokens, dx, others, h, loss = self.gradients(own, start, h)
+            # a stream has no gaps, so one that begins no token here has ended
+            live = np.flatnonzero(token[:, t0] >= 0)
+            if len(live):
+                tokens, dx, others, h[live], loss = self.gradients(token[live, t0 : t0 + WINDOW], fresh[live, t0 : t0 + WINDOW], h[live])
                 self._update(tokens, dx, others)
         return loss
 
