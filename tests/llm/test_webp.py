@@ -166,3 +166,72 @@ def test_work_of_a_document():
     counted.disable()
     calls = sum(s.callcount for s in counted.getstats())
     assert calls < 3400 * len(payloads)
+
+
+def _odd_payloads():
+    """Short and long texts, runs, few colours, channels that go together, rows that repeat, noise."""
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(300)]
+    texts = [b" ".join(words[k] for k in rng.integers(0, 300, n)) for n in rng.integers(1, 400, 150)]
+    texts += [b"", b"a", b"\0" * 64, b"x" * 5000, b"abcd" * 700, bytes(range(256)) * 9, "é中".encode() * 333, b" ".join(words) * 30]
+    texts += [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (1, 63, 64, 65, 4096, 30_000)]
+    grey = rng.integers(0, 60, (2000, 4)).astype(np.uint8)
+    grey[:, 0], grey[:, 2], grey[:, 3] = grey[:, 1] + 1, grey[:, 1], 255
+    half = rng.integers(0, 120, (2000, 4)).astype(np.uint8)
+    half[:, 0], half[:, 3] = half[:, 1] >> 1, 255
+    few = rng.integers(0, 256, (5, 4)).astype(np.uint8)[rng.integers(0, 5, 3200)]
+    rows = np.tile(rng.integers(0, 256, (1, 64)).astype(np.uint8), (200, 1))
+    rows[::7] = rng.integers(0, 256, (29, 64))
+    return [media.padded(x) for x in texts + [x.tobytes() for x in (grey, half, few, rows)]]
+
+
+def test_together():
+    """Texts coded together are stored as each alone is, and read back as each alone is; what they use is told alike."""
+    payloads = _odd_payloads()
+    alone = [media.store(x) for x in payloads]
+    order = np.random.default_rng(9).permutation(len(payloads)).tolist()
+    assert media.store_all([payloads[k] for k in order]) == [alone[k] for k in order]
+    one, all_ = Counter(), Counter()
+    for stored in alone:
+        webp.decode(stored, one)
+    got = webp.decode_all([alone[k] for k in order], all_)
+    assert [np.concatenate(x).tobytes() for x in got] == [payloads[k] for k in order]
+    assert one == all_ and {"predictor", "palette", "subtract-green", "cross-colour", "literal", "cache", "copy"} <= set(all_)
+    # several files in one string, beside others
+    assert [len(x) for x in webp.decode_all([alone[3] + alone[4], *alone])] == [2] + [1] * len(alone)
+
+
+def test_any_stream_together():
+    """Streams that the encoder chooses for no document: each transform, several groups of codes, other cache sizes and widths."""
+    pixels = [_picture(kind, *size) for kind in ("noise", "few", "one", "ramp") for size in ((1, 9), (7, 1), (13, 11), (40, 16))]
+    stored, want = [], []
+    for own in pixels:
+        for transforms, cache_bits, references, meta in itertools.product(((), (0,), (2, 1)), (0, 1, 4, 11), (False, True), (0, 2)):
+            stored.append(webp.encode(own, transforms, cache_bits=cache_bits, references=references, meta_block=meta))
+            want.append(own)
+    for got, own in zip(webp.decode_all(stored), want, strict=True):
+        assert np.array_equal(got[0], own)
+
+
+def test_bad_data_together():
+    """A file cut short among good ones is refused, whatever stands behind it."""
+    stored = [media.store(x) for x in _odd_payloads()[:150]]
+    data = next(webp._files(stored[70]))
+    for n in range(len(data) // 2, len(data), 7):
+        with pytest.raises(ValueError):
+            webp.decode_all([*stored[:70], webp._file(data[:n]), *stored[71:]])
+
+
+def test_work_together():
+    """Calls a document where documents are coded together: 1,672 (2,789 one by one)."""
+    texts = [(r or "").encode() for r in pq.read_table(f"{SMALL}/documents.parquet").column("text").to_pylist()] * 5
+    rows = [[media.padded(texts[i]) for i in part] for part in media._parts(np.array([len(x) for x in texts]))]
+    media.load_all(media.store_all(rows[0]))
+    counted = cProfile.Profile()
+    counted.enable()
+    for payloads in rows:
+        for pixels in media.load_all(media.store_all(payloads)):
+            media.feature(pixels)
+    counted.disable()
+    calls = sum(s.callcount for s in counted.getstats())
+    assert calls < 2000 * len(texts)

@@ -13,7 +13,9 @@ from __future__ import annotations
 import struct
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 
@@ -253,9 +255,14 @@ def _distance(code: int, width: int) -> int:
     return max(1, dx + dy * width)
 
 
+def _plain(group: list[Prefix]) -> bool:
+    """Whether all pixels are one literal that takes no bits."""
+    return all(c.only is not None for c in group[:4]) and group[0].only < 256
+
+
 def _read_group(bits: Reader, group: list[Prefix], width: int, n: int, cache_bits: int, trace: Counter) -> np.ndarray:
     """An image whose tokens all have one group of codes."""
-    if all(c.only is not None for c in group[:4]) and group[0].only < 256:
+    if _plain(group):
         return np.full(n, group[3].only << 24 | group[1].only << 16 | group[0].only << 8 | group[2].only, dtype=np.uint32)
     if group[0].last_symbol >= 280 + (1 << cache_bits if cache_bits else 0):
         raise ValueError("a cache place is out of range")
@@ -316,16 +323,34 @@ def _read_group(bits: Reader, group: list[Prefix], width: int, n: int, cache_bit
     raise ValueError("the image data ends too early")
 
 
-def _read_pixels(bits: Reader, width: int, height: int, main: bool, trace: Counter) -> np.ndarray:
-    """An entropy-coded image as ARGB numbers, row by row."""
+class Head(NamedTuple):
+    """What stands before the tokens of an entropy-coded image: groups of codes, and for several of them which blocks use which."""
+
+    cache_bits: int
+    groups: list[list[Prefix]]
+    block: int
+    groups_of: np.ndarray | None
+
+
+def _read_head(bits: Reader, width: int, height: int, main: bool) -> Head:
     cache_bits = bits.read(4) if bits.read(1) else 0
-    n, block, groups_of = width * height, 0, None
+    block, groups_of = 0, None
     if main and bits.read(1):
         block = bits.read(3) + 2
         wide = -(-width // (1 << block))
         groups_of = (_read_pixels(bits, wide, -(-height // (1 << block)), False, Counter()) >> np.uint32(8)) & np.uint32(0xFFFF)
     sizes = (256 + 24 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
-    groups = [_read_codes(bits, sizes) for _ in range(1 if groups_of is None else int(groups_of.max()) + 1)]
+    return Head(cache_bits, [_read_codes(bits, sizes) for _ in range(1 if groups_of is None else int(groups_of.max()) + 1)], block, groups_of)
+
+
+def _read_pixels(bits: Reader, width: int, height: int, main: bool, trace: Counter) -> np.ndarray:
+    """An entropy-coded image as ARGB numbers, row by row."""
+    return _read_body(bits, _read_head(bits, width, height, main), width, height, trace)
+
+
+def _read_body(bits: Reader, head: Head, width: int, height: int, trace: Counter) -> np.ndarray:
+    cache_bits, groups, block, groups_of = head
+    n, wide = width * height, -(-width // (1 << block))
     if len(groups) == 1:
         return _read_group(bits, groups[0], width, n, cache_bits, trace)
     out: list[int] = []
@@ -515,10 +540,20 @@ def undo_palette(argb: np.ndarray, width: int, height: int, table: np.ndarray) -
     return full[index].ravel()
 
 
-def decode_vp8l(data: bytes, trace: Counter | None = None) -> np.ndarray:
-    """(height, width, 4): R, G, B, A. trace counts the images that use a feature."""
-    bits, trace = Reader(data), Counter() if trace is None else trace
-    used: Counter = Counter()
+class Image(NamedTuple):
+    """An image read up to the tokens of its pixels; undo: (transform, width, block, its image), in the order written."""
+
+    bits: Reader
+    width: int
+    height: int
+    across: int
+    undo: list[tuple[int, int, int, np.ndarray | None]]
+    head: Head
+    used: Counter
+
+
+def _open(data: bytes) -> Image:
+    bits, used = Reader(data), Counter()
     if bits.read(8) != 0x2F:
         raise ValueError("not a lossless image")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -540,29 +575,238 @@ def decode_vp8l(data: bytes, trace: Counter | None = None) -> np.ndarray:
             steps = channels(_read_pixels(bits, size, 1, False, Counter()))
             undo.append((kind, across, 0, joined(np.cumsum(steps, axis=0, dtype=np.uint8))))
             across = -(-across // (1 << palette_bits(size)))
-    argb = _read_pixels(bits, across, height, True, used)
-    for kind, wide, block, image in reversed(undo):
+    return Image(bits, width, height, across, undo, _read_head(bits, across, height, True), used)
+
+
+def _close(image: Image, argb: np.ndarray) -> np.ndarray:
+    """(height, width, 4): R, G, B, A."""
+    for kind, wide, block, own in reversed(image.undo):
         if kind == PREDICTOR:
-            argb = undo_predictor(argb, wide, block, (image >> np.uint32(8)) & np.uint32(255))
+            argb = undo_predictor(argb, wide, block, (own >> np.uint32(8)) & np.uint32(255))
         elif kind == CROSS_COLOR:
-            argb = cross_color(argb, wide, block, image, 1)
+            argb = cross_color(argb, wide, block, own, 1)
         elif kind == SUBTRACT_GREEN:
             argb = add_green(argb, 1)
         else:
-            argb = undo_palette(argb, wide, height, image)
-    trace.update(used.keys())
-    return swapped(argb).astype("<u4").view(np.uint8).reshape(height, width, 4)
+            argb = undo_palette(argb, wide, image.height, own)
+    return swapped(argb).astype("<u4").view(np.uint8).reshape(image.height, image.width, 4)
+
+
+TOGETHER, PIXELS_TOGETHER = 64, 1 << 18
+# Of green and distance symbols: bits behind the code that belong to the token.
+_GREEN_EXTRA = np.zeros(1 << 12, dtype=np.uint32)
+_GREEN_EXTRA[256:280] = _EXTRA[:24]
+_FAR_EXTRA = np.resize(_EXTRA, 256).astype(np.uint32)
+
+
+def _shared_table(images: list[Image]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tables in one, as symbol << 6 | bits of code and of what belongs to it; of five codes an image their places there, and masks. Place 0 takes no bits."""
+    parts, first, masks, room = [np.zeros(1, dtype=np.uint32)], [], [], 1
+    for image in images:
+        group, own = image.head.groups[0], []
+        for k, c in enumerate(group):
+            if k and c is group[k - 1]:
+                own.append(own[-1])
+                continue
+            own.append(room)
+            wide = c.table.astype(np.uint32)
+            symbol = wide >> 4
+            parts.append((symbol << 6 | wide & 15) + (_GREEN_EXTRA.take(symbol) if k == 0 else _FAR_EXTRA.take(symbol) if k == 4 else 0))
+            room += len(wide)
+        first.append(own)
+        masks.append([(1 << c.bits) - 1 for c in group])
+    return np.concatenate(parts), np.array(first).T, np.array(masks).T
+
+
+def _walk_together(images: list[Image], words: np.ndarray, base: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tokens in the order of images: image, symbols of green, red, blue and alpha, place after it, pixels that it makes, distance code of a copy or 0.
+
+    Every step reads a token of each image that has bits left, so that some tokens are read behind an image's last, which the caller cuts off.
+    """
+    table, all_first, all_masks = _shared_table(images)
+    first, masks = tuple(all_first), tuple(all_masks)
+    pos, who, stops = base * 8 + np.array([image.bits.pos for image in images]), np.arange(len(images)), ends
+    seen: list[tuple[np.ndarray, ...]] = []
+    step = 0
+    while len(who):
+        green = table.take(first[0] + (words.take(pos >> 3, mode="clip") >> (pos & 7) & masks[0]))
+        inner = pos + (green & 63)
+        word = words.take(inner >> 3, mode="clip") >> (inner & 7)
+        red = table.take(first[1] + (word & masks[1]))
+        size = red & 63
+        word >>= size
+        blue = table.take(first[2] + (word & masks[2]))
+        own = blue & 63
+        word >>= own
+        alpha = table.take(first[3] + (word & masks[3]))
+        size += own
+        size += alpha & 63
+        pos = inner + size
+        special = (green >= 256 << 6).nonzero()[0]
+        if len(special):
+            copy = green.take(special) < 280 << 6
+            at = inner.take(special)
+            entry = table.take(first[4].take(special) * copy + (words.take(at >> 3, mode="clip") >> (at & 7) & masks[4].take(special) * copy))
+            pos[special] = at + (entry & 63)
+        seen.append((who, green, red, blue, alpha, inner, pos))
+        step += 1
+        if step % 8 == 0 or len(who) < TOGETHER:
+            keep = (pos < stops).nonzero()[0]
+            if len(keep) < len(who):
+                who, pos, stops = who.take(keep), pos.take(keep), stops.take(keep)
+                first, masks = tuple(x.take(keep) for x in first), tuple(x.take(keep) for x in masks)
+    of = np.concatenate([x[0] for x in seen])
+    order = np.argsort(of.astype(np.uint16), kind="stable")
+    of, green, red, blue, alpha, inner, after = (np.concatenate(x).take(order) for x in zip(*seen, strict=True))
+    green, red, blue, alpha = (x >> 6 for x in (green, red, blue, alpha))
+    made, far = np.ones(len(of), dtype=np.int64), np.zeros(len(of), dtype=np.int64)
+    copies = np.flatnonzero((green >= 256) & (green < 280))
+    if len(copies):
+        low = lambda at, count: words.take(at >> 3, mode="clip") >> (at & 7) & ((1 << count) - 1)
+        prefix, at, whose = green.take(copies) - 256, inner.take(copies), of.take(copies)
+        extra = _EXTRA.take(prefix)
+        made[copies] = _LEAST.take(prefix) + low(at - extra, extra)
+        prefix = table.take(all_first[4].take(whose) + (words.take(at >> 3, mode="clip") >> (at & 7) & all_masks[4].take(whose))) >> 6
+        extra = _EXTRA.take(prefix)
+        far[copies] = _LEAST.take(prefix) + low(after.take(copies) - extra, extra)
+    return of, green, red, blue, alpha, after, made, far
+
+
+def _read_together(images: list[Image]) -> list[np.ndarray]:
+    """What _read_group gives for each of at most 65,536 images."""
+    if any(image.head.groups[0][0].last_symbol >= 280 + (1 << image.head.cache_bits if image.head.cache_bits else 0) for image in images):
+        raise ValueError("a cache place is out of range")
+    data = b"".join(image.bits.data for image in images) + bytes(16)
+    lengths = np.array([len(image.bits.data) for image in images])
+    base = np.cumsum(lengths) - lengths
+    # the 64 bits from each byte on; what is read of one number has 57 at most
+    words = np.ndarray(len(data) - 7, dtype="<i8", buffer=data, strides=(1,)).astype(np.int64)
+    of, green, red, blue, alpha, after, made, far = _walk_together(images, words, base, 8 * (base + lengths))
+    sizes = np.array([image.across * image.height for image in images])
+    room = np.cumsum(sizes) - sizes
+    total, n = np.cumsum(made), int(sizes.sum())
+    tokens = np.bincount(of, minlength=len(images))
+    start = total - made
+    start -= np.repeat(start.take(np.cumsum(tokens) - tokens), tokens)
+    if (np.bincount(of, made, len(images)) < sizes).any():
+        raise ValueError("the image data ends too early")
+    keep = np.flatnonzero(start < sizes.take(of))
+    of, green, red, blue, alpha, after, made, far, start = (x.take(keep) for x in (of, green, red, blue, alpha, after, made, far, start))
+    last = np.append(np.flatnonzero(of[1:] != of[:-1]), len(of) - 1)
+    if (after.take(last) > 8 * (base + lengths)).any():
+        raise ValueError("the image data ends too early")
+    ends, out, done = np.searchsorted(of, np.arange(1, len(images) + 1)).tolist(), [], 0
+    while done < len(images):
+        # as many images as keep their pixels in the processor's cache
+        stop = max(done + 1, int(np.searchsorted(room, room[done] + PIXELS_TOGETHER)))
+        tokens = slice(ends[done - 1] if done else 0, ends[stop - 1])
+        out += _pixels_together(images[done:stop], of[tokens] - done, *(x[tokens] for x in (green, red, blue, alpha, made, far, start)))
+        done = stop
+    return out
 
 
-def decode(stored: bytes, trace: Counter | None = None) -> list[np.ndarray]:
-    """The images of one or more files, one after another."""
-    out, at = [], 0
+def _pixels_together(images: list[Image], of: np.ndarray, green: np.ndarray, red: np.ndarray, blue: np.ndarray, alpha: np.ndarray, made: np.ndarray, far: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Pixels of all images from their tokens: each pixel points to one before it, or to itself if it is a literal, and pointers are followed to their ends."""
+    sizes = np.array([image.across * image.height for image in images])
+    room, n = np.cumsum(sizes) - sizes, int(sizes.sum())
+    pixel, cached = room.take(of) + start, np.flatnonzero(green >= 280)
+    source, own = np.arange(n + 1), np.arange(n)
+    copies = np.flatnonzero(far)
+    if len(copies):
+        code, width = far.take(copies), np.array([image.across for image in images]).take(of.take(copies))
+        close = _near_table().take(np.minimum(code, 120), axis=0)
+        back = np.where(code > 120, code - 120, np.maximum(1, close[:, 0] + close[:, 1] * width))
+        if (back > start.take(copies)).any() or (start.take(copies) + made.take(copies) > sizes.take(of.take(copies))).any():
+            raise ValueError("a back-reference leaves the image")
+        length = made.take(copies)
+        at = np.repeat(pixel.take(copies) + length - np.cumsum(length), length) + np.arange(int(length.sum()))
+        source[at] -= np.repeat(back, length)
+        _follow(source, at)
+    # place n stands for the 0 that an unwritten place of the cache holds
+    value = np.zeros(n + 1, dtype=np.uint32)
+    value[pixel] = alpha << np.uint32(24) | red << np.uint32(16) | green << np.uint32(8) | blue
+    if len(cached):
+        # a copy stands in the place of the cache in which its source stands
+        bits = np.array([image.head.cache_bits for image in images])
+        slot = (value[:n] * np.uint32(HASH) >> np.repeat(32 - bits, sizes).astype(np.uint32)).astype(np.uint16)
+        asks = pixel.take(cached)
+        slot[asks] = green.take(cached) - np.uint32(280)
+        slot = slot.take(source[:n])
+        of_pixel = np.repeat(np.arange(len(images), dtype=np.uint16), sizes)
+        order = np.argsort(slot, kind="stable")
+        if not bits.all():
+            order = order.compress((bits > 0).take(of_pixel.take(order)))
+        order = order.take(np.argsort(of_pixel.take(order), kind="stable"))
+        key = of_pixel.take(order).astype(np.uint32) << np.uint32(16) | slot.take(order)
+        asking = np.zeros(n, dtype=bool)
+        asking[asks] = True
+        asking = asking.take(order)
+        # the last pixel up to each one that does not itself ask the cache
+        known = np.maximum.accumulate(np.where(asking, 0, np.arange(len(order))))
+        at = np.flatnonzero(asking)
+        known = known.take(at)
+        found = (key.take(known) == key.take(at)) & ~asking.take(known)
+        source[order.take(at)] = np.where(found, order.take(known), n)
+        _follow(source, np.flatnonzero(source[:n] != own))
+    value = value.take(source[:n])
+    for image, literal, cache, copy in zip(images, *(np.bincount(of, x, len(images)) > 0 for x in (green < 256, green >= 280, far > 0)), strict=True):
+        if image.head.groups[0][0].last_symbol >= 256:
+            image.used.update(name for name, found in (("literal", literal), ("cache", cache), ("copy", copy)) if found)
+    return np.split(value, room[1:])
+
+
+def _follow(source: np.ndarray, at: np.ndarray) -> None:
+    while len(at):
+        now = source.take(at)
+        then = source.take(now)
+        source[at] = then
+        at = at.compress(then != now)
+
+
+@lru_cache(maxsize=1)
+def _near_table() -> np.ndarray:
+    return np.array([(0, 0), *near_offsets()])
+
+
+def decode_vp8l(data: bytes, trace: Counter | None = None) -> np.ndarray:
+    """(height, width, 4): R, G, B, A. trace counts the images that use a feature."""
+    image = _open(data)
+    pixels = _close(image, _read_body(image.bits, image.head, image.across, image.height, image.used))
+    if trace is not None:
+        trace.update(image.used.keys())
+    return pixels
+
+
+def _files(stored: bytes) -> Iterator[bytes]:
+    """The image data of one or more files, one after another."""
+    at = 0
     while at < len(stored):
         riff, size, webp, kind, own = struct.unpack_from("<4sI4s4sI", stored, at)
         if (riff, webp, kind) != (b"RIFF", b"WEBP", b"VP8L"):
             raise ValueError("not a lossless WebP file")
-        out.append(decode_vp8l(stored[at + 20 : at + 20 + own], trace))
+        yield stored[at + 20 : at + 20 + own]
         at += 8 + size
+
+
+def decode(stored: bytes, trace: Counter | None = None) -> list[np.ndarray]:
+    """The images of one or more files, one after another."""
+    return [decode_vp8l(data, trace) for data in _files(stored)]
+
+
+def decode_all(stored: list[bytes], trace: Counter | None = None) -> list[list[np.ndarray]]:
+    """`decode` of each; images of about one length are read together, a token of each in a step."""
+    images = [(k, _open(data)) for k, one in enumerate(stored) for data in _files(one)]
+    sizes = [8 * len(image.bits.data) - image.bits.pos for _, image in images]
+    # longer ones would go on with few others beside them, where a step costs more than tokens found by windows
+    most = 1.25 * sorted(sizes)[-TOGETHER] if len(images) >= TOGETHER else 0
+    ready = [k for k, (_, image) in enumerate(images) if sizes[k] <= most and len(image.head.groups) == 1 and image.head.groups[0][0].only is None]
+    argb = dict(zip(ready, _read_together([images[k][1] for k in ready]), strict=True)) if len(ready) >= TOGETHER else {}
+    out: list[list[np.ndarray]] = [[] for _ in stored]
+    for k, (whose, image) in enumerate(images):
+        own = argb[k] if k in argb else _read_body(image.bits, image.head, image.across, image.height, image.used)
+        out[whose].append(_close(image, own))
+        if trace is not None:
+            trace.update(image.used.keys())
     return out
 
 
@@ -611,11 +855,17 @@ def huffman(counts: np.ndarray, most: int) -> np.ndarray:
         lengths[used] = 1
         return lengths
     order = used[np.argsort(counts[used], kind="stable")]
-    n, least = len(order), 1
+    lengths[order] = _depths(counts[order].tolist(), most)
+    return lengths
+
+
+def _depths(counts: list[int], most: int) -> list[int]:
+    """Code lengths of two symbols or more, rarest first."""
+    n, least = len(counts), 1
     never = float("inf")
     while True:
         # both queues end with what is never the lighter one
-        weight = [*np.maximum(counts[order], least).tolist(), never]
+        weight = [*counts, never] if counts[0] >= least else [*(max(c, least) for c in counts), never]
         sums, parent, leaf, inner = [never] * n, [0] * (2 * n - 1), 0, 0
         for made in range(n - 1):
             one, other = weight[leaf], sums[inner]
@@ -635,8 +885,7 @@ def huffman(counts: np.ndarray, most: int) -> np.ndarray:
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
         if max(depth[:n]) <= most:
-            lengths[order] = depth[:n]
-            return lengths
+            return depth[:n]
         least *= 2
 
 
@@ -696,8 +945,13 @@ def _write_prefix(out: Writer, lengths: np.ndarray) -> None:
     # zeros at the end are left out
     lengths = lengths[: used[-1] + 1]
     starts = np.concatenate([[0], np.flatnonzero(lengths[1:] != lengths[:-1]) + 1, [len(lengths)]])
+    _write_runs(out, lengths[starts[:-1]].tolist(), (starts[1:] - starts[:-1]).tolist())
+
+
+def _write_runs(out: Writer, lengths: list[int], runs: list[int]) -> None:
+    """A code of more than two symbols or of large ones, from runs of equal lengths."""
     count, before, values, sizes = 0, 8, [], []
-    for value, run in zip(lengths[starts[:-1]].tolist(), (starts[1:] - starts[:-1]).tolist(), strict=True):
+    for value, run in zip(lengths, runs, strict=True):
         n, bits, own = _run_tokens(value, run, value == before)
         count += n
         values += bits
@@ -749,23 +1003,27 @@ def cache_hits(argb: np.ndarray, slot: np.ndarray) -> np.ndarray:
 MIN_COPY, MAX_COPY, SHARED_COST = 3, 4096, 0.05
 
 
-def matches(argb: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of copies, greedily from the left: at least MIN_COPY pixels that last stood `distance` before."""
+def _match_keys(argb: np.ndarray) -> np.ndarray:
+    """A number for each three pixels in a row."""
+    wide = argb.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return wide[:-2] * np.uint64(0x9E3779B97F4A7C15) + wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + wide[2:] * np.uint64(0xD6E8FEB86659FD93)
+
+
+def matches(argb: np.ndarray, key: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of copies, greedily from the left: at least MIN_COPY pixels that last stood `distance` before. key: _match_keys, where they are known."""
     n = len(argb)
     if n < 2 * MIN_COPY - 1:
         return []
-    wide = argb.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        key = wide[:-2] * np.uint64(0x9E3779B97F4A7C15) + wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + wide[2:] * np.uint64(0xD6E8FEB86659FD93)
-    order = np.argsort(key, kind="stable")
+    key = _match_keys(argb) if key is None else key
+    order = key.argsort(kind="stable")
     own = key.take(order)
-    again = np.flatnonzero(own[1:] == own[:-1]) + 1
+    again = (own[1:] == own[:-1]).nonzero()[0]
     if not len(again):
         return []
-    before = np.full(n, -1, dtype=np.int64)
-    before[order[again]] = order[again - 1]
-    found = np.flatnonzero(before >= 0)
-    places, prior, raw = found.tolist(), before.take(found).tolist(), argb.tobytes()
+    at = order.take(again + 1)
+    left_first = at.argsort()
+    places, prior, raw = at.take(left_first).tolist(), order.take(again.take(left_first)).tolist(), argb.tobytes()
     out, k = [], 0
     while k < len(places):
         i = places[k]
@@ -1002,6 +1260,250 @@ def _best_cache(argb: np.ndarray, without: float | None = None) -> tuple[int, tu
     return (size, (slot, hit)) if _code_bits(green) + sum(_channel_bits(rest, (0, 1, 3))) < without else (0, None)
 
 
+SURE = 1e-6
+# Cells of one image's counts when many are written: green, lengths and cache places, then red, blue, alpha, distances, and what has no code.
+_CELLS = (0, 1304, 1560, 1816, 2072, 2112)
+_CELL_CODE = np.repeat(np.arange(6), np.diff([*_CELLS, _CELLS[-1] + 1]))
+
+
+def _bits_of_rows(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """What _rows_bits gives for rows of images of which some may be large."""
+    of_total, of_count = _small_weights()
+    large = np.flatnonzero(total >= len(of_total))
+    bits = of_total.take(total, mode="clip") + of_count.take(counts, mode="clip").sum(axis=1)
+    if len(large):
+        bits[large] = _weight(total[large]) + (np.minimum(counts[large], 1) * 4.0 - _weight(counts[large])).sum(axis=1)
+    return np.where(bits > 6, bits, 8.0)
+
+
+def _byte_bits(of: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """_rows_bits of the bytes `own` of each of n images."""
+    counts = np.bincount(of * 256 + own, minlength=256 * n).reshape(n, 256)
+    return _bits_of_rows(counts, counts.sum(axis=1))
+
+
+def _plainly_best(argb: np.ndarray, parts: np.ndarray, of: np.ndarray, sizes: np.ndarray, width: int, alone: np.ndarray) -> np.ndarray:
+    """Of images of one width, those for which encode_best chooses no transform for sure: each is bounded by the most that it could save."""
+    n, room = len(sizes), np.cumsum(sizes) - sizes
+    plain = ((alone[:, 0] + alone[:, 1]) + alone[:, 2]) + alone[:, 3]
+    # palette
+    ordered = np.sort(of.astype(np.uint64) << np.uint64(32) | argb)
+    starts = np.append(0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)
+    whose = (ordered.take(starts) >> np.uint64(32)).astype(np.int64)
+    counts, colours = np.diff(starts, append=len(argb)), np.bincount(whose, minlength=n)
+    palette = 24.0 * colours + np.maximum(8.0, _weight(sizes) + np.bincount(whose, 4.0 - _weight(counts), n))
+    best = (colours > 256) | (np.where(colours > 1, palette, 24.0 + 8.0) > plain + SURE)
+    # predictor: any block more than ZERO_SHARE equal to a neighbour
+    rows = sizes // width
+    row = np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)
+    block = np.flatnonzero(row % (1 << PREDICT_BLOCK) == 0)
+    area = np.diff(block, append=len(row)) * width
+    x, upper = np.tile(np.arange(width), len(row)), np.repeat(row > 0, width)
+    most = np.zeros(len(block), dtype=np.int64)
+    for back, there in ((1, x > 0), (width, upper), (width - 1, upper & (x < width - 1)), (width + 1, upper & (x > 0))):
+        if back and back < len(argb):
+            same = np.zeros(len(argb), dtype=np.int32)
+            same[back:] = (argb[back:] == argb[:-back]) & there[back:]
+            most = np.maximum(most, np.add.reduceat(same, block * width))
+    best &= np.bincount(np.repeat(np.arange(n), -(-rows >> PREDICT_BLOCK)), most > ZERO_SHARE * area, n) == 0
+    # subtract-green and cross-colour, where channels go together
+    red, green, blue = (parts[:, k].astype(np.float64) for k in (1, 2, 3))
+    total = {k: np.add.reduceat(v, room) for k, v in (("r", red), ("g", green), ("b", blue), ("rr", red * red), ("gg", green * green), ("bb", blue * blue), ("rg", red * green), ("rb", red * blue), ("gb", green * blue))}
+    spread = lambda a, b: total[a + b] - total[a] * total[b] / sizes
+    size = {k: np.maximum(spread(k, k), 1e-9) for k in "rgb"}
+    share = np.max([spread(a, b) ** 2 / (size[a] * size[b]) for a, b in ("rg", "rb", "gb")], axis=0)
+    asked = np.flatnonzero(best & ((share >= (LEAST_RELATED - 0.01) ** 2) | (np.minimum(np.minimum(size["r"], size["g"]), size["b"]) < 1)))
+    if len(asked):
+        among = np.zeros(n, dtype=np.int64)
+        among[asked] = np.arange(len(asked))
+        chosen = np.zeros(n, dtype=bool)
+        chosen[asked] = True
+        at = np.flatnonzero(chosen.take(of))
+        own, of_own = parts.take(at, axis=0), among.take(of.take(at))
+        red, green, blue = own[:, 1], own[:, 2], own[:, 3]
+        bits = lambda x: _byte_bits(of_own, x.astype(np.uint8), len(asked))
+        less = alone[asked, 0] + alone[asked, 2] + bits(red - green) + bits(blue - green)
+        shares = {m: m * _signed(green) >> 5 for m in MULTIPLIERS}
+        reds = np.min([alone[asked, 1], *(bits(red - shares[m]) for m in MULTIPLIERS)], axis=0)
+        rests = [blue, *((blue - shares[m]).astype(np.uint8) for m in MULTIPLIERS)]
+        blues = np.min([alone[asked, 3], *(bits(x) for x in rests[1:]), *(bits(x - (m * _signed(red) >> 5)) for x in rests for m in MULTIPLIERS)], axis=0)
+        crossed = plain[asked] - (alone[asked, 1] + alone[asked, 3] - reds - blues) + CROSS_BITS
+        best[asked] = (less > plain[asked] + SURE) & (crossed > plain[asked] + SURE)
+    return best
+
+
+def encode_all(images: list[np.ndarray]) -> list[bytes]:
+    """What encode_best gives for each of at most 8,192 images of one width; those that need no transform are written together."""
+    width, sizes = images[0].shape[1], np.array([x.shape[0] * x.shape[1] for x in images])
+    argb = _numbers(np.concatenate(images))
+    parts = channels(argb)
+    of = np.repeat(np.arange(len(images)), sizes)
+    alone = np.stack([_byte_bits(of, parts[:, k], len(images)) for k in range(4)], axis=1)
+    best = _plainly_best(argb, parts, of, sizes, width, alone)
+    kept = np.flatnonzero(best)
+    out = dict(zip(kept.tolist(), _written(argb, parts, of, sizes, width, alone, kept), strict=True)) if len(kept) else {}
+    return [out[k] if k in out else encode_best(own) for k, own in enumerate(images)]
+
+
+def _written(argb: np.ndarray, parts: np.ndarray, of: np.ndarray, sizes: np.ndarray, width: int, alone: np.ndarray, kept: np.ndarray) -> list[bytes]:
+    """Files of the images `kept`, without transforms."""
+    n, room = len(kept), np.cumsum(sizes) - sizes
+    if n < len(sizes):
+        at = np.flatnonzero(np.isin(of, kept))
+        argb, parts = argb.take(at), parts.take(at, axis=0)
+        sizes, alone = sizes.take(kept), alone.take(kept, axis=0)
+        of, room = np.repeat(np.arange(n), sizes), np.cumsum(sizes) - sizes
+    # a cache of about an eighth of the pixels, where it pays
+    bits = np.array([min(max(int(x).bit_length() - 3, 1), 10) for x in sizes])
+    slot = (argb * np.uint32(HASH) >> np.repeat(32 - bits, sizes).astype(np.uint32)).astype(np.int64)
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
+    order = order.take(np.argsort(of.astype(np.uint16).take(order), kind="stable"))
+    own, whose = argb.take(order), of.take(order)
+    hit = np.zeros(len(argb), dtype=bool)
+    # equal pixels have one place
+    hit[order[1:]] = (own[1:] == own[:-1]) & (whose[1:] == whose[:-1])
+    miss = np.flatnonzero(~hit)
+    of_miss = of.take(miss)
+    green = np.where(hit, 256 + slot, parts[:, 2])
+    counts = np.bincount(of * 1280 + green, minlength=1280 * n).reshape(n, 1280)
+    cost = _bits_of_rows(counts, sizes) + np.sum([_byte_bits(of_miss, parts[:, k].take(miss), n) for k in (0, 1, 3)], axis=0)
+    plain = ((alone[:, 0] + alone[:, 1]) + alone[:, 2]) + alone[:, 3]
+    pays = cost < plain
+    for k in np.flatnonzero(np.abs(cost - plain) < SURE).tolist():
+        pays[k] = _best_cache(argb[room[k] : room[k] + sizes[k]])[0] > 0
+    pays &= np.bincount(of, hit, n) > 0
+    hit &= pays.take(of)
+    # symbols of each pixel: green or place, red, blue, alpha
+    first, none = of * _CELLS[-1] + of, _CELLS[-1]
+    at = parts.take((2, 1, 3, 0), axis=1) + np.array(_CELLS[:4])
+    hits = np.flatnonzero(hit)
+    at[hits, 0], at[hits, 1:] = 280 + slot.take(hits), none
+    key, near = _match_keys(argb), _near_codes(width)
+    copies, whose_copy = [], []
+    for k, (start, size) in enumerate(zip(room.tolist(), sizes.tolist(), strict=True)):
+        found = matches(argb[start : start + size], key[start : start + size - 2])
+        copies += [(start + i, length, *_prefix_of(length), *_prefix_of(near.get(back, back + 120))) for i, length, back in found]
+        whose_copy += [k] * len(found)
+    tokens = np.arange(len(argb))
+    if copies:
+        place, length, a, b, c, d, e, f = np.array(copies).T
+        at[place, 0], at[place, 1], at[place, 2], at[place, 3] = 256 + a, none, _CELLS[4] + d, none
+        inside = np.zeros(len(argb) + 1, dtype=np.int8)
+        inside[place + 1], inside[place + length] = 1, -1
+        tokens = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) == 0)
+        place = np.searchsorted(tokens, place)
+    at = at.take(tokens, axis=0)
+    at += first.take(tokens)[:, None]
+    counts = np.bincount(at.ravel(), minlength=n * (none + 1)).reshape(n, none + 1)
+    counts[:, none] = 0
+    channel = counts[:, _CELLS[1] : _CELLS[4]].reshape(n, 3, 256)
+    pooled = channel.sum(axis=1)
+    apart = _bits_of_rows(channel.reshape(-1, 256), channel.sum(axis=2).ravel()).reshape(n, 3)
+    # red, blue and alpha share a code, which is built and read once, where that costs little
+    shared = _bits_of_rows(pooled, pooled.sum(axis=1)) + 8.0 * np.count_nonzero(pooled, axis=1) < (1 + SHARED_COST) * (apart[:, 0] + apart[:, 1] + apart[:, 2])
+    channel[shared, 0], channel[shared, 1:] = pooled[shared], 0
+    lengths, codes, alphabets = _codes_of(counts.ravel(), n)
+    for x in (lengths, codes):
+        own = x.reshape(n, none + 1)[:, _CELLS[1] : _CELLS[4]].reshape(n, 3, 256)
+        own[shared, 1:] = own[shared, :1]
+    values, widths = codes.take(at), lengths.take(at)
+    if copies:
+        values[place, 1], widths[place, 1], values[place, 3], widths[place, 3] = b, c, e, f
+    heads, held = Writer(), []
+    for k in range(n):
+        before, paid = len(heads.values), int(pays[k])
+        for value, size in ((0x2F, 8), (width - 1, 14), (int(sizes[k]) // width - 1, 14), (1, 1), (0, 3), (0, 1), (paid, 1), (int(bits[k]), 4 * paid), (0, 1)):
+            heads.write(value, size)
+        own = alphabets[5 * k : 5 * k + 5]
+        for x in (own[0], own[1], own[1], own[1], own[4]) if shared[k] else own:
+            heads.append(x)
+        held.append(len(heads.values) - before)
+    return [_file(data) for data in _bytes_of_each(heads, np.array(held), values, widths, np.bincount(of.take(tokens), minlength=n))]
+
+
+def _codes_of(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[Writer]]:
+    """Of each count, in rows of _CELLS: bits and code of its symbol, where the code has others; how each of five codes an image is written."""
+    used = np.flatnonzero(counts)
+    cell = used % (_CELLS[-1] + 1)
+    code = used // (_CELLS[-1] + 1) * 5 + _CELL_CODE.take(cell)
+    symbols = np.bincount(code, minlength=5 * n)
+    # rarest first
+    order = np.argsort(code << 32 | counts.take(used), kind="stable")
+    weights, depths, at = counts.take(used.take(order)).tolist(), [], 0
+    for size in symbols.tolist():
+        depths += _depths(weights[at : at + size], 15) if size > 1 else [1] * size
+        at += size
+    own = np.zeros(len(used), dtype=np.int64)
+    own[order] = depths
+    # by length, then symbol
+    order = np.argsort(code << 4 | own, kind="stable")
+    room = 1 << (15 - own.take(order))
+    before = np.cumsum(room) - room
+    begin = np.cumsum(symbols) - symbols
+    some = np.flatnonzero(symbols)
+    before -= np.repeat(before.take(begin.take(some)), symbols.take(some))
+    lengths, codes = np.zeros(len(counts), dtype=np.int64), np.zeros(len(counts), dtype=np.int64)
+    real = symbols.take(code.take(order)) > 1
+    to = used.take(order.compress(real))
+    lengths[to], codes[to] = own.take(order.compress(real)), _reversed(15).take(before.compress(real))
+    # runs of equal lengths, up to the last symbol of a code
+    symbol = cell - np.array(_CELLS).take(_CELL_CODE.take(cell))
+    follows = np.append(False, code[1:] == code[:-1])
+    gap = symbol - np.where(follows, np.append(0, symbol[:-1]), -1) - 1
+    fresh = ~follows | (gap > 0) | np.append(True, own[1:] != own[:-1])
+    starts = np.flatnonzero(fresh)
+    run_values, run_sizes, run_gaps = own.take(starts).tolist(), np.diff(starts, append=len(own)).tolist(), gap.take(starts).tolist()
+    runs = np.bincount(code.take(starts), minlength=5 * n).tolist()
+    symbol, at, run, written = symbol.tolist(), 0, 0, []
+    for size, count in zip(symbols.tolist(), runs, strict=True):
+        out = Writer()
+        last = symbol[at + size - 1] if size else 0
+        if size <= 2 and last < 256:
+            one = symbol[at] if size else 0
+            out.values, out.sizes = [1, max(size, 1) - 1, int(one > 1), one], [1, 1, 1, 8 if one > 1 else 1]
+            if size == 2:
+                out.write(last, 8)
+        else:
+            values, sizes = [], []
+            for k in range(run, run + count):
+                if run_gaps[k]:
+                    values.append(0)
+                    sizes.append(run_gaps[k])
+                values.append(run_values[k])
+                sizes.append(run_sizes[k])
+            _write_runs(out, values, sizes)
+        written.append(out)
+        at, run = at + size, run + count
+    return lengths, codes, written
+
+
+def _bytes_of_each(heads: Writer, held: np.ndarray, values: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+    """What Writer.bytes gives for each image, of which `held` numbers of heads come first, then four for each of its tokens."""
+    each = 4 * tokens
+    total = held + each
+    base = np.cumsum(total) - total
+    all_values, all_sizes = np.zeros(int(total.sum()), dtype=np.uint64), np.zeros(int(total.sum()), dtype=np.int64)
+    for own_values, own_sizes, first, count in ((np.array(heads.values), np.array(heads.sizes), base, held), (values.ravel(), sizes.ravel(), base + held, each)):
+        at = np.arange(len(own_sizes)) + np.repeat(first - np.cumsum(count) + count, count)
+        all_values[at], all_sizes[at] = own_values, own_sizes
+    keep = np.flatnonzero(all_sizes)
+    end = np.cumsum(all_sizes)
+    bits = end.take(base + total - 1) - np.append(0, end.take(base + total - 1)[:-1])
+    # each begins in a word of its own
+    words = (bits + 31) // 32 + 1
+    room = np.cumsum(words) - words
+    start = end - all_sizes + np.repeat(32 * room - np.cumsum(bits) + bits, total)
+    start, all_values = start.take(keep), all_values.take(keep)
+    word = start >> 5
+    first = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
+    sums, at = np.add.reduceat(all_values << (start & 31).astype(np.uint64), first), word.take(first)
+    cells = np.zeros(int(words.sum()), dtype=np.uint64)
+    cells[at] = sums & np.uint64(0xFFFFFFFF)
+    cells[at + 1] += sums >> np.uint64(32)
+    data = cells.astype("<u4").tobytes()
+    return [data[4 * at : 4 * at + (n + 7) // 8] for at, n in zip(room.tolist(), bits.tolist(), strict=True)]
+
+
 def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), block: int = 2, cache_bits: int = 0, references: bool = False, meta_block: int = 0, seed: int = 0, values: dict | None = None, blocks: dict | None = None, plain: float | None = None) -> bytes:
     """A file of one image (height, width, 4). transforms are applied in the order given; their block values are in `values` or drawn from seed. cache_bits -1: by the data; plain: the _channel_bits of the pixels, where they are known."""
     height, width = pixels.shape[:2]
@@ -1052,6 +1554,9 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), block: int = 2,
     argb = argb.astype(np.uint32)
     size, cached = _best_cache(argb, None if transforms else plain) if cache_bits < 0 else (cache_bits, None)
     _write_pixels(out, argb, across, True, size, references, meta_block, cached)
-    data = out.bytes()
+    return _file(out.bytes())
+
+
+def _file(data: bytes) -> bytes:
     pad = len(data) & 1
     return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(data) + pad, b"WEBP", b"VP8L", len(data)) + data + b"\0" * pad
