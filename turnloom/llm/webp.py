@@ -6,6 +6,9 @@ back-references, colour cache, meta prefix codes, and the inverse of the predict
 Where one group of codes holds for the image, tokens are found by array operations: for every bit of a window the place of the token that
 would follow one starting there, then only those places that a walk from the first token meets are read. `encode_best` chooses transforms,
 cache and references from the data, by estimates of the stored size.
+
+`encode_all` and `decode_all` do the same for many short images at once, with the same bytes and pixels as one by one: arrays hold the pixels
+of all, a step of the decoder reads a token of each. Images that need a transform, and those much longer than the others, go one by one.
 """
 
 from __future__ import annotations
@@ -1339,7 +1342,7 @@ def encode_all(images: list[np.ndarray]) -> list[bytes]:
     parts = channels(argb)
     of = np.repeat(np.arange(len(images)), sizes)
     alone = np.stack([_byte_bits(of, parts[:, k], len(images)) for k in range(4)], axis=1)
-    best = _plainly_best(argb, parts, of, sizes, width, alone)
+    best = _plainly_best(argb, parts, of, sizes, width, alone) & (max(width, int(sizes.max()) // width) <= MAX_SIDE)
     kept = np.flatnonzero(best)
     out = dict(zip(kept.tolist(), _written(argb, parts, of, sizes, width, alone, kept), strict=True)) if len(kept) else {}
     return [out[k] if k in out else encode_best(own) for k, own in enumerate(images)]
